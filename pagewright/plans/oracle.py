@@ -66,7 +66,7 @@ FROM fx_fetch WHERE NOT success""",
 FROM fx_failure GROUP BY left(url, 255)""",
 }
 
-_FX_NAMES = sorted(FX, key=len, reverse=True)
+RECURSIVE_FX: set[str] = set()
 
 
 def _deps(sql: str) -> list[str]:
@@ -96,6 +96,10 @@ def with_fixtures(sql: str) -> str:
     body = sql.lstrip()
     recursive = body[:14].upper().startswith("WITH RECURSIVE")
     ctes = ",\n".join(f"{n} AS ({FX[n]})" for n in order)
+    if not recursive and RECURSIVE_FX.intersection(order):
+        if body[:4].upper() == "WITH":
+            return "WITH RECURSIVE " + ctes + ",\n" + body[4:].lstrip()
+        return "WITH RECURSIVE " + ctes + "\n" + body
     if recursive:
         return "WITH RECURSIVE " + ctes + ",\n" + body[len("WITH RECURSIVE"):].lstrip()
     if body[:4].upper() == "WITH":

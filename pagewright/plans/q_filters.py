@@ -78,13 +78,13 @@ def publish_time_nullify(spark, sf):
 
 
 D_ARTICLE_TEXT = O.d_unescape("regexp_replace(regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1), '<[^>]*>', '', 'g')")
-D_EXTRACTED = f"""SELECT page_id, html, CASE page_id % 3 WHEN 0 THEN to_json([{{'content': {D_ARTICLE_TEXT}}}])
-  WHEN 1 THEN to_json({{'content': {D_ARTICLE_TEXT}}})
-  ELSE '[{{"content": ' || to_json({{'content': {D_ARTICLE_TEXT}}}) END AS extracted FROM pages"""
+D_EXTRACTED = f"""SELECT page_id, html, CASE page_id % 3 WHEN 0 THEN CAST(to_json([{{'content': {D_ARTICLE_TEXT}}}]) AS VARCHAR)
+  WHEN 1 THEN CAST(to_json({{'content': {D_ARTICLE_TEXT}}}) AS VARCHAR)
+  ELSE '[{{"content": ' || CAST(to_json({{'content': {D_ARTICLE_TEXT}}}) AS VARCHAR) END AS extracted FROM pages"""
 D_CONTENT = """CASE WHEN NOT json_valid(extracted) THEN left(html, 10000)
   WHEN starts_with(trim(extracted), '[')
-    THEN json_extract_string(CASE WHEN json_valid(extracted) THEN extracted END, '$[0].content')
-  ELSE json_extract_string(CASE WHEN json_valid(extracted) THEN extracted END, '$.content') END"""
+    THEN try(json_extract_string(extracted, '$[0].content'))
+  ELSE try(json_extract_string(extracted, '$.content')) END"""
 
 @query("raw_html_fallback", f"""
 SELECT page_id, extracted IS NULL AS missing, NOT json_valid(extracted) AS used_fallback,

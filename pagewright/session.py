@@ -22,6 +22,7 @@ DEFAULT_CONF = {
     # a repeated failure adds to stored key/value data, the newest value wins
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
