@@ -84,6 +84,26 @@ def register_site(name: str, rules: SiteRules) -> None:
     _REGISTRY[name] = rules
 
 
+class scoped_site:
+    """Register rules for the duration of a ``with`` block (expressions built
+    inside keep them; the registry is restored afterwards)."""
+
+    def __init__(self, name: str, rules: SiteRules):
+        self.name, self.rules, self.old = name, rules, None
+
+    def __enter__(self):
+        self.old = _REGISTRY.get(self.name)
+        _REGISTRY[self.name] = self.rules
+        return self
+
+    def __exit__(self, *exc):
+        if self.old is None:
+            _REGISTRY.pop(self.name, None)
+        else:
+            _REGISTRY[self.name] = self.old
+        return False
+
+
 def registered_sites() -> dict[str, SiteRules]:
     return dict(_REGISTRY)
 

@@ -38,7 +38,11 @@ def fx_site(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fx_article(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One article per document, with dates and boilerplate tails injected."""
-    d = read_table(spark, sf_dir, "documents")
+    return article_rows(read_table(spark, sf_dir, "documents"))
+
+
+def article_rows(d: DataFrame) -> DataFrame:
+    """``documents`` rows (batch or stream) -> article rows."""
     return d.select(
         "doc_id",
         F.col("source").alias("site"),
@@ -67,7 +71,11 @@ def fx_article(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fx_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request log derived from ``events`` (event_id is unique)."""
-    e = read_table(spark, sf_dir, "events")
+    return fetch_rows(read_table(spark, sf_dir, "events"))
+
+
+def fetch_rows(e: DataFrame) -> DataFrame:
+    """``events`` rows (batch or stream) -> request-log rows."""
     return e.select(
         "event_id", "ts",
         F.expr("concat('www.src', user_id % 20, '.example.com')").alias("domain"),
@@ -102,14 +110,21 @@ def fx_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fx_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated observations of a page element (whole turn text), for change detection."""
-    c = read_table(spark, sf_dir, "conversations")
+    return snapshot_rows(read_table(spark, sf_dir, "conversations"))
+
+
+def snapshot_rows(c: DataFrame) -> DataFrame:
     return c.select(F.col("conv_id").alias("page_key"), F.col("turn").alias("seq"),
                     F.col("text").alias("element_text"))
 
 
 def fx_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links in ``pages.html``, made absolute against the page's origin."""
-    p = read_table(spark, sf_dir, "pages")
+    return link_rows(read_table(spark, sf_dir, "pages"))
+
+
+def link_rows(p: DataFrame) -> DataFrame:
+    """``pages`` rows (batch or stream) -> one row per link."""
     h = p.select("page_id", "url", F.posexplode(
         F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), 1)).alias("pos", "href"))
     return h.select(
@@ -121,6 +136,9 @@ def fx_link(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fx_message(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Message payloads: the event ``props`` JSON, blank for every tenth event."""
-    e = read_table(spark, sf_dir, "events")
+    return message_rows(read_table(spark, sf_dir, "events"))
+
+
+def message_rows(e: DataFrame) -> DataFrame:
     return e.select("event_id", "ts",
                     F.expr("CASE WHEN event_id % 10 = 0 THEN '  ' ELSE props END").alias("value"))
