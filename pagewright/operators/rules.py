@@ -141,15 +141,32 @@ def _site_level(content: Column, rules: SiteRules) -> Column:
     return out
 
 
+def _grouped(key_fn) -> list:
+    """Sites grouped by identical rules: [(rules, [site, ...])] in registry order,
+    so the compiled CASE has one branch per distinct rule set."""
+    groups: dict = {}
+    for name, rules in _REGISTRY.items():
+        k = key_fn(rules)
+        if k is None:
+            continue
+        groups.setdefault(k, (rules, []))[1].append(name)
+    return list(groups.values())
+
+
+def _content_key(r: SiteRules):
+    if not r.steps and not r.collapse and r.content_fn is None:
+        return None
+    return (tuple(r.steps), r.collapse, id(r.content_fn) if r.content_fn else None)
+
+
 def site_level(site, base) -> Column:
     """Second-level rules applied to already base-cleaned content."""
     site, base = _c(site), _c(base)
     expr = None
-    for name, rules in _REGISTRY.items():
-        if not rules.steps and not rules.collapse and rules.content_fn is None:
-            continue
+    for rules, names in _grouped(_content_key):
         branch = _site_level(base, rules)
-        expr = F.when(site == name, branch) if expr is None else expr.when(site == name, branch)
+        cond = site.isin(*names)
+        expr = F.when(cond, branch) if expr is None else expr.when(cond, branch)
     return base if expr is None else expr.otherwise(base)
 
 
@@ -177,11 +194,10 @@ def site_publish_from(site, base, full) -> Column:
     site, base_pt = _c(site), publish_time_extract(_c(base))
     full = _c(full)
     expr = None
-    for name, rules in _REGISTRY.items():
-        if rules.publish is None:
-            continue
+    for rules, names in _grouped(lambda r: r.publish):
         branch = F.coalesce(_override(full, rules.publish), base_pt)
-        expr = F.when(site == name, branch) if expr is None else expr.when(site == name, branch)
+        cond = site.isin(*names)
+        expr = F.when(cond, branch) if expr is None else expr.when(cond, branch)
     return base_pt if expr is None else expr.otherwise(base_pt)
 
 

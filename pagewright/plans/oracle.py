@@ -183,15 +183,17 @@ def d_clean_content(site: str, expr: str) -> str:
     return "CASE " + " ".join(parts) + f" ELSE {base} END"
 
 
+def _in(site: str, names) -> str:
+    return f"{site} IN (" + ", ".join(sql_str(n) for n in names) + ")"
+
+
 def d_site_level(site: str, base: str) -> str:
     parts = []
-    for name, rules in R.registered_sites().items():
-        if not rules.steps and not rules.collapse:
-            continue
+    for rules, names in R._grouped(R._content_key):
         out = d_chain(base, rules.steps)
         if rules.collapse:
             out = d_strip(d_collapse(out))
-        parts.append(f"WHEN {site} = {sql_str(name)} THEN {out}")
+        parts.append(f"WHEN {_in(site, names)} THEN {out}")
     return "CASE " + " ".join(parts) + f" ELSE {base} END"
 
 
@@ -220,8 +222,8 @@ def d_override(expr: str, publish) -> str:
 
 def d_site_publish(site: str, base: str, full: str) -> str:
     base_pt = d_publish_extract(base)
-    parts = [f"WHEN {site} = {sql_str(n)} THEN coalesce({d_override(full, r.publish)}, {base_pt})"
-             for n, r in R.registered_sites().items() if r.publish is not None]
+    parts = [f"WHEN {_in(site, names)} THEN coalesce({d_override(full, r.publish)}, {base_pt})"
+             for r, names in R._grouped(lambda r: r.publish)]
     return "CASE " + " ".join(parts) + f" ELSE {base_pt} END"
 
 
