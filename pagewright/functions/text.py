@@ -83,3 +83,18 @@ def truncate_content(content, limit: int = MAX_CONTENT_CHARS) -> Column:
 def reason_preview(reason, width: int = 100) -> Column:
     r = _c(reason)
     return F.when(F.length(r) < width, r).otherwise(F.concat(F.left(r, F.lit(width)), F.lit("...")))
+
+
+_META = set("\\[](){}.*+?^$|")
+
+
+def literal_prefix(pattern: str) -> str:
+    """Leading literal text every match of a Python-syntax pattern starts with."""
+    out = []
+    for ch in pattern:
+        if ch in _META:
+            if ch in "*?{" and out:  # the quantifier makes the last character optional
+                out.pop()
+            break
+        out.append(ch)
+    return "".join(out)

@@ -43,10 +43,8 @@ def truncate(df: DataFrame, limit: int = MAX_CONTENT_CHARS) -> DataFrame:
 
 def clean_articles(df: DataFrame, site_col: str = "site") -> DataFrame:
     """Base and site cleaning of ``content`` plus the publish time string."""
-    d = df.withColumn("_base", rules.clean_content(site_col, "content"))
-    d = d.withColumn("_full", rules.site_level(site_col, "_base"))
-    return (d.withColumn("publish_time", rules.site_publish_from(site_col, "_base", "_full"))
-            .withColumn("content", F.col("_full")).drop("_base", "_full"))
+    d = rules.stage_clean(df, site_col, "content", "_base", "_full", "publish_time")
+    return d.withColumn("content", F.col("_full")).drop("_base", "_full")
 
 
 def enrich_site(df: DataFrame, sites: DataFrame, on: str = "site",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.html import hrefs, same_host
 from ..functions.urls import resolve_link, url_strip_query, url_valid
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch_path
 
 
 def page_links(pages: DataFrame, internal_only: bool = True) -> DataFrame:
@@ -81,25 +81,50 @@ def frontier_walk(edges: DataFrame, seeds: DataFrame, max_depth: int,
     set is checkpointed to the shared folder at every level, so lineage stays
     short and a lost executor only recomputes one level.
     """
-    e = edges.select(F.col(src).alias("node"), F.col(dst).alias("next"))
+    spark = edges.sparkSession
+    root = scratch_path(spark, "frontier")
+    # the edge list is written once as a table bucketed on the join key: every
+    # level joins against it without shuffling (or recomputing) the edges
+    n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = "pw_edges_" + root.rsplit("-", 1)[-1]
+    (edges.select(F.col(src).alias("node"), F.col(dst).alias("next")).write.mode("overwrite")
+     .bucketBy(n_buckets, "node").option("path", f"{root}/edges").saveAsTable(table))
+    e = spark.table(table)
+
+    def materialise(df, depth):
+        # one job per level: the level is written to the shared folder and read
+        # back, so lineage never grows and a lost executor redoes one level only
+        path = f"{root}/depth={depth}"
+        df.withColumn("depth", F.lit(depth)).write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+
     frontier = seeds.select(F.col(seeds.columns[0]).alias("node")).distinct()
     if max_pages is not None:
         frontier = frontier.orderBy("node").limit(max_pages)
-    frontier = cut_lineage(frontier.withColumn("depth", F.lit(0)))
-    seen = frontier
+    levels = [materialise(frontier, 0)]
+    frontier = levels[0]
     taken = None if max_pages is None else frontier.count()
     for depth in range(1, max_depth + 1):
         if max_pages is not None and taken >= max_pages:
             break
+        seen = levels[0].select("node")
+        for lv in levels[1:]:
+            seen = seen.union(lv.select("node"))
         nxt = (frontier.join(e, "node").select(F.col("next").alias("node")).distinct()
-               .join(seen.select("node"), "node", "left_anti"))
+               .join(seen, "node", "left_anti"))
         if max_pages is not None:
             nxt = nxt.orderBy("node").limit(max_pages - taken)
-        nxt = cut_lineage(nxt.withColumn("depth", F.lit(depth)))
-        if nxt.isEmpty():
-            break
+        nxt = materialise(nxt, depth)
         if max_pages is not None:
-            taken += nxt.count()
-        seen = cut_lineage(seen.unionByName(nxt))
+            n = nxt.count()
+            if n == 0:
+                break
+            taken += n
+        elif nxt.isEmpty():
+            break
+        levels.append(nxt)
         frontier = nxt
+    seen = levels[0]
+    for lv in levels[1:]:
+        seen = seen.unionByName(lv)
     return seen

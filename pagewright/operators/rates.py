@@ -117,8 +117,7 @@ def domain_delay_fold(fetches: DataFrame, delays: DataFrame, n_chunks: int | Non
 
 def _throttle_zero():
     return F.struct(F.lit(0.0).alias("delay"), F.lit(0).alias("failures"), F.lit(False).alias("throttled"),
-                    F.lit(None).cast("timestamp_ntz").alias("until"), F.lit(0).cast("long").alias("requests"),
-                    F.lit(0).cast("long").alias("successes"))
+                    F.lit(None).cast("timestamp_ntz").alias("until"))
 
 
 def _throttle_update(s, ok, x):
@@ -129,17 +128,14 @@ def _throttle_update(s, ok, x):
         _delay_after(s["delay"], ok, x["domain_delay"]).alias("delay"),
         fails.alias("failures"),
         (s["throttled"] | trip).alias("throttled"),
-        F.when(trip, until).otherwise(s["until"]).alias("until"),
-        (s["requests"] + 1).alias("requests"),
-        (s["successes"] + F.when(ok, 1).otherwise(0)).alias("successes"))
+        F.when(trip, until).otherwise(s["until"]).alias("until"))
 
 
 def _throttle_step(acc, x):
     expired = acc["throttled"] & acc["until"].isNotNull() & (x["ts"] >= acc["until"])
     s = F.when(expired, F.struct(
         acc["delay"].alias("delay"), F.lit(0).alias("failures"), F.lit(False).alias("throttled"),
-        F.lit(None).cast("timestamp_ntz").alias("until"), acc["requests"].alias("requests"),
-        acc["successes"].alias("successes"))).otherwise(acc)
+        F.lit(None).cast("timestamp_ntz").alias("until"))).otherwise(acc)
     s1 = _throttle_update(s, x["success"], x)
     return F.when(x["double"], _throttle_update(s1, F.lit(False), x)).otherwise(s1)
 
@@ -150,11 +146,19 @@ def domain_throttle_fold(fetches: DataFrame, delays: DataFrame, n_chunks: int |
     Five failures in a row block the domain for five minutes; the block's
     expiry is checked before each request and resets the failure count; a
     success alone does not lift the block; 403/429/503 count twice.
+
+    Only the order-dependent state (delay, failure run, block) is folded; the
+    request and success totals are plain sums, aggregated map-side, so the
+    fold's state re-synchronises quickly and the carry loop stays short.
     """
     ev = _fold_input(fetches, delays, n_chunks)
     out = ordered_fold(ev, ["domain"], ["ts", "event_id"], ["success", "double", "domain_delay"],
                        F.col("_chunk"), _throttle_zero(), _throttle_step)
-    return out.select("domain", F.col("state.*"))
+    totals = fetches.withColumn(
+        "double", F.coalesce(F.col("status_code").isin(*DOUBLE_FAILURE_STATUSES), F.lit(False))).groupBy(
+        "domain").agg((F.count(F.lit(1)) + F.count(F.when(F.col("double"), 1))).alias("requests"),
+                      F.count(F.when(F.col("success"), 1)).alias("successes"))
+    return out.select("domain", F.col("state.*")).join(totals, "domain")
 
 
 def domain_stats(state: DataFrame, domain: str | None = None) -> DataFrame:

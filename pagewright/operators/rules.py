@@ -215,3 +215,68 @@ def site_category(site, url) -> Column:
         branch = first_match(url, rules.category)
         expr = F.when(site == name, branch) if expr is None else expr.when(site == name, branch)
     return F.lit(None).cast("string") if expr is None else expr
+
+
+# ------------------------------------------------------------ staged form
+# The Column functions above nest every step inside one expression.  For large
+# texts the staged form below is faster: each step is its own projection over
+# a column, guarded by a substring test for the pattern's literal start (rows
+# without it skip the regex and its string decoding).  Each projection refers
+# to the previous column by name, so the plan grows linearly with the steps.
+
+def _stage(df, col: str, pattern: str, cond: Column | None = None):
+    from ..functions.text import java, literal_prefix
+    c = F.col(col)
+    lit = literal_prefix(pattern)
+    guard = F.contains(c, F.lit(lit)) if lit else F.lit(True)
+    if cond is not None:
+        guard = cond & guard
+    return df.withColumn(col, F.when(guard, F.regexp_replace(c, java(pattern), "")).otherwise(c))
+
+
+def stage_common(df, content: str, out: str):
+    df = df.withColumn(out, F.col(content))
+    for p in COMMON_CUTS:
+        df = _stage(df, out, p)
+    return df
+
+
+def stage_base(df, site: str, content: str, out: str):
+    """``out`` = clean_content(site, content), one projection per step."""
+    df = stage_common(df, content, out)
+    for name, pats in BASE_SITE_CUTS.items():
+        for p in pats:
+            df = _stage(df, out, p, F.col(site) == name)
+    return df
+
+
+def stage_site_level(df, site: str, base: str, out: str):
+    """``out`` = site_level(site, base), one projection per step."""
+    df = df.withColumn(out, F.col(base))
+    s = F.col(site)
+    for rules, names in _grouped(_content_key):
+        cond = s.isin(*names)
+        for p in rules.steps:
+            df = _stage(df, out, p, cond)
+        if rules.content_fn is not None:
+            df = df.withColumn(out, F.when(cond, rules.content_fn(F.col(out))).otherwise(F.col(out)))
+        if rules.collapse:
+            df = df.withColumn(out, F.when(cond, collapse_and_strip(out)).otherwise(F.col(out)))
+    return df
+
+
+def stage_clean(df, site: str, content: str, base_out: str = "_base", full_out: str = "_full",
+                publish_out: str | None = "publish_time"):
+    """Base and site cleaning (and the publish time) as staged projections."""
+    df = stage_base(df, site, content, base_out)
+    df = stage_site_level(df, site, base_out, full_out)
+    if publish_out:
+        df = df.withColumn("_base_pt", publish_time_extract(F.col(base_out)))
+        s, full, base_pt = F.col(site), F.col(full_out), F.col("_base_pt")
+        expr = None
+        for rules, names in _grouped(lambda r: r.publish):
+            branch = F.coalesce(_override(full, rules.publish), base_pt)
+            cond = s.isin(*names)
+            expr = F.when(cond, branch) if expr is None else expr.when(cond, branch)
+        df = df.withColumn(publish_out, base_pt if expr is None else expr.otherwise(base_pt)).drop("_base_pt")
+    return df

@@ -146,9 +146,9 @@ def ordered_fold(events: DataFrame, keys: Sequence[str], order: Sequence[str], p
     state = cut_lineage(state)
     wb = Window.partitionBy(*keys).orderBy("_b")
     for _ in range(max_rounds):
+        # one row per (key, bucket): the window here orders bucket summaries only
         expect = state.withColumn("_want", F.coalesce(F.lag("_out").over(wb), zero))
         changed = expect.filter(~F.col("_want").eqNullSafe(F.col("_in"))).select(*keys, "_b", "_want")
-        changed = cut_lineage(changed)
         if changed.isEmpty():
             break
         redo = (changed.join(buckets, [*keys, "_b"])

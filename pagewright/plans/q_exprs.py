@@ -21,20 +21,23 @@ def publish_time_extract(spark, sf):
 
 @query("clean_common", f"SELECT doc_id, {O.d_clean_common('content')} AS content FROM fx_article")
 def clean_common(spark, sf):
-    return fx.fx_article(spark, sf).select("doc_id", R.clean_common("content").alias("content"))
+    return R.stage_common(fx.fx_article(spark, sf), "content", "cleaned").select(
+        "doc_id", F.col("cleaned").alias("content"))
 
 
 @query("clean_site_base", f"""
 SELECT doc_id, {O.d_clean_content('rule_site', 'content')} AS content FROM fx_article""")
 def clean_site_base(spark, sf):
-    return fx.fx_article(spark, sf).select("doc_id", R.clean_content("rule_site", "content").alias("content"))
+    return R.stage_base(fx.fx_article(spark, sf), "rule_site", "content", "cleaned").select(
+        "doc_id", F.col("cleaned").alias("content"))
 
 
 @query("clean_site_rules", f"""
 WITH b AS (SELECT doc_id, rule_site, {O.d_clean_content('rule_site', 'content')} AS base FROM fx_article)
 SELECT doc_id, {O.d_site_level('rule_site', 'base')} AS content FROM b""")
 def clean_site_rules(spark, sf):
-    return fx.fx_article(spark, sf).select("doc_id", R.site_content("rule_site", "content").alias("content"))
+    d = R.stage_clean(fx.fx_article(spark, sf), "rule_site", "content", publish_out=None)
+    return d.select("doc_id", F.col("_full").alias("content"))
 
 
 @query("collapse_blank_lines", f"""
