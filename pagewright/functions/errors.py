@@ -87,7 +87,7 @@ def policy_table(spark: SparkSession, overrides: DataFrame | None = None) -> Dat
         "error_category",
         *[F.col(c).cast(t).alias("o_" + c) if c in overrides.columns else F.lit(None).cast(t).alias("o_" + c)
           for c, t in (("max_retries", "int"), ("min_delay", "double"), ("max_delay", "double"))])
-    j = base.join(F.broadcast(o), "error_category", "full")
+    j = base.join(o, "error_category", "full")
     return j.select(
         "error_category",
         F.coalesce("o_max_retries", "max_retries", F.lit(FALLBACK_MAX_RETRIES)).alias("max_retries"),
@@ -99,7 +99,8 @@ def policy_table(spark: SparkSession, overrides: DataFrame | None = None) -> Dat
 def with_policy(df: DataFrame, policy: DataFrame, category_col: str = "error_category") -> DataFrame:
     """Broadcast left join to the (bounded, seven-row) policy table."""
     p = policy.withColumnRenamed("error_category", "_pcat")
-    j = df.join(F.broadcast(p), df[category_col] == p["_pcat"], "left").drop("_pcat")
+    from ..operators.joins import broadcast_bounded
+    j = df.join(broadcast_bounded(p), df[category_col] == p["_pcat"], "left").drop("_pcat")
     return (j.withColumn("max_retries", F.coalesce("max_retries", F.lit(FALLBACK_MAX_RETRIES)))
             .withColumn("min_delay", F.coalesce("min_delay", F.lit(FALLBACK_MIN_DELAY)))
             .withColumn("max_delay", F.coalesce("max_delay", F.lit(FALLBACK_MAX_DELAY))))

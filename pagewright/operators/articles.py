@@ -10,6 +10,7 @@ from ..functions.text import (MAX_CONTENT_CHARS, publish_time_extract, publish_t
                               truncate_content)
 from ..sources.schemas import REQUIRED_ARTICLE_COLUMNS
 from . import rules
+from .joins import broadcast_bounded
 
 TEXT_COLUMNS = ("title", "content", "description", "keywords", "url")
 HTML_FALLBACK_CHARS = 10000
@@ -52,7 +53,7 @@ def enrich_site(df: DataFrame, sites: DataFrame, on: str = "site",
     """Join the (bounded, one row per site) site table by name, broadcast."""
     s = sites.select(on, *[F.col(c).alias(c) for c in cols])
     keep = [c for c in df.columns if c not in cols]
-    return df.select(*keep).join(F.broadcast(s), on, "left")
+    return df.select(*keep).join(broadcast_bounded(s), on, "left")
 
 
 def site_by_id(sites: DataFrame) -> DataFrame:

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .joins import broadcast_bounded
+
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 # elements whose start closes an open <p> (HTML's implied end tag)
 CLOSES_P = {"p", "div", "article", "section", "ul", "ol", "table", "h1", "h2", "h3", "h4", "h5", "h6",
@@ -204,7 +206,7 @@ def extract_by_selector(pages: DataFrame, specs: DataFrame, field_names, key: st
                         html_col: str = "html", id_col: str = "page_id") -> DataFrame:
     """pages (id, key, html) x specs (key, spec JSON) -> (id, key, field...)."""
     names = list(field_names)
-    j = pages.select(id_col, key, html_col).join(F.broadcast(specs.select(key, "spec")), key)
+    j = pages.select(id_col, key, html_col).join(broadcast_bounded(specs.select(key, "spec")), key)
     out_schema = f"{id_col} long, {key} string, " + ", ".join(f"`{n}` string" for n in names)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import errors as E
 from ..functions.text import reason_preview
-from .scan import HOUR, ordered_fold, range_chunks
+from .joins import contains_like_join
+from .scan import ordered_fold, range_chunks
 
 URL_KEY_CHARS = 255
 FAILED_RETRY_LIMIT = 3
@@ -92,13 +93,12 @@ def failed_for_site(failed: DataFrame, sites: DataFrame, limit: int = 10,
     """Per site: retryable failed URLs whose text contains the site name, newest first.
 
     Case-insensitive LIKE '%site%' (``_`` is a wildcard, as in the source
-    database).  The site table is one row per configured site, so it is
-    broadcast; the per-site top ``limit`` is a row_number limit that Spark
-    applies partially before the shuffle.
+    database), joined without forming all pairs (``contains_like_join``);
+    the per-site top ``limit`` is a row_number limit that Spark applies
+    partially before the shuffle.
     """
     s = sites.select("site").distinct()
-    j = failed_retryable(failed, retry_limit).join(
-        F.broadcast(s), F.like(F.lower(F.col("url")), F.concat(F.lit("%"), F.lower(F.col("site")), F.lit("%"))))
+    j = contains_like_join(failed_retryable(failed, retry_limit), "url", s, "site")
     w = Window.partitionBy("site").orderBy(F.desc("failed_time"), "url_key")
     return j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 
@@ -234,7 +234,7 @@ def failure_stats_by_category(tasks: DataFrame, policy: DataFrame) -> DataFrame:
         F.count(F.when(F.col("state") == "pending", 1)).alias("pending"),
         F.count(F.when(F.col("state") == "permanent", 1)).alias("permanent"))
     cats = policy.select("error_category")
-    return (F.broadcast(cats).join(counts, "error_category", "left")
+    return (cats.join(counts, "error_category", "left")
             .select("error_category", F.coalesce("pending", F.lit(0)).alias("pending"),
                     F.coalesce("permanent", F.lit(0)).alias("permanent")))
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.html import hrefs, same_host
 from ..functions.urls import resolve_link, url_strip_query, url_valid
-from ..session import cut_lineage, scratch_path
+from ..session import scratch_path
+from .joins import broadcast_bounded
 
 
 def page_links(pages: DataFrame, internal_only: bool = True) -> DataFrame:
@@ -27,7 +28,7 @@ def valid_links(links: DataFrame, sites: DataFrame, link_col: str = "url",
                 site_col: str = "site") -> DataFrame:
     """Links that pass their site's URL pattern (sites table broadcast)."""
     s = sites.select(F.col("site").alias(site_col), "url_pattern", "is_regex")
-    j = links.join(F.broadcast(s), site_col, "left")
+    j = links.join(broadcast_bounded(s), site_col, "left")
     return (j.filter(url_valid(link_col, "url_pattern", F.coalesce("is_regex", F.lit(False))))
             .drop("url_pattern", "is_regex"))
 

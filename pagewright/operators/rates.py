@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import url_domain
 from ..sources.site_config import DEFAULT_DOMAIN_DELAY
+from .joins import broadcast_bounded
 from .scan import HOUR, bucketed_lag, bucketed_prefix, epoch_micros, ordered_fold, range_chunks, \
     time_bucket, trailing_count
 
@@ -21,19 +22,20 @@ HEALTH_ALARM_THRESHOLD = 3
 
 
 def site_domain_delays(sites: DataFrame) -> DataFrame:
-    """Configured delay per domain: domain of the site's first start URL,
-    only for sites that set a delay (bounded: one row per site)."""
+    """Configured delay per domain: the domain of the site's first start URL,
+    only for sites that set a delay; on a repeated domain the later site wins."""
     first = F.coalesce(F.element_at("start_urls", 1), F.col("start_url")) \
         if "start_urls" in sites.columns else F.col("start_url")
+    order = F.col("ord") if "ord" in sites.columns else F.col("site_id")
     return (sites.filter(F.col("domain_delay").isNotNull())
-            .select(url_domain(first).alias("domain"), "domain_delay")
-            .groupBy("domain").agg(F.last("domain_delay").alias("domain_delay")))
+            .select(url_domain(first).alias("domain"), "domain_delay", order.alias("_ord"))
+            .groupBy("domain").agg(F.max_by("domain_delay", "_ord").alias("domain_delay")))
 
 
 def domain_delay_lookup(df: DataFrame, delays: DataFrame, default: float = DEFAULT_DOMAIN_DELAY,
                         domain_col: str = "domain") -> DataFrame:
     d = delays.withColumnRenamed("domain", domain_col)
-    return (df.join(F.broadcast(d), domain_col, "left")
+    return (df.join(broadcast_bounded(d), domain_col, "left")
             .withColumn("domain_delay", F.coalesce("domain_delay", F.lit(default))))
 
 

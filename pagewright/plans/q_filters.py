@@ -7,6 +7,7 @@ from ..functions import urls as U
 from ..operators import articles as AR
 from ..operators import failures as FL
 from ..operators import stats as ST
+from ..operators.joins import broadcast_bounded
 from ..sources import fixtures as fx
 from ..sources.readers import log_lines, parse_messages, render_fetch_log
 from . import common as C
@@ -22,7 +23,7 @@ VALID_SQL = """CASE WHEN coalesce(s.url_pattern, '') = '' THEN true
 SELECT a.doc_id, a.url, {VALID_SQL} AS is_valid FROM fx_article a LEFT JOIN fx_site s USING (site)""")
 def url_valid(spark, sf):
     s = fx.fx_site(spark, sf).select("site", "url_pattern", "is_regex")
-    a = fx.fx_article(spark, sf).join(F.broadcast(s), "site", "left")
+    a = fx.fx_article(spark, sf).join(broadcast_bounded(s), "site", "left")
     return a.select("doc_id", "url", U.url_valid("url", "url_pattern", "is_regex").alias("is_valid"))
 
 
@@ -41,7 +42,7 @@ def url_canonical_host(spark, sf):
         "site", F.concat("site", F.lit(".example.com")).alias("contains"),
         F.concat(F.lit("star."), "site", F.lit(".example.com")).alias("excluded"),
         F.col("domain").alias("host_from"), F.concat("site", F.lit(".example.com")).alias("host_to"))
-    a = fx.fx_article(spark, sf).join(F.broadcast(rules), "site", "left")
+    a = fx.fx_article(spark, sf).join(broadcast_bounded(rules), "site", "left")
     return a.select("doc_id", U.url_canonical_host("url", "contains", "excluded", "host_from", "host_to")
                     .alias("canonical_url"))
 
@@ -123,7 +124,7 @@ SELECT a.doc_id, md5(CASE WHEN s.extract_only_metadata THEN '' ELSE a.content EN
 FROM fx_article a LEFT JOIN fx_site s USING (site)""")
 def metadata_only(spark, sf):
     s = fx.fx_site(spark, sf).select("site", "extract_only_metadata")
-    a = AR.metadata_only(fx.fx_article(spark, sf).join(F.broadcast(s), "site", "left"))
+    a = AR.metadata_only(fx.fx_article(spark, sf).join(broadcast_bounded(s), "site", "left"))
     return a.select("doc_id", F.md5("content").alias("content_md5"))
 
 

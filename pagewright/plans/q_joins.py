@@ -7,6 +7,7 @@ from ..operators import articles as AR
 from ..operators import failures as FL
 from ..operators import links as LK
 from ..operators import rates as RT
+from ..operators.joins import broadcast_bounded
 from ..sources import fixtures as fx
 from ..sources.fixtures import UPSERT_CUTOFF
 from ..sources.tables import read_table
@@ -50,7 +51,7 @@ SELECT a.doc_id, a.site_id, m.site_name FROM fx_article a
 LEFT JOIN (SELECT site_id, arg_max(site, ord) AS site_name FROM fx_site GROUP BY site_id) m USING (site_id)""")
 def site_by_id(spark, sf):
     m = AR.site_by_id(fx.fx_site(spark, sf))
-    return fx.fx_article(spark, sf).select("doc_id", "site_id").join(F.broadcast(m), "site_id", "left")
+    return fx.fx_article(spark, sf).select("doc_id", "site_id").join(broadcast_bounded(m), "site_id", "left")
 
 
 def _upsert_sql(where):
