@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def articles_total(articles: DataFrame) -> DataFrame:
@@ -54,7 +55,7 @@ def crawl_stats_all(articles: DataFrame, failed: DataFrame, days: int = 30) -> D
             .unionByName(longform(failed_by_status(failed), "failed_by_status", "status_code")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def percent_text(rate: pd.Series) -> pd.Series:
     """Rate as 'xx.xx%' with the same rounding as Python's format (half-even on
     the exact binary value); JVM '%.2f' rounds half-up and differs on ties."""

@@ -47,3 +47,13 @@ def test_query_matches_oracle(spark, duck, key):
     idx = [dcols.index(c) for c in cols]
     exp = _norm(tuple(r[i] for i in idx) for r in cur.fetchall())
     assert got == exp
+
+
+def test_catalogue_imports_without_session():
+    import subprocess
+    import sys
+    code = ("import sys; sys.path.insert(0, '.'); import __spark_entry__ as e; "
+            "q = e.queries(); o = e.oracle_sql(); assert set(q) == set(o); print(len(q))")
+    root = __import__("os").path.dirname(__import__("os").path.dirname(__file__))
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr[-2000:]
