@@ -6,15 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash
-from .scan import bucketed_lag
-
-SEQ_BUCKET = 1024
+from .scan import bucketed_lag, range_chunks
 
 
 def content_changed(obs: DataFrame, key: str, seq: str, text: str) -> DataFrame:
     """md5 of each observation and whether it differs from the previous one of
     the key; the first observation counts as changed."""
-    d = obs.select(key, seq, content_hash(text).alias("content_hash"))
-    d = bucketed_lag(d, [key], [seq], F.floor(F.col(seq) / SEQ_BUCKET), ["content_hash"])
+    d = range_chunks(obs.select(key, seq, content_hash(text).alias("content_hash")), [key], [seq])
+    d = bucketed_lag(d, [key], [seq], F.col("_chunk"), ["content_hash"])
     changed = ~F.col("has_prev") | (F.col("content_hash") != F.col("prev_content_hash"))
     return d.select(key, seq, "content_hash", changed.alias("changed"))

@@ -202,11 +202,18 @@ def extract_fields(html: str, spec: dict) -> dict:
     return out
 
 
-def extract_by_selector(pages: DataFrame, specs: DataFrame, field_names, key: str = "site",
+def extract_by_selector(pages: DataFrame, specs: DataFrame | dict, field_names, key: str = "site",
                         html_col: str = "html", id_col: str = "page_id") -> DataFrame:
-    """pages (id, key, html) x specs (key, spec JSON) -> (id, key, field...)."""
+    """pages (id, key, html) x specs (key, spec JSON) -> (id, key, field...).
+
+    ``specs`` is a table of per-site specs (joined on ``key``, size-checked
+    broadcast) or one spec dict used for every page (no join).
+    """
     names = list(field_names)
-    j = pages.select(id_col, key, html_col).join(broadcast_bounded(specs.select(key, "spec")), key)
+    if isinstance(specs, dict):
+        j = pages.select(id_col, key, html_col).withColumn("spec", F.lit(json.dumps(specs)))
+    else:
+        j = pages.select(id_col, key, html_col).join(broadcast_bounded(specs.select(key, "spec")), key)
     out_schema = f"{id_col} long, {key} string, " + ", ".join(f"`{n}` string" for n in names)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

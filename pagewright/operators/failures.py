@@ -200,7 +200,7 @@ def failure_lifecycle(fetches: DataFrame, policy: DataFrame, n_chunks: int | Non
     past the category's limit the task becomes permanent (a later failure
     opens a fresh pending task); a success removes the pending task.
     """
-    ev = range_chunks(failure_events(fetches, policy), ["url"], ["ts", "event_id"], n_chunks)
+    ev = range_chunks(failure_events(fetches, policy), ["url"], ["ts", "event_id"], n_chunks, materialize=False)
     folded = ordered_fold(ev, ["url"], ["ts", "event_id"],
                           ["site", "success", "status_code", "error_category", "error_message",
                            "max_retries", "min_delay", "max_delay"],

@@ -45,5 +45,9 @@ def contains_like_join(left: DataFrame, text_col: str, right: DataFrame, name_co
     cond = F.like(F.lower(F.col(text_col)), F.concat(F.lit("%"), lname, F.lit("%")))
     l_grams = left.withColumn("_gram", F.explode(_grams(F.lower(F.col(text_col)))))
     via_gram = l_grams.join(keyed, "_gram").filter(cond).drop("_gram")
-    via_small = left.join(broadcast_bounded(loose), cond)
-    return via_gram.unionByName(via_small)
+    n_loose = loose.limit(DEFAULT_MAX_BROADCAST_ROWS + 1).count()
+    if n_loose == 0:
+        return via_gram
+    if n_loose > DEFAULT_MAX_BROADCAST_ROWS:
+        raise ValueError("too many site names without a 3-gram free of LIKE wildcards")
+    return via_gram.unionByName(left.join(F.broadcast(loose), cond))

@@ -39,11 +39,11 @@ def domain_delay_lookup(df: DataFrame, delays: DataFrame, default: float = DEFAU
             .withColumn("domain_delay", F.coalesce("domain_delay", F.lit(default))))
 
 
-def request_gap_wait(fetches: DataFrame, delays: DataFrame, bucket_seconds: int = HOUR) -> DataFrame:
+def request_gap_wait(fetches: DataFrame, delays: DataFrame, n_chunks: int | None = None) -> DataFrame:
     """Wait needed before each request = max(0, delay - seconds since the
     previous request to the same domain); 0 for a domain's first request."""
-    d = domain_delay_lookup(fetches, delays)
-    d = bucketed_lag(d, ["domain"], ["ts", "event_id"], time_bucket("ts", bucket_seconds), ["ts"])
+    d = range_chunks(domain_delay_lookup(fetches, delays), ["domain"], ["ts", "event_id"], n_chunks)
+    d = bucketed_lag(d, ["domain"], ["ts", "event_id"], F.col("_chunk"), ["ts"]).drop("_chunk")
     gap = (epoch_micros("ts") - epoch_micros("prev_ts")) / 1000000.0
     wait = F.when(F.col("has_prev"), F.greatest(F.lit(0.0), F.col("domain_delay") - gap)).otherwise(F.lit(0.0))
     return d.withColumn("wait_seconds", wait)
@@ -51,7 +51,7 @@ def request_gap_wait(fetches: DataFrame, delays: DataFrame, bucket_seconds: int
 
 def trailing_request_rate(fetches: DataFrame, limit: int = GLOBAL_RATE_LIMIT,
                           window_seconds: int = GLOBAL_WINDOW_SECONDS, by=("domain",),
-                          bucket_seconds: int = HOUR) -> DataFrame:
+                          bucket_seconds: int = 600) -> DataFrame:
     """Requests in the trailing window (t - 60 s, t], the over-limit flag and
     the wait until the oldest request leaves the window."""
     d = trailing_count(fetches, list(by), "ts", window_seconds * 1000000, bucket_seconds)
@@ -61,7 +61,7 @@ def trailing_request_rate(fetches: DataFrame, limit: int = GLOBAL_RATE_LIMIT,
 
 
 def consecutive_failures(fetches: DataFrame, key: str = "domain", threshold: int = MAX_FAILURES_BEFORE_THROTTLE,
-                         bucket_seconds: int = HOUR) -> DataFrame:
+                         bucket_seconds: int | None = None) -> DataFrame:
     """Length of the failure run ending at each row (0 on a success) and an
     alarm flag once it reaches ``threshold``.
 
@@ -69,7 +69,11 @@ def consecutive_failures(fetches: DataFrame, key: str = "domain", threshold: int
     running aggregates, computed bucket-wise.
     """
     order = ["ts", "event_id"]
-    b = time_bucket("ts", bucket_seconds)
+    if bucket_seconds is None:  # row-bounded chunks (default)
+        fetches = range_chunks(fetches, [key], order)
+        b = F.col("_chunk")
+    else:
+        b = time_bucket("ts", bucket_seconds)
     d = bucketed_prefix(fetches, [key], order, b, "_fails",
                         F.when(F.col("success"), 0).otherwise(1), "sum")
     d = bucketed_prefix(d, [key], order, b, "_fails_at_ok",
@@ -77,7 +81,7 @@ def consecutive_failures(fetches: DataFrame, key: str = "domain", threshold: int
     streak = F.col("_fails") - F.coalesce(F.col("_fails_at_ok"), F.lit(0))
     return (d.withColumn("failure_streak", streak.cast("long"))
             .withColumn("alarm", F.col("failure_streak") >= threshold)
-            .drop("_fails", "_fails_at_ok"))
+            .drop("_fails", "_fails_at_ok", "_chunk"))
 
 
 # ------------------------------------------------------------------ folds
@@ -101,7 +105,7 @@ def _delay_step(acc, x):
 def _fold_input(fetches: DataFrame, delays: DataFrame, n_chunks) -> DataFrame:
     d = domain_delay_lookup(fetches, delays)
     d = d.withColumn("double", F.coalesce(F.col("status_code").isin(*DOUBLE_FAILURE_STATUSES), F.lit(False)))
-    return range_chunks(d, ["domain"], ["ts", "event_id"], n_chunks)
+    return range_chunks(d, ["domain"], ["ts", "event_id"], n_chunks, materialize=False)
 
 
 def domain_delay_fold(fetches: DataFrame, delays: DataFrame, n_chunks: int | None = None) -> DataFrame:

@@ -92,7 +92,7 @@ def bucketed_prefix(df: DataFrame, keys: Sequence[str], order: Sequence[str], bu
 
 
 def trailing_count(df: DataFrame, keys: Sequence[str], ts: str, width_micros: int,
-                   bucket_seconds: int = HOUR, tiebreak: Sequence[str] = ()) -> DataFrame:
+                   bucket_seconds: int = 600, tiebreak: Sequence[str] = ()) -> DataFrame:
     """Rows of the same key with ``ts`` in (t - width, t], and the oldest such ``ts``.
 
     Adds ``n_trailing`` (current row and peers with the same ts included) and
@@ -161,15 +161,32 @@ def ordered_fold(events: DataFrame, keys: Sequence[str], order: Sequence[str], p
     return state.groupBy(*keys).agg(F.max_by("_out", "_b").alias("state"))
 
 
-def range_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], n_chunks: int | None = None,
-                 name: str = "_chunk") -> DataFrame:
-    """Balanced, order-contiguous chunks: range-partition on (keys, order).
+CHUNK_ROWS = 1 << 17
+
 
-    A hot key is spread over many chunks, each holding a contiguous stretch of
-    its events, whatever the event rate; ``name`` gets the chunk number, which
-    increases with (keys, order) and so can serve as the bucket of the helpers
-    above.
+def range_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], n_chunks: int | None = None,
+                 name: str = "_chunk", chunk_rows: int = CHUNK_ROWS, materialize: bool = True) -> DataFrame:
+    """Bounded, order-contiguous chunks of the rows of every key.
+
+    Rows are range-partitioned on (keys, order) -- so a hot key is spread over
+    many partitions -- sorted inside each partition, and cut every
+    ``chunk_rows`` rows.  ``monotonically_increasing_id`` is partition-local
+    (partition id in the high bits, row index below), so ``id // chunk_rows``
+    numbers the chunks in (keys, order) order and no chunk crosses a partition.
+    A chunk therefore never holds more than ``chunk_rows`` rows, whatever the
+    data size or key skew.  ``n_chunks`` is the number of range partitions
+    (default: the shuffle partition count).
+
+    Range bounds come from sampling, so two evaluations of the same plan may
+    cut differently; with ``materialize`` (the default) the chunked rows are
+    checkpointed to the shared folder once, and every later branch (a window
+    and its carry, say) sees the same chunks.  A caller that consumes the
+    result exactly once and checkpoints after it may pass False.
     """
+    if chunk_rows & (chunk_rows - 1):
+        raise ValueError("chunk_rows must be a power of two")
     n = n_chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (df.repartitionByRange(n, *[F.col(c) for c in list(keys) + list(order)])
-            .withColumn(name, F.spark_partition_id().cast("long")))
+    cols = [F.col(c) for c in list(keys) + list(order)]
+    out = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+           .withColumn(name, F.floor(F.monotonically_increasing_id() / F.lit(chunk_rows)).cast("long")))
+    return cut_lineage(out) if materialize else out

@@ -48,8 +48,7 @@ SELECT page_id, 'pages' AS site,
 FROM pages""")
 def extract_by_selector(spark, sf):
     pages = read_table(spark, sf, "pages").withColumn("site", F.lit("pages"))
-    specs = spark.createDataFrame([("pages", json.dumps(SELECTOR_SPEC))], "site string, spec string")
-    return _extract(pages, specs, ["headline", "content"])
+    return _extract(pages, SELECTOR_SPEC, ["headline", "content"])
 
 
 def for_each_permanent(tasks, callback):
