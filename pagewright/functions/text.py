@@ -9,6 +9,8 @@ syntax and given the ``(?Uds)`` prefix when turned into a Spark pattern.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,7 +22,20 @@ def _c(c) -> Column:
 
 
 def java(pattern: str) -> str:
-    return JAVA_FLAGS + pattern
+    """Python-syntax pattern -> Java pattern with the same meaning.
+
+    Only the flags that can change the result are set (each costs time on
+    long texts): U when the pattern uses a shorthand class, s when it has '.',
+    d when it has an anchor.
+    """
+    flags = ""
+    if re.search(r"\\[sSdDwWbB]", pattern):
+        flags += "U"
+    if "." in pattern.replace("\\.", ""):
+        flags += "s"
+    if "$" in pattern or "^" in pattern.replace("[^", ""):
+        flags += "d"
+    return (f"(?{flags})" if flags else "") + pattern
 
 
 def strip(s) -> Column:
