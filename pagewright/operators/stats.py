@@ -37,22 +37,32 @@ def failed_by_status(failed: DataFrame, top: int = 10) -> DataFrame:
 
 
 def crawl_stats_all(articles: DataFrame, failed: DataFrame, days: int = 30) -> DataFrame:
-    """All statistics as long rows (stat, key, value)."""
-    def longform(df, stat, key):
-        return df.select(F.lit(stat).alias("stat"), F.col(key).cast("string").alias("key"),
-                         F.col("n").cast("long").alias("value"))
-    total = articles.agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit("total_articles").alias("stat"), F.lit(None).cast("string").alias("key"),
-        F.col("n").cast("long").alias("value"))
-    ftotal = failed.agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit("total_failed").alias("stat"), F.lit(None).cast("string").alias("key"),
-        F.col("n").cast("long").alias("value"))
-    return (total
-            .unionByName(longform(count_by(articles, "site"), "by_site", "site"))
-            .unionByName(longform(count_by(articles, "website_category"), "by_category", "website_category"))
-            .unionByName(longform(articles_by_date(articles, days, 1 << 30), "by_date", "day"))
-            .unionByName(ftotal)
-            .unionByName(longform(failed_by_status(failed), "failed_by_status", "status_code")))
+    """All statistics as long rows (stat, key, value).
+
+    The article statistics (total, per site, per category, per day of the last
+    ``days`` days) come from one scan and one aggregation with grouping sets;
+    the failed-URL statistics from a second one.
+    """
+    as_of = articles.select(F.max("scraped_time")).scalar()
+    day = F.when(F.col("scraped_time") >= as_of - F.make_dt_interval(F.lit(days)),
+                 F.to_date("scraped_time").cast("string"))
+    a = articles.select("site", "website_category", day.alias("day"))
+    g = a.groupingSets([[], ["site"], ["website_category"], ["day"]], "site", "website_category", "day") \
+        .agg(F.count(F.lit(1)).alias("value"), F.grouping_id().alias("gid"))
+    # grouping_id bits: site=4, website_category=2, day=1 (1 = not grouped)
+    art = g.select(
+        F.when(F.col("gid") == 7, F.lit("total_articles")).when(F.col("gid") == 3, F.lit("by_site"))
+        .when(F.col("gid") == 5, F.lit("by_category")).otherwise(F.lit("by_date")).alias("stat"),
+        F.coalesce("site", "website_category", "day").alias("key"), F.col("value").cast("long"))
+    art = art.filter((F.col("stat") != "by_date") | F.col("key").isNotNull())
+    f = failed.groupingSets([[], ["status_code"]], "status_code").agg(
+        F.count(F.lit(1)).alias("value"), F.grouping_id().alias("gid"))
+    ftotal = f.filter("gid = 1").select(F.lit("total_failed").alias("stat"),
+                                        F.lit(None).cast("string").alias("key"), F.col("value").cast("long"))
+    fstat = (f.filter("gid = 0").orderBy(F.desc("value"), "status_code").limit(10)
+             .select(F.lit("failed_by_status").alias("stat"), F.col("status_code").alias("key"),
+                     F.col("value").cast("long")))
+    return art.unionByName(ftotal).unionByName(fstat)
 
 
 @F.pandas_udf(T.StringType())
