@@ -70,9 +70,19 @@ def first_match(s, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(_c(s), java(pattern), 1), F.lit(""))
 
 
+# any of the three date shapes (a pre-check: texts without one skip the ordered scans)
+ANY_DATE = r"\d{4}[-/.]\d{2}[-/.]\d{2} \d{2}:\d{2}"
+
+
 def publish_time_extract(content) -> Column:
-    """'YYYY-MM-DD HH:MM:SS' from the first pattern that matches, else NULL."""
-    hit = F.coalesce(*[first_match(content, p) for p in PUBLISH_TIME_PATTERNS])
+    """'YYYY-MM-DD HH:MM:SS' from the first pattern that matches, else NULL.
+
+    Patterns are tried in order (not by position).  One combined scan first
+    checks that some date shape occurs at all, so most texts without a date
+    cost one pass instead of three.
+    """
+    ordered = F.coalesce(*[first_match(content, p) for p in PUBLISH_TIME_PATTERNS])
+    hit = F.when(F.regexp_like(_c(content), F.lit(java(ANY_DATE))), ordered)
     norm = F.translate(hit, "/.", "--")
     return F.when(F.length(norm) == 16, F.concat(norm, F.lit(":00"))).otherwise(norm)
 

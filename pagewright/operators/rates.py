@@ -41,7 +41,11 @@ def domain_delay_lookup(df: DataFrame, delays: DataFrame, default: float = DEFAU
 
 def request_gap_wait(fetches: DataFrame, delays: DataFrame, n_chunks: int | None = None) -> DataFrame:
     """Wait needed before each request = max(0, delay - seconds since the
-    previous request to the same domain); 0 for a domain's first request."""
+    previous request to the same domain); 0 for a domain's first request.
+
+    The input is materialised once in row-bounded chunks; pass only the
+    columns you need (a checkpoint does not prune columns afterwards).
+    """
     d = range_chunks(domain_delay_lookup(fetches, delays), ["domain"], ["ts", "event_id"], n_chunks)
     d = bucketed_lag(d, ["domain"], ["ts", "event_id"], F.col("_chunk"), ["ts"]).drop("_chunk")
     gap = (epoch_micros("ts") - epoch_micros("prev_ts")) / 1000000.0

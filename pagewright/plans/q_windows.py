@@ -42,7 +42,9 @@ SELECT event_id, domain, CASE WHEN prev IS NULL THEN 0.0
 FROM (SELECT *, lag(ts) OVER (PARTITION BY domain ORDER BY ts, event_id) AS prev FROM fx_fetch) f
 LEFT JOIN {DELAYS_SQL} d USING (domain)""")
 def request_gap_wait(spark, sf):
-    r = RT.request_gap_wait(fx.fx_fetch(spark, sf), C.delays(spark, sf))
+    # project first: the ordered operators materialise their (chunked) input
+    f = fx.fx_fetch(spark, sf).select("event_id", "ts", "domain")
+    r = RT.request_gap_wait(f, C.delays(spark, sf))
     return r.select("event_id", "domain", "wait_seconds")
 
 
@@ -63,7 +65,7 @@ SELECT event_id, domain, streak AS failure_streak, streak >= 5 AS alarm FROM (
   FROM (SELECT *, sum(CASE WHEN success THEN 0 ELSE 1 END)
     OVER (PARTITION BY domain ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS fails FROM fx_fetch) a) b""")
 def consecutive_failures(spark, sf):
-    r = RT.consecutive_failures(fx.fx_fetch(spark, sf))
+    r = RT.consecutive_failures(fx.fx_fetch(spark, sf).select("event_id", "ts", "domain", "success"))
     return r.select("event_id", "domain", "failure_streak", "alarm")
 
 
@@ -143,12 +145,14 @@ JOIN (SELECT domain, max(rn) AS rn FROM fx_fetch_steps GROUP BY domain) m ON m.d
 
 @query("domain_delay_fold", "SELECT domain, delay AS current_delay FROM fx_throttle_final")
 def domain_delay_fold(spark, sf):
-    return RT.domain_delay_fold(fx.fx_fetch(spark, sf), C.delays(spark, sf))
+    f = fx.fx_fetch(spark, sf).select("event_id", "ts", "domain", "success", "status_code")
+    return RT.domain_delay_fold(f, C.delays(spark, sf))
 
 
 @query("domain_throttle_fold", "SELECT * FROM fx_throttle_final")
 def domain_throttle_fold(spark, sf):
-    return RT.domain_throttle_fold(fx.fx_fetch(spark, sf), C.delays(spark, sf))
+    f = fx.fx_fetch(spark, sf).select("event_id", "ts", "domain", "success", "status_code")
+    return RT.domain_throttle_fold(f, C.delays(spark, sf))
 
 
 @query("domain_stats", """
