@@ -228,6 +228,12 @@ def ready_tasks(tasks: DataFrame, now, limit: int = 10) -> DataFrame:
             .orderBy("next_retry_at", "url").limit(limit))
 
 
+def for_each_permanent(tasks: DataFrame, callback) -> None:
+    """Hand the permanently failed tasks to a user callback (a DataFrame sink);
+    in a stream, call it from ``foreachBatch``."""
+    callback(tasks.filter(F.col("state") == "permanent"))
+
+
 def failure_stats_by_category(tasks: DataFrame, policy: DataFrame) -> DataFrame:
     """Pending and permanent counts for every category, zero included."""
     counts = tasks.groupBy("error_category").agg(

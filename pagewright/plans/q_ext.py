@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from ..functions import errors as E
+from ..operators import failures as FL
 from ..operators import rules as R
 from ..operators.extract import extract_by_selector as _extract
 from ..session import scratch_path
@@ -51,16 +52,11 @@ def extract_by_selector(spark, sf):
     return _extract(pages, SELECTOR_SPEC, ["headline", "content"])
 
 
-def for_each_permanent(tasks, callback):
-    """Hand the permanently failed tasks to a user callback (a DataFrame sink)."""
-    callback(tasks.filter(F.col("state") == "permanent"))
-
-
 @query("on_permanent_failure", """
 SELECT url, error_category, retry_count FROM fx_tasks WHERE state = 'permanent'""")
 def on_permanent_failure(spark, sf):
     path = scratch_path(spark, "permanent")
-    for_each_permanent(C.tasks(spark, sf), lambda df: df.write.mode("append").parquet(path))
+    FL.for_each_permanent(C.tasks(spark, sf), lambda df: df.write.mode("append").parquet(path))
     return spark.read.parquet(path).select("url", "error_category", "retry_count")
 
 

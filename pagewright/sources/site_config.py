@@ -155,3 +155,23 @@ def sites_grouped(sites: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list("site")).alias("sites"))
     return grouped.select("website_category",
                           F.posexplode("sites").alias("pos", "site"))
+
+
+OVERRIDE_COLUMNS = ("site_id", "website_category", "start_urls", "url_pattern", "is_regex", "domain_delay",
+                    "extract_only_metadata")
+
+
+def override_sites(sites: DataFrame, overrides_json: DataFrame, value_col: str = "value") -> DataFrame:
+    """Apply stored JSON overrides (one object per site, any subset of the
+    settings) on top of the built-in site table; a value given in the JSON wins.
+
+    ``overrides_json`` has one JSON text per row, e.g.
+    ``{"site": "udn", "domain_delay": 2.0}``.  Both sides are one row per site.
+    """
+    fields = [f for f in sites.schema.fields if f.name in OVERRIDE_COLUMNS]
+    schema = ", ".join(["site string"] + [f"{f.name} {f.dataType.simpleString()}" for f in fields])
+    o = overrides_json.select(F.from_json(F.col(value_col), schema).alias("o")).select("o.*")
+    o = o.select("site", *[F.col(f.name).alias("o_" + f.name) for f in fields])
+    j = sites.join(o, "site", "left")
+    return j.select(*[F.coalesce(F.col("o_" + c.name), F.col(c.name)).alias(c.name)
+                      if c.name in OVERRIDE_COLUMNS else F.col(c.name) for c in sites.schema.fields])

@@ -273,3 +273,16 @@ def content_change_stream(observations: DataFrame, key: str, seq: str, text: str
     out = o.groupBy("page_key").applyInPandasWithState(
         _change_fn, CHANGE_OUT, CHANGE_STATE, "append", GroupStateTimeout.NoTimeout)
     run_available_now(out, checkpoint, batch_folder_writer(out_path), output_mode="append")
+
+
+def publish_stream(rows: DataFrame, checkpoint: str, servers: str | None = None, path: str | None = None,
+                   trigger_seconds: int | None = None):
+    """Publish streaming (topic, key, value) rows: to Kafka when ``servers`` is
+    given (acks=all), else as JSON files partitioned by topic."""
+    w = rows.writeStream.option("checkpointLocation", checkpoint)
+    if trigger_seconds:
+        w = w.trigger(processingTime=f"{trigger_seconds} seconds")
+    if servers:
+        return (w.format("kafka").option("kafka.bootstrap.servers", servers).option("kafka.acks", "all")
+                .start())
+    return w.format("json").partitionBy("topic").option("path", path).start()

@@ -44,3 +44,14 @@ def test_csv_roundtrip_keeps_text(spark, tmp_path):
     back = SK.read_csv(spark, str(tmp_path / "csv"), schema).orderBy("doc_id").collect()
     assert [(r.doc_id, r.title, r.content) for r in back] == [(1, 'quote " and, comma', "line1\nline2 "), (2, "  lead", None)] \
         or [(r.doc_id, r.title, r.content) for r in back] == [(1, 'quote " and, comma', "line1\nline2 "), (2, "  lead", "")]
+
+
+def test_site_overrides(spark):
+    from pagewright.sources.site_config import builtin_sites, override_sites
+    s = builtin_sites(spark)
+    ov = spark.createDataFrame([('{"site": "udn", "domain_delay": 2.5, "url_pattern": "news/"}',),
+                                ('{"site": "pixnet", "website_category": "food"}',)], "value string")
+    got = {r["site"]: r for r in override_sites(s, ov).collect()}
+    assert got["udn"]["domain_delay"] == 2.5 and got["udn"]["url_pattern"] == "news/"
+    assert got["udn"]["site_id"] == 1 and got["pixnet"]["website_category"] == "food"
+    assert got["tvbs"]["domain_delay"] == 3.5 and len(got) == 19
