@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import (MAX_CONTENT_CHARS, publish_time_extract, publish_time_nullify,
                               truncate_content)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.urls import url_domain
 from ..sources.site_config import DEFAULT_DOMAIN_DELAY
 from .joins import broadcast_bounded
-from .scan import HOUR, bucketed_lag, bucketed_prefix, epoch_micros, ordered_fold, range_chunks, \
+from .scan import bucketed_lag, bucketed_prefix, epoch_micros, ordered_fold, range_chunks, \
     time_bucket, trailing_count
 
 # Pacing defaults of the rate limiter class.

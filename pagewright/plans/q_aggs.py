@@ -1,8 +1,5 @@
 """Aggregations, top-k and set operations."""
 
-from pyspark.sql import functions as F
-
-from ..functions.text import reason_preview
 from ..operators import failures as FL
 from ..operators import links as LK
 from ..operators import stats as ST
@@ -10,7 +7,6 @@ from ..sources import fixtures as fx
 from ..sources.site_config import sites_grouped as _sites_grouped
 from ..sources.tables import read_table
 from . import common as C
-from .q_exprs import POLICY_SQL
 from .registry import query
 
 

@@ -7,7 +7,6 @@ from ..functions import html as H
 from ..functions import text as X
 from ..functions import urls as U
 from ..operators import rules as R
-from ..operators.failures import failure_events
 from ..sources import fixtures as fx
 from ..sources.tables import read_table
 from . import oracle as O

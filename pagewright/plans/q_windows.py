@@ -7,7 +7,6 @@ from ..functions import errors as E
 from ..operators import failures as FL
 from ..operators import links as LK
 from ..operators import rates as RT
-from ..operators.scan import bucketed_lag
 from ..sources import fixtures as fx
 from . import common as C
 from . import oracle as O

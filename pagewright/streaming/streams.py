@@ -10,7 +10,6 @@ state machines see events in order.
 
 from __future__ import annotations
 
-import datetime as dt
 from typing import Callable, Iterator
 
 import pandas as pd
@@ -24,6 +23,20 @@ from ..operators import rates as RT
 from ..operators.articles import clean_articles
 
 
+def ntz_to_instant(col):
+    """TIMESTAMP_NTZ -> TIMESTAMP read as UTC, whatever the session time zone
+    (watermarks and event-time windows need TIMESTAMP)."""
+    from ..operators.scan import epoch_micros
+    return F.timestamp_micros(epoch_micros(col))
+
+
+def instant_to_ntz(col):
+    """TIMESTAMP -> TIMESTAMP_NTZ wall clock in UTC (inverse of ``ntz_to_instant``)."""
+    micros = F.unix_micros(col if not isinstance(col, str) else F.col(col))
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return epoch + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (micros / 1000000).cast("decimal(18,6)"))
+
+
 def file_stream(spark: SparkSession, folder: str, schema, file_glob: str | None = None,
                 max_files_per_trigger: int | None = None, fmt: str = "parquet") -> DataFrame:
     r = spark.readStream.schema(schema).format(fmt)
@@ -76,7 +89,7 @@ def article_ingest(articles: DataFrame, out_path: str, checkpoint: str, site_col
                    watermark: str = "1 day") -> None:
     """Parse -> clean -> drop repeated URLs within the watermark -> append."""
     a = clean_articles(articles, site_col)
-    a = (a.withColumn("event_time", F.col("scraped_time").cast("timestamp"))
+    a = (a.withColumn("event_time", ntz_to_instant(F.col("scraped_time")))
          .withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(["url"]))
     run_available_now(a.drop("event_time"), checkpoint, batch_folder_writer(out_path))
 
@@ -117,11 +130,11 @@ def windowed_counts(events: DataFrame, ts: str, keys, window: str, slide: str |
                     out_path: str, checkpoint: str) -> None:
     """Counts per (window, keys), emitted in update mode; state older than the
     watermark is dropped.  Event time must be TIMESTAMP (not NTZ)."""
-    e = events.withColumn("_et", F.col(ts).cast("timestamp")).withWatermark("_et", watermark)
+    e = events.withColumn("_et", ntz_to_instant(F.col(ts))).withWatermark("_et", watermark)
     w = F.window("_et", window, slide) if slide else F.window("_et", window)
     agg = e.groupBy(w.alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"))
-    out = agg.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                     F.col("w.end").cast("timestamp_ntz").alias("window_end"), *keys, "n")
+    out = agg.select(instant_to_ntz(F.col("w.start")).alias("window_start"),
+                     instant_to_ntz(F.col("w.end")).alias("window_end"), *keys, "n")
     run_available_now(out, checkpoint, batch_folder_writer(out_path), output_mode="update")
 
 
@@ -238,7 +251,7 @@ def failure_state_stream(fetches: DataFrame, policy: DataFrame, out_path: str, c
                          watermark: str = "1 hour") -> None:
     """Retry lifecycle per URL as keyed state; a pending task's event-time
     timeout is its next retry time, so it is emitted again when due."""
-    ev = FL.failure_events(fetches, policy).withColumn("_et", F.col("ts").cast("timestamp"))
+    ev = FL.failure_events(fetches, policy).withColumn("_et", ntz_to_instant(F.col("ts")))
     ev = ev.withWatermark("_et", watermark).select(
         "url", "site", "ts", "event_id", "success", "status_code", "error_category", "error_message",
         "max_retries", "min_delay", "max_delay", "_et")
