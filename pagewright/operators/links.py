@@ -65,7 +65,8 @@ def links_union(*frames: DataFrame, col: str = "link") -> DataFrame:
 
 
 def links_except(left: DataFrame, right: DataFrame, col: str = "link") -> DataFrame:
-    return left.select(col).exceptAll(right.select(F.col(right.columns[0]).alias(col))).distinct()
+    """SQL ``EXCEPT`` (distinct): links of ``left`` that never occur in ``right``."""
+    return left.select(col).subtract(right.select(F.col(right.columns[0]).alias(col)))
 
 
 def strip_queries(links: DataFrame, col: str = "link", out: str = "stripped") -> DataFrame:

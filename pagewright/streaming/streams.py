@@ -299,3 +299,38 @@ def publish_stream(rows: DataFrame, checkpoint: str, servers: str | None = None,
         return (w.format("kafka").option("kafka.bootstrap.servers", servers).option("kafka.acks", "all")
                 .start())
     return w.format("json").partitionBy("topic").option("path", path).start()
+
+
+# ------------------------------------------------------------ stream sinks
+
+def failed_csv_stream(failures: DataFrame, path: str, checkpoint: str) -> None:
+    """Append failed URLs to CSV (header per file), one folder per micro-batch."""
+    from ..sources.sinks import write_failed_csv
+
+    def batch_fn(batch: DataFrame, batch_id: int) -> None:
+        write_failed_csv(batch, f"{path}/batch={batch_id}")
+
+    run_available_now(failures, checkpoint, batch_fn)
+
+
+def index_stream(articles: DataFrame, path: str, checkpoint: str, index: str = "crawl_data") -> None:
+    """Bulk-index lines (action + source) for every micro-batch of articles."""
+    from ..sources.sinks import index_actions
+
+    def batch_fn(batch: DataFrame, batch_id: int) -> None:
+        out = f"{path}/batch={batch_id}"
+        index_actions(batch, index).select(F.concat_ws("\n", "action", "source").alias("value")) \
+            .write.mode("overwrite").text(out)
+
+    run_available_now(articles, checkpoint, batch_fn)
+
+
+def log_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Crawler log lines as a stream (new files in ``folder``), parsed like ``log_lines``."""
+    from ..sources.readers import LOG_RE, LOG_TS_FORMAT
+    t = spark.readStream.text(folder)
+    ts = F.regexp_extract("value", LOG_RE, 1)
+    return t.select(F.to_timestamp_ntz(ts, F.lit(LOG_TS_FORMAT)).alias("log_time"),
+                    F.regexp_extract("value", LOG_RE, 2).alias("logger"),
+                    F.regexp_extract("value", LOG_RE, 3).alias("level"),
+                    F.regexp_extract("value", LOG_RE, 4).alias("message"), F.col("value").alias("line"))

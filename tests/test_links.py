@@ -46,3 +46,10 @@ def test_first_n_and_anti(spark):
     new = LK.new_links_anti(links, existing)
     got = sorted((r["site"], r["url"]) for r in LK.frontier_first_n(new, 3).collect())
     assert got == [("a", "u1"), ("a", "u3"), ("a", "u4"), ("b", "v1")]
+
+
+def test_links_except_is_distinct_except(spark):
+    left = spark.createDataFrame([("a",), ("a",), ("b",), ("c",)], "link string")
+    right = spark.createDataFrame([("a",), ("d",)], "url string")
+    assert sorted(r[0] for r in LK.links_except(left, right).collect()) == ["b", "c"]
+    assert sorted(r[0] for r in LK.links_union(left, right).collect()) == ["a", "b", "c", "d"]

@@ -35,3 +35,20 @@ def test_restart_from_checkpoint_adds_nothing(spark):
     assert first == second
     batch = FL.failed_upsert(None, FL.failure_record(fx.fx_fetch(spark, SF001)))
     assert len(first) == batch.count()
+
+
+def test_stream_sinks_and_log_stream(spark):
+    from pagewright.sources import readers as RD
+    out, ck = tempfile.mkdtemp(), tempfile.mkdtemp()
+    failures = FL.failure_record(fx.fetch_rows(S.table_stream(spark, SF001, "events")))
+    S.failed_csv_stream(failures, out + "/csv", ck + "/csv")
+    from pagewright.sources import sinks as SK
+    from pyspark.sql import types as T
+    back = SK.read_csv(spark, out + "/csv", T.StructType([T.StructField(c, T.StringType()) for c in
+                                                         ("url", "reason", "status_code", "failed_time")]))
+    assert back.count() == FL.failure_record(fx.fx_fetch(spark, SF001)).count()
+    logs = tempfile.mkdtemp()
+    RD.render_fetch_log(fx.fx_fetch(spark, SF001)).write.mode("overwrite").text(logs + "/part")
+    lines = S.log_stream(spark, logs + "/part")
+    S.run_available_now(lines, ck + "/log", S.batch_folder_writer(out + "/log"))
+    assert spark.read.parquet(out + "/log").count() == fx.fx_fetch(spark, SF001).count()
