@@ -55,3 +55,21 @@ def test_site_overrides(spark):
     assert got["udn"]["domain_delay"] == 2.5 and got["udn"]["url_pattern"] == "news/"
     assert got["udn"]["site_id"] == 1 and got["pixnet"]["website_category"] == "food"
     assert got["tvbs"]["domain_delay"] == 3.5 and len(got) == 19
+
+
+def test_builtin_sites_and_id_lookup(spark):
+    from pagewright.operators.articles import site_by_id
+    from pagewright.operators.rates import domain_delay_lookup, site_domain_delays
+    from pagewright.sources.site_config import builtin_sites, list_sites
+    s = builtin_sites(spark)
+    assert s.count() == 19
+    ids = {r["site_id"]: r["site_name"] for r in site_by_id(s.withColumn("ord", F.monotonically_increasing_id()))
+           .collect()}
+    assert ids[9] == "ftvtv" and ids[1] == "udn" and 4 in ids
+    delays = {r["domain"]: r["domain_delay"] for r in site_domain_delays(s).collect()}
+    assert delays == {"udn.com": 1.0, "news.tvbs.com.tw": 3.5, "www.setn.com": 4.0, "www.mobile01.com": 8.0}
+    d = spark.createDataFrame([("udn.com",), ("www.pixnet.net",)], "domain string")
+    got = {r["domain"]: r["domain_delay"] for r in domain_delay_lookup(d, site_domain_delays(s)).collect()}
+    assert got == {"udn.com": 1.0, "www.pixnet.net": 3.0}
+    listed = {r["site"]: r for r in list_sites(s).collect()}
+    assert listed["pixnet"]["domain_delay"] == 3.0 and listed["metadata"]["site_id"] == 99
