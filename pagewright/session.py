@@ -85,3 +85,24 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (never local)."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Suggested sizes for a cluster run over ``input_bytes`` of input.
+
+    Shuffle partitions are sized so one partition holds about
+    ``target_partition_bytes`` of the largest shuffle (assumed no larger than
+    the input), rounded up to a multiple of the core count; AQE then merges
+    small partitions and splits skewed ones at runtime.  File splits are
+    capped at 256 MB so a scan task fits comfortably in executor memory.
+    """
+    parts = max(total_cores, -(-input_bytes // target_partition_bytes))
+    parts = -(-parts // total_cores) * total_cores
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(256 << 20),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+    }

@@ -91,3 +91,10 @@ def test_error_sample_and_tail(spark):
     sample = [r["line"] for r in HL.error_sample(lines, 5).collect()]
     assert sample == ["x ERROR a", "x Fatal b", "x Crash c", "x Exception d", "x failed e"]
     assert [r["line"] for r in HL.tail(lines, 2).collect()] == ["x error f", "x failed e"]
+
+
+def test_scale_conf():
+    from pagewright.session import scale_conf
+    c = scale_conf(100 * (1 << 40), 8000)
+    assert int(c["spark.sql.shuffle.partitions"]) == 409600
+    assert scale_conf(1 << 20, 8)["spark.sql.shuffle.partitions"] == "8"
