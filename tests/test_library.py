@@ -96,5 +96,5 @@ def test_error_sample_and_tail(spark):
 def test_scale_conf():
     from pagewright.session import scale_conf
     c = scale_conf(100 * (1 << 40), 8000)
-    assert int(c["spark.sql.shuffle.partitions"]) == 409600
+    assert int(c["spark.sql.shuffle.partitions"]) == 416000  # 409,600 rounded up to whole waves
     assert scale_conf(1 << 20, 8)["spark.sql.shuffle.partitions"] == "8"
