@@ -2,20 +2,23 @@
 
 A window ``PARTITION BY key ORDER BY ts`` sends a whole key to one task; if
 one domain holds a third of all rows that task holds a third of the data.
-The helpers here split every key into time buckets:
+The helpers here split every key into buckets -- row-bounded, order-contiguous
+chunks from ``range_chunks`` (the default everywhere) or time buckets:
 
+* ``range_chunks``      – range partitioning on (key, order), sorted, cut every
+  2^17 rows: a chunk never exceeds that, whatever the volume or skew;
 * ``bucketed_lag``      – previous row within a key (local lag, and for the
   first row of a bucket the last row of the nearest earlier bucket);
 * ``bucketed_prefix``   – running sum / max within a key (local running value
   plus the exclusive prefix over the per-bucket totals);
 * ``trailing_count``    – count / min over a trailing time range, with the
-  rows near a bucket edge copied into the next bucket as context;
+  rows near a time-bucket edge copied into the next bucket as context;
 * ``ordered_fold``      – a sequential state machine (``aggregate`` over the
   sorted events of one bucket) whose start state per bucket is found by a
   fixpoint loop over the bucket summaries.
 
-Only per-bucket summaries (one row per key and bucket) are ever ordered per
-key, and their number is bounded by time span / bucket width, not by volume.
+Only per-bucket summaries (one small row per key and bucket) are ever ordered
+per key in a single task.
 """
 
 from __future__ import annotations
@@ -27,7 +30,6 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-DAY = 86400
 HOUR = 3600
 
 
@@ -92,7 +94,7 @@ def bucketed_prefix(df: DataFrame, keys: Sequence[str], order: Sequence[str], bu
 
 
 def trailing_count(df: DataFrame, keys: Sequence[str], ts: str, width_micros: int,
-                   bucket_seconds: int = 600, tiebreak: Sequence[str] = ()) -> DataFrame:
+                   bucket_seconds: int = 600) -> DataFrame:
     """Rows of the same key with ``ts`` in (t - width, t], and the oldest such ``ts``.
 
     Adds ``n_trailing`` (current row and peers with the same ts included) and
