@@ -44,7 +44,9 @@ def contains_like_join(left: DataFrame, text_col: str, right: DataFrame, name_co
     keyed, loose = r.filter(F.col("_gram").isNotNull()), r.filter(F.col("_gram").isNull()).drop("_gram")
     cond = F.like(F.lower(F.col(text_col)), F.concat(F.lit("%"), lname, F.lit("%")))
     l_grams = left.withColumn("_gram", F.explode(_grams(F.lower(F.col(text_col)))))
-    via_gram = l_grams.join(keyed, "_gram").filter(cond).drop("_gram")
+    # the exploded grams are the big side: broadcast the (checked) name side so
+    # they are never shuffled
+    via_gram = l_grams.join(broadcast_bounded(keyed), "_gram").filter(cond).drop("_gram")
     n_loose = loose.limit(DEFAULT_MAX_BROADCAST_ROWS + 1).count()
     if n_loose == 0:
         return via_gram
