@@ -30,9 +30,13 @@ def url_strip_query(url) -> Column:
 
 
 def url_valid(url, pattern, is_regex) -> Column:
-    """Empty pattern: every URL; regex: match anchored at the start; else substring."""
+    """Empty pattern: every URL; regex: match anchored at the start; else substring.
+
+    Site patterns are Python regexes, whose ``\\w``/``\\d`` are Unicode: ``(?U)``
+    gives Java the same classes.
+    """
     url, pattern, is_regex = _c(url), _c(pattern), _c(is_regex)
-    anchored = F.concat(F.lit("^(?:"), pattern, F.lit(")"))
+    anchored = F.concat(F.lit("(?U)^(?:"), pattern, F.lit(")"))
     return (F.when(F.coalesce(pattern, F.lit("")) == "", F.lit(True))
             .when(is_regex, F.regexp_like(url, anchored))
             .otherwise(F.contains(url, pattern)))

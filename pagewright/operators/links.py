@@ -129,4 +129,6 @@ def frontier_walk(edges: DataFrame, seeds: DataFrame, max_depth: int,
     seen = levels[0]
     for lv in levels[1:]:
         seen = seen.unionByName(lv)
+    # the result reads the written levels only; the edge table is no longer needed
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
     return seen

@@ -42,6 +42,10 @@ def request_gap_wait(fetches: DataFrame, delays: DataFrame, n_chunks: int | None
     """Wait needed before each request = max(0, delay - seconds since the
     previous request to the same domain); 0 for a domain's first request.
 
+    ``delay`` is the domain's configured delay (default 3 s).  The adaptive
+    delay the pacing also takes into account is the state of
+    ``domain_delay_fold``.
+
     The input is materialised once in row-bounded chunks; pass only the
     columns you need (a checkpoint does not prune columns afterwards).
     """
