@@ -46,7 +46,7 @@ FROM events""",
     "fx_edge": """SELECT DISTINCT concat('p', l_partkey) AS src, concat('s', l_suppkey) AS dst FROM lineitem WHERE l_linenumber = 1
 UNION SELECT DISTINCT concat('s', l_suppkey), concat('p', l_partkey) FROM lineitem WHERE l_linenumber = 2""",
     "fx_snapshot": "SELECT conv_id AS page_key, turn AS seq, text AS element_text FROM conversations",
-    "fx_link": """SELECT page_id, pos - 1 AS pos, href,
+    "fx_link": """SELECT page_id, CAST(pos - 1 AS INTEGER) AS pos, href,
   concat(regexp_extract(url, '^([a-z]+)://', 1), '://', regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), href) AS link
 FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href,
         generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"', 1), 1) AS pos FROM pages) t""",

@@ -145,7 +145,7 @@ def next_retry_at(spark, sf):
 
 
 @query("linear_retry_delay", """
-SELECT event_id, CAST(attempt - 1 AS INTEGER) AS attempt, 6.5 * attempt AS retry_delay
+SELECT event_id, CAST(attempt - 1 AS INTEGER) AS attempt, CAST(6.5 * attempt AS DOUBLE) AS retry_delay
 FROM (SELECT event_id, success, row_number() OVER (PARTITION BY url ORDER BY ts, event_id) AS attempt FROM fx_fetch) t
 WHERE attempt <= 3 AND NOT success""")
 def linear_retry_delay(spark, sf):
