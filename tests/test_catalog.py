@@ -85,3 +85,20 @@ def test_streams_do_not_depend_on_session_time_zone(spark):
     ref = sorted(tuple(r) for r in entry.queries()["stream_counts_by_day"](spark, SF001)
                  .select("window_start", "site", "n").collect())
     assert got == ref and got[0][0].hour == 0
+
+
+def test_bench_prints_one_json_line():
+    import json
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = dict(os.environ, BENCH_SF_DIR=SF001, BENCH_CPUS="2", BENCH_DRIVER_MEMORY="2g")
+    out = subprocess.run([sys.executable, "bench.py"], cwd=root, env=env, capture_output=True, text=True,
+                         timeout=900)
+    assert out.returncode == 0, out.stderr[-2000:]
+    lines = [l for l in out.stdout.splitlines() if l.strip()]
+    assert len(lines) == 1
+    d = json.loads(lines[0])
+    assert d["unit"] == "sec" and d["sf"] == 0.001 and len(d["queries"]) >= 20
+    assert abs(sum(d["queries"].values()) - d["value"]) < 0.01
