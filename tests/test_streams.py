@@ -52,3 +52,26 @@ def test_stream_sinks_and_log_stream(spark):
     lines = S.log_stream(spark, logs + "/part")
     S.run_available_now(lines, ck + "/log", S.batch_folder_writer(out + "/log"))
     assert spark.read.parquet(out + "/log").count() == fx.fx_fetch(spark, SF001).count()
+
+
+def test_failure_state_timeout_emits_due_tasks(spark):
+    """Two micro-batches: the second advances the watermark past the first
+    batch's retry times, so those pending tasks come out again flagged due."""
+    src, out, ck = tempfile.mkdtemp(), tempfile.mkdtemp(), tempfile.mkdtemp()
+    ev = spark.read.parquet(f"{SF001}/events.parquet")
+    cut = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
+    ev.filter(F.col("ts") < cut).coalesce(1).write.parquet(src + "/a")
+    ev.filter(F.col("ts") >= cut).coalesce(1).write.parquet(src + "/b")
+    import glob
+    import shutil
+    flat = tempfile.mkdtemp()
+    for i, part in enumerate(("a", "b")):
+        f = glob.glob(f"{src}/{part}/*.parquet")[0]
+        shutil.copy(f, f"{flat}/part-{i}.parquet")
+    stream = S.file_stream(spark, flat, ev.schema, max_files_per_trigger=1)
+    S.failure_state_stream(fx.fetch_rows(stream), E.policy_table(spark), out, ck, watermark="1 minute")
+    t = spark.read.parquet(out)
+    assert t.select("batch").distinct().count() >= 2
+    due = t.filter("due")
+    assert due.count() > 0
+    assert due.filter(F.col("state") != "pending").count() == 0
