@@ -23,6 +23,11 @@ DEFAULT_CONF = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # keyed stream state (per domain, per URL) can outgrow executor memory:
+    # keep it in RocksDB, checkpointing only the changes of each micro-batch
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
 

@@ -234,10 +234,14 @@ def _failure_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
                          pending[6] if pending is not None else None)
             pending = None
     state.update((site, pending, permanent, last_ts, last_id))
-    if pending is not None and pending[6] is not None:
-        state.setTimeoutTimestamp(int(pd.Timestamp(pending[6]).tz_localize("UTC").timestamp() * 1000))
     rows = [_task_row(url, s, site, t, False) for s, t in (("pending", pending), ("permanent", permanent))
             if t is not None]
+    if pending is not None and pending[6] is not None:
+        due_ms = int(pd.Timestamp(pending[6]).tz_localize("UTC").timestamp() * 1000)
+        if due_ms > state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp(due_ms)
+        else:  # already due by the watermark: emit it now
+            rows.append(_task_row(url, "pending", site, pending, True))
     yield pd.DataFrame(rows, columns=[c.split()[0] for c in FAILURE_OUT.split(", ")])
 
 
