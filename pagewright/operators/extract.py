@@ -209,6 +209,8 @@ def extract_by_selector(pages: DataFrame, specs: DataFrame | dict, field_names,
     ``specs`` is a table of per-site specs (joined on ``key``, size-checked
     broadcast) or one spec dict used for every page (no join).
     """
+    from ..session import ship_package
+    ship_package(pages.sparkSession)
     names = list(field_names)
     if isinstance(specs, dict):
         j = pages.select(id_col, key, html_col).withColumn("spec", F.lit(json.dumps(specs)))

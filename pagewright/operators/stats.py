@@ -72,6 +72,14 @@ def percent_text(rate: pd.Series) -> pd.Series:
     return rate.map(lambda r: None if pd.isna(r) else f"{r:.2f}%")
 
 
+def percent_column(rate) -> Column:
+    """``percent_text`` with the package shipped to the Python workers first."""
+    from pyspark.sql import SparkSession
+    from ..session import ship_package
+    ship_package(SparkSession.getActiveSession())
+    return percent_text(rate)
+
+
 def success_rate(success: Column, total: Column) -> Column:
     return F.when(total > 0, success.cast("double") * 100.0 / total).otherwise(F.lit(0.0))
 
@@ -103,7 +111,7 @@ def report_document(report: DataFrame, depth: DataFrame, errors: DataFrame) -> D
         "site_name", F.date_format("start_time", "yyyy-MM-dd HH:mm:ss").alias("start_time"),
         F.date_format("end_time", "yyyy-MM-dd HH:mm:ss").alias("end_time"), "duration_seconds",
         "total_urls", "successful_urls", "failed_urls", "retry_urls",
-        percent_text("success_rate").alias("success_rate"), "depth_stats", "error_types")
+        percent_column("success_rate").alias("success_rate"), "depth_stats", "error_types")
 
 
 def depth_counts(fetches: DataFrame) -> DataFrame:

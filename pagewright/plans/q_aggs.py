@@ -75,7 +75,7 @@ def run_report(spark, sf):
 SELECT site_name, printf('%.2f%%', success_rate) AS success_rate FROM ({REPORT_SQL}) r""")
 def success_rate_pct(spark, sf):
     r = ST.run_report(fx.fx_fetch(spark, sf))
-    return r.select("site_name", ST.percent_text("success_rate").alias("success_rate"))
+    return r.select("site_name", ST.percent_column("success_rate").alias("success_rate"))
 
 
 @query("depth_counts", "SELECT site, depth, count(*) AS n FROM fx_fetch WHERE success GROUP BY 1, 2")

@@ -111,3 +111,37 @@ def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int =
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
         "spark.sql.adaptive.skewJoin.enabled": "true",
     }
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``pagewright`` importable on the Python workers (``--py-files``).
+
+    Operators that run Python on executors (pandas UDFs, ``mapInPandas``,
+    ``applyInPandasWithState``) refer to functions of this package; the
+    workers import it from a zip that Spark distributes with ``addPyFile``.
+    Done once per application; a no-op when the package is shipped already.
+    """
+    import io
+    import zipfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.join("pagewright", os.path.relpath(full, pkg_dir)))
+    # the zip is a driver file that Spark itself copies to every executor
+    path = os.path.join(tempfile.mkdtemp(prefix="pagewright-pyfiles-"), "pagewright.zip")
+    with open(path, "wb") as f:
+        f.write(buf.getvalue())
+    sc.addPyFile(path)
+    _SHIPPED.add(key)

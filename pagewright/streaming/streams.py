@@ -21,6 +21,7 @@ from ..functions import errors as E
 from ..operators import failures as FL
 from ..operators import rates as RT
 from ..operators.articles import clean_articles
+from ..session import ship_package
 
 
 def ntz_to_instant(col):
@@ -188,6 +189,7 @@ def domain_state_stream(fetches: DataFrame, delays: DataFrame, out_path: str, ch
     """Adaptive delay and throttle per domain as keyed streaming state."""
     d = RT.domain_delay_lookup(fetches, delays).select("domain", "ts", "event_id", "success", "status_code",
                                                       "domain_delay")
+    ship_package(fetches.sparkSession)
     out = d.groupBy("domain").applyInPandasWithState(
         _domain_fn, DOMAIN_OUT, DOMAIN_STATE, "update", GroupStateTimeout.NoTimeout)
     run_available_now(out, checkpoint, batch_folder_writer(out_path), output_mode="update")
@@ -259,6 +261,7 @@ def failure_state_stream(fetches: DataFrame, policy: DataFrame, out_path: str, c
     ev = ev.withWatermark("_et", watermark).select(
         "url", "site", "ts", "event_id", "success", "status_code", "error_category", "error_message",
         "max_retries", "min_delay", "max_delay", "_et")
+    ship_package(fetches.sparkSession)
     out = ev.groupBy("url").applyInPandasWithState(
         _failure_fn, FAILURE_OUT, FAILURE_STATE, "update", GroupStateTimeout.EventTimeTimeout)
     run_available_now(out, checkpoint, batch_folder_writer(out_path), output_mode="update")
@@ -287,6 +290,7 @@ def content_change_stream(observations: DataFrame, key: str, seq: str, text: str
     """Emit observations whose md5 differs from the last one kept in state."""
     o = observations.select(F.col(key).alias("page_key"), F.col(seq).alias("seq"),
                             F.md5(F.col(text)).alias("content_hash"))
+    ship_package(observations.sparkSession)
     out = o.groupBy("page_key").applyInPandasWithState(
         _change_fn, CHANGE_OUT, CHANGE_STATE, "append", GroupStateTimeout.NoTimeout)
     run_available_now(out, checkpoint, batch_folder_writer(out_path), output_mode="append")

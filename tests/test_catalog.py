@@ -102,3 +102,26 @@ def test_bench_prints_one_json_line():
     d = json.loads(lines[0])
     assert d["unit"] == "sec" and d["sf"] == 0.001 and len(d["queries"]) >= 20
     assert abs(sum(d["queries"].values()) - d["value"]) < 0.01
+
+
+def test_python_workers_find_the_package_from_any_directory(tmp_path):
+    """Operators that run Python on executors ship the package themselves."""
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+import __spark_entry__ as e
+q = e.queries()
+for k in ("success_rate_pct", "extract_by_selector", "stream_content_change"):
+    assert q[k](spark, {SF001!r}).count() > 0, k
+print("ok")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=str(tmp_path), env=env, capture_output=True,
+                         text=True, timeout=600)
+    assert out.returncode == 0 and out.stdout.strip().endswith("ok"), out.stderr[-3000:]
