@@ -133,24 +133,26 @@ def _throttle_zero():
                     F.lit(None).cast("timestamp_ntz").alias("until"))
 
 
-def _throttle_update(s, ok, x):
-    fails = F.when(ok, F.lit(0)).otherwise(s["failures"] + 1)
-    trip = ~ok & (fails >= MAX_FAILURES_BEFORE_THROTTLE)
+def _throttle_step(acc, x):
+    """One request: expiry check, its result, and for 403/429/503 a second failure.
+
+    Written field by field over the accumulator (no nested state structs):
+    lambdas inside ``aggregate`` are evaluated without common-subexpression
+    elimination, so a nested form would repeat the same work many times.
+    """
+    expired = acc["throttled"] & acc["until"].isNotNull() & (x["ts"] >= acc["until"])
+    f0 = F.when(expired, F.lit(0)).otherwise(acc["failures"])
+    ok, dbl = x["success"], x["double"]
+    f1 = F.when(ok, F.lit(0)).otherwise(f0 + 1)
+    fails = F.when(dbl, f1 + 1).otherwise(f1)
+    trip = (~ok & (f0 + 1 >= MAX_FAILURES_BEFORE_THROTTLE)) | (dbl & (fails >= MAX_FAILURES_BEFORE_THROTTLE))
     until = x["ts"] + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(THROTTLE_MINUTES), F.lit(0))
+    d1 = _delay_after(acc["delay"], ok, x["domain_delay"])
     return F.struct(
-        _delay_after(s["delay"], ok, x["domain_delay"]).alias("delay"),
+        F.when(dbl, _delay_after(d1, F.lit(False), x["domain_delay"])).otherwise(d1).alias("delay"),
         fails.alias("failures"),
-        (s["throttled"] | trip).alias("throttled"),
-        F.when(trip, until).otherwise(s["until"]).alias("until"))
-
-
-def _throttle_step(acc, x):
-    expired = acc["throttled"] & acc["until"].isNotNull() & (x["ts"] >= acc["until"])
-    s = F.when(expired, F.struct(
-        acc["delay"].alias("delay"), F.lit(0).alias("failures"), F.lit(False).alias("throttled"),
-        F.lit(None).cast("timestamp_ntz").alias("until"))).otherwise(acc)
-    s1 = _throttle_update(s, x["success"], x)
-    return F.when(x["double"], _throttle_update(s1, F.lit(False), x)).otherwise(s1)
+        (trip | (acc["throttled"] & ~expired)).alias("throttled"),
+        F.when(trip, until).when(expired, F.lit(None).cast("timestamp_ntz")).otherwise(acc["until"]).alias("until"))
 
 
 def domain_throttle_fold(fetches: DataFrame, delays: DataFrame, n_chunks: int | None = None) -> DataFrame:
