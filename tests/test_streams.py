@@ -75,3 +75,26 @@ def test_failure_state_timeout_emits_due_tasks(spark):
     due = t.filter("due")
     assert due.count() > 0
     assert due.filter(F.col("state") != "pending").count() == 0
+
+
+def test_failed_upsert_stream_over_several_batches(spark):
+    """Batch n applies its failures to version n-1; the last version equals the
+    one-shot batch upsert over all failures."""
+    import glob
+    import shutil
+    ev = spark.read.parquet(f"{SF001}/events.parquet")
+    src, flat = tempfile.mkdtemp(), tempfile.mkdtemp()
+    cut = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
+    for i, cond in enumerate((F.col("ts") < cut, F.col("ts") >= cut)):
+        ev.filter(cond).coalesce(1).write.parquet(f"{src}/{i}")
+        shutil.copy(glob.glob(f"{src}/{i}/*.parquet")[0], f"{flat}/part-{i}.parquet")
+    out, ck = tempfile.mkdtemp(), tempfile.mkdtemp()
+    stream = S.file_stream(spark, flat, ev.schema, max_files_per_trigger=1)
+    S.failed_upsert_stream(FL.failure_record(fx.fetch_rows(stream)), out, ck)
+    versions = [r[0] for r in spark.read.parquet(out).select("version").distinct().collect()]
+    assert sorted(versions) == [0, 1]
+    cols = ["url_key", "url", "reason", "status_code", "failed_time", "retry_count", "created_at"]
+    got = sorted(map(tuple, S.latest_version(spark, out).select(cols).collect()))
+    exp = sorted(map(tuple, FL.failed_upsert(None, FL.failure_record(fx.fx_fetch(spark, SF001))).select(cols)
+                     .collect()))
+    assert got == exp
