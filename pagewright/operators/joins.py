@@ -40,7 +40,7 @@ def contains_like_join(left: DataFrame, text_col: str, right: DataFrame, name_co
     """
     lname = F.lower(F.col(name_col))
     grams = F.filter(_grams(lname), lambda g: (F.length(g) == GRAM) & ~g.rlike("[_%]"))
-    r = right.withColumn("_gram", F.element_at(grams, 1))
+    r = right.withColumn("_gram", F.try_element_at(grams, F.lit(1)))  # NULL when no such gram
     keyed, loose = r.filter(F.col("_gram").isNotNull()), r.filter(F.col("_gram").isNull()).drop("_gram")
     cond = F.like(F.lower(F.col(text_col)), F.concat(F.lit("%"), lname, F.lit("%")))
     l_grams = left.withColumn("_gram", F.explode(_grams(F.lower(F.col(text_col)))))

@@ -24,7 +24,7 @@ HEALTH_ALARM_THRESHOLD = 3
 def site_domain_delays(sites: DataFrame) -> DataFrame:
     """Configured delay per domain: the domain of the site's first start URL,
     only for sites that set a delay; on a repeated domain the later site wins."""
-    first = F.element_at("start_urls", 1) if "start_urls" in sites.columns else F.col("start_url")
+    first = F.try_element_at("start_urls", F.lit(1)) if "start_urls" in sites.columns else F.col("start_url")
     order = F.col("ord") if "ord" in sites.columns else F.col("site_id")
     return (sites.filter(F.col("domain_delay").isNotNull())
             .select(url_domain(first).alias("domain"), "domain_delay", order.alias("_ord"))

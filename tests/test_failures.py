@@ -56,3 +56,23 @@ def test_extra_data_newest_wins(spark):
     df = spark.createDataFrame(rows, "url string, ts timestamp_ntz, event_id long, extra_data map<string,string>")
     got = {r["name"]: r["value"] for r in FL.extra_data_merge(df).collect()}
     assert got == {"a": "2", "b": None}
+
+
+def test_contains_like_join_matches_brute_force(spark):
+    import random
+    import re
+    from pagewright.operators.joins import contains_like_join
+    rnd = random.Random(3)
+    alphabet = "abcxyz_."
+    urls = ["https://" + "".join(rnd.choice(alphabet) for _ in range(rnd.randint(5, 30))) for _ in range(300)]
+    names = ["ab", "a_", "x", "abc", "b_c", "zz.", "_a_b", "cab", "xyz", "q"]  # short / wildcard names too
+    left = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "id int, url string")
+    right = spark.createDataFrame([(n,) for n in names], "site string")
+    got = sorted((r["id"], r["site"]) for r in contains_like_join(left, "url", right, "site").collect())
+
+    def like(text, name):  # LIKE '%name%' with '_' as any character, case-insensitive
+        pat = ".*" + "".join("." if c == "_" else re.escape(c) for c in name.lower()) + ".*"
+        return re.fullmatch(pat, text.lower(), flags=re.DOTALL) is not None
+
+    exp = sorted((i, n) for i, u in enumerate(urls) for n in names if like(u, n))
+    assert got == exp
