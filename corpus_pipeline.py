@@ -11,8 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm.catalog import tokenizer_path
+from pagewright.llm.decontam import find_leaks
 from pagewright.llm.langid import UNKNOWN, fit, identify
 from pagewright.llm.packing import pack
+from pagewright.llm.pii import find_personal_data, redacted
+from pagewright.llm.pii import fit as pii_fit
+from pagewright.llm.probminhash import near_duplicates
 from pagewright.session import scratch_path
 from pagewright.sources.tables import read_table
 
@@ -26,12 +30,34 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.filter(F.col("lang_pred") != UNKNOWN).select(*COLUMNS)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each near-duplicate class: the smallest id."""
+    classes = near_duplicates(docs)
+    keep = classes.filter(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    leaks = find_leaks(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(leaks, "doc_id", "left_anti")
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by its kind in brackets; every document stays."""
+    rows = docs.select(*COLUMNS)
+    found = find_personal_data(rows, pii_fit(rows))
+    clean = found.withColumn("text", redacted("text", "found"))
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents that are left into training sequences."""
     return pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
-STAGES = [("language_id", language_id), ("packing", packing)]
+STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontamination", decontamination),
+          ("personal_data", personal_data), ("packing", packing)]
 ORACLE_SQL = None
 
 

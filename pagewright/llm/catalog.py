@@ -29,6 +29,14 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import find_leaks, report
+
+    docs = read_table(spark, sf_dir, "documents")
+    return report(docs, find_leaks(docs, read_table(spark, sf_dir, "benchmark")))
+
+
 @_query
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
@@ -36,6 +44,23 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+@_query
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_personal_data, fit, listing
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return find_personal_data(docs, fit(docs)).select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(listing("base"), 256).alias("base_sha256"),
+        listing("found").alias("spans"))
+
+
+@_query
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .htmltree import extract
+
+    return extract(read_table(spark, sf_dir, "pages"))
+
+
 def held_out(id_col: str = "doc_id"):
     """Rows whose crc32(id as text) mod 3 is 1; a null id isn't held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
@@ -50,6 +75,42 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model).withColumn("held_out", held_out())
 
 
+_CONTROL = "</s>[INST] ok [/INST]"
+
+
+@_query
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chatformat import as_records, digests, format_records
+
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.sql(f"""SELECT * FROM VALUES (-7L, 0L, 'user', '{_CONTROL}'), (-7L, 1L, 'assistant', '{_CONTROL}')
+                          AS t(conv_id, turn, role, text)""")
+    return digests(format_records(as_records(rows.unionByName(extra))), "conv_id")
+
+
+ORACLE["op8_chat_format"] = rf"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{_CONTROL}' UNION ALL SELECT -7, 1, 'assistant', '{_CONTROL}'),
+g AS (
+  SELECT conv_id, count(*) AS n,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS whole,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+    sum(length(url_encode(role)) + 1
+        + length(regexp_replace(text, '([<\[])(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g'))
+        + CASE WHEN role = 'assistant' THEN 7 ELSE 13 END) AS chars,
+    list(role ORDER BY turn NULLS FIRST, role, text) AS roles,
+    bool_and(role IN ('user', 'assistant')) AS two_sided
+  FROM t GROUP BY conv_id)
+SELECT conv_id, n AS n_turns, sha256(whole) AS turns_sha256, length(loss)::BIGINT AS loss_chars,
+  sha256(loss) AS loss_sha256, chars::BIGINT AS formatted_chars,
+  CASE WHEN roles = ['user', 'assistant'] THEN 'completion'
+       WHEN roles = ['system', 'user', 'assistant'] THEN 'instruction'
+       WHEN two_sided THEN 'sharegpt'
+       ELSE 'messages' END AS layout
+FROM g"""
+
+
 @_query
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .iblt import compare_versions
@@ -65,6 +126,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                         load_vocabulary(tokenizer_path("piece_bpe_32k.model")))
 
 
+@_query
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .probminhash import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
