@@ -198,38 +198,50 @@ def _before(text: Column, start: Column) -> Column:
     return F.substr(text, F.greatest(start - 31, F.lit(1)), F.least(start, F.lit(32)))
 
 
+# Prior opinion of a labeler's votes on true and on false spans, worth this many spans.
+_PRIOR = {True: {1: 0.6, 0: 0.3, -1: 0.1}, False: {1: 0.15, 0: 0.45, -1: 0.4}}
+_PRIOR_SPANS = 20.0
+
+
 class SpanModel:
     """Labeler reliabilities by expectation-maximisation and the span
-    classifier they train, from (votes, features, n) counts."""
+    classifier they train, from (votes, features, n) counts.
+
+    Base spans have passed their checks and count as true; whether a candidate
+    is true is the hidden variable.
+    """
 
     def __init__(self, rows: list[dict], rounds: int = 30):
-        self.prior = 0.5
-        # probability of each vote for a true and for a false span
-        self.votes = {v: {True: {1: 0.6, 0: 0.3, -1: 0.1}, False: {1: 0.2, 0: 0.4, -1: 0.4}} for v in _VOTES}
-        total = sum(r["n"] for r in rows)
-        for _ in range(rounds if total else 0):
+        self.prior = 0.5  # of candidates
+        self.votes = {v: {side: dict(_PRIOR[side]) for side in _PRIOR} for v in _VOTES}
+        hidden = [r for r in rows if r["kind"] not in BASE]
+        for _ in range(rounds):
             post = [self._posterior(r) for r in rows]
-            true = sum(p * r["n"] for p, r in zip(post, rows))
-            self.prior = min(0.99, max(0.01, (true + 1) / (total + 2)))
+            true = sum(self._posterior(r) * r["n"] for r in hidden)
+            total = sum(r["n"] for r in hidden)
+            self.prior = (true + _PRIOR_SPANS / 2) / (total + _PRIOR_SPANS)
             for v in _VOTES:
-                for side in (True, False):
-                    mass = {x: 1.0 for x in (1, 0, -1)}  # one of each, so that none is impossible
+                for side, prior in _PRIOR.items():
+                    mass = {x: _PRIOR_SPANS * prior[x] for x in prior}
                     for p, r in zip(post, rows):
                         mass[r[v]] += (p if side else 1 - p) * r["n"]
-                    # a labeler is never taken to be worse than chance
                     self.votes[v][side] = {x: m / sum(mass.values()) for x, m in mass.items()}
         self.weights: dict[str, dict[str, float]] = {}
         for f in _FEATURES:
-            sides = {}
-            for r in rows:
-                p = self._posterior(r)
-                yes, no = sides.get(r[f], (1.0, 1.0))
-                sides[r[f]] = (yes + p * r["n"], no + (1 - p) * r["n"])
-            all_yes, all_no = (sum(x) for x in zip(*sides.values())) if sides else (1.0, 1.0)
-            self.weights[f] = {k: round(math.log(y / all_yes) - math.log(n / all_no), 6)
-                               for k, (y, n) in sides.items()}
+            yes: dict[str, float] = {}
+            every: dict[str, float] = {}
+            for r in hidden:
+                yes[r[f]] = yes.get(r[f], 0.0) + self._posterior(r) * r["n"]
+                every[r[f]] = every.get(r[f], 0.0) + r["n"]
+            n, true = sum(every.values()), sum(yes.values())
+            # both sides are smoothed towards the value's overall share
+            share = {k: _PRIOR_SPANS * x / n for k, x in every.items()}
+            self.weights[f] = {k: round(math.log((yes[k] + share[k]) / (true + _PRIOR_SPANS)) - math.log(
+                (every[k] - yes[k] + share[k]) / (n - true + _PRIOR_SPANS)), 6) for k in every}
 
     def _posterior(self, row: dict) -> float:
+        if row["kind"] in BASE:
+            return 1.0
         odds = math.log(self.prior / (1 - self.prior)) + sum(
             math.log(self.votes[v][True][row[v]] / self.votes[v][False][row[v]]) for v in _VOTES)
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, odds))))
