@@ -76,8 +76,7 @@ class ContextTrees:
             for m, keys in enumerate(_grams(*_letters(samples[lang]), order)):
                 seen[m].append(np.unique(keys, return_counts=True))
         self.tables, self.cost, self.esc = [], [], []
-        lower_esc = np.zeros((1, n_lang))
-        for m in range(order + 1):
+        for m in range(order + 1 if samples else 0):
             union = np.unique(np.concatenate([k for k, _ in seen[m]]))
             count = np.zeros((len(union), n_lang))
             for j, (k, c) in enumerate(seen[m]):

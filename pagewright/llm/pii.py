@@ -101,7 +101,7 @@ def _luhn(value: Column) -> Column:
     return F.aggregate(twice, F.lit(0), lambda a, d: a + d) % 10 == 0
 
 
-_PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+_PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 
 def _valid(kind: str, value: Column) -> Column:
@@ -198,8 +198,8 @@ def _before(text: Column, start: Column) -> Column:
     return F.substr(text, F.greatest(start - 31, F.lit(1)), F.least(start, F.lit(32)))
 
 
-# Prior opinion of a labeler's votes on true and on false spans, worth this many spans.
-_PRIOR = {True: {1: 0.6, 0: 0.3, -1: 0.1}, False: {1: 0.15, 0: 0.45, -1: 0.4}}
+# Prior opinion of a labeler: how often its votes are right, worth this many spans.
+_PRIOR_RIGHT, _MOST_RIGHT = 0.75, 0.98
 _PRIOR_SPANS = 20.0
 
 
@@ -207,13 +207,14 @@ class SpanModel:
     """Labeler reliabilities by expectation-maximisation and the span
     classifier they train, from (votes, features, n) counts.
 
-    Base spans have passed their checks and count as true; whether a candidate
-    is true is the hidden variable.
+    A labeler that votes is right with a probability of its own; no vote says
+    nothing.  Base spans have passed their checks and count as true; whether a
+    candidate is true is the hidden variable.
     """
 
     def __init__(self, rows: list[dict], rounds: int = 30):
         self.prior = 0.5  # of candidates
-        self.votes = {v: {side: dict(_PRIOR[side]) for side in _PRIOR} for v in _VOTES}
+        self.right = dict.fromkeys(_VOTES, _PRIOR_RIGHT)
         hidden = [r for r in rows if r["kind"] not in BASE]
         for _ in range(rounds):
             post = [self._posterior(r) for r in rows]
@@ -221,11 +222,9 @@ class SpanModel:
             total = sum(r["n"] for r in hidden)
             self.prior = (true + _PRIOR_SPANS / 2) / (total + _PRIOR_SPANS)
             for v in _VOTES:
-                for side, prior in _PRIOR.items():
-                    mass = {x: _PRIOR_SPANS * prior[x] for x in prior}
-                    for p, r in zip(post, rows):
-                        mass[r[v]] += (p if side else 1 - p) * r["n"]
-                    self.votes[v][side] = {x: m / sum(mass.values()) for x, m in mass.items()}
+                voted = [(p if r[v] > 0 else 1 - p, r["n"]) for p, r in zip(post, rows) if r[v]]
+                self.right[v] = min(_MOST_RIGHT, (_PRIOR_SPANS * _PRIOR_RIGHT + sum(p * n for p, n in voted)) / (
+                    _PRIOR_SPANS + sum(n for _, n in voted)))
         self.weights: dict[str, dict[str, float]] = {}
         for f in _FEATURES:
             yes: dict[str, float] = {}
@@ -242,17 +241,17 @@ class SpanModel:
     def _posterior(self, row: dict) -> float:
         if row["kind"] in BASE:
             return 1.0
-        odds = math.log(self.prior / (1 - self.prior)) + sum(
-            math.log(self.votes[v][True][row[v]] / self.votes[v][False][row[v]]) for v in _VOTES)
-        return 1 / (1 + math.exp(-max(-50.0, min(50.0, odds))))
+        odds = math.log(self.prior / (1 - self.prior)) + sum(row[v] * self._weight(v) for v in _VOTES)
+        return 1 / (1 + math.exp(-odds))
+
+    def _weight(self, labeler: str) -> float:
+        return math.log(self.right[labeler] / (1 - self.right[labeler]))
 
     def log_odds(self, span: Column) -> Column:
         """The classifier's log odds of a span: prior, votes, features."""
         total = F.lit(round(math.log(self.prior / (1 - self.prior)), 6))
         for v in _VOTES:
-            side = self.votes[v]
-            for x in (1, 0, -1):
-                total = total + F.when(span[v] == x, round(math.log(side[True][x] / side[False][x]), 6)).otherwise(0.0)
+            total = total + span[v] * F.lit(round(self._weight(v), 6))
         for f, weights in self.weights.items():
             table = F.create_map(*[F.lit(x) for kv in sorted(weights.items()) for x in kv]) if weights else None
             if table is not None:
