@@ -20,7 +20,9 @@ from pagewright.llm.iblt import CELLS, compare_versions, differences, likeness,
 from pagewright.llm.probminhash import (components, near_duplicates, probability_jaccard, signatures,
                                         weighted_shingles)
 from pagewright.llm.textkernel import shingle_hashes, word_hashes
-from tests.conftest import SF001
+from odd_rows import nothing, odd  # noqa: F401
+
+SF001 = "/root/testdata/sf0.001"
 
 
 def table(spark, name="documents"):
