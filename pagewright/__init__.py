@@ -1,4 +1,4 @@
-"""pagewright: crawl-data processing on Spark.
+"""pagewright: captured-page processing on Spark.
 
 Tables and streams of captured pages, request logs and failure records are
 turned into clean, queryable data with DataFrame / SQL operators and

@@ -29,8 +29,8 @@ POLICY = [
 FALLBACK_MAX_RETRIES, FALLBACK_MIN_DELAY, FALLBACK_MAX_DELAY = 3, 10.0, 30.0
 BACKOFF_FACTOR, JITTER, MAX_RETRY_DELAY = 2.0, 0.1, 3600.0
 
-# Crawler-level retry loop (attempts, base delay range in s).
-CRAWL_MAX_RETRIES, CRAWL_MIN_DELAY, CRAWL_MAX_DELAY = 3, 3.0, 10.0
+# Fetch-level retry loop (attempts, base delay range in s).
+FETCH_MAX_RETRIES, FETCH_MIN_DELAY, FETCH_MAX_DELAY = 3, 3.0, 10.0
 
 POLICY_SCHEMA = T.StructType([
     T.StructField("error_category", T.StringType(), False),
@@ -135,8 +135,8 @@ def next_retry_at(last_failed_at, retry_count, min_delay, max_delay, jitter_unit
 
 
 def linear_retry_delay(attempt) -> Column:
-    """Crawler-level wait before the next attempt: mid base * (attempt + 1)."""
-    return (CRAWL_MIN_DELAY + CRAWL_MAX_DELAY) / 2.0 * (_c(attempt) + 1)
+    """Fetch-level wait before the next attempt: mid base * (attempt + 1)."""
+    return (FETCH_MIN_DELAY + FETCH_MAX_DELAY) / 2.0 * (_c(attempt) + 1)
 
 
 def seeded_jitter(key, seed: int = 0) -> Column:

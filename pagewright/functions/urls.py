@@ -77,14 +77,35 @@ def url_category(url, pattern) -> Column:
     return F.nullif(F.call_function("regexp_extract", _c(url), pattern, F.lit(1)), F.lit(""))
 
 
+def _without_dots(path) -> Column:
+    """Resolve ``.`` and ``..`` segments of an absolute path."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+
+    def step(kept, seg):
+        return (F.when(seg == ".", kept)
+                .when(seg == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1))))
+                .otherwise(F.concat(kept, F.array(seg))))
+
+    kept = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array(F.lit("")), step)
+    clean = F.concat(F.array_join(kept, "/"), F.when(last.isin(".", ".."), F.lit("/")).otherwise(F.lit("")))
+    return F.when(path.rlike(r"/\.\.?(?:/|$)"), clean).otherwise(path)
+
+
 def resolve_link(page_url, href) -> Column:
-    """Make an href absolute against its page URL."""
-    page_url, href = _c(page_url), _c(href)
+    """Make an href absolute against its page URL, as a URL join does."""
+    page_url, href = _c(page_url), F.trim(_c(href))
     scheme = url_scheme(page_url)
     origin = F.concat(scheme, F.lit("://"), url_domain(page_url))
     path = F.regexp_extract(page_url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(/[^?#]*)?", 1)
-    base_dir = F.regexp_extract(path, r"^(.*/)", 1)
+    folder = F.regexp_extract(path, r"^(.*/)", 1)
+    folder = F.when(folder == "", F.lit("/")).otherwise(folder)
+    own = F.regexp_extract(href, r"^([^?#]*)", 1)       # the href's path
+    tail = F.regexp_extract(href, r"^[^?#]*(.*)$", 1)   # its query and fragment
+    full = F.when(own.startswith("/"), own).otherwise(F.concat(folder, own))
     return (F.when(F.regexp_like(href, F.lit(r"^[a-zA-Z][a-zA-Z0-9+.-]*:")), href)
-            .when(F.startswith(href, F.lit("//")), F.concat(scheme, F.lit(":"), href))
-            .when(F.startswith(href, F.lit("/")), F.concat(origin, href))
-            .otherwise(F.concat(origin, F.when(base_dir == "", F.lit("/")).otherwise(base_dir), href)))
+            .when(href == "", page_url)
+            .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
+            .when(href.startswith("#"), F.concat(F.regexp_extract(page_url, r"^([^#]*)", 1), href))
+            .when(href.startswith("?"), F.concat(origin, path, href))
+            .otherwise(F.concat(origin, _without_dots(full), tail)))

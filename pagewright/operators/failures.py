@@ -121,7 +121,7 @@ def retry_success_semi(failed: DataFrame, fetches: DataFrame) -> DataFrame:
             .select(*failed.columns))
 
 
-def attempt_outcome(fetches: DataFrame, max_attempts: int = E.CRAWL_MAX_RETRIES) -> DataFrame:
+def attempt_outcome(fetches: DataFrame, max_attempts: int = E.FETCH_MAX_RETRIES) -> DataFrame:
     """Per URL: only the first ``max_attempts`` attempts count.
 
     Success if one of them succeeded (attempts stop at the first success),

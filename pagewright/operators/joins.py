@@ -6,50 +6,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_MAX_BROADCAST_ROWS = 100_000
+DEFAULT_MAX_BROADCAST_BYTES = 32 << 20
 
 
-def broadcast_bounded(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only for a side proven small.
+def broadcast_bounded(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+                      max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint only for a side proven small, in rows and in bytes.
 
-    A capped count (it reads at most ``max_rows + 1`` rows) checks the bound;
-    beyond it the hint is not given and the planner / AQE picks a shuffled
+    A capped pass (it reads at most ``max_rows + 1`` rows) checks the bounds;
+    beyond them the hint is not given and the planner / AQE picks a shuffled
     join from runtime sizes.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-GRAM = 3
-
-
-def _grams(col, n=GRAM):
-    """All distinct n-grams of a string column (array)."""
-    s = F.col(col) if isinstance(col, str) else col
-    idx = F.sequence(F.lit(1), F.greatest(F.length(s) - n + 1, F.lit(1)))
-    return F.array_distinct(F.transform(idx, lambda i: F.substring(s, i, n)))
+    size = F.lit(0)
+    for f in df.schema.fields:
+        wide = f.dataType.simpleString() in ("string", "binary") or f.dataType.typeName() in ("array", "map", "struct")
+        value = F.to_json(F.struct(f.name)) if f.dataType.typeName() in ("array", "map", "struct") else F.col(f.name)
+        size = size + (F.coalesce(F.octet_length(value), F.lit(0)) if wide else F.lit(8))
+    n, b = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(size.cast("long"))).first()
+    return F.broadcast(df) if n <= max_rows and (b or 0) <= max_bytes else df
 
 
 def contains_like_join(left: DataFrame, text_col: str, right: DataFrame, name_col: str) -> DataFrame:
     """Rows of ``left`` x ``right`` where lower(text) LIKE '%' || lower(name) || '%'.
 
     ``_`` and ``%`` in a name are LIKE wildcards.  Exact, without forming all
-    pairs: every match contains the name's first wildcard-free 3-gram, so
-    both sides meet on that gram in an equi-join and LIKE only verifies the
-    candidates.  Names without such a gram (very short or wildcard-heavy) are
-    few; they take a size-checked broadcast join.
+    pairs: a match contains the name's longest piece without wildcards (a plain
+    name whole), so texts are cut into their substrings of just the lengths
+    that such pieces have and meet the names in an equi-join; LIKE then
+    verifies names with wildcards.  A name of wildcards only has no piece: it
+    asks for a least length and so matches nearly every text by definition.
     """
-    lname = F.lower(F.col(name_col))
-    grams = F.filter(_grams(lname), lambda g: (F.length(g) == GRAM) & ~g.rlike("[_%]"))
-    r = right.withColumn("_gram", F.try_element_at(grams, F.lit(1)))  # NULL when no such gram
-    keyed, loose = r.filter(F.col("_gram").isNotNull()), r.filter(F.col("_gram").isNull()).drop("_gram")
-    cond = F.like(F.lower(F.col(text_col)), F.concat(F.lit("%"), lname, F.lit("%")))
-    l_grams = left.withColumn("_gram", F.explode(_grams(F.lower(F.col(text_col)))))
-    # the exploded grams are the big side: broadcast the (checked) name side so
-    # they are never shuffled
-    via_gram = l_grams.join(broadcast_bounded(keyed), "_gram").filter(cond).drop("_gram")
-    n_loose = loose.limit(DEFAULT_MAX_BROADCAST_ROWS + 1).count()
-    if n_loose == 0:
-        return via_gram
-    if n_loose > DEFAULT_MAX_BROADCAST_ROWS:
-        raise ValueError("too many site names without a 3-gram free of LIKE wildcards")
-    return via_gram.unionByName(left.join(F.broadcast(loose), cond))
+    lname, ltext = F.lower(F.col(name_col)), F.lower(F.col(text_col))
+    pieces = F.split(lname, r"[_%\\\\]")
+    longest = F.aggregate(pieces, F.lit(""), lambda a, p: F.when(F.length(p) > F.length(a), p).otherwise(a))
+    r = right.withColumn("_piece", longest).withColumn("_plain", F.col("_piece") == lname)
+    keyed, loose = r.filter(F.col("_piece") != ""), r.filter(F.col("_piece") == "").drop("_piece", "_plain")
+    # distinct lengths of the names: at most as many as the longest name has characters
+    sizes = keyed.agg(F.sort_array(F.collect_set(F.length("_piece"))).alias("n")).first()["n"]
+
+    def cuts(n):
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(ltext) - n + 1, F.lit(1))),
+                           lambda i: F.substring(ltext, i, n))
+
+    cond = F.like(ltext, F.concat(F.lit("%"), lname, F.lit("%")))
+    cut = left.withColumn("_piece", F.explode(F.array_distinct(F.flatten(F.array(*[cuts(n) for n in sizes]))))) \
+        if sizes else left.limit(0).withColumn("_piece", F.lit(""))
+    found = cut.join(broadcast_bounded(keyed), "_piece").filter(F.col("_plain") | cond).drop("_piece", "_plain")
+    if loose.isEmpty():
+        return found
+    least = F.length(F.regexp_replace(lname, "[^_]", ""))
+    return found.unionByName(left.join(broadcast_bounded(loose), (F.length(ltext) >= least) & cond))

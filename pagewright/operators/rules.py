@@ -190,7 +190,7 @@ def _override(content: Column, publish) -> Column:
 
 def site_publish_from(site, base, full) -> Column:
     """Publish time: the site's own match in the fully cleaned text, else the
-    base extraction from the base-cleaned text (the crawler's order)."""
+    base extraction from the base-cleaned text (the fetcher's order)."""
     site, base_pt = _c(site), publish_time_extract(_c(base))
     full = _c(full)
     expr = None

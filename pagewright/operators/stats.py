@@ -1,4 +1,4 @@
-"""Crawl statistics and run reports."""
+"""Fetch statistics and run reports."""
 
 from __future__ import annotations
 
@@ -36,7 +36,7 @@ def failed_by_status(failed: DataFrame, top: int = 10) -> DataFrame:
     return count_by(failed, "status_code").limit(top)
 
 
-def crawl_stats_all(articles: DataFrame, failed: DataFrame, days: int = 30) -> DataFrame:
+def site_stats_all(articles: DataFrame, failed: DataFrame, days: int = 30) -> DataFrame:
     """All statistics as long rows (stat, key, value).
 
     The article statistics (total, per site, per category, per day of the last

@@ -227,8 +227,12 @@ def d_site_publish(site: str, base: str, full: str) -> str:
     return "CASE " + " ".join(parts) + f" ELSE {base_pt} END"
 
 
+# The character references that occur in the pages (``&amp;`` last).
+PAGE_REFERENCES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"),
+                   ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&nbsp;", "\u00a0"), ("&amp;", "&")]
+
+
 def d_unescape(expr: str) -> str:
-    from ..functions.html import ENTITIES
-    for ent, ch in ENTITIES:
+    for ent, ch in PAGE_REFERENCES:
         expr = f"replace({expr}, {sql_str(ent)}, {sql_str(ch)})"
     return expr

@@ -46,7 +46,7 @@ def failed_by_status(spark, sf):
     return ST.failed_by_status(C.failed(spark, sf))
 
 
-@query("crawl_stats_all", f"""
+@query("site_stats_all", f"""
 SELECT 'total_articles' AS stat, CAST(NULL AS VARCHAR) AS key, count(*) AS value FROM fx_article
 UNION ALL SELECT 'by_site', site, count(*) FROM fx_article GROUP BY site
 UNION ALL SELECT 'by_category', website_category, count(*) FROM fx_article GROUP BY website_category
@@ -54,8 +54,8 @@ UNION ALL SELECT 'by_date', CAST(day AS VARCHAR), n FROM ({BY_DATE_SQL}) d
 UNION ALL SELECT 'total_failed', NULL, count(*) FROM fx_failed
 UNION ALL SELECT * FROM (SELECT 'failed_by_status', status_code, count(*) FROM fx_failed GROUP BY 2
                          ORDER BY 3 DESC, 2 LIMIT 10) f""")
-def crawl_stats_all(spark, sf):
-    return ST.crawl_stats_all(fx.fx_article(spark, sf), C.failed(spark, sf))
+def site_stats_all(spark, sf):
+    return ST.site_stats_all(fx.fx_article(spark, sf), C.failed(spark, sf))
 
 
 REPORT_SQL = """SELECT site AS site_name, min(ts) AS start_time, max(ts) AS end_time,

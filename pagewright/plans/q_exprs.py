@@ -151,22 +151,16 @@ WHERE attempt <= 3 AND NOT success""")
 def linear_retry_delay(spark, sf):
     from pyspark.sql import Window
     w = Window.partitionBy("url").orderBy("ts", "event_id")
-    f = fx.fx_fetch(spark, sf).withColumn("attempt", F.row_number().over(w) - 1)
-    f = f.filter((F.col("attempt") < E.CRAWL_MAX_RETRIES) & ~F.col("success"))
+    f = fx.fx_fetch(spark, sf).withColumn("rn", F.row_number().over(w))
+    f = f.filter(F.col("rn") <= E.FETCH_MAX_RETRIES).withColumn("attempt", F.col("rn") - 1).filter(~F.col("success"))
     return f.select("event_id", F.col("attempt").cast("int"), E.linear_retry_delay("attempt").alias("retry_delay"))
 
 
-def _d_unescape(expr):
-    for ent, ch in H.ENTITIES:
-        expr = f"replace({expr}, {O.sql_str(ent)}, {O.sql_str(ch)})"
-    return expr
-
-
-D_TITLE = _d_unescape("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")
+D_TITLE = O.d_unescape("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")
 
 
 def _d_meta(name):
-    return _d_unescape(f"""regexp_extract(html, '(?is)<meta\\s+name="{name}"\\s+content="([^"]*)"', 1)""")
+    return O.d_unescape(f"""regexp_extract(html, '(?is)<meta\\s+name="{name}"\\s+content="([^"]*)"', 1)""")
 
 
 @query("page_metadata", f"""

@@ -176,7 +176,7 @@ WHERE regexp_matches(level || ' ' || message, '(?i)error|exception|fatal|failed|
 def error_log_lines(spark, sf):
     from ..operators.health import error_log_lines as ell
     from ..session import scratch_path
-    path = scratch_path(spark, "crawler-log")
+    path = scratch_path(spark, "fetch-log")
     render_fetch_log(fx.fx_fetch(spark, sf)).write.text(path)
     return ell(log_lines(spark, path)).select("log_time", "level", "message")
 

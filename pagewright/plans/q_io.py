@@ -9,7 +9,7 @@ from ..operators import stats as ST
 from ..sources import fixtures as fx
 from ..sources import readers as RD
 from ..sources import sinks as SK
-from ..sources.schemas import CRAWL_REPORT, FAILED_CRAWL
+from ..sources.schemas import FETCH_REPORT, FAILED_FETCH
 from ..sources.site_config import list_sites
 from ..sources.tables import read_table
 from ..session import scratch_path
@@ -78,13 +78,13 @@ SELECT site_id, website_category, scraped_time, site, coalesce(title, '') AS tit
   url, '' AS description, coalesce(keywords, '') AS keywords,
   CAST(try_strptime(nullif(trim(pt), ''), ['%Y-%m-%d %H:%M:%S', '%Y-%m-%d %H:%M']) AS TIMESTAMP) AS publish_time FROM p""")
 def sink_article_table(spark, sf):
-    path = scratch_path(spark, "crawl-data")
+    path = scratch_path(spark, "article-store")
     SK.write_article_table(C.cleaned_articles(spark, sf), path)
     return SK.read_article_table(spark, path).drop("created_at")
 
 
 @query("sink_index_docs", """
-SELECT url, '{"index":{"_index":"crawl_data"}}' AS action,
+SELECT url, '{"index":{"_index":"article_store"}}' AS action,
   CAST(to_json({'title': title, 'content': content, 'description': '', 'keywords': coalesce(keywords, ''), 'url': url,
     'site': site, 'website_category': website_category, 'site_id': site_id,
     'scraped_time': strftime(scraped_time, '%Y-%m-%d')}) AS VARCHAR) AS source
@@ -101,7 +101,7 @@ def sink_index_doc_strict(spark, sf):
 
 
 @query("sink_results_stream", f"""
-SELECT 'CrawlResults' AS topic, url AS key, CAST(to_json({{'url': url, 'title': {D_TITLE},
+SELECT 'Results' AS topic, url AS key, CAST(to_json({{'url': url, 'title': {D_TITLE},
   'next_level_links': regexp_extract_all(html, '<a href="([^"]*)"', 1)}}) AS VARCHAR) AS value FROM pages""")
 def sink_results_stream(spark, sf):
     p = read_table(spark, sf, "pages")
@@ -110,7 +110,7 @@ def sink_results_stream(spark, sf):
 
 
 @query("sink_tasks_stream", """
-SELECT 'CrawlTasks' AS topic, CAST(to_json({'url': link}) AS VARCHAR) AS value FROM fx_link WHERE link IS NOT NULL AND link <> ''""")
+SELECT 'Tasks' AS topic, CAST(to_json({'url': link}) AS VARCHAR) AS value FROM fx_link WHERE link IS NOT NULL AND link <> ''""")
 def sink_tasks_stream(spark, sf):
     return SK.task_messages(fx.fx_link(spark, sf))
 
@@ -131,7 +131,7 @@ def sink_run_report(spark, sf):
     doc = ST.report_document(ST.run_report(f), ST.depth_counts(f), ST.error_type_counts(f))
     path = scratch_path(spark, "run-report")
     SK.write_report(doc, path)
-    return spark.read.schema(CRAWL_REPORT).json(path)
+    return spark.read.schema(FETCH_REPORT).json(path)
 
 
 @query("failure_snapshot_roundtrip", """
@@ -146,9 +146,9 @@ def failure_snapshot_roundtrip(spark, sf):
 
 @query("ddl_tables", "SELECT url, reason, status_code, failed_time, retry_count FROM fx_failed")
 def ddl_tables(spark, sf):
-    path = scratch_path(spark, "failed-crawls")
+    path = scratch_path(spark, "failed-fetches")
     SK.append_failed_rows(spark, C.failed(spark, sf), path)
-    return spark.read.schema(FAILED_CRAWL).parquet(path).select("url", "reason", "status_code", "failed_time",
+    return spark.read.schema(FAILED_FETCH).parquet(path).select("url", "reason", "status_code", "failed_time",
                                                                  "retry_count")
 
 
@@ -162,7 +162,7 @@ SELECT log_time, level, message FROM (
 ORDER BY log_time DESC, level DESC, message DESC LIMIT 50""")
 def src_log_lines(spark, sf):
     from ..operators.health import tail
-    path = scratch_path(spark, "crawler-log")
+    path = scratch_path(spark, "fetch-log")
     RD.render_fetch_log(fx.fx_fetch(spark, sf)).write.text(path)
     return tail(RD.log_lines(spark, path), 50).select("log_time", "level", "message")
 

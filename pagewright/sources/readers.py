@@ -23,28 +23,28 @@ def parse_messages(messages: DataFrame, schema: str, value_col: str = "value") -
         "message", F.when(F.trim(v) != "", F.from_json(v, schema)))
 
 
-def read_kafka(spark: SparkSession, servers: str, topic: str, max_per_trigger: int = 500,
+def read_kafka(spark: SparkSession, servers: str, topic: str, max_per_trigger: int | None = None,
                stream: bool = True) -> DataFrame:
-    """Messages of a topic from the earliest offset, at most ``max_per_trigger``
-    per micro-batch.  Needs the Kafka connector on the classpath."""
+    """Messages of a topic from the earliest offset; ``max_per_trigger`` bounds
+    a micro-batch (none by default).  Needs the Kafka connector on the classpath."""
     r = spark.readStream if stream else spark.read
     r = (r.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
          .option("startingOffsets", "earliest"))
-    if stream:
+    if stream and max_per_trigger:
         r = r.option("maxOffsetsPerTrigger", max_per_trigger)
     return r.load().select(F.col("key").cast("string"), F.col("value").cast("string"), "topic",
                            "partition", "offset", "timestamp")
 
 
 def render_fetch_log(fetches: DataFrame) -> DataFrame:
-    """Crawler log lines for a request log (one ``value`` text column)."""
+    """Fetcher log lines for a request log (one ``value`` text column)."""
     msg = F.when(F.col("success"), F.concat(F.lit("Fetched "), "url", F.lit(" status "),
                                             F.col("status_code").cast("string"))).otherwise(
         F.concat(F.lit("Failed to fetch "), "url", F.lit(": "),
                  F.coalesce("error_name", F.concat(F.lit("HTTP "), F.col("status_code").cast("string"))),
                  F.when(F.col("depth") == 2, F.lit(" (retry scheduled)")).otherwise(F.lit(""))))
     level = F.when(F.col("success"), F.lit("INFO")).otherwise(F.lit("ERROR"))
-    return fetches.select(F.concat_ws(" - ", F.date_format("ts", LOG_TS_FORMAT), F.lit("crawler"),
+    return fetches.select(F.concat_ws(" - ", F.date_format("ts", LOG_TS_FORMAT), F.lit("fetcher"),
                                       level, msg).alias("value"))
 
 

@@ -27,7 +27,7 @@ SITE_CONFIG = T.StructType([
     T.StructField("content_selector", SELECTOR),
 ])
 
-# crawl_data table: the columns written by the article sink, in table order
+# article_store table: the columns written by the article sink, in table order
 ARTICLE_TABLE = T.StructType([
     T.StructField("site_id", T.IntegerType(), False),
     T.StructField("website_category", T.StringType(), False),
@@ -45,7 +45,7 @@ ARTICLE_TABLE = T.StructType([
 REQUIRED_ARTICLE_COLUMNS = ("site_id", "website_category", "scraped_time", "site",
                             "title", "content", "url")
 
-FAILED_CRAWL = T.StructType([
+FAILED_FETCH = T.StructType([
     T.StructField("url", T.StringType(), False),
     T.StructField("reason", T.StringType(), False),
     T.StructField("status_code", T.StringType(), False),
@@ -82,7 +82,7 @@ FAILED_TASK_FILE = T.StructType([
     T.StructField("extra_data", T.MapType(T.StringType(), T.StringType())),
 ])
 
-CRAWL_REPORT = T.StructType([
+FETCH_REPORT = T.StructType([
     T.StructField("site_name", T.StringType()),
     T.StructField("start_time", T.StringType()),
     T.StructField("end_time", T.StringType()),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.articles import prepare_article_rows
-from .schemas import ARTICLE_TABLE, FAILED_CRAWL
+from .schemas import ARTICLE_TABLE, FAILED_FETCH
 
 CSV_OPTIONS = {"header": "true", "escape": '"', "multiLine": "true",
                "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
@@ -86,8 +86,8 @@ def table_ddl(name: str, schema: T.StructType, location: str | None = None,
 
 
 def append_failed_rows(spark: SparkSession, failed: DataFrame, path: str) -> None:
-    create_table_if_missing(spark, path, FAILED_CRAWL)
-    out = failed.select(*[F.col(f.name).cast(f.dataType) for f in FAILED_CRAWL.fields])
+    create_table_if_missing(spark, path, FAILED_FETCH)
+    out = failed.select(*[F.col(f.name).cast(f.dataType) for f in FAILED_FETCH.fields])
     out.write.mode("append").parquet(path)
 
 
@@ -104,7 +104,7 @@ def index_required_strict(articles: DataFrame) -> DataFrame:
         (F.length("url") > 0) & (F.length("title") > 0) & (F.length("content") > 0))
 
 
-def index_actions(articles: DataFrame, index: str = "crawl_data") -> DataFrame:
+def index_actions(articles: DataFrame, index: str = "article_store") -> DataFrame:
     """Bulk-index rows: (url, action JSON, source JSON)."""
     doc = F.struct(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in
                      ("title", "content", "description", "keywords", "url", "site", "website_category")],
@@ -122,15 +122,15 @@ def write_bulk_ndjson(actions: DataFrame, path: str) -> None:
 
 # --------------------------------------------------------------- messages
 
-def result_messages(articles: DataFrame, topic: str = "CrawlResults") -> DataFrame:
-    """Kafka rows for crawl results: url as key, the article as JSON value."""
+def result_messages(articles: DataFrame, topic: str = "Results") -> DataFrame:
+    """Kafka rows for fetch results: url as key, the article as JSON value."""
     cols = [c for c in articles.columns]
     return articles.select(F.lit(topic).alias("topic"), F.col("url").alias("key"),
                            F.to_json(F.struct(*cols)).alias("value"))
 
 
 def task_messages(links: DataFrame, link_col: str = "link", topic_col=None,
-                  topic: str = "CrawlTasks") -> DataFrame:
+                  topic: str = "Tasks") -> DataFrame:
     """Task rows ``{"url": ...}``; links without a URL are rejected."""
     l = links.filter(F.col(link_col).isNotNull() & (F.col(link_col) != ""))
     t = F.lit(topic) if topic_col is None else topic_col

@@ -1,6 +1,6 @@
 """Site settings as a small, broadcastable table.
 
-``builtin_sites`` holds the crawler's configured sites.  ``list_sites``
+``builtin_sites`` holds the fetcher's configured sites.  ``list_sites``
 applies the defaults used when a site leaves a setting out.
 """
 

@@ -321,7 +321,7 @@ def failed_csv_stream(failures: DataFrame, path: str, checkpoint: str) -> None:
     run_available_now(failures, checkpoint, batch_fn)
 
 
-def index_stream(articles: DataFrame, path: str, checkpoint: str, index: str = "crawl_data") -> None:
+def index_stream(articles: DataFrame, path: str, checkpoint: str, index: str = "article_store") -> None:
     """Bulk-index lines (action + source) for every micro-batch of articles."""
     from ..sources.sinks import index_actions
 
@@ -334,7 +334,7 @@ def index_stream(articles: DataFrame, path: str, checkpoint: str, index: str = "
 
 
 def log_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Crawler log lines as a stream (new files in ``folder``), parsed like ``log_lines``."""
+    """Fetcher log lines as a stream (new files in ``folder``), parsed like ``log_lines``."""
     from ..sources.readers import LOG_RE, LOG_TS_FORMAT
     t = spark.readStream.text(folder)
     ts = F.regexp_extract("value", LOG_RE, 1)

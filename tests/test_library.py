@@ -20,17 +20,17 @@ T0 = dt.datetime(2024, 1, 1)
 
 
 def test_ddl_text():
-    ddl = SK.table_ddl("crawl_data", SC.ARTICLE_TABLE, "/data/crawl", ["site"])
-    assert ddl.startswith("CREATE TABLE IF NOT EXISTS crawl_data (") and "`publish_time` timestamp_ntz" in ddl
-    assert ddl.endswith("PARTITIONED BY (site) LOCATION '/data/crawl'")
+    ddl = SK.table_ddl("article_store", SC.ARTICLE_TABLE, "/data/fetch", ["site"])
+    assert ddl.startswith("CREATE TABLE IF NOT EXISTS article_store (") and "`publish_time` timestamp_ntz" in ddl
+    assert ddl.endswith("PARTITIONED BY (site) LOCATION '/data/fetch'")
 
 
 def test_create_table_if_missing_keeps_data(spark):
     path = tempfile.mkdtemp() + "/failed"
-    SK.create_table_if_missing(spark, path, SC.FAILED_CRAWL)
-    rows = spark.createDataFrame([("u", "r", "500", T0, 0, T0)], SC.FAILED_CRAWL)
+    SK.create_table_if_missing(spark, path, SC.FAILED_FETCH)
+    rows = spark.createDataFrame([("u", "r", "500", T0, 0, T0)], SC.FAILED_FETCH)
     rows.write.mode("append").parquet(path)
-    SK.create_table_if_missing(spark, path, SC.FAILED_CRAWL)  # exists: untouched
+    SK.create_table_if_missing(spark, path, SC.FAILED_FETCH)  # exists: untouched
     assert spark.read.parquet(path).count() == 1
 
 
@@ -49,11 +49,11 @@ def test_message_and_bulk_files(spark):
     out = tempfile.mkdtemp()
     SK.write_messages(SK.result_messages(arts.select("url", "title")), out + "/msg")
     back = spark.read.json(out + "/msg").collect()
-    assert back[0]["topic"] == "CrawlResults" and json.loads(back[0]["value"]) == {"url": "u1", "title": "t"}
+    assert back[0]["topic"] == "Results" and json.loads(back[0]["value"]) == {"url": "u1", "title": "t"}
     SK.write_bulk_ndjson(SK.index_actions(arts.withColumn("description", F.lit(""))
                                           .withColumn("keywords", F.lit(None).cast("string"))), out + "/bulk")
     lines = [r[0] for r in spark.read.text(out + "/bulk").collect()]
-    assert json.loads(lines[0]) == {"index": {"_index": "crawl_data"}}
+    assert json.loads(lines[0]) == {"index": {"_index": "article_store"}}
     assert json.loads(lines[1])["keywords"] == "" and json.loads(lines[1])["scraped_time"] == "2024-01-01"
 
 
