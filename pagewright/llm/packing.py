@@ -33,29 +33,82 @@ from .textkernel import text_chunks
 TIERS = (512, 1024, 2048, 4096)
 STEP_TOKENS = 65_536
 END_ID = 2
-CACHE_WORDS = 1 << 18
+CACHE_WORDS = 1 << 19
+# ASCII punctuation.
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class WordIds:
-    """Token ids of whole texts under a tokenizer that never joins characters
-    across white space: each part between blanks is encoded once and kept."""
+    """Token ids of whole texts under a tokenizer that lower-cases, splits at
+    white space and between letters and punctuation, and closes every word by
+    a token that ends in ``</w>``.
+
+    Each part between blanks is encoded once and kept: plain words are encoded
+    together and cut after their closing tokens, punctuation around a word is
+    taken off first.  Parts that hold anything else, and texts that may hold a
+    special token, go to the tokenizer as they are.
+    """
 
     def __init__(self, tokenizer_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.closes[i] = token.endswith("</w>")
         self.known: dict[str, bytes] = {}
 
+    def _encode(self, parts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes()
+                for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> None:
+        """Encode words of letters, many in one call."""
+        for a in range(0, len(words), 4096):
+            some = words[a:a + 4096]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(some):
+                raw, at = ids.tobytes(), 0
+                for w, end in zip(some, (4 * ends).tolist()):
+                    self.known[w] = raw[at:end]
+                    at = end
+            else:  # some letter does not stay one
+                self.known.update(zip(some, self._encode(some)))
+
+    def _learn(self, new: set[str]) -> None:
+        split, words, whole = [], set(), set()
+        for part in new:
+            if "<|" not in part:
+                low = part.lower() if part.isascii() else part
+                body = low.strip(_MARKS)
+                if body.isalpha():
+                    at = low.index(body)
+                    head, tail = low[:at], low[at + len(body):]
+                    if not head.endswith("'"):  # with the letter after it that may be one token
+                        split.append((part, head, body, tail))
+                        words.add(body)
+                        whole.update(x for x in (head, tail) if x)
+                        continue
+            whole.add(part)
+        known = self.known
+        whole = [x for x in whole if x not in known]
+        known.update(zip(whole, self._encode(whole)))
+        self._words([w for w in words if w not in known])
+        for part, head, body, tail in split:
+            known[part] = known.get(head, b"") + known[body] + known.get(tail, b"")
+
     def __call__(self, texts: list[str], end_id: int = END_ID) -> list[bytes]:
         """Little-endian uint32 ids of each text, then ``end_id``."""
         parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         known = self.known
-        new = list({w for p in parts for w in p if w not in known})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        known[""] = b""
+        new = set().union(*parts).difference(known)
+        if new:
+            self._learn(new)
         end = np.array([end_id], dtype="<u4").tobytes()
         return [b"".join(map(known.__getitem__, p)) + end for p in parts]
 
