@@ -60,16 +60,18 @@ def failed_upsert(snapshot: DataFrame | None, batch: DataFrame, order=("failed_t
                         F.col("retry_count").alias("s_rc"), F.col("created_at").alias("s_created"))
     j = s.join(b, "url_key", "full")
     new = F.col("s_url").isNull()
-    upd = F.col("n").isNotNull()
+    # rows may come in any order: the newest failure describes the key, the oldest names it
+    newer = F.col("n").isNotNull() & (new | (F.col("b_last.failed_time") >= F.col("s_time")))
+    older = F.col("n").isNotNull() & (new | (F.col("b_first") < F.col("s_created")))
     return j.select(
         "url_key",
-        F.when(new, F.col("b_url")).otherwise(F.col("s_url")).alias("url"),
-        F.when(upd, F.col("b_last.reason")).otherwise(F.col("s_reason")).alias("reason"),
-        F.when(upd, F.col("b_last.status_code")).otherwise(F.col("s_status")).alias("status_code"),
-        F.when(upd, F.col("b_last.failed_time")).otherwise(F.col("s_time")).alias("failed_time"),
-        F.when(new, F.col("n") - 1).when(upd, F.col("s_rc") + F.col("n")).otherwise(F.col("s_rc"))
+        F.when(older, F.col("b_url")).otherwise(F.col("s_url")).alias("url"),
+        F.when(newer, F.col("b_last.reason")).otherwise(F.col("s_reason")).alias("reason"),
+        F.when(newer, F.col("b_last.status_code")).otherwise(F.col("s_status")).alias("status_code"),
+        F.when(newer, F.col("b_last.failed_time")).otherwise(F.col("s_time")).alias("failed_time"),
+        F.when(new, F.col("n") - 1).otherwise(F.col("s_rc") + F.coalesce("n", F.lit(0)))
         .cast("int").alias("retry_count"),
-        F.when(new, F.col("b_first")).otherwise(F.col("s_created")).alias("created_at"))
+        F.when(older, F.col("b_first")).otherwise(F.col("s_created")).alias("created_at"))
 
 
 def failed_retryable(failed: DataFrame, limit: int = FAILED_RETRY_LIMIT) -> DataFrame:
@@ -157,18 +159,18 @@ def failure_events(fetches: DataFrame, policy: DataFrame) -> DataFrame:
     return E.with_policy(ev, policy)
 
 
-_TASK_FIELDS = ("rc", "error_category", "error_message", "status_code", "first_failed_at",
+_TASK_FIELDS = ("site", "rc", "error_category", "error_message", "status_code", "first_failed_at",
                 "last_failed_at", "next_retry_at")
 
 
 def _zero_state():
-    task = F.struct(F.lit(None).cast("int").alias("rc"), F.lit(None).cast("string").alias("error_category"),
+    task = F.struct(F.lit(None).cast("string").alias("site"), F.lit(None).cast("int").alias("rc"), F.lit(None).cast("string").alias("error_category"),
                     F.lit(None).cast("string").alias("error_message"),
                     F.lit(None).cast("int").alias("status_code"),
                     F.lit(None).cast("timestamp_ntz").alias("first_failed_at"),
                     F.lit(None).cast("timestamp_ntz").alias("last_failed_at"),
                     F.lit(None).cast("timestamp_ntz").alias("next_retry_at"))
-    return F.struct(F.lit(None).cast("string").alias("site"), task.alias("pending"), task.alias("permanent"))
+    return F.struct(task.alias("pending"), task.alias("permanent"))
 
 
 def _lifecycle_step(acc, x):
@@ -178,17 +180,18 @@ def _lifecycle_step(acc, x):
     first = F.when(has, p["first_failed_at"]).otherwise(x["ts"])
     retry = rc < x["max_retries"]
     nxt = E.next_retry_at(x["ts"], rc, x["min_delay"], x["max_delay"])
-    task = F.struct(rc.alias("rc"), x["error_category"].alias("error_category"),
+    # a task belongs to the site of the failure that opened it
+    site = F.when(has, p["site"]).otherwise(x["site"])
+    task = F.struct(site.alias("site"), rc.alias("rc"), x["error_category"].alias("error_category"),
                     x["error_message"].alias("error_message"), x["status_code"].alias("status_code"),
                     first.alias("first_failed_at"), x["ts"].alias("last_failed_at"),
                     # a task that stops retrying keeps its last planned time
                     F.when(retry, nxt).otherwise(p["next_retry_at"]).alias("next_retry_at"))
     none = _zero_state()["pending"]
     on_fail = F.struct(
-        F.coalesce(acc["site"], x["site"]).alias("site"),
         F.when(retry, task).otherwise(none).alias("pending"),
         F.when(retry, acc["permanent"]).otherwise(task).alias("permanent"))
-    on_ok = F.struct(acc["site"].alias("site"), none.alias("pending"), acc["permanent"].alias("permanent"))
+    on_ok = F.struct(none.alias("pending"), acc["permanent"].alias("permanent"))
     return F.when(x["success"], on_ok).otherwise(on_fail)
 
 
@@ -205,14 +208,13 @@ def failure_lifecycle(fetches: DataFrame, policy: DataFrame, n_chunks: int | Non
                           ["site", "success", "status_code", "error_category", "error_message",
                            "max_retries", "min_delay", "max_delay"],
                           F.col("_chunk"), _zero_state(), _lifecycle_step)
-    tasks = folded.select("url", F.col("state.site").alias("site_name"),
-                          F.explode(F.array(
+    tasks = folded.select("url", F.explode(F.array(
                               F.struct(F.lit("pending").alias("state"), F.col("state.pending").alias("t")),
                               F.struct(F.lit("permanent").alias("state"), F.col("state.permanent").alias("t"))))
                           .alias("x"))
     tasks = tasks.filter(F.col("x.t.rc").isNotNull())
     return tasks.select(
-        F.col("x.state").alias("state"), "url", "site_name",
+        F.col("x.state").alias("state"), "url", F.col("x.t.site").alias("site_name"),
         F.col("x.t.error_category").alias("error_category"),
         F.col("x.t.error_message").alias("error_message"),
         F.col("x.t.status_code").alias("status_code"),

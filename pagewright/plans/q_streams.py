@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import errors as E
 from ..operators import failures as FL
+from ..operators import rates as RT
 from ..session import scratch_path
 from ..sources import fixtures as fx
 from ..sources.tables import read_table
@@ -39,10 +40,10 @@ def stream_article_ingest(spark, sf):
 
 
 @query("stream_new_links", """
-SELECT page_id, pos, link FROM fx_link l WHERE NOT EXISTS (SELECT 1 FROM pages p WHERE p.url = l.link)""")
+SELECT DISTINCT link FROM fx_link l WHERE link IS NOT NULL AND NOT EXISTS (SELECT 1 FROM pages p WHERE p.url = l.link)""")
 def stream_new_links(spark, sf):
     out, ck = _paths(spark, "new-links")
-    links = fx.link_rows(S.table_stream(spark, sf, "pages")).select("page_id", "pos", "link")
+    links = fx.link_rows(S.table_stream(spark, sf, "pages")).select("link").filter(F.col("link").isNotNull())
     S.new_links_stream(links, read_table(spark, sf, "pages").select("url"), out, ck)
     return spark.read.parquet(out).drop("batch")
 
@@ -59,12 +60,14 @@ def stream_failed_upsert(spark, sf):
 @query("stream_request_rate", """
 WITH w AS (SELECT domain, CAST(to_timestamp((floor(epoch_us(ts) / 10000000) - k) * 10) AS TIMESTAMP) AS window_start
   FROM fx_fetch, range(6) r(k))
-SELECT window_start, window_start + INTERVAL 60 SECOND AS window_end, domain, count(*) AS n FROM w GROUP BY ALL""")
+SELECT window_start, window_start + INTERVAL 60 SECOND AS window_end, domain, count(*) AS n,
+  count(*) > 10 AS over_limit FROM w GROUP BY ALL""")
 def stream_request_rate(spark, sf):
     out, ck = _paths(spark, "request-rate")
     f = fx.fetch_rows(S.table_stream(spark, sf, "events"))
-    S.windowed_counts(f, "ts", ["domain"], "60 seconds", "10 seconds", "2 minutes", out, ck)
-    return S.latest_per_key(spark, out, ["window_start", "window_end", "domain"])
+    S.additive_counts(f, "ts", ["domain"], "60 seconds", "10 seconds", out, ck)
+    n = S.summed_counts(spark, out, ["domain"])
+    return n.withColumn("over_limit", F.col("n") > RT.GLOBAL_RATE_LIMIT)
 
 
 @query("stream_counts_by_day", """
@@ -74,8 +77,8 @@ FROM fx_article GROUP BY ALL""")
 def stream_counts_by_day(spark, sf):
     out, ck = _paths(spark, "counts-by-day")
     a = fx.article_rows(S.table_stream(spark, sf, "documents")).select("site", "scraped_time")
-    S.windowed_counts(a, "scraped_time", ["site"], "1 day", None, "1 day", out, ck)
-    return S.latest_per_key(spark, out, ["window_start", "window_end", "site"])
+    S.additive_counts(a, "scraped_time", ["site"], "1 day", None, out, ck)
+    return S.summed_counts(spark, out, ["site"])
 
 
 @query("stream_domain_state", "SELECT * FROM fx_throttle_final")
@@ -83,7 +86,7 @@ def stream_domain_state(spark, sf):
     out, ck = _paths(spark, "domain-state")
     f = fx.fetch_rows(S.table_stream(spark, sf, "events"))
     S.domain_state_stream(f, C.delays(spark, sf), out, ck)
-    return S.latest_per_key(spark, out, ["domain"])
+    return S.latest_per_key(spark, out, ["domain"]).drop("late")
 
 
 @query("stream_failure_state", """
@@ -93,9 +96,7 @@ def stream_failure_state(spark, sf):
     out, ck = _paths(spark, "failure-state")
     f = fx.fetch_rows(S.table_stream(spark, sf, "events"))
     S.failure_state_stream(f, E.policy_table(spark), out, ck)
-    t = spark.read.parquet(out).filter(~F.col("due"))
-    last = t.groupBy("url").agg(F.max("batch").alias("batch"))
-    return t.join(last, ["url", "batch"]).drop("batch", "due")
+    return S.current_tasks(spark, out)
 
 
 @query("stream_content_change", """
@@ -106,4 +107,4 @@ def stream_content_change(spark, sf):
     out, ck = _paths(spark, "content-change")
     snaps = fx.snapshot_rows(S.table_stream(spark, sf, "conversations"))
     S.content_change_stream(snaps, "page_key", "seq", "element_text", out, ck)
-    return spark.read.parquet(out).drop("batch")
+    return S.content_changes(spark, out)

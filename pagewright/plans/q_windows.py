@@ -176,15 +176,15 @@ _RC = "(CASE WHEN r.p_rc IS NOT NULL THEN r.p_rc + 1 ELSE 0 END)"
 _RETRY = f"({_RC} < e.max_retries)"
 _NEXT = (f"e.ts + to_microseconds(CAST(round(least((e.min_delay + e.max_delay) / 2.0 * pow(2.0, {_RC}), 3600.0)"
          f" * 1000000) AS BIGINT))")
-_NEW = {"rc": _RC, "cat": "e.error_category", "msg": "e.error_message", "status": "e.status_code",
+_NEW = {"site": "CASE WHEN r.p_rc IS NOT NULL THEN r.p_site ELSE e.site END", "rc": _RC, "cat": "e.error_category", "msg": "e.error_message", "status": "e.status_code",
         "first": "CASE WHEN r.p_rc IS NOT NULL THEN r.p_first ELSE e.ts END", "last": "e.ts"}
-_FIELDS = ["rc", "cat", "msg", "status", "first", "last", "next"]
-_TYPES = {"rc": "INTEGER", "cat": "VARCHAR", "msg": "VARCHAR", "status": "INTEGER", "first": "TIMESTAMP",
+_FIELDS = ["site", "rc", "cat", "msg", "status", "first", "last", "next"]
+_TYPES = {"site": "VARCHAR", "rc": "INTEGER", "cat": "VARCHAR", "msg": "VARCHAR", "status": "INTEGER", "first": "TIMESTAMP",
           "last": "TIMESTAMP", "next": "TIMESTAMP"}
 
 
 def _lc_step():
-    cols = ["r.url", "e.rn", "coalesce(r.site, e.site)"]
+    cols = ["r.url", "e.rn"]
     for f in _FIELDS:  # pending task
         new = _NEXT if f == "next" else _NEW[f]
         cols.append(f"CASE WHEN e.success THEN NULL WHEN {_RETRY} THEN {new} END")
@@ -195,19 +195,19 @@ def _lc_step():
 
 
 _ZERO = ", ".join([f"CAST(NULL AS {_TYPES[f]})" for f in _FIELDS] * 2)
-_NAMES = ", ".join(["url", "rn", "site"] + [f"p_{f}" for f in _FIELDS] + [f"q_{f}" for f in _FIELDS])
-O.FX["fx_lc"] = f"""SELECT url, CAST(0 AS BIGINT) AS rn, CAST(NULL AS VARCHAR) AS site, {_ZERO}
+_NAMES = ", ".join(["url", "rn"] + [f"p_{f}" for f in _FIELDS] + [f"q_{f}" for f in _FIELDS])
+O.FX["fx_lc"] = f"""SELECT url, CAST(0 AS BIGINT) AS rn, {_ZERO}
 FROM (SELECT DISTINCT url FROM fx_lc_ev) t
 UNION ALL
 SELECT {_lc_step()}
 FROM fx_lc r JOIN fx_lc_ev e ON e.url = r.url AND e.rn = r.rn + 1"""
-O.FX["fx_lc"] = O.FX["fx_lc"].replace("SELECT url, CAST(0 AS BIGINT) AS rn, CAST(NULL AS VARCHAR) AS site, " + _ZERO,
-                                      "SELECT * FROM (SELECT url, CAST(0 AS BIGINT) AS rn, CAST(NULL AS VARCHAR) AS site, "
+O.FX["fx_lc"] = O.FX["fx_lc"].replace("SELECT url, CAST(0 AS BIGINT) AS rn, " + _ZERO,
+                                      "SELECT * FROM (SELECT url, CAST(0 AS BIGINT) AS rn, "
                                       + _ZERO, 1)
 O.FX["fx_lc"] = O.FX["fx_lc"].replace("FROM (SELECT DISTINCT url FROM fx_lc_ev) t\n",
                                       "FROM (SELECT DISTINCT url FROM fx_lc_ev) t) z(" + _NAMES + ")\n", 1)
 O.RECURSIVE_FX.add("fx_lc")
-_TASK_COLS = ("url, site AS site_name, {p}cat AS error_category, {p}msg AS error_message, {p}status AS status_code, "
+_TASK_COLS = ("url, {p}site AS site_name, {p}cat AS error_category, {p}msg AS error_message, {p}status AS status_code, "
               "{p}rc AS retry_count, {p}first AS first_failed_at, {p}last AS last_failed_at, {p}next AS next_retry_at")
 O.FX["fx_tasks"] = f"""WITH fin AS (SELECT l.* FROM fx_lc l JOIN (SELECT url, max(rn) AS rn FROM fx_lc_ev GROUP BY url) m
   ON m.url = l.url AND m.rn = l.rn)

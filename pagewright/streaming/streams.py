@@ -10,6 +10,7 @@ state machines see events in order.
 
 from __future__ import annotations
 
+import pickle
 from typing import Callable, Iterator
 
 import pandas as pd
@@ -48,10 +49,19 @@ def file_stream(spark: SparkSession, folder: str, schema, file_glob: str | None
     return r.load(folder)
 
 
-def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table as a file stream (the table file inside its folder)."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return file_stream(spark, sf_dir, schema, f"{name}.parquet")
+FILES_PER_TRIGGER = 64
+
+
+def table_stream(spark: SparkSession, sf_dir: str, name: str,
+                 max_files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
+    """A table as a file stream, whether it is one file or a folder of part
+    files; a micro-batch reads at most ``max_files_per_trigger`` of them."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    table = spark.read.parquet(path)
+    one_file = all(f.rstrip("/").endswith(f"/{name}.parquet") for f in table.inputFiles()[:1])
+    if one_file and table.inputFiles():
+        return file_stream(spark, sf_dir, table.schema, f"{name}.parquet", max_files_per_trigger)
+    return file_stream(spark, path, table.schema, None, max_files_per_trigger)
 
 
 def run_available_now(df: DataFrame, checkpoint: str, batch_fn: Callable[[DataFrame, int], None],
@@ -86,22 +96,39 @@ def parse_message_stream(messages: DataFrame, schema: str, value_col: str = "val
             .filter(F.col("message").isNotNull()))
 
 
-def article_ingest(articles: DataFrame, out_path: str, checkpoint: str, site_col: str = "site",
-                   watermark: str = "1 day") -> None:
-    """Parse -> clean -> drop repeated URLs within the watermark -> append."""
-    a = clean_articles(articles, site_col)
-    a = (a.withColumn("event_time", ntz_to_instant(F.col("scraped_time")))
-         .withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(["url"]))
-    run_available_now(a.drop("event_time"), checkpoint, batch_folder_writer(out_path))
+def _written_before(spark: SparkSession, path: str, batch_id: int, column: str) -> DataFrame:
+    """A column of the rows that earlier micro-batches have written."""
+    return spark.read.parquet(path).filter(F.col("batch") < batch_id).select(column)
+
+
+def article_ingest(articles: DataFrame, out_path: str, checkpoint: str, site_col: str = "site") -> None:
+    """Parse -> clean -> drop URLs already written -> append.
+
+    A micro-batch is deduplicated in itself and against the URLs of earlier
+    batches, so a repeated URL is found whenever it comes.
+    """
+    def batch_fn(batch: DataFrame, batch_id: int) -> None:
+        fresh = batch.dropDuplicates(["url"])
+        if batch_id:
+            seen = _written_before(batch.sparkSession, out_path, batch_id, "url")
+            fresh = fresh.join(seen, "url", "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+
+    run_available_now(clean_articles(articles, site_col), checkpoint, batch_fn)
 
 
 def new_links_stream(links: DataFrame, existing: DataFrame, out_path: str, checkpoint: str,
                      link_col: str = "link") -> None:
-    """Incoming links minus stored URLs (stream-static anti join per batch)."""
-    e = existing.select(F.col(existing.columns[0]).alias(link_col)).distinct()
+    """Incoming links minus stored URLs and minus links that an earlier batch
+    has emitted: each new link comes out once."""
+    e = existing.select(F.col(existing.columns[0]).alias(link_col))
 
     def batch_fn(batch: DataFrame, batch_id: int) -> None:
-        batch.join(e, link_col, "left_anti").write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        fresh = batch.select(link_col).distinct().join(e, link_col, "left_anti")
+        if batch_id:
+            seen = _written_before(batch.sparkSession, out_path, batch_id, link_col)
+            fresh = fresh.join(seen, link_col, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
 
     run_available_now(links, checkpoint, batch_fn)
 
@@ -139,9 +166,52 @@ def windowed_counts(events: DataFrame, ts: str, keys, window: str, slide: str |
     run_available_now(out, checkpoint, batch_folder_writer(out_path), output_mode="update")
 
 
+def additive_counts(events: DataFrame, ts: str, keys, window: str, slide: str | None, out_path: str,
+                    checkpoint: str) -> None:
+    """Counts per (window, keys) of each micro-batch, written as partial sums
+    (``summed_counts`` adds them up): no state, and an event counts however
+    late it comes."""
+    w = F.window("_et", window, slide) if slide else F.window("_et", window)
+
+    def batch_fn(batch: DataFrame, batch_id: int) -> None:
+        part = batch.groupBy(w.alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"))
+        part.select(instant_to_ntz(F.col("w.start")).alias("window_start"),
+                    instant_to_ntz(F.col("w.end")).alias("window_end"), *keys, "n") \
+            .write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+
+    run_available_now(events.select(ntz_to_instant(F.col(ts)).alias("_et"), *keys), checkpoint, batch_fn)
+
+
+def summed_counts(spark: SparkSession, path: str, keys) -> DataFrame:
+    return spark.read.parquet(path).groupBy("window_start", "window_end", *keys).agg(F.sum("n").alias("n"))
+
+
 # -------------------------------------------------------------- stateful
-# The per-key state machines below are small Python helpers applied to the
-# rows of one key within one micro-batch (bounded by the trigger size).
+# The per-key state machines below are small Python helpers.  A key's state is
+# its fold over all events before the watermark, and the events after it, which
+# may still be joined by earlier ones: each micro-batch emits the fold over
+# both, then moves what the watermark has passed into the fold.  So events may
+# come in any order within the watermark; later ones are counted in ``late``.
+
+STATE = "blob binary"
+WATERMARK = "60 days"
+
+
+def _split_rows(pdfs: Iterator[pd.DataFrame], columns: list[str], held: list, state: GroupState):
+    """(rows passed by the watermark, rows still open, number of late rows),
+    in event order."""
+    mark = pd.Timestamp(max(0, state.getCurrentWatermarkMs()), unit="ms")
+    late, rows = 0, list(held)
+    for pdf in pdfs:
+        for r in pdf[columns].itertuples(index=False, name=None):
+            if r[0] < mark:
+                late += 1
+            else:
+                rows.append(r)
+    rows.sort(key=lambda r: r[:2])
+    at = next((i for i, r in enumerate(rows) if r[0] >= mark), len(rows))
+    return rows[:at], rows[at:], late
+
 
 def _delay_after(delay: float, ok: bool, base: float) -> float:
     if ok:
@@ -149,151 +219,139 @@ def _delay_after(delay: float, ok: bool, base: float) -> float:
     return base if delay <= 0 else min(RT.MAX_DOMAIN_DELAY, delay * RT.FAILURE_BACKOFF)
 
 
-DOMAIN_STATE = ("delay double, failures int, throttled boolean, until timestamp_ntz, requests long, "
-                "successes long, last_ts timestamp_ntz, last_id long")
 DOMAIN_OUT = ("domain string, delay double, failures int, throttled boolean, until timestamp_ntz, "
-              "requests long, successes long")
+              "requests long, successes long, late long")
+_DOMAIN_COLUMNS = ["ts", "event_id", "success", "status_code", "domain_delay"]
 
 
-def _domain_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-    if state.exists:
-        delay, fails, thr, until, req, succ, last_ts, last_id = state.get
-    else:
-        delay, fails, thr, until, req, succ, last_ts, last_id = 0.0, 0, False, None, 0, 0, None, None
-    pdf = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
+def _domain_fold(acc: tuple, rows: list) -> tuple:
+    delay, fails, thr, until, req, succ = acc
     throttle = pd.Timedelta(minutes=RT.THROTTLE_MINUTES)
-    for ts, eid, ok, status, base in pdf[["ts", "event_id", "success", "status_code", "domain_delay"]] \
-            .itertuples(index=False):
-        if last_ts is not None and (ts, eid) <= (last_ts, last_id):
-            continue  # already applied (late or replayed event)
+    for ts, _, ok, status, base in rows:
         if thr and until is not None and ts >= until:
             thr, until, fails = False, None, 0
-        steps = [bool(ok)] + ([False] if status in RT.DOUBLE_FAILURE_STATUSES else [])
-        for s in steps:
+        for good in [bool(ok)] + ([False] if status in RT.DOUBLE_FAILURE_STATUSES else []):
             req += 1
-            delay = _delay_after(delay, s, base)
-            if s:
-                succ += 1
-                fails = 0
+            delay = _delay_after(delay, good, base)
+            if good:
+                succ, fails = succ + 1, 0
             else:
                 fails += 1
                 if fails >= RT.MAX_FAILURES_BEFORE_THROTTLE:
                     thr, until = True, ts + throttle
-        last_ts, last_id = ts, eid
-    state.update((delay, fails, thr, until, req, succ, last_ts, last_id))
-    yield pd.DataFrame([{"domain": key[0], "delay": delay, "failures": fails, "throttled": thr, "until": until,
-                         "requests": req, "successes": succ}])
+    return delay, fails, thr, until, req, succ
+
 
+def _domain_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
+    acc, held, late = pickle.loads(state.get[0]) if state.exists else ((0.0, 0, False, None, 0, 0), [], 0)
+    passed, held, more = _split_rows(pdfs, _DOMAIN_COLUMNS, held, state)
+    acc, late = _domain_fold(acc, passed), late + more
+    state.update((pickle.dumps((acc, held, late)),))
+    out = _domain_fold(acc, held)
+    yield pd.DataFrame([(key[0], *out, late)], columns=[c.split()[0] for c in DOMAIN_OUT.split(", ")])
 
-def domain_state_stream(fetches: DataFrame, delays: DataFrame, out_path: str, checkpoint: str) -> None:
+
+def domain_state_stream(fetches: DataFrame, delays: DataFrame, out_path: str, checkpoint: str,
+                        watermark: str = WATERMARK) -> None:
     """Adaptive delay and throttle per domain as keyed streaming state."""
-    d = RT.domain_delay_lookup(fetches, delays).select("domain", "ts", "event_id", "success", "status_code",
-                                                      "domain_delay")
+    d = RT.domain_delay_lookup(fetches, delays).withColumn("_et", ntz_to_instant(F.col("ts")))
+    d = d.withWatermark("_et", watermark).select("domain", *_DOMAIN_COLUMNS, "_et")
     ship_package(fetches.sparkSession)
     out = d.groupBy("domain").applyInPandasWithState(
-        _domain_fn, DOMAIN_OUT, DOMAIN_STATE, "update", GroupStateTimeout.NoTimeout)
+        _domain_fn, DOMAIN_OUT, STATE, "update", GroupStateTimeout.NoTimeout)
     run_available_now(out, checkpoint, batch_folder_writer(out_path), output_mode="update")
 
 
-TASK = ("rc int, error_category string, error_message string, status_code int, first_failed_at timestamp_ntz, "
-        "last_failed_at timestamp_ntz, next_retry_at timestamp_ntz")
-FAILURE_STATE = f"site string, pending struct<{TASK}>, permanent struct<{TASK}>, last_ts timestamp_ntz, last_id long"
 FAILURE_OUT = ("url string, state string, site_name string, error_category string, error_message string, "
                "status_code int, retry_count int, first_failed_at timestamp_ntz, last_failed_at timestamp_ntz, "
-               "next_retry_at timestamp_ntz, due boolean")
+               "next_retry_at timestamp_ntz, due boolean, late long")
+_FAILURE_COLUMNS = ["ts", "event_id", "success", "site", "status_code", "error_category", "error_message",
+                    "max_retries", "min_delay", "max_delay"]
 
 
 def _retry_delay(rc: int, lo: float, hi: float) -> float:
     return min((lo + hi) / 2.0 * E.BACKOFF_FACTOR ** rc, E.MAX_RETRY_DELAY)
 
 
-def _failure_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-    url = key[0]
-    if state.hasTimedOut:  # the pending task is due: emit it once more, flagged
-        site, pending, permanent, last_ts, last_id = state.get
-        state.update((site, pending, permanent, last_ts, last_id))
-        if pending is not None:
-            yield pd.DataFrame([_task_row(url, "pending", site, pending, True)])
-        return
-    site, pending, permanent, last_ts, last_id = state.get if state.exists else (None, None, None, None, None)
-    pdf = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
-    for r in pdf.itertuples(index=False):
-        if last_ts is not None and (r.ts, r.event_id) <= (last_ts, last_id):
-            continue
-        last_ts, last_id = r.ts, r.event_id
-        if r.success:
+def _failure_fold(acc: tuple, rows: list) -> tuple:
+    """(pending, permanent) tasks; a task is (site, category, message, status,
+    retry count, first, last, next).  Its site is that of the failure that
+    opened it."""
+    pending, permanent = acc
+    for ts, _, ok, site, status, category, message, most, low, high in rows:
+        if ok:
             pending = None
             continue
-        site = site or r.site
-        rc = pending[0] + 1 if pending is not None else 0
-        first = pending[4] if pending is not None else r.ts
-        status = None if pd.isna(r.status_code) else int(r.status_code)
-        if rc < r.max_retries:
-            nxt = r.ts + pd.Timedelta(seconds=_retry_delay(rc, r.min_delay, r.max_delay))
-            pending = (rc, r.error_category, r.error_message, status, first, r.ts, nxt)
+        rc = pending[4] + 1 if pending else 0
+        status = None if pd.isna(status) else int(status)
+        task = [pending[0] if pending else site, category, message, status, rc, pending[5] if pending else ts, ts]
+        if rc < most:
+            pending = (*task, ts + pd.Timedelta(seconds=_retry_delay(rc, low, high)))
         else:
-            permanent = (rc, r.error_category, r.error_message, status, first, r.ts,
-                         pending[6] if pending is not None else None)
-            pending = None
-    state.update((site, pending, permanent, last_ts, last_id))
-    rows = [_task_row(url, s, site, t, False) for s, t in (("pending", pending), ("permanent", permanent))
-            if t is not None]
-    if pending is not None and pending[6] is not None:
-        due_ms = int(pd.Timestamp(pending[6]).tz_localize("UTC").timestamp() * 1000)
+            permanent, pending = (*task, pending[7] if pending else None), None
+    return pending, permanent
+
+
+def _failure_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
+    acc, held, late = pickle.loads(state.get[0]) if state.exists else ((None, None), [], 0)
+    timed_out = state.hasTimedOut
+    passed, held, more = _split_rows(iter(()) if timed_out else pdfs, _FAILURE_COLUMNS, held, state)
+    acc, late = _failure_fold(acc, passed), late + more
+    pending, permanent = _failure_fold(acc, held)
+    if not held and acc == (None, None) and not late:
+        state.remove()  # nothing left to remember of this URL
+    else:
+        state.update((pickle.dumps((acc, held, late)),))
+    rows = [(key[0], name, *task, False, late) for name, task in (("pending", pending), ("permanent", permanent))
+            if task]
+    # a row without a task says that earlier rows of the URL no longer hold
+    rows = rows or [(key[0], None, *[None] * 8, False, late)]
+    if pending and pending[7] is not None:
+        due_ms = int(pd.Timestamp(pending[7]).tz_localize("UTC").timestamp() * 1000)
         if due_ms > state.getCurrentWatermarkMs():
             state.setTimeoutTimestamp(due_ms)
-        else:  # already due by the watermark: emit it now
-            rows.append(_task_row(url, "pending", site, pending, True))
+        else:  # due by the watermark: emit it once more, flagged
+            rows.append((key[0], "pending", *pending, True, late))
     yield pd.DataFrame(rows, columns=[c.split()[0] for c in FAILURE_OUT.split(", ")])
 
 
-def _task_row(url, state, site, t, due):
-    return {"url": url, "state": state, "site_name": site, "error_category": t[1], "error_message": t[2],
-            "status_code": t[3], "retry_count": t[0], "first_failed_at": t[4], "last_failed_at": t[5],
-            "next_retry_at": t[6], "due": due}
-
-
 def failure_state_stream(fetches: DataFrame, policy: DataFrame, out_path: str, checkpoint: str,
-                         watermark: str = "1 hour") -> None:
+                         watermark: str = WATERMARK) -> None:
     """Retry lifecycle per URL as keyed state; a pending task's event-time
     timeout is its next retry time, so it is emitted again when due."""
     ev = FL.failure_events(fetches, policy).withColumn("_et", ntz_to_instant(F.col("ts")))
-    ev = ev.withWatermark("_et", watermark).select(
-        "url", "site", "ts", "event_id", "success", "status_code", "error_category", "error_message",
-        "max_retries", "min_delay", "max_delay", "_et")
+    ev = ev.withWatermark("_et", watermark).select("url", *_FAILURE_COLUMNS, "_et")
     ship_package(fetches.sparkSession)
     out = ev.groupBy("url").applyInPandasWithState(
-        _failure_fn, FAILURE_OUT, FAILURE_STATE, "update", GroupStateTimeout.EventTimeTimeout)
+        _failure_fn, FAILURE_OUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
     run_available_now(out, checkpoint, batch_folder_writer(out_path), output_mode="update")
 
 
-CHANGE_STATE = "last_hash string, last_seq long"
-CHANGE_OUT = "page_key long, seq long, content_hash string"
-
-
-def _change_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-    last_hash, last_seq = state.get if state.exists else (None, None)
-    pdf = pd.concat(list(pdfs)).sort_values("seq")
-    rows = []
-    for seq, h in pdf[["seq", "content_hash"]].itertuples(index=False):
-        if last_seq is not None and seq <= last_seq:
-            continue
-        if last_hash is None or h != last_hash:
-            rows.append({"page_key": key[0], "seq": seq, "content_hash": h})
-        last_hash, last_seq = h, seq
-    state.update((last_hash, last_seq))
-    yield pd.DataFrame(rows, columns=["page_key", "seq", "content_hash"])
+def current_tasks(spark: SparkSession, path: str) -> DataFrame:
+    """Tasks of the newest micro-batch of each URL; a URL whose last row holds
+    no task has none."""
+    t = spark.read.parquet(path).filter(~F.col("due"))
+    last = t.groupBy("url").agg(F.max("batch").alias("batch"))
+    return t.join(last, ["url", "batch"]).filter(F.col("state").isNotNull()).drop("batch", "due", "late")
 
 
 def content_change_stream(observations: DataFrame, key: str, seq: str, text: str, out_path: str,
                           checkpoint: str) -> None:
-    """Emit observations whose md5 differs from the last one kept in state."""
+    """Store the md5 of each observation, micro-batch by micro-batch; whether
+    it is a change depends on its neighbours in ``seq``, which may come later,
+    and is answered by ``content_changes``."""
     o = observations.select(F.col(key).alias("page_key"), F.col(seq).alias("seq"),
                             F.md5(F.col(text)).alias("content_hash"))
-    ship_package(observations.sparkSession)
-    out = o.groupBy("page_key").applyInPandasWithState(
-        _change_fn, CHANGE_OUT, CHANGE_STATE, "append", GroupStateTimeout.NoTimeout)
-    run_available_now(out, checkpoint, batch_folder_writer(out_path), output_mode="append")
+    run_available_now(o, checkpoint, batch_folder_writer(out_path))
+
+
+def content_changes(spark: SparkSession, path: str) -> DataFrame:
+    """Stored observations that differ from the one before (the first included)."""
+    from ..operators.scan import bucketed_lag, range_chunks
+    d = range_chunks(spark.read.parquet(path).drop("batch"), ["page_key"], ["seq"])
+    d = bucketed_lag(d, ["page_key"], ["seq"], F.col("_chunk"), ["content_hash"])
+    changed = ~F.col("has_prev") | (F.col("content_hash") != F.col("prev_content_hash"))
+    return d.filter(changed).select("page_key", "seq", "content_hash")
 
 
 def publish_stream(rows: DataFrame, checkpoint: str, servers: str | None = None, path: str | None = None,
