@@ -89,7 +89,8 @@ def probability_jaccard(ha, wa, hb, wb) -> float:
 
 
 def _fingerprint_rows(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int, rows: int) -> DataFrame:
-    """(id, k1, k2, bands): k1, k2 hash the word sequence (null: no words)."""
+    """(id, k1, k2, n, total, top, bands): k1, k2 hash the word sequence (null:
+    no words); n shingles weigh total, the heaviest top."""
     def run(batches):
         for batch, texts in text_chunks(batches, budget=1 << 19):
             wptr, words = word_hashes(texts)
@@ -101,17 +102,31 @@ def _fingerprint_rows(docs: DataFrame, id_col: str, text_col: str, k: int, bands
                 np.cumsum(mix((words ^ _U(salt)) * (place | _U(1))), out=total[1:])
                 keys.append((total[wptr[1:]] - total[wptr[:-1]]).view(np.int64))
             ptr, hashes, counts = weighted(*shingle_hashes(wptr, words, k))
-            sig = signatures(ptr, hashes, 1.0 + np.log(counts), bands * rows)
+            weights = 1.0 + np.log(counts)
+            sig = signatures(ptr, hashes, weights, bands * rows)
+            sums = np.concatenate([[0.0], np.cumsum(weights)])
+            top = np.zeros(len(texts))
+            np.maximum.at(top, np.repeat(np.arange(len(texts)), np.diff(ptr)), weights)
             found = band_keys(sig, bands, rows)
             none = n_words == 0
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * bands),
                                              pa.array(found.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(x, mask=none) for x in keys), lists],
-                names=["id", "k1", "k2", "bands"])
+                [batch.column(0), *(pa.array(x, mask=none) for x in keys), pa.array(np.diff(ptr).astype(np.int64)),
+                 pa.array(sums[ptr[1:]] - sums[ptr[:-1]]), pa.array(top), lists],
+                names=["id", "k1", "k2", "n", "total", "top", "bands"])
 
     rows_in = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows_in.mapInArrow(run, "id bigint, k1 bigint, k2 bigint, bands array<bigint>")
+    return rows_in.mapInArrow(
+        run, "id bigint, k1 bigint, k2 bigint, n bigint, total double, top double, bands array<bigint>")
+
+
+def _may_reach(x, y, threshold: float):
+    """False only if two texts' sizes rule out J_P >= threshold: each shared
+    shingle adds at most its share of either text's weight."""
+    shared = F.least(x["n"], y["n"])
+    return ((shared * x["top"] >= (threshold - 1e-9) * x["total"])
+            & (shared * y["top"] >= (threshold - 1e-9) * y["total"]))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -186,23 +201,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ship_package(docs.sparkSession)
     prints = _saved(_fingerprint_rows(docs, id_col, text_col, words, bands, rows), "prints")
     known = prints.filter(F.col("k1").isNotNull() & F.col("id").isNotNull())
-    first = _saved(known.groupBy("k1", "k2").agg(F.min_by(F.struct("id", "bands"), "id").alias("f"))
-                   .select("k1", "k2", F.col("f.id").alias("id"), F.col("f.bands").alias("bands")), "first")
-    held = first.select("id", F.posexplode("bands").alias("band", "key"))
-    buckets = held.groupBy("band", "key").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z")
-    buckets = _saved(buckets.select("band", "key", "a"), "buckets")
+    first = _saved(known.groupBy("k1", "k2").agg(F.min_by(F.struct("id", "n", "total", "top", "bands"), "id").alias("f"))
+                   .select("k1", "k2", "f.*"), "first")
+    held = first.select(F.struct("id", "n", "total", "top").alias("doc"), F.posexplode("bands").alias("band", "key"))
+    buckets = held.groupBy("band", "key").agg(F.min("doc").alias("lead"), F.max("doc.id").alias("z"))
+    buckets = _saved(buckets.filter("lead.id < z").select("band", "key", "lead"), "buckets")
     member = _saved(held.join(buckets, ["band", "key"]), "member")
-    pairs = _saved(member.filter("a < id").select("a", F.col("id").alias("b")).distinct(), "pairs")
-    if pairs.isEmpty():
+    pairs = member.filter((F.col("lead.id") < F.col("doc.id")) & _may_reach(F.col("lead"), F.col("doc"), threshold))
+    pairs = _saved(pairs.select(F.col("lead.id").alias("a"), F.col("doc.id").alias("b")).distinct(), "pairs")
+    if member.isEmpty():
         classes = None
     else:
-        nodes = member.select("id").distinct()
+        nodes = member.select("doc.id").distinct()
         texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
         texts = _saved(texts.join(nodes, "id", "left_semi").dropDuplicates(["id"]), "texts")
         links = _saved(_verified(pairs, texts, words, threshold).select("a", "b"), "links")
         classes = components(links)
         while True:
-            more = _saved(_cross_pairs(member, classes, pairs), "more")
+            more = _saved(_cross_pairs(member, classes, pairs, threshold), "more")
             if more.isEmpty():
                 break
             new = _saved(_verified(more, texts, words, threshold).select("a", "b"), "links")
@@ -220,23 +236,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select(F.col("id").alias(id_col), own.alias("class_id"))
 
 
-def _cross_pairs(member: DataFrame, classes: DataFrame, tested: DataFrame) -> DataFrame:
-    """Untested pairs of different classes that share a band: in bands with
-    several classes, each member outside the band's first class is paired with
-    its next neighbours in key order of another class."""
+def _cross_pairs(member: DataFrame, classes: DataFrame, tested: DataFrame, threshold: float) -> DataFrame:
+    """Untested pairs of different classes that share a band: in bands that
+    hold several classes, each member is paired with those of the next members
+    by size that have another class and a size that can reach the threshold."""
     label = classes.withColumnRenamed("node", "id")
-    held = member.join(label, "id", "left").select("band", "key", "id", F.coalesce("class", "id").alias("class"))
-    held = _saved(held, "held")
+    held = member.select("band", "key", "doc", F.col("doc.id").alias("id")).join(label, "id", "left")
+    held = _saved(held.select("band", "key", "doc", F.coalesce("class", "id").alias("class")), "held")
     mixed = held.groupBy("band", "key").agg(F.min("class").alias("low"), F.max("class").alias("high"),
-                                           F.count(F.lit(1)).alias("n"))
-    mixed = _saved(mixed.filter("low < high").select("band", "key", "n"), "mixed")
+                                           F.count(F.lit(1)).alias("members"))
+    mixed = _saved(mixed.filter("low < high").select("band", "key", "members"), "mixed")
     # a large bucket is cut into runs of one hash range, so that no window holds a whole group
-    run = F.when(F.col("n") > 4096, F.pmod(F.xxhash64("id", "band"), F.ceil(F.col("n") / 1024)))
+    run = F.when(F.col("members") > 512, F.pmod(F.xxhash64("doc.id", "band"), F.ceil(F.col("members") / 256)))
     inside = held.join(mixed, ["band", "key"]).withColumn("run", F.coalesce(run, F.lit(0)))
-    w = Window.partitionBy("band", "key", "run").orderBy(F.xxhash64("id", "key"), "id")
+    w = Window.partitionBy("band", "key", "run").orderBy("doc.n", F.xxhash64("doc.id", "key"), "doc.id")
     follow = inside.select(
-        "id", "class", *[F.lead(F.struct("id", "class"), j).over(w).alias(f"n{j}") for j in range(1, NEIGHBOURS + 1)])
-    near = F.filter(F.array(*[f"n{j}" for j in range(1, NEIGHBOURS + 1)]), lambda x: x.isNotNull())
-    pairs = (follow.select("id", "class", F.explode(near).alias("n")).filter(F.col("class") != F.col("n.class"))
-             .select(F.least("id", "n.id").alias("a"), F.greatest("id", "n.id").alias("b")).distinct())
+        "doc", "class", *[F.lead(F.struct("doc", "class"), j).over(w).alias(f"n{j}") for j in range(1, NEIGHBOURS + 1)])
+    near = F.filter(F.array(*[f"n{j}" for j in range(1, NEIGHBOURS + 1)]), lambda x: x.isNotNull()
+                    & (x["class"] != F.col("class")) & _may_reach(x["doc"], F.col("doc"), threshold))
+    pairs = (follow.select("doc.id", F.explode(near).alias("n"))
+             .select(F.least("id", "n.doc.id").alias("a"), F.greatest("id", "n.doc.id").alias("b")).distinct())
     return pairs.join(tested, ["a", "b"], "left_anti")
