@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import errors as E
 from ..functions.text import reason_preview
 from .joins import contains_like_join
-from .scan import ordered_fold, range_chunks
+from .scan import bucketed_prefix, range_chunks
 
 URL_KEY_CHARS = 255
 FAILED_RETRY_LIMIT = 3
@@ -159,40 +159,20 @@ def failure_events(fetches: DataFrame, policy: DataFrame) -> DataFrame:
     return E.with_policy(ev, policy)
 
 
-_TASK_FIELDS = ("site", "rc", "error_category", "error_message", "status_code", "first_failed_at",
-                "last_failed_at", "next_retry_at")
-
-
-def _zero_state():
-    task = F.struct(F.lit(None).cast("string").alias("site"), F.lit(None).cast("int").alias("rc"), F.lit(None).cast("string").alias("error_category"),
-                    F.lit(None).cast("string").alias("error_message"),
-                    F.lit(None).cast("int").alias("status_code"),
-                    F.lit(None).cast("timestamp_ntz").alias("first_failed_at"),
-                    F.lit(None).cast("timestamp_ntz").alias("last_failed_at"),
-                    F.lit(None).cast("timestamp_ntz").alias("next_retry_at"))
-    return F.struct(task.alias("pending"), task.alias("permanent"))
-
-
-def _lifecycle_step(acc, x):
-    p = acc["pending"]
-    has = p["rc"].isNotNull()
-    rc = F.when(has, p["rc"] + 1).otherwise(F.lit(0))
-    first = F.when(has, p["first_failed_at"]).otherwise(x["ts"])
-    retry = rc < x["max_retries"]
-    nxt = E.next_retry_at(x["ts"], rc, x["min_delay"], x["max_delay"])
-    # a task belongs to the site of the failure that opened it
-    site = F.when(has, p["site"]).otherwise(x["site"])
-    task = F.struct(site.alias("site"), rc.alias("rc"), x["error_category"].alias("error_category"),
-                    x["error_message"].alias("error_message"), x["status_code"].alias("status_code"),
-                    first.alias("first_failed_at"), x["ts"].alias("last_failed_at"),
-                    # a task that stops retrying keeps its last planned time
-                    F.when(retry, nxt).otherwise(p["next_retry_at"]).alias("next_retry_at"))
-    none = _zero_state()["pending"]
-    on_fail = F.struct(
-        F.when(retry, task).otherwise(none).alias("pending"),
-        F.when(retry, acc["permanent"]).otherwise(task).alias("permanent"))
-    on_ok = F.struct(none.alias("pending"), acc["permanent"].alias("permanent"))
-    return F.when(x["success"], on_ok).otherwise(on_fail)
+def _retry_steps(events: Column, most: int) -> Column:
+    """For each start (no pending task: -1, else its retry count up to ``most``
+    - 1) the end after a chunk's events, and the chunk's last failure that
+    stopped retrying: an array of (rc, gone, gone_rc)."""
+    def step(acc, x):
+        rc = acc["rc"] + 1
+        stop = ~x["success"] & (rc >= x["max_retries"])
+        return F.struct(F.when(x["success"] | stop, F.lit(-1)).otherwise(rc).alias("rc"),
+                        F.when(stop, x["seq"]).otherwise(acc["gone"]).alias("gone"),
+                        F.when(stop, rc).otherwise(acc["gone_rc"]).alias("gone_rc"))
+
+    return F.transform(F.sequence(F.lit(-1), F.lit(max(most - 1, -1))), lambda start: F.aggregate(
+        events, F.struct(start.alias("rc"), F.lit(None).cast("long").alias("gone"),
+                         F.lit(None).cast("int").alias("gone_rc")), step))
 
 
 def failure_lifecycle(fetches: DataFrame, policy: DataFrame, n_chunks: int | None = None) -> DataFrame:
@@ -202,26 +182,55 @@ def failure_lifecycle(fetches: DataFrame, policy: DataFrame, n_chunks: int | Non
     A new failure opens a pending task (retry_count 0); a repeat adds one;
     past the category's limit the task becomes permanent (a later failure
     opens a fresh pending task); a success removes the pending task.
+
+    The retry count is all that one failure passes on to the next, and it has
+    few values.  So each chunk of a URL's events is summarised for every count
+    it may start with, the summaries of a URL are applied one after the other,
+    and the tasks that are left are looked up by the numbers of their failures:
+    a fixed number of jobs, however many chunks a URL has.
     """
-    ev = range_chunks(failure_events(fetches, policy), ["url"], ["ts", "event_id"], n_chunks, materialize=False)
-    folded = ordered_fold(ev, ["url"], ["ts", "event_id"],
-                          ["site", "success", "status_code", "error_category", "error_message",
-                           "max_retries", "min_delay", "max_delay"],
-                          F.col("_chunk"), _zero_state(), _lifecycle_step)
-    tasks = folded.select("url", F.explode(F.array(
-                              F.struct(F.lit("pending").alias("state"), F.col("state.pending").alias("t")),
-                              F.struct(F.lit("permanent").alias("state"), F.col("state.permanent").alias("t"))))
-                          .alias("x"))
-    tasks = tasks.filter(F.col("x.t.rc").isNotNull())
-    return tasks.select(
-        F.col("x.state").alias("state"), "url", F.col("x.t.site").alias("site_name"),
-        F.col("x.t.error_category").alias("error_category"),
-        F.col("x.t.error_message").alias("error_message"),
-        F.col("x.t.status_code").alias("status_code"),
-        F.col("x.t.rc").alias("retry_count"),
-        F.col("x.t.first_failed_at").alias("first_failed_at"),
-        F.col("x.t.last_failed_at").alias("last_failed_at"),
-        F.col("x.t.next_retry_at").alias("next_retry_at"))
+    ev = range_chunks(failure_events(fetches, policy), ["url"], ["ts", "event_id"], n_chunks)
+    ev = bucketed_prefix(ev, ["url"], ["ts", "event_id"], F.col("_chunk"), "seq",
+                         F.when(F.col("success"), 0).otherwise(1))
+    most = ev.agg(F.max("max_retries")).first()[0] or 0
+    events = F.array_sort(F.collect_list(F.struct("ts", "event_id", "success", "max_retries", "seq")))
+    chunks = ev.groupBy("url", "_chunk").agg(events.alias("e"), F.max("seq").alias("last"))
+    chunks = chunks.select("url", F.struct("_chunk", "last", _retry_steps(F.col("e"), most).alias("steps")).alias("c"))
+    zero = F.struct(F.lit(-1).alias("rc"), F.lit(None).cast("long").alias("gone"),
+                    F.lit(None).cast("int").alias("gone_rc"), F.lit(0).cast("long").alias("last"))
+
+    def follow(acc, c):
+        end = F.element_at(c["steps"], acc["rc"] + 2)
+        return F.struct(end["rc"].alias("rc"), F.coalesce(end["gone"], acc["gone"]).alias("gone"),
+                        F.when(end["gone"].isNotNull(), end["gone_rc"]).otherwise(acc["gone_rc"]).alias("gone_rc"),
+                        F.greatest(acc["last"], c["last"]).alias("last"))
+
+    # one small row per chunk of a URL
+    per_url = chunks.groupBy("url").agg(F.aggregate(F.array_sort(F.collect_list("c")), zero, follow).alias("s"))
+    left = per_url.select("url", F.explode(F.array(
+        F.struct(F.lit("pending").alias("state"), F.col("s.last").alias("seq"), F.col("s.rc").alias("rc")),
+        F.struct(F.lit("permanent").alias("state"), F.col("s.gone").alias("seq"), F.col("s.gone_rc").alias("rc"))))
+        .alias("t")).filter((F.col("t.rc") >= 0) & F.col("t.seq").isNotNull())
+    # the failures that opened the task, came before the last one, and were the last
+    needs = left.select("url", "t.*", F.explode(F.array(
+        F.struct(F.lit("first").alias("part"), (F.col("t.seq") - F.col("t.rc")).alias("at")),
+        F.struct(F.lit("before").alias("part"), F.when(F.col("t.rc") > 0, F.col("t.seq") - 1).alias("at")),
+        F.struct(F.lit("last").alias("part"), F.col("t.seq").alias("at")))).alias("n"))
+    failures = ev.filter(~F.col("success")).select(
+        "url", F.col("seq").alias("at"), F.struct("site", "ts", "status_code", "error_category", "error_message",
+                                                  "min_delay", "max_delay").alias("f"))
+    found = needs.select("url", "state", "rc", "n.part", "n.at").filter(F.col("at").isNotNull()).join(
+        failures, ["url", "at"])
+    of = {p: F.max(F.when(F.col("part") == p, F.col("f"))).alias(p) for p in ("first", "before", "last")}
+    task = found.groupBy("url", "state", "rc").agg(*of.values())
+    # a task that stops retrying keeps its last planned time
+    planned = F.when(F.col("state") == "pending", E.next_retry_at(
+        F.col("last.ts"), F.col("rc"), F.col("last.min_delay"), F.col("last.max_delay"))).otherwise(E.next_retry_at(
+            F.col("before.ts"), F.col("rc") - 1, F.col("before.min_delay"), F.col("before.max_delay")))
+    return task.select("state", "url", F.col("first.site").alias("site_name"), "last.error_category",
+                       "last.error_message", "last.status_code", F.col("rc").alias("retry_count"),
+                       F.col("first.ts").alias("first_failed_at"), F.col("last.ts").alias("last_failed_at"),
+                       planned.alias("next_retry_at"))
 
 
 def ready_tasks(tasks: DataFrame, now, limit: int = 10) -> DataFrame:

@@ -58,10 +58,10 @@ def request_gap_wait(fetches: DataFrame, delays: DataFrame, n_chunks: int | None
 
 def trailing_request_rate(fetches: DataFrame, limit: int = GLOBAL_RATE_LIMIT,
                           window_seconds: int = GLOBAL_WINDOW_SECONDS, by=("domain",),
-                          bucket_seconds: int = 600) -> DataFrame:
+                          n_chunks: int | None = None) -> DataFrame:
     """Requests in the trailing window (t - 60 s, t], the over-limit flag and
     the wait until the oldest request leaves the window."""
-    d = trailing_count(fetches, list(by), "ts", window_seconds * 1000000, bucket_seconds)
+    d = trailing_count(fetches, list(by), "ts", window_seconds * 1000000, n_chunks)
     over = F.col("n_trailing") > limit
     wait = (epoch_micros("oldest_ts") + window_seconds * 1000000 - epoch_micros("ts")) / 1000000.0
     return d.withColumn("over_limit", over).withColumn("wait_seconds", F.when(over, wait))

@@ -11,8 +11,8 @@ chunks from ``range_chunks`` (the default everywhere) or time buckets:
   first row of a bucket the last row of the nearest earlier bucket);
 * ``bucketed_prefix``   – running sum / max within a key (local running value
   plus the exclusive prefix over the per-bucket totals);
-* ``trailing_count``    – count / min over a trailing time range, with the
-  rows near a time-bucket edge copied into the next bucket as context;
+* ``trailing_count``    – count / min over a trailing time range, from running
+  sums over entering and leaving rows;
 * ``ordered_fold``      – a sequential state machine (``aggregate`` over the
   sorted events of one bucket) whose start state per bucket is found by a
   fixpoint loop over the bucket summaries.
@@ -94,32 +94,34 @@ def bucketed_prefix(df: DataFrame, keys: Sequence[str], order: Sequence[str], bu
 
 
 def trailing_count(df: DataFrame, keys: Sequence[str], ts: str, width_micros: int,
-                   bucket_seconds: int = 600) -> DataFrame:
+                   n_chunks: int | None = None) -> DataFrame:
     """Rows of the same key with ``ts`` in (t - width, t], and the oldest such ``ts``.
 
     Adds ``n_trailing`` (current row and peers with the same ts included) and
-    ``oldest_ts``.  With no keys the count is global; buckets still spread it
-    over many tasks.
+    ``oldest_ts``.  With no keys the count is global.  Work is linear however
+    many rows a window holds: a row adds one at its time and takes it back
+    ``width`` later, so the counts are running sums over distinct times; the
+    oldest time is the one whose rank follows the last expired.
     """
     keys = list(keys)
-    bw = bucket_seconds * 1000000
-    if width_micros > bw:
-        raise ValueError("bucket must be at least as wide as the window")
-    d = df.withColumn("_t", epoch_micros(ts)).withColumn("_b", F.floor(F.col("_t") / bw).cast("long"))
-    # copy rows close to the end of a bucket into the next bucket as context
-    ctx = (d.filter(F.col("_t") >= (F.col("_b") + 1) * bw - width_micros)
-           .withColumn("_b", F.col("_b") + 1).withColumn("_ctx", F.lit(True)))
-    d = d.withColumn("_ctx", F.lit(False)).unionByName(ctx)
-    w = (Window.partitionBy(*keys, "_b").orderBy("_t")
-         .rangeBetween(-(width_micros - 1), Window.currentRow))
-    d = (d.withColumn("n_trailing", F.count(F.lit(1)).over(w))
-         .withColumn("oldest_ts", F.min(F.col(ts)).over(w)))
-    return d.filter(~F.col("_ctx")).drop("_t", "_b", "_ctx")
+    rows = df.withColumn("_t", epoch_micros(ts))
+    at = rows.groupBy(*keys, "_t").agg(F.count(F.lit(1)).alias("_n"), F.min(ts).alias("_at"))
+    enter = at.select(*keys, "_t", "_n", F.lit(1).alias("_in"), F.lit(0).alias("_out"), "_at")
+    leave = at.select(*keys, (F.col("_t") + width_micros).alias("_t"), (-F.col("_n")).alias("_n"),
+                      F.lit(0).alias("_in"), F.lit(1).alias("_out"), F.lit(None).cast("timestamp_ntz").alias("_at"))
+    steps = enter.unionByName(leave).groupBy(*keys, "_t").agg(
+        *[F.sum(c).alias(c) for c in ("_n", "_in", "_out")], F.max("_at").alias("_at"))
+    steps = range_chunks(steps, keys, ["_t"], n_chunks)
+    for name, value in (("n_trailing", "_n"), ("_rank", "_in"), ("_expired", "_out")):
+        steps = bucketed_prefix(steps, keys, ["_t"], F.col("_chunk"), name, F.col(value))
+    steps = cut_lineage(steps.filter(F.col("_at").isNotNull()).drop("_chunk", "_n", "_in", "_out"))
+    oldest = steps.select(*keys, (F.col("_rank") - 1).alias("_expired"), F.col("_at").alias("oldest_ts"))
+    found = steps.select(*keys, "_t", "n_trailing", "_expired").join(oldest, [*keys, "_expired"]).drop("_expired")
+    return rows.join(found, [*keys, "_t"], "left").drop("_t")
 
 
 def ordered_fold(events: DataFrame, keys: Sequence[str], order: Sequence[str], payload: Sequence[str],
-                 bucket: Column, zero: Column, step: Callable[[Column, Column], Column],
-                 max_rounds: int = 10000) -> DataFrame:
+                 bucket: Column, zero: Column, step: Callable[[Column, Column], Column]) -> DataFrame:
     """Final state per key of ``state = step(state, event)`` over events in order.
 
     Events of a key are cut into buckets; each bucket is folded with
@@ -147,7 +149,7 @@ def ordered_fold(events: DataFrame, keys: Sequence[str], order: Sequence[str], p
     state = buckets.select(*keys, "_b", zero.alias("_in"), fold(zero).alias("_out"))
     state = cut_lineage(state)
     wb = Window.partitionBy(*keys).orderBy("_b")
-    for _ in range(max_rounds):
+    while True:
         # one row per (key, bucket): the window here orders bucket summaries only
         expect = state.withColumn("_want", F.coalesce(F.lag("_out").over(wb), zero))
         changed = expect.filter(~F.col("_want").eqNullSafe(F.col("_in"))).select(*keys, "_b", "_want")
@@ -158,8 +160,6 @@ def ordered_fold(events: DataFrame, keys: Sequence[str], order: Sequence[str], p
                         F.aggregate(F.col("_events"), F.col("_want"), step).alias("_out")))
         state = cut_lineage(state.join(changed.select(*keys, "_b"), [*keys, "_b"], "left_anti")
                             .unionByName(redo))
-    else:
-        raise RuntimeError("ordered_fold did not converge")
     return state.groupBy(*keys).agg(F.max_by("_out", "_b").alias("state"))
 
 

@@ -98,7 +98,7 @@ def test_trailing_count_matches_brute_force(spark):
     rows = make_events(500, 5)
     df = spark.createDataFrame(rows, SCHEMA)
     got = {r["event_id"]: r["n_trailing"] for r in
-           trailing_count(df, ["domain"], "ts", 60_000_000, bucket_seconds=120).collect()}
+           trailing_count(df, ["domain"], "ts", 60_000_000, n_chunks=5).collect()}
     for eid, ts, dom, *_ in rows:
         n = sum(1 for e2, t2, d2, *_ in rows if d2 == dom and ts - dt.timedelta(seconds=60) < t2 <= ts)
         assert got[eid] == n
@@ -194,3 +194,29 @@ def test_fold_with_tiny_chunks(spark, monkeypatch):
     monkeypatch.setattr(RT, "range_chunks", lambda *a, **k: orig(*a, **{**k, "chunk_rows": 8}))
     got = {r["domain"]: tuple(r) for r in RT.domain_throttle_fold(df, delays, n_chunks=5).collect()}
     assert got == ref
+
+
+def test_task_takes_the_site_of_its_opening_failure(spark):
+    rows = [(1, T0, "siteA", "u", False), (2, T0 + dt.timedelta(1), "siteA", "u", True),
+            (3, T0 + dt.timedelta(2), "siteB", "u", False), (4, T0 + dt.timedelta(3), "siteC", "u", False)]
+    df = spark.createDataFrame([(*r, None, "TimeoutError", "") for r in rows],
+                               "event_id long, ts timestamp_ntz, site string, url string, success boolean, "
+                               "status_code int, error_name string, props string")
+    got = FL.failure_lifecycle(df, E.policy_table(spark), n_chunks=3).collect()
+    assert [(r["state"], r["site_name"], r["retry_count"], r["first_failed_at"]) for r in got] == [
+        ("pending", "siteB", 1, T0 + dt.timedelta(2))]
+
+
+@pytest.mark.parametrize("chunks", [4, 64])
+def test_lifecycle_jobs_do_not_grow_with_chunks(spark, chunks):
+    rnd = random.Random(1)
+    rows = [(i, T0 + dt.timedelta(minutes=i), "s", "u", rnd.random() < 0.1, 500, "OSError", "") for i in range(2000)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, site string, url string, success boolean, "
+                                     "status_code int, error_name string, props string")
+    group = f"lifecycle-{chunks}"
+    spark.sparkContext.setJobGroup(group, group)
+    got = {tuple(r) for r in FL.failure_lifecycle(df, E.policy_table(spark), n_chunks=chunks).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setJobGroup("other", "other")
+    assert got == {tuple(r) for r in FL.failure_lifecycle(df, E.policy_table(spark), n_chunks=1).collect()}
+    assert jobs <= 30

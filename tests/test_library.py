@@ -79,7 +79,7 @@ def test_seeded_jitter_in_bounds(spark):
 def test_global_trailing_count(spark):
     rows = [(i, T0 + dt.timedelta(seconds=25 * i)) for i in range(40)]
     df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz")
-    got = {r["event_id"]: r["n_trailing"] for r in trailing_count(df, [], "ts", 60_000_000, 120).collect()}
+    got = {r["event_id"]: r["n_trailing"] for r in trailing_count(df, [], "ts", 60_000_000, 5).collect()}
     assert got == {i: min(i + 1, 3) for i in range(40)}
 
 
