@@ -2,10 +2,10 @@
 
 Pages are joined to their site's selector spec (a small, broadcast table) and
 parsed partition by partition with ``mapInPandas``: the stdlib HTML parser
-builds a light element tree, and a small selector matcher supports what the
-site specs use — tag, ``.class`` chains, ``#id``, ``[attr^=value]``,
-``:nth-child(n)``, escaped class characters, and the descendant and ``>``
-combinators.  Texts of all matches of a ``multiple`` field are joined with a
+builds a light element tree, and a small selector matcher supports tag,
+``.class`` chains, ``#id``, attribute tests, ``:nth-child(an+b)``, first and
+last child, escaped characters, the descendant and ``>`` combinators and lists;
+any other selector raises an error.  Texts of all matches of a ``multiple`` field are joined with a
 newline.
 """
 
@@ -29,22 +29,23 @@ CLOSES_P = {"p", "div", "article", "section", "ul", "ol", "table", "h1", "h2", "
 
 
 class _Node:
-    __slots__ = ("tag", "attrs", "children", "parent", "texts")
+    __slots__ = ("tag", "attrs", "children", "parent", "texts", "place", "order")
 
-    def __init__(self, tag, attrs, parent):
+    def __init__(self, tag, attrs, parent, order=0):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.children, self.texts = [], []
+        self.place = len(parent.children) + 1 if parent else 1  # among its siblings
+        self.order = order
 
     def text(self) -> str:
-        out = []
-
-        def walk(n):
-            for piece in n.texts:
-                if isinstance(piece, str):
-                    out.append(piece)
-                else:
-                    walk(piece)
-        walk(self)
+        """All text below the node, in order (a stack, so depth costs no recursion)."""
+        out, todo = [], [self]
+        while todo:
+            piece = todo.pop()
+            if isinstance(piece, str):
+                out.append(piece)
+            else:
+                todo.extend(reversed(piece.texts))
         return "".join(out)
 
 
@@ -53,23 +54,26 @@ class _TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = _Node("#root", {}, None)
         self.cur = self.root
-        self.skip = 0
+        self.skip = self.count = 0
+
+    def _add(self, tag, attrs):
+        self.count += 1
+        node = _Node(tag, {k: (v or "") for k, v in attrs}, self.cur, self.count)
+        self.cur.children.append(node)
+        self.cur.texts.append(node)
+        return node
 
     def handle_starttag(self, tag, attrs):
         if tag in CLOSES_P:
             self._close("p", stop_at_block=True)
-        node = _Node(tag, {k: (v or "") for k, v in attrs}, self.cur)
-        self.cur.children.append(node)
-        self.cur.texts.append(node)
+        node = self._add(tag, attrs)
         if tag not in VOID:
             self.cur = node
         if tag in ("script", "style"):
             self.skip += 1
 
     def handle_startendtag(self, tag, attrs):
-        node = _Node(tag, {k: (v or "") for k, v in attrs}, self.cur)
-        self.cur.children.append(node)
-        self.cur.texts.append(node)
+        self._add(tag, attrs)
 
     def _close(self, tag, stop_at_block=False):
         n = self.cur
@@ -91,97 +95,128 @@ class _TreeBuilder(HTMLParser):
             self.cur.texts.append(data)
 
 
-_COMPOUND = re.compile(r"(\\.|[^\s>])+")
-
-
-def _parse_compound(s: str):
-    """'div.a.b#x[id^=y]:nth-child(n)' -> (tag, classes, id, prefix_attrs, nth)."""
-    tag, classes, ident, prefixes, nth = None, [], None, [], None
-    i, n = 0, len(s)
-
-    def name(j):
-        out = []
-        while j < n and (s[j] not in ".#[:" or s[j - 1] == "\\"):
-            if s[j] == "\\" and j + 1 < n:
-                out.append(s[j + 1])
-                j += 2
-                continue
-            out.append(s[j])
-            j += 1
-        return "".join(out), j
-
-    if i < n and s[i] not in ".#[:":
-        tag, i = name(i)
-    while i < n:
-        c = s[i]
-        if c == ".":
-            v, i = name(i + 1)
-            classes.append(v)
-        elif c == "#":
-            ident, i = name(i + 1)
-        elif c == "[":
-            j = s.index("]", i)
-            m = re.match(r"\s*([\w-]+)\s*\^=\s*['\"]?([^'\"]*)['\"]?\s*", s[i + 1:j])
-            if m:
-                prefixes.append((m.group(1), m.group(2)))
-            i = j + 1
-        elif c == ":":
-            m = re.match(r":nth-child\(([^)]*)\)", s[i:])
-            nth = m.group(1).strip() if m else None
-            i += m.end() if m else len(s)
+_NAME = r"(?:\\.|[^\s.#\[:>,()\\])+"
+_SIMPLE = re.compile(
+    rf"""(?P<tag>^(?:\*|{_NAME}))|\.(?P<cls>{_NAME})|\#(?P<id>{_NAME})
+    |\[\s*(?P<attr>[\w-]+)\s*(?:(?P<op>[~|^$*]?=)\s*(?P<val>"[^"]*"|'[^']*'|[^\]\s]*)\s*)?\]
+    |:(?P<pseudo>first-child|last-child|nth-child\((?P<nth>[^)]*)\))""", re.X)
+_ATTRIBUTE_TESTS = {
+    None: lambda have, want: True, "=": lambda have, want: have == want,
+    "~=": lambda have, want: want in have.split(), "|=": lambda have, want: have == want or have.startswith(want + "-"),
+    "^=": lambda have, want: bool(want) and have.startswith(want), "$=": lambda have, want: bool(want) and have.endswith(want),
+    "*=": lambda have, want: bool(want) and want in have}
+
+
+def _nth(text: str) -> tuple[int, int]:
+    """'2n+1', 'odd', 'even', '3', 'n' -> (a, b) of a*n + b."""
+    t = text.replace(" ", "").lower()
+    t = {"odd": "2n+1", "even": "2n"}.get(t, t)
+    m = re.fullmatch(r"([+-]?\d*)n([+-]\d+)?|([+-]?\d+)", t)
+    if not m:
+        raise ValueError(f"unsupported :nth-child({text})")
+    if m.group(3):
+        return 0, int(m.group(3))
+    a = m.group(1)
+    return (int(a + "1") if a in ("", "+", "-") else int(a)), int(m.group(2) or 0)
+
+
+def _parse_compound(s: str) -> list:
+    """Tests of one compound selector, such as div.a#x[id^=y]:nth-child(2n+1)."""
+    tests, at = [], 0
+    while at < len(s):
+        m = _SIMPLE.match(s, at)
+        if not m or m.end() == at:
+            raise ValueError(f"unsupported selector {s!r}")
+        at = m.end()
+        plain = lambda x: re.sub(r"\\(.)", r"\1", x)
+        if m["tag"]:
+            tests.append(("tag", m["tag"].lower()))
+        elif m["cls"]:
+            tests.append(("class", plain(m["cls"])))
+        elif m["id"]:
+            tests.append(("id", plain(m["id"])))
+        elif m["attr"]:
+            val = m["val"] or ""
+            tests.append(("attr", m["attr"].lower(), m["op"], val[1:-1] if val[:1] in "\"'" and val else val))
+        elif m["pseudo"] == "last-child":
+            tests.append(("last",))
         else:
-            i += 1
-    return tag, classes, ident, prefixes, nth
-
-
-def _parse_selector(sel: str):
-    """Selector -> list of (combinator, compound); combinator of the first is None."""
-    parts, comb = [], None
-    for m in re.finditer(r"\s*(>)\s*|\s+|((?:\\.|[^\s>])+)", sel.strip()):
-        if m.group(1):
-            comb = ">"
-        elif m.group(2):
-            parts.append((comb if parts else None, _parse_compound(m.group(2))))
-            comb = " "
-    return parts
-
-
-def _matches(node: _Node, comp) -> bool:
-    tag, classes, ident, prefixes, nth = comp
-    if tag and tag != "*" and node.tag != tag:
-        return False
-    have = node.attrs.get("class", "").split()
-    if any(c not in have for c in classes):
-        return False
-    if ident is not None and node.attrs.get("id") != ident:
-        return False
-    if any(not node.attrs.get(a, "").startswith(p) for a, p in prefixes):
-        return False
-    if nth is not None and nth != "n" and node.parent is not None:
-        sibs = [c for c in node.parent.children]
-        pos = sibs.index(node) + 1
-        if nth.isdigit() and pos != int(nth):
+            tests.append(("nth", *_nth(m["nth"] or "1")))
+    return tests
+
+
+def _parse_selector(sel: str) -> list:
+    """Selector list -> alternatives, each a list of (combinator, tests).
+    An unsupported selector raises ValueError."""
+    out = []
+    for one in re.split(r",(?![^\[(]*[\])])", sel):
+        parts, comb = [], " "
+        for m in re.finditer(r"\s*(>)\s*|(\s+)|((?:\\.|\[[^\]]*\]|\([^)]*\)|[^\s>])+)", one.strip()):
+            if m.group(1):
+                comb = ">"
+            elif m.group(3):
+                parts.append((comb, _parse_compound(m.group(3))))
+                comb = " "
+        if not parts:
+            raise ValueError(f"empty selector {sel!r}")
+        out.append(parts)
+    return out
+
+
+def check_spec(spec: dict) -> dict:
+    """Parse every selector of a spec, so that a bad one fails before any job."""
+    _parse_selector(spec.get("baseSelector") or "*")
+    for f in spec.get("fields", []):
+        _parse_selector(f["selector"])
+    return spec
+
+
+def _matches(node: _Node, tests: list) -> bool:
+    for t in tests:
+        kind = t[0]
+        if kind == "tag":
+            ok = t[1] == "*" or node.tag == t[1]
+        elif kind == "class":
+            ok = t[1] in node.attrs.get("class", "").split()
+        elif kind == "id":
+            ok = node.attrs.get("id") == t[1]
+        elif kind == "attr":
+            ok = t[1] in node.attrs and _ATTRIBUTE_TESTS[t[2]](node.attrs[t[1]], t[3])
+        else:
+            place = node.place
+            if kind == "last":
+                ok = place == len(node.parent.children)
+            else:
+                a, b = t[1], t[2]
+                ok = place == b if a == 0 else (place - b) % a == 0 and (place - b) // a >= 0
+        if not ok:
             return False
     return True
 
 
-def _select(root: _Node, parts) -> list:
-    def descendants(n):
-        for c in n.children:
-            yield c
-            yield from descendants(c)
+def _descendants(node: _Node) -> Iterator[_Node]:
+    todo = list(reversed(node.children))
+    while todo:
+        n = todo.pop()
+        yield n
+        todo.extend(reversed(n.children))
+
 
-    current = [root]
-    for comb, comp in parts:
-        nxt, seen = [], set()
-        for n in current:
-            pool = n.children if comb == ">" else descendants(n)
-            for c in pool:
-                if id(c) not in seen and _matches(c, comp):
-                    seen.add(id(c))
-                    nxt.append(c)
-        current = nxt
-    return current
+def _select(root: _Node, alternatives: list) -> list:
+    """Matching nodes below ``root`` in page order."""
+    found: dict[int, _Node] = {}
+    for parts in alternatives:
+        current = [root]
+        for comb, tests in parts:
+            hits: dict[int, _Node] = {}
+            for n in current:
+                # below a node that stands under another of the list nothing new is found
+                for c in n.children if comb == ">" else _descendants(n):
+                    if id(c) not in hits and _matches(c, tests):
+                        hits[id(c)] = c
+            current = list(hits.values())
+        found.update({id(n): n for n in current})
+    return sorted(found.values(), key=lambda n: n.order)
 
 
 def extract_fields(html: str, spec: dict) -> dict:
@@ -213,7 +248,7 @@ def extract_by_selector(pages: DataFrame, specs: DataFrame | dict, field_names,
     ship_package(pages.sparkSession)
     names = list(field_names)
     if isinstance(specs, dict):
-        j = pages.select(id_col, key, html_col).withColumn("spec", F.lit(json.dumps(specs)))
+        j = pages.select(id_col, key, html_col).withColumn("spec", F.lit(json.dumps(check_spec(specs))))
     else:
         j = pages.select(id_col, key, html_col).join(broadcast_bounded(specs.select(key, "spec")), key)
     out_schema = f"{id_col} long, {key} string, " + ", ".join(f"`{n}` string" for n in names)

@@ -89,7 +89,9 @@ def frontier_walk(edges: DataFrame, seeds: DataFrame, max_depth: int,
     # level joins against it without shuffling (or recomputing) the edges
     n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = "pw_edges_" + root.rsplit("-", 1)[-1]
-    (edges.select(F.col(src).alias("node"), F.col(dst).alias("next")).write.mode("overwrite")
+    # dealt by the same key first, so that a bucket is one file and not one per task
+    (edges.select(F.col(src).alias("node"), F.col(dst).alias("next")).repartition(n_buckets, "node")
+     .sortWithinPartitions("node").write.mode("overwrite")
      .bucketBy(n_buckets, "node").option("path", f"{root}/edges").saveAsTable(table))
     e = spark.table(table)
 

@@ -27,6 +27,7 @@ BASE_SITE_CUTS = {
     "setn": [r"三立新聞網[／\s]", r"記者[\u4e00-\u9fff]+?／[^／]+?報導"],
 }
 
+# Date patterns of the site rules.
 DASH_DATE = r"(\d{4}-\d{2}-\d{2} \d{2}:\d{2})"
 SLASH_DATE = r"(\d{4}/\d{2}/\d{2} \d{2}:\d{2})"
 SLASH_DATE_LOOSE = r"(\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{1,2})"

@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
+from .scan import epoch_micros
+
 
 def articles_total(articles: DataFrame) -> DataFrame:
     return articles.agg(F.count(F.lit(1)).alias("total"))
@@ -55,6 +58,10 @@ def site_stats_all(articles: DataFrame, failed: DataFrame, days: int = 30) -> Da
         .when(F.col("gid") == 5, F.lit("by_category")).otherwise(F.lit("by_date")).alias("stat"),
         F.coalesce("site", "website_category", "day").alias("key"), F.col("value").cast("long"))
     art = art.filter((F.col("stat") != "by_date") | F.col("key").isNotNull())
+    failed = cut_lineage(failed.select("url_key", "status_code", "failed_time"))  # built once for both statistics
+    recent = (failed.orderBy(F.desc("failed_time"), "url_key").limit(10)
+              .select(F.lit("recent_failures").alias("stat"), F.col("url_key").alias("key"),
+                      F.floor(epoch_micros("failed_time") / 1000000).cast("long").alias("value")))
     f = failed.groupingSets([[], ["status_code"]], "status_code").agg(
         F.count(F.lit(1)).alias("value"), F.grouping_id().alias("gid"))
     ftotal = f.filter("gid = 1").select(F.lit("total_failed").alias("stat"),
@@ -62,7 +69,7 @@ def site_stats_all(articles: DataFrame, failed: DataFrame, days: int = 30) -> Da
     fstat = (f.filter("gid = 0").orderBy(F.desc("value"), "status_code").limit(10)
              .select(F.lit("failed_by_status").alias("stat"), F.col("status_code").alias("key"),
                      F.col("value").cast("long")))
-    return art.unionByName(ftotal).unionByName(fstat)
+    return art.unionByName(ftotal).unionByName(fstat).unionByName(recent)
 
 
 @F.pandas_udf(T.StringType())

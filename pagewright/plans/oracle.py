@@ -25,7 +25,7 @@ FROM (SELECT DISTINCT source AS site, CAST(substr(source, 4) AS INT) AS n FROM d
     "fx_article": """SELECT doc_id, source AS site, CAST(substr(source, 4) AS INT) AS site_id, lang AS website_category,
   CASE doc_id % 6 WHEN 0 THEN 'tvbs' WHEN 1 THEN 'udn' WHEN 2 THEN 'setn' WHEN 3 THEN 'ebc' WHEN 4 THEN 'ctee' ELSE 'other' END AS rule_site,
   concat('https://www.', source, '.example.com/', lang, '/', doc_id, CASE WHEN doc_id % 4 = 0 THEN '?page=1' ELSE '' END) AS url,
-  substr(text, 1, 40) AS title,
+  split_part(text, chr(10), 1) AS title,
   concat(CASE doc_id % 5 WHEN 0 THEN '2024-01-05 10:20 ' WHEN 1 THEN '2024/02/06 11:21:31 ' WHEN 2 THEN '2024.03.07 12:22 ' WHEN 3 THEN '2024/3/8 9:05 ' ELSE '' END,
     text,
     CASE doc_id % 7 WHEN 0 THEN concat(chr(10), '影音推薦 tail', chr(10)) WHEN 1 THEN concat(chr(10), '分享  推薦 x', chr(10), 'y')
@@ -43,8 +43,8 @@ FROM documents""",
   props
 FROM events""",
     "fx_existing": "SELECT url FROM fx_article WHERE doc_id % 3 = 0",
-    "fx_edge": """SELECT DISTINCT concat('p', l_partkey) AS src, concat('s', l_suppkey) AS dst FROM lineitem WHERE l_linenumber = 1
-UNION SELECT DISTINCT concat('s', l_suppkey), concat('p', l_partkey) FROM lineitem WHERE l_linenumber = 2""",
+    "fx_edge": """SELECT DISTINCT concat('p', l_partkey) AS src, concat('s', l_suppkey) AS dst FROM lineitem WHERE l_linenumber % 2 = 1
+UNION SELECT DISTINCT concat('s', l_suppkey), concat('p', l_partkey) FROM lineitem WHERE l_linenumber % 2 = 0""",
     "fx_snapshot": "SELECT conv_id AS page_key, turn AS seq, text AS element_text FROM conversations",
     "fx_link": """SELECT page_id, CAST(pos - 1 AS INTEGER) AS pos, href,
   concat(regexp_extract(url, '^([a-z]+)://', 1), '://', regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), href) AS link

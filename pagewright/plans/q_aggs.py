@@ -53,7 +53,9 @@ UNION ALL SELECT 'by_category', website_category, count(*) FROM fx_article GROUP
 UNION ALL SELECT 'by_date', CAST(day AS VARCHAR), n FROM ({BY_DATE_SQL}) d
 UNION ALL SELECT 'total_failed', NULL, count(*) FROM fx_failed
 UNION ALL SELECT * FROM (SELECT 'failed_by_status', status_code, count(*) FROM fx_failed GROUP BY 2
-                         ORDER BY 3 DESC, 2 LIMIT 10) f""")
+                         ORDER BY 3 DESC, 2 LIMIT 10) f
+UNION ALL SELECT * FROM (SELECT 'recent_failures', url_key, CAST(epoch_us(failed_time) // 1000000 AS BIGINT) FROM fx_failed
+                         ORDER BY fx_failed.failed_time DESC, url_key LIMIT 10) g""")
 def site_stats_all(spark, sf):
     return ST.site_stats_all(fx.fx_article(spark, sf), C.failed(spark, sf))
 

@@ -91,7 +91,9 @@ SELECT url, '{"index":{"_index":"article_store"}}' AS action,
 FROM fx_article WHERE url IS NOT NULL AND title IS NOT NULL AND content IS NOT NULL""")
 def sink_index_docs(spark, sf):
     a = fx.fx_article(spark, sf).withColumn("description", F.lit(""))
-    return SK.index_actions(a)
+    path = scratch_path(spark, "bulk")
+    SK.write_bulk_ndjson(SK.index_actions(a), path)
+    return RD.read_bulk_ndjson(spark, path)
 
 
 @query("sink_index_doc_strict", """
@@ -106,13 +108,18 @@ SELECT 'Results' AS topic, url AS key, CAST(to_json({{'url': url, 'title': {D_TI
 def sink_results_stream(spark, sf):
     p = read_table(spark, sf, "pages")
     art = p.select("url", H.html_title("html").alias("title"), H.hrefs("html").alias("next_level_links"))
-    return SK.result_messages(art)
+    path = scratch_path(spark, "results")
+    SK.write_messages(SK.result_messages(art), path)
+    return RD.read_messages(spark, path)
 
 
 @query("sink_tasks_stream", """
-SELECT 'Tasks' AS topic, CAST(to_json({'url': link}) AS VARCHAR) AS value FROM fx_link WHERE link IS NOT NULL AND link <> ''""")
+SELECT 'Tasks_' || CAST(page_id % 3 AS VARCHAR) AS topic, CAST(to_json({'url': link}) AS VARCHAR) AS value FROM fx_link WHERE link IS NOT NULL AND link <> ''""")
 def sink_tasks_stream(spark, sf):
-    return SK.task_messages(fx.fx_link(spark, sf))
+    path = scratch_path(spark, "tasks")
+    SK.write_messages(SK.task_messages(fx.fx_link(spark, sf), topic_col=F.concat(F.lit("Tasks_"), (
+        F.col("page_id") % 3).cast("string"))), path)
+    return RD.read_messages(spark, path).select("topic", "value")
 
 
 @query("src_messages", """
@@ -124,14 +131,25 @@ def src_messages(spark, sf):
 
 @query("sink_run_report", f"""
 SELECT site_name, strftime(start_time, '%Y-%m-%d %H:%M:%S') AS start_time, strftime(end_time, '%Y-%m-%d %H:%M:%S') AS end_time,
-  duration_seconds, total_urls, successful_urls, failed_urls, retry_urls, printf('%.2f%%', success_rate) AS success_rate
-FROM ({REPORT_SQL}) r""")
+  duration_seconds, total_urls, successful_urls, failed_urls, retry_urls, printf('%.2f%%', success_rate) AS success_rate,
+  d.depth_stats, e.error_types
+FROM ({REPORT_SQL}) r
+LEFT JOIN (SELECT site, string_agg(depth || '=' || n, ';' ORDER BY CAST(depth AS VARCHAR)) AS depth_stats
+           FROM (SELECT site, depth, count(*) AS n FROM fx_fetch WHERE success GROUP BY 1, 2) x GROUP BY site) d ON d.site = site_name
+LEFT JOIN (SELECT site, string_agg(t || '=' || n, ';' ORDER BY t) AS error_types
+           FROM (SELECT site, 'Error: ' || coalesce(error_name, 'Unknown error') || ', Status: '
+                        || coalesce(CAST(status_code AS VARCHAR), 'None') AS t, count(*) AS n
+                 FROM fx_fetch WHERE NOT success GROUP BY 1, 2) x GROUP BY site) e ON e.site = site_name""")
 def sink_run_report(spark, sf):
     f = fx.fx_fetch(spark, sf)
     doc = ST.report_document(ST.run_report(f), ST.depth_counts(f), ST.error_type_counts(f))
     path = scratch_path(spark, "run-report")
     SK.write_report(doc, path)
-    return spark.read.schema(FETCH_REPORT).json(path)
+    back = spark.read.schema(FETCH_REPORT).json(path)
+    for c in ("depth_stats", "error_types"):
+        entries = F.transform(F.array_sort(F.map_entries(c)), lambda x: F.concat(x["key"], F.lit("="), x["value"]))
+        back = back.withColumn(c, F.when(F.size(c) > 0, F.array_join(entries, ";")))
+    return back
 
 
 @query("failure_snapshot_roundtrip", """

@@ -57,6 +57,16 @@ def trailing_request_rate(spark, sf):
     return r.select("event_id", "domain", "n_trailing", "over_limit", "wait_seconds")
 
 
+@query("trailing_request_rate_global", """
+SELECT event_id, n_trailing, n_trailing > 10 AS over_limit,
+  CASE WHEN n_trailing > 10 THEN (epoch_us(oldest_ts) + 60000000 - epoch_us(ts)) / 1000000.0 END AS wait_seconds
+FROM (SELECT event_id, ts, count(*) OVER w AS n_trailing, min(ts) OVER w AS oldest_ts FROM fx_fetch
+      WINDOW w AS (ORDER BY epoch_us(ts) RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW)) t""")
+def trailing_request_rate_global(spark, sf):
+    r = RT.trailing_request_rate(fx.fx_fetch(spark, sf).select("event_id", "ts"), by=())
+    return r.select("event_id", "n_trailing", "over_limit", "wait_seconds")
+
+
 @query("consecutive_failures", """
 SELECT event_id, domain, streak AS failure_streak, streak >= 5 AS alarm FROM (
   SELECT event_id, domain, CAST(fails - coalesce(max(CASE WHEN success THEN fails END)

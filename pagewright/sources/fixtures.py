@@ -52,7 +52,7 @@ def article_rows(d: DataFrame) -> DataFrame:
                "WHEN 3 THEN 'ebc' WHEN 4 THEN 'ctee' ELSE 'other' END").alias("rule_site"),
         F.expr("concat('https://www.', source, '.example.com/', lang, '/', doc_id, "
                "CASE WHEN doc_id % 4 = 0 THEN '?page=1' ELSE '' END)").alias("url"),
-        F.expr("substr(text, 1, 40)").alias("title"),
+        F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
         F.expr("""concat(
             CASE doc_id % 5 WHEN 0 THEN '2024-01-05 10:20 ' WHEN 1 THEN '2024/02/06 11:21:31 '
               WHEN 2 THEN '2024.03.07 12:22 ' WHEN 3 THEN '2024/3/8 9:05 ' ELSE '' END,
@@ -101,9 +101,9 @@ def fx_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fx_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Link graph for the frontier walk (start node 'p1'); has cycles."""
     li = read_table(spark, sf_dir, "lineitem")
-    a = li.filter("l_linenumber = 1").select(
+    a = li.filter("l_linenumber % 2 = 1").select(
         F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"))
-    b = li.filter("l_linenumber = 2").select(
+    b = li.filter("l_linenumber % 2 = 0").select(
         F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"))
     return a.union(b).distinct()
 

@@ -89,3 +89,18 @@ def read_failure_snapshot(spark: SparkSession, path: str) -> DataFrame:
         "state", "url", "site_name", "error_category", "error_message", "status_code", "retry_count",
         ts("first_failed_at").alias("first_failed_at"), ts("last_failed_at").alias("last_failed_at"),
         F.when(F.col("state") == "pending", ts("next_retry_at")).alias("next_retry_at"), "extra_data")
+
+
+def read_bulk_ndjson(spark: SparkSession, path: str) -> DataFrame:
+    """(url, action, source) of a bulk body: records are cut before each action line."""
+    mark = '{"index":'
+    rec = spark.read.option("lineSep", "\n" + mark).text(path).select(F.split(F.rtrim(F.col("value"), F.lit("\n")), "\n").alias("r"))
+    head = F.col("r")[0]
+    action = F.when(head.startswith(mark), head).otherwise(F.concat(F.lit(mark), head))
+    return rec.select(F.get_json_object(F.col("r")[1], "$.url").alias("url"), action.alias("action"),
+                      F.col("r")[1].alias("source"))
+
+
+def read_messages(spark: SparkSession, path: str) -> DataFrame:
+    """(topic, key, value) rows of a message folder (one sub-folder per topic)."""
+    return spark.read.schema("key string, value string, topic string").json(path).select("topic", "key", "value")

@@ -92,6 +92,8 @@ FETCH_REPORT = T.StructType([
     T.StructField("failed_urls", T.LongType()),
     T.StructField("retry_urls", T.LongType()),
     T.StructField("success_rate", T.StringType()),
+    T.StructField("depth_stats", T.MapType(T.StringType(), T.LongType())),
+    T.StructField("error_types", T.MapType(T.StringType(), T.LongType())),
 ])
 
 TASK_MESSAGE = T.StructType([T.StructField("url", T.StringType())])

@@ -33,7 +33,8 @@ def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
 
 def write_article_csv(articles: DataFrame, path: str) -> None:
     """One CSV folder per site and depth, with a header."""
-    write_csv(articles, path, partition_by=("site", "depth"))
+    # rebalance: a folder gets a few right-sized files, not one per task
+    write_csv(articles.hint("rebalance", "site", "depth"), path, partition_by=("site", "depth"))
 
 
 def write_failed_csv(failures: DataFrame, path: str) -> None:
