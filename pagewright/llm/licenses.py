@@ -68,6 +68,15 @@ def seeds_of(notice: str, edits: int) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
+def _fewest_edits(spans: list) -> list:
+    """Spans without overlaps: fewest edits first, then the longest."""
+    kept: list = []
+    for s in sorted(spans, key=lambda x: (x[3], x[0] - x[1], x)):
+        if not any(s[0] < k[1] and k[0] < s[1] for k in kept):
+            kept.append(s)
+    return kept
+
+
 class NoticeSearch:
     """Compiled notices: seed automaton and one bounded-error pattern each."""
 
@@ -112,10 +121,15 @@ class NoticeSearch:
                     out.append((m.start(), m.end(), i, sum(m.fuzzy_counts)))
                     pos = max(m.end(), pos + 1)
         best: list[tuple[int, int, int, int]] = []
-        for s in sorted(out, key=lambda x: (x[3], x[0] - x[1], x)):  # fewest edits, then longest
-            if not any(s[0] < b[1] and b[0] < s[1] for b in best):
-                best.append(s)
-        return sorted(best)
+        group: list[tuple[int, int, int, int]] = []  # spans that hang together
+        reach = 0
+        for s in sorted(out):
+            if s[0] >= reach:
+                best += _fewest_edits(group)
+                group = []
+            group.append(s)
+            reach = max(reach, s[1])
+        return sorted(best + _fewest_edits(group))
 
     def scan(self, text: str) -> dict:
         """Everything found in one whole text."""

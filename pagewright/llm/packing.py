@@ -18,6 +18,7 @@ gives the same ids.
 from __future__ import annotations
 
 import os
+import re
 from bisect import bisect_right, insort
 from zlib import crc32
 
@@ -34,6 +35,8 @@ TIERS = (512, 1024, 2048, 4096)
 STEP_TOKENS = 65_536
 END_ID = 2
 CACHE_WORDS = 1 << 19
+# An ASCII punctuation character right after a letter or digit.
+_PUNCTUATION = re.compile(r"[!-/:-@\[-`{-~](?<=[^\W_].)", re.S)
 # ASCII punctuation.
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -78,19 +81,18 @@ class WordIds:
                 self.known.update(zip(some, self._encode(some)))
 
     def _learn(self, new: set[str]) -> None:
-        split, words, whole = [], set(), set()
-        for part in new:
-            if "<|" not in part:
-                low = part.lower() if part.isascii() else part
-                body = low.strip(_MARKS)
-                if body.isalpha():
-                    at = low.index(body)
-                    head, tail = low[:at], low[at + len(body):]
-                    if not head.endswith("'"):  # with the letter after it that may be one token
-                        split.append((part, head, body, tail))
-                        words.add(body)
-                        whole.update(x for x in (head, tail) if x)
-                        continue
+        words = {p for p in new if p.isalpha()}
+        split, whole = [], set()
+        for part in new - words:
+            body = part.strip(_MARKS)
+            if body.isalpha() and "<|" not in part:
+                at = part.index(body)
+                head, tail = part[:at], part[at + len(body):]
+                if not head.endswith("'"):  # with the letter after it that may be one token
+                    split.append((part, head, body, tail))
+                    words.add(body)
+                    whole.update(x for x in (head, tail) if x)
+                    continue
             whole.add(part)
         known = self.known
         whole = [x for x in whole if x not in known]
@@ -99,9 +101,16 @@ class WordIds:
         for part, head, body, tail in split:
             known[part] = known.get(head, b"") + known[body] + known.get(tail, b"")
 
+    @staticmethod
+    def _parts(text: str) -> list[str]:
+        if "<|" not in text:  # A-Z in lower case, a gap before punctuation after a letter or digit
+            text = _PUNCTUATION.sub(r" \g<0>", text.encode("utf-8", "surrogatepass").lower().decode(
+                "utf-8", "surrogatepass"))
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
     def __call__(self, texts: list[str], end_id: int = END_ID) -> list[bytes]:
         """Little-endian uint32 ids of each text, then ``end_id``."""
-        parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        parts = [self._parts(t) for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         known = self.known
