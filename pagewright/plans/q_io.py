@@ -192,5 +192,5 @@ def retention_prune(spark, sf):
     src = scratch_path(spark, "daily")
     fx.fx_article(spark, sf).select("doc_id", F.to_date("scraped_time").alias("day")) \
         .write.partitionBy("day").parquet(src)
-    kept = SK.retention_prune(spark, src, scratch_path(spark, "daily-kept"), "day", 7)
+    kept = SK.retention_prune(spark, src, "day", 7)
     return kept.groupBy("day").agg(F.count(F.lit(1)).alias("n"))

@@ -81,9 +81,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     root = checkpoint_root(spark)
     # the checkpoint dir gets a random sub-folder from Spark; keep ours beside it
     base = root.rsplit("/", 1)[0] if "/" in root else root
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    return os.path.join(base, "pagewright-scratch", f"{name}-{uuid.uuid4().hex[:12]}")
+    return f"{base}/pagewright-scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:

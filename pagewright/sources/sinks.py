@@ -172,15 +172,17 @@ def jdbc_write(df: DataFrame, url: str, table: str, properties: dict | None = No
     w.mode(mode).save()
 
 
-def retention_prune(spark: SparkSession, path: str, out_path: str, date_col: str, days: int) -> DataFrame:
-    """Keep the date partitions within ``days`` of the newest one.
+def retention_prune(spark: SparkSession, path: str, date_col: str, days: int) -> DataFrame:
+    """Drop the date partitions more than ``days`` days before the newest one.
 
-    The newest date is a scalar subquery; the filter on the partition column
-    prunes whole folders at scan time.  The kept partitions are written as a
-    new snapshot at ``out_path`` (swap it in place of the old one).
+    Only the partition values are read (one row per folder); expired folders
+    are deleted and nothing that stays is rewritten.
     """
-    t = spark.read.parquet(path)
-    newest = t.select(F.max(date_col)).scalar()
-    kept = t.filter(F.col(date_col) >= F.date_sub(newest, days))
-    kept.write.mode("overwrite").partitionBy(date_col).parquet(out_path)
-    return spark.read.parquet(out_path)
+    dates = spark.read.parquet(path).select(date_col).distinct()
+    newest = dates.select(F.max(date_col)).scalar()
+    expired = dates.filter(F.col(date_col) < F.date_sub(newest, days))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for r in expired.select(F.col(date_col).cast("string").alias("v")).collect():
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, f"{date_col}={r['v']}"), True)
+    return spark.read.parquet(path)
