@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -110,18 +112,26 @@ def should_retry(retry_count, max_retries) -> Column:
     return _c(retry_count) < _c(max_retries)
 
 
-def retry_delay_seconds(retry_count, min_delay, max_delay, jitter_unit=None) -> Column:
-    """base * 2^retry, +-10 % jitter, capped at 3600 s.
+@dataclass(frozen=True)
+class Backoff:
+    """How retry delays grow: factor per retry, jitter share, cap in seconds."""
+    factor: float = BACKOFF_FACTOR
+    jitter: float = JITTER
+    cap: float = MAX_RETRY_DELAY
+
+
+def retry_delay_seconds(retry_count, min_delay, max_delay, jitter_unit=None, backoff: Backoff = Backoff()) -> Column:
+    """base * factor^retry, +- jitter, capped (by default 2, 10 %, 3600 s).
 
     The base is the midpoint of the delay range.  ``jitter_unit`` is a column
     in [-1, 1] (for example from a seeded hash); without it there is no jitter,
     which keeps results deterministic.
     """
     base = (_c(min_delay) + _c(max_delay)) / 2.0
-    delay = base * F.pow(F.lit(BACKOFF_FACTOR), _c(retry_count).cast("double"))
+    delay = base * F.pow(F.lit(backoff.factor), _c(retry_count).cast("double"))
     if jitter_unit is not None:
-        delay = delay + delay * JITTER * jitter_unit
-    return F.least(delay, F.lit(MAX_RETRY_DELAY))
+        delay = delay + delay * backoff.jitter * jitter_unit
+    return F.least(delay, F.lit(backoff.cap))
 
 
 def add_seconds(ts, seconds) -> Column:
@@ -130,8 +140,9 @@ def add_seconds(ts, seconds) -> Column:
     return _c(ts) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), secs)
 
 
-def next_retry_at(last_failed_at, retry_count, min_delay, max_delay, jitter_unit=None) -> Column:
-    return add_seconds(last_failed_at, retry_delay_seconds(retry_count, min_delay, max_delay, jitter_unit))
+def next_retry_at(last_failed_at, retry_count, min_delay, max_delay, jitter_unit=None,
+                  backoff: Backoff = Backoff()) -> Column:
+    return add_seconds(last_failed_at, retry_delay_seconds(retry_count, min_delay, max_delay, jitter_unit, backoff))
 
 
 def linear_retry_delay(attempt) -> Column:

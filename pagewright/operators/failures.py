@@ -175,7 +175,8 @@ def _retry_steps(events: Column, most: int) -> Column:
                          F.lit(None).cast("int").alias("gone_rc")), step))
 
 
-def failure_lifecycle(fetches: DataFrame, policy: DataFrame, n_chunks: int | None = None) -> DataFrame:
+def failure_lifecycle(fetches: DataFrame, policy: DataFrame, n_chunks: int | None = None,
+                      backoff: E.Backoff = E.Backoff(), jitter_seed: int | None = None) -> DataFrame:
     """Replay register_failure / mark_task_success per URL in time order.
 
     Result: one row per task left, ``state`` = 'pending' or 'permanent'.
@@ -187,7 +188,8 @@ def failure_lifecycle(fetches: DataFrame, policy: DataFrame, n_chunks: int | Non
     few values.  So each chunk of a URL's events is summarised for every count
     it may start with, the summaries of a URL are applied one after the other,
     and the tasks that are left are looked up by the numbers of their failures:
-    a fixed number of jobs, however many chunks a URL has.
+    a fixed number of jobs, however many chunks a URL has.  ``backoff`` sets how
+    delays grow; with ``jitter_seed`` they are jittered by a hash of the URL.
     """
     ev = range_chunks(failure_events(fetches, policy), ["url"], ["ts", "event_id"], n_chunks)
     ev = bucketed_prefix(ev, ["url"], ["ts", "event_id"], F.col("_chunk"), "seq",
@@ -224,9 +226,11 @@ def failure_lifecycle(fetches: DataFrame, policy: DataFrame, n_chunks: int | Non
     of = {p: F.max(F.when(F.col("part") == p, F.col("f"))).alias(p) for p in ("first", "before", "last")}
     task = found.groupBy("url", "state", "rc").agg(*of.values())
     # a task that stops retrying keeps its last planned time
+    unit = None if jitter_seed is None else E.seeded_jitter("url", jitter_seed)
     planned = F.when(F.col("state") == "pending", E.next_retry_at(
-        F.col("last.ts"), F.col("rc"), F.col("last.min_delay"), F.col("last.max_delay"))).otherwise(E.next_retry_at(
-            F.col("before.ts"), F.col("rc") - 1, F.col("before.min_delay"), F.col("before.max_delay")))
+        F.col("last.ts"), F.col("rc"), F.col("last.min_delay"), F.col("last.max_delay"), unit, backoff)).otherwise(
+            E.next_retry_at(F.col("before.ts"), F.col("rc") - 1, F.col("before.min_delay"),
+                            F.col("before.max_delay"), unit, backoff))
     return task.select("state", "url", F.col("first.site").alias("site_name"), "last.error_category",
                        "last.error_message", "last.status_code", F.col("rc").alias("retry_count"),
                        F.col("first.ts").alias("first_failed_at"), F.col("last.ts").alias("last_failed_at"),

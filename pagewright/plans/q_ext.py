@@ -33,9 +33,16 @@ def site_rule_registry(spark, sf):
     return fx.fx_article(spark, sf).select("doc_id", content.alias("content"))
 
 
-SELECTOR_SPEC = {"name": "Article", "baseSelector": "body",
-                 "fields": [{"name": "headline", "selector": "article > h1", "type": "text", "multiple": False},
-                            {"name": "content", "selector": "article", "type": "text", "multiple": True}]}
+def _spec(base, headline, content):
+    return json.dumps({"name": "Article", "baseSelector": base, "fields": [
+        {"name": "headline", "selector": headline, "type": "text", "multiple": False},
+        {"name": "content", "selector": content, "type": "text", "multiple": True}]})
+
+
+# one spec for each site, as a table
+SELECTOR_SPECS = [("site0", _spec("body", "article > h1", "article")),
+                  ("site1", _spec("html", "body > article h1:first-child", "body article:nth-child(n+2), main.none")),
+                  ("site2", _spec("*", "body article > h1:nth-child(2n+1)", "body > article"))]
 
 
 def _strip(expr):
@@ -43,13 +50,14 @@ def _strip(expr):
 
 
 @query("extract_by_selector", f"""
-SELECT page_id, 'pages' AS site,
+SELECT page_id, 'site' || CAST(page_id % 3 AS VARCHAR) AS site,
   nullif({_strip("regexp_extract(html, '(?is)<article[^>]*>[[:space:]]*<h1[^>]*>(.*?)</h1>', 1)")}, '') AS headline,
   {_strip("regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1)")} AS content
 FROM pages""")
 def extract_by_selector(spark, sf):
-    pages = read_table(spark, sf, "pages").withColumn("site", F.lit("pages"))
-    return _extract(pages, SELECTOR_SPEC, ["headline", "content"])
+    pages = read_table(spark, sf, "pages").withColumn(
+        "site", F.concat(F.lit("site"), (F.col("page_id") % 3).cast("string")))
+    return _extract(pages, spark.createDataFrame(SELECTOR_SPECS, "site string, spec string"), ["headline", "content"])
 
 
 @query("on_permanent_failure", """
@@ -67,7 +75,8 @@ OVERRIDES_JSON = json.dumps([{"error_category": "network_error", "max_retries":
 
 @query("policy_overrides", f"""
 SELECT f.event_id, f.error_category, coalesce(o.max_retries, p.max_retries, 3) AS max_retries,
-  coalesce(o.min_delay, p.min_delay, 10.0) AS min_delay, coalesce(o.max_delay, p.max_delay, 30.0) AS max_delay
+  coalesce(o.min_delay, p.min_delay, 10.0) AS min_delay, coalesce(o.max_delay, p.max_delay, 30.0) AS max_delay,
+  least((coalesce(o.min_delay, p.min_delay, 10.0) + coalesce(o.max_delay, p.max_delay, 30.0)) / 2.0 * 9.0, 500.0) AS second_delay
 FROM (SELECT event_id, {CLASSIFY_SQL} AS error_category FROM fx_fetch WHERE NOT success) f
 LEFT JOIN (VALUES {", ".join(f"('{c}', {m}, CAST({lo} AS DOUBLE), CAST({hi} AS DOUBLE))" for c, m, lo, hi in E.POLICY)})
   p(error_category, max_retries, min_delay, max_delay) USING (error_category)
@@ -80,7 +89,9 @@ def policy_overrides(spark, sf):
     policy = E.policy_table(spark, ov)
     f = fx.fx_fetch(spark, sf).filter(~F.col("success")).select(
         "event_id", E.classify_error("error_name", "status_code").alias("error_category"))
-    return E.with_policy(f, policy)
+    slower = E.Backoff(factor=3.0, cap=500.0)
+    return E.with_policy(f, policy).withColumn(
+        "second_delay", E.retry_delay_seconds(F.lit(2), "min_delay", "max_delay", backoff=slower))
 
 
 # ------------------------------------------------------------ flagship
