@@ -79,8 +79,8 @@ def parse(page: str) -> tuple[list[Block], dict[str, list[str]]]:
     """
     blocks: list[Block] = []
     children: dict[str, list[str]] = {}
-    # open elements: (tag, path, noise, article)
-    stack = [("", "", False, False)]
+    # open elements: (tag, path, noise, article: 2 inside an article, 1 inside main)
+    stack = [("", "", False, 0)]
     words: list[str] = []
 
     def end_block():
@@ -147,7 +147,7 @@ def parse(page: str) -> tuple[list[Block], dict[str, list[str]]]:
             pos = end.end() if end else size
             continue
         if not m.group(3).rstrip().endswith("/") or tag not in ("path", "circle", "rect"):
-            stack.append((tag, path, noise or bad, article or tag == "article"))
+            stack.append((tag, path, noise or bad, max(article, {"article": 2, "main": 1}.get(tag, 0))))
     end_block()
     return blocks, children
 
@@ -220,11 +220,11 @@ def noise_paths(tree: DataFrame, min_pages: int = MIN_PAGES, min_importance: flo
 
 
 def main_text(blocks: list[Block], noise: set[str]) -> str:
-    """Blocks that stand under no noisy branch; of pages that mark an article,
-    those inside it."""
+    """Blocks that stand under no noisy branch; of pages that mark an article
+    or else a main part, those inside it."""
     kept = [b for b in blocks if not b.noise]
-    if any(b.article for b in kept):
-        kept = [b for b in kept if b.article]
+    level = max((b.article for b in kept), default=0)
+    kept = [b for b in kept if b.article == level]
     good = [b for b in kept if not noise or not any(p in noise for p in _prefixes(b.path))]
     return "\n".join(b.text for b in (good or kept))
 

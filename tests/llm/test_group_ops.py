@@ -300,6 +300,7 @@ def test_main_text_markup():
             "<a title=\"x>y\">link</a> tail</article><footer>&copy;</footer>")
     assert main_text(parse(page)[0], set()) == "Head & line\nOne\ntwo\nthree four five\na\nb\nlink tail"
     assert main_text(parse("a < b")[0], set()) == "a < b" and main_text(parse("")[0], set()) == ""
+    assert main_text(parse("<div>x</div><main>y<aside>z</aside></main>")[0], set()) == "y"
     deep = "<div>" * 5000 + "deep" + "</div>" * 5000 + "<p title='open>after"
     assert main_text(parse(deep)[0], set()) == "deep\nafter"
 
