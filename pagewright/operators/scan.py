@@ -93,6 +93,21 @@ def bucketed_prefix(df: DataFrame, keys: Sequence[str], order: Sequence[str], bu
     return d.withColumn(out, res).drop("_b", "_v", "_local", "_before")
 
 
+def bucketed_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column,
+                  values: dict[str, Column]) -> DataFrame:
+    """Several running (inclusive) sums within each key in one pass."""
+    keys, names = list(keys), list(values)
+    d = df.withColumn("_b", bucket).withColumns({f"_v_{k}": v for k, v in values.items()})
+    w = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    tot = d.groupBy(*keys, "_b").agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in names])
+    tot = tot.select(*keys, "_b", *[F.sum(f"_t_{k}").over(wb).alias(f"_p_{k}") for k in names])
+    d = d.withColumns({f"_l_{k}": F.sum(f"_v_{k}").over(w) for k in names}).join(tot, [*keys, "_b"], "left")
+    zero = F.lit(0)
+    d = d.withColumns({k: F.coalesce(f"_p_{k}", zero) + F.coalesce(f"_l_{k}", zero) for k in names})
+    return d.drop("_b", *[f"_{x}_{k}" for k in names for x in "vlp"])
+
+
 def trailing_count(df: DataFrame, keys: Sequence[str], ts: str, width_micros: int,
                    n_chunks: int | None = None) -> DataFrame:
     """Rows of the same key with ``ts`` in (t - width, t], and the oldest such ``ts``.
@@ -112,8 +127,8 @@ def trailing_count(df: DataFrame, keys: Sequence[str], ts: str, width_micros: in
     steps = enter.unionByName(leave).groupBy(*keys, "_t").agg(
         *[F.sum(c).alias(c) for c in ("_n", "_in", "_out")], F.max("_at").alias("_at"))
     steps = range_chunks(steps, keys, ["_t"], n_chunks)
-    for name, value in (("n_trailing", "_n"), ("_rank", "_in"), ("_expired", "_out")):
-        steps = bucketed_prefix(steps, keys, ["_t"], F.col("_chunk"), name, F.col(value))
+    steps = bucketed_sums(steps, keys, ["_t"], F.col("_chunk"), {
+        "n_trailing": F.col("_n"), "_rank": F.col("_in"), "_expired": F.col("_out")})
     steps = cut_lineage(steps.filter(F.col("_at").isNotNull()).drop("_chunk", "_n", "_in", "_out"))
     oldest = steps.select(*keys, (F.col("_rank") - 1).alias("_expired"), F.col("_at").alias("oldest_ts"))
     found = steps.select(*keys, "_t", "n_trailing", "_expired").join(oldest, [*keys, "_expired"]).drop("_expired")
