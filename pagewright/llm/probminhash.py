@@ -193,7 +193,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, class_id) of every row: documents of a class are connected by links
     of J_P >= ``threshold``; the class id is the smallest id in it.
 
-    A text without words (null, empty) forms a class of its own; a text of
+    An id names one text.  A text without words (null, empty) forms a class of its own; a text of
     fewer than ``words`` words has one shingle.  Repeated rows share a class.
     A row with a null id is compared with nothing and has a null class.  An
     empty table gives no rows.
