@@ -73,6 +73,15 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def marks(sig: np.ndarray) -> np.ndarray:
+    """int64 [texts, registers / 16]: four bits of each register, sixteen registers a number."""
+    n, registers = sig.shape
+    nibbles = np.zeros((n, -(-registers // 16) * 16), dtype=_U)
+    nibbles[:, :registers] = mix(sig) & _U(15)
+    shift = (_U(4) * np.arange(16, dtype=_U))
+    return np.bitwise_or.reduce(nibbles.reshape(n, -1, 16) << shift, axis=2).view(np.int64)
+
+
 def probability_jaccard(ha, wa, hb, wb) -> float:
     """Exact J_P of two weighted sets (hashes rising)."""
     shared, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
@@ -89,8 +98,8 @@ def probability_jaccard(ha, wa, hb, wb) -> float:
 
 
 def _fingerprint_rows(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int, rows: int) -> DataFrame:
-    """(id, k1, k2, n, total, top, bands): k1, k2 hash the word sequence (null:
-    no words); n shingles weigh total, the heaviest top."""
+    """(id, k1, k2, n, total, top, marks, bands): k1, k2 hash the word sequence
+    (null: no words); n shingles weigh total, the heaviest top."""
     def run(batches):
         for batch, texts in text_chunks(batches, budget=1 << 19):
             wptr, words = word_hashes(texts)
@@ -109,24 +118,36 @@ def _fingerprint_rows(docs: DataFrame, id_col: str, text_col: str, k: int, bands
             np.maximum.at(top, np.repeat(np.arange(len(texts)), np.diff(ptr)), weights)
             found = band_keys(sig, bands, rows)
             none = n_words == 0
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * bands),
-                                             pa.array(found.ravel()))
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * x.shape[1]),
+                                              pa.array(x.ravel())) for x in (marks(sig), found)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(x, mask=none) for x in keys), pa.array(np.diff(ptr).astype(np.int64)),
-                 pa.array(sums[ptr[1:]] - sums[ptr[:-1]]), pa.array(top), lists],
-                names=["id", "k1", "k2", "n", "total", "top", "bands"])
+                 pa.array(sums[ptr[1:]] - sums[ptr[:-1]]), pa.array(top), *lists],
+                names=["id", "k1", "k2", "n", "total", "top", "marks", "bands"])
 
     rows_in = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows_in.mapInArrow(
-        run, "id bigint, k1 bigint, k2 bigint, n bigint, total double, top double, bands array<bigint>")
+        run, "id bigint, k1 bigint, k2 bigint, n bigint, total double, top double, "
+             "marks array<bigint>, bands array<bigint>")
 
 
-def _may_reach(x, y, threshold: float):
-    """False only if two texts' sizes rule out J_P >= threshold: each shared
-    shingle adds at most its share of either text's weight."""
+def _may_reach(x, y, threshold: float, registers: int):
+    """False only if two texts' sizes rule out J_P >= threshold (each shared
+    shingle adds at most its share of either text's weight), or if so few of
+    their registers agree that a pair at the threshold falls below with a
+    probability of 1e-7."""
     shared = F.least(x["n"], y["n"])
-    return ((shared * x["top"] >= (threshold - 1e-9) * x["total"])
+    fits = ((shared * x["top"] >= (threshold - 1e-9) * x["total"])
             & (shared * y["top"] >= (threshold - 1e-9) * y["total"]))
+    differ = F.lit(0)
+    for i in range(-(-registers // 16)):
+        d = x["marks"][i].bitwiseXOR(y["marks"][i])
+        for bits in (1, 2):  # a register differs if any of its four bits does
+            d = d.bitwiseOR(F.shiftrightunsigned(d, bits))
+        differ = differ + F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
+    agree = threshold + (1 - threshold) / 16  # four bits may agree by chance
+    most = registers * (1 - agree) + 5.2 * (registers * agree * (1 - agree)) ** 0.5
+    return fits & (differ <= int(most))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -201,13 +222,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ship_package(docs.sparkSession)
     prints = _saved(_fingerprint_rows(docs, id_col, text_col, words, bands, rows), "prints")
     known = prints.filter(F.col("k1").isNotNull() & F.col("id").isNotNull())
-    first = _saved(known.groupBy("k1", "k2").agg(F.min_by(F.struct("id", "n", "total", "top", "bands"), "id").alias("f"))
+    first = _saved(known.groupBy("k1", "k2").agg(F.min_by(F.struct("id", "n", "total", "top", "marks", "bands"), "id").alias("f"))
                    .select("k1", "k2", "f.*"), "first")
-    held = first.select(F.struct("id", "n", "total", "top").alias("doc"), F.posexplode("bands").alias("band", "key"))
+    held = first.select(F.struct("id", "n", "total", "top", "marks").alias("doc"), F.posexplode("bands").alias("band", "key"))
     buckets = held.groupBy("band", "key").agg(F.min("doc").alias("lead"), F.max("doc.id").alias("z"))
     buckets = _saved(buckets.filter("lead.id < z").select("band", "key", "lead"), "buckets")
     member = _saved(held.join(buckets, ["band", "key"]), "member")
-    pairs = member.filter((F.col("lead.id") < F.col("doc.id")) & _may_reach(F.col("lead"), F.col("doc"), threshold))
+    pairs = member.filter((F.col("lead.id") < F.col("doc.id")) & _may_reach(
+        F.col("lead"), F.col("doc"), threshold, bands * rows))
     pairs = _saved(pairs.select(F.col("lead.id").alias("a"), F.col("doc.id").alias("b")).distinct(), "pairs")
     if member.isEmpty():
         classes = None
@@ -218,7 +240,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = _saved(_verified(pairs, texts, words, threshold).select("a", "b"), "links")
         classes = components(links)
         while True:
-            more = _saved(_cross_pairs(member, classes, pairs, threshold), "more")
+            more = _saved(_cross_pairs(member, classes, pairs, threshold, bands * rows), "more")
             if more.isEmpty():
                 break
             new = _saved(_verified(more, texts, words, threshold).select("a", "b"), "links")
@@ -236,10 +258,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select(F.col("id").alias(id_col), own.alias("class_id"))
 
 
-def _cross_pairs(member: DataFrame, classes: DataFrame, tested: DataFrame, threshold: float) -> DataFrame:
+def _cross_pairs(member: DataFrame, classes: DataFrame, tested: DataFrame, threshold: float,
+                 registers: int) -> DataFrame:
     """Untested pairs of different classes that share a band: in bands that
     hold several classes, each member is paired with those of the next members
-    by size that have another class and a size that can reach the threshold."""
+    by size that have another class and can reach the threshold."""
     label = classes.withColumnRenamed("node", "id")
     held = member.select("band", "key", "doc", F.col("doc.id").alias("id")).join(label, "id", "left")
     held = _saved(held.select("band", "key", "doc", F.coalesce("class", "id").alias("class")), "held")
@@ -253,7 +276,7 @@ def _cross_pairs(member: DataFrame, classes: DataFrame, tested: DataFrame, thres
     follow = inside.select(
         "doc", "class", *[F.lead(F.struct("doc", "class"), j).over(w).alias(f"n{j}") for j in range(1, NEIGHBOURS + 1)])
     near = F.filter(F.array(*[f"n{j}" for j in range(1, NEIGHBOURS + 1)]), lambda x: x.isNotNull()
-                    & (x["class"] != F.col("class")) & _may_reach(x["doc"], F.col("doc"), threshold))
+                    & (x["class"] != F.col("class")) & _may_reach(x["doc"], F.col("doc"), threshold, registers))
     pairs = (follow.select("doc.id", F.explode(near).alias("n"))
              .select(F.least("id", "n.doc.id").alias("a"), F.greatest("id", "n.doc.id").alias("b")).distinct())
     return pairs.join(tested, ["a", "b"], "left_anti")

@@ -49,6 +49,27 @@ def test_probability_jaccard_and_registers():
         assert np.mean(sig[0] == sig[1]) == pytest.approx(plain_jp(u, v), abs=0.05)
 
 
+def test_size_and_register_bounds_lose_nothing(spark):
+    from pagewright.llm.probminhash import _may_reach, marks
+    rng = np.random.default_rng(8)
+    rows = []
+    for _ in range(300):
+        a = rng.integers(1, 1 << 62, 200).astype(np.uint64)
+        keep = int(rng.uniform(0.3, 1) * 200)
+        b = np.concatenate([a[:keep], rng.integers(1, 1 << 62, int(rng.uniform(0, 200 - keep + 1))).astype(np.uint64)])
+        both = [np.unique(x) for x in (a, b)]
+        sig = signatures(np.cumsum([0] + [len(x) for x in both]), np.concatenate(both),
+                         np.ones(sum(map(len, both))), 96)
+        doc = [(len(x), float(len(x)), 1.0, m.tolist()) for x, m in zip(both, marks(sig))]
+        like = len(np.intersect1d(*both)) / len(np.union1d(*both))
+        rows.append((like, float(np.mean(sig[0] == sig[1])), *doc))
+    kind = "struct<n:bigint,total:double,top:double,marks:array<bigint>>"
+    df = spark.createDataFrame(rows, f"like double, est double, x {kind}, y {kind}")
+    got = df.withColumn("ok", _may_reach(F.col("x"), F.col("y"), 0.8, 96)).collect()
+    assert all(r["ok"] for r in got if r["like"] >= 0.8)
+    assert not any(r["ok"] for r in got if r["like"] < 0.4)
+
+
 def test_near_duplicates_against_all_pairs(spark):
     docs = table(spark)
     ptr, h, w = weighted_shingles([d["text"] or "" for d in docs])
