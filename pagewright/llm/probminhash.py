@@ -11,9 +11,11 @@ most end after one step.  Two registers agree with the probability Jaccard
 Registers are banded; texts that share a band are candidates and are verified
 by the exact J_P of their whole texts.  Equal word sequences fall together
 before banding.  Within a band, members are compared with the first one; where
-a band still holds several classes after that, the members outside the largest
-class are compared with their neighbours in register order until nothing more
-joins.  No group is collected, and no step emits all pairs of a group.
+a band still holds several classes after that, members are compared with their
+neighbours by size, and then every pair of members of different classes is
+tested: blocks of members are laid side by side, sizes and registers rule pairs
+out, and what is left is verified, the pairs that agree most first, so that
+classes that join spare their other pairs.  No group is collected.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 4  # a pair at 0.8 shares no band with probability 3e-6
 NEIGHBOURS = 12
+BLOCK = 512  # members of a band that one row holds
+PARTNERS = 8  # of a member in a pair of blocks in the first round; eight times as many in each next
 _U = np.uint64
 
 
@@ -145,9 +149,7 @@ def _may_reach(x, y, threshold: float, registers: int):
         for bits in (1, 2):  # a register differs if any of its four bits does
             d = d.bitwiseOR(F.shiftrightunsigned(d, bits))
         differ = differ + F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
-    agree = threshold + (1 - threshold) / 16  # four bits may agree by chance
-    most = registers * (1 - agree) + 5.2 * (registers * agree * (1 - agree)) ** 0.5
-    return fits & (differ <= int(most))
+    return fits & (differ <= _most_differ(threshold, registers))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -239,16 +241,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         texts = _saved(texts.join(nodes, "id", "left_semi").dropDuplicates(["id"]), "texts")
         links = _saved(_verified(pairs, texts, words, threshold).select("a", "b"), "links")
         classes = components(links)
+        partners = 0  # first by size, then all
         while True:
-            more = _saved(_cross_pairs(member, classes, pairs, threshold, bands * rows), "more")
-            if more.isEmpty():
-                break
-            new = _saved(_verified(more, texts, words, threshold).select("a", "b"), "links")
-            if new.isEmpty():
+            if partners:
+                found = _saved(_block_pairs(member, classes, partners, threshold, bands * rows), "found")
+                whole = found.filter("cut").isEmpty()
+                more = found.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+            else:
+                whole, more = False, _cross_pairs(member, classes, pairs, threshold, bands * rows)
+            more = _saved(more, "more")
+            if not more.isEmpty():
+                new = _saved(_verified(more, texts, words, threshold).select("a", "b"), "links")
+                pairs = pairs.unionByName(more)
+                if not new.isEmpty():
+                    links = links.unionByName(new)
+                    classes = components(links)
+            if whole:
                 break
-            pairs = pairs.unionByName(more)
-            links = links.unionByName(new)
-            classes = components(links)
+            partners = partners * 8 or PARTNERS
     keys = first.select("k1", "k2", F.col("id").alias("node"))
     if classes is not None:
         keys = keys.join(classes, "node", "left").select("k1", "k2", F.coalesce("class", "node").alias("node"))
@@ -258,20 +268,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select(F.col("id").alias(id_col), own.alias("class_id"))
 
 
-def _cross_pairs(member: DataFrame, classes: DataFrame, tested: DataFrame, threshold: float,
-                 registers: int) -> DataFrame:
-    """Untested pairs of different classes that share a band: in bands that
-    hold several classes, each member is paired with those of the next members
-    by size that have another class and can reach the threshold."""
+def _mixed(member: DataFrame, classes: DataFrame) -> DataFrame:
+    """(band, key, doc, class, members) of the bands that hold several classes."""
     label = classes.withColumnRenamed("node", "id")
     held = member.select("band", "key", "doc", F.col("doc.id").alias("id")).join(label, "id", "left")
     held = _saved(held.select("band", "key", "doc", F.coalesce("class", "id").alias("class")), "held")
     mixed = held.groupBy("band", "key").agg(F.min("class").alias("low"), F.max("class").alias("high"),
                                            F.count(F.lit(1)).alias("members"))
     mixed = _saved(mixed.filter("low < high").select("band", "key", "members"), "mixed")
+    return held.join(mixed, ["band", "key"])
+
+
+def _cross_pairs(member: DataFrame, classes: DataFrame, tested: DataFrame, threshold: float,
+                 registers: int) -> DataFrame:
+    """Untested pairs of different classes that share a band: in bands that
+    hold several classes, each member is paired with those of the next members
+    by size that have another class and can reach the threshold.  This joins
+    most of what belongs together; ``_block_pairs`` finds the rest."""
     # a large bucket is cut into runs of one hash range, so that no window holds a whole group
     run = F.when(F.col("members") > 512, F.pmod(F.xxhash64("doc.id", "band"), F.ceil(F.col("members") / 256)))
-    inside = held.join(mixed, ["band", "key"]).withColumn("run", F.coalesce(run, F.lit(0)))
+    inside = _mixed(member, classes).withColumn("run", F.coalesce(run, F.lit(0)))
     w = Window.partitionBy("band", "key", "run").orderBy("doc.n", F.xxhash64("doc.id", "key"), "doc.id")
     follow = inside.select(
         "doc", "class", *[F.lead(F.struct("doc", "class"), j).over(w).alias(f"n{j}") for j in range(1, NEIGHBOURS + 1)])
@@ -280,3 +296,85 @@ def _cross_pairs(member: DataFrame, classes: DataFrame, tested: DataFrame, thres
     pairs = (follow.select("doc.id", F.explode(near).alias("n"))
              .select(F.least("id", "n.doc.id").alias("a"), F.greatest("id", "n.doc.id").alias("b")).distinct())
     return pairs.join(tested, ["a", "b"], "left_anti")
+
+
+def _most_differ(threshold: float, registers: int) -> int:
+    agree = threshold + (1 - threshold) / 16  # four bits may agree by chance
+    return int(registers * (1 - agree) + 5.2 * (registers * agree * (1 - agree)) ** 0.5)
+
+
+def _block_pairs(member: DataFrame, classes: DataFrame, partners: int, threshold: float, registers: int) -> DataFrame:
+    """(a, b, cut): pairs of different classes that share a band and can reach
+    the threshold, of each member in each pair of blocks the ``partners`` that
+    agree most; ``cut`` says that the member has more of them there.
+
+    The members of a band lie in blocks of a bounded size by a hash; each pair
+    of blocks is a row of its own, so a crowded band is spread over tasks.
+    """
+    inside = _mixed(member, classes)
+    n_blocks = F.ceil(F.col("members") / BLOCK)
+    blocks = inside.withColumn("n_blocks", n_blocks).groupBy(
+        "band", "key", "n_blocks", F.pmod(F.xxhash64("doc.id", "band"), "n_blocks").alias("block")).agg(
+        F.collect_list(F.struct("doc.id", "class", "doc.n", "doc.total", "doc.top", "doc.marks")).alias("m"))
+    blocks = _saved(blocks, "blocks")
+    # block i meets itself and every j > i: the pair's row is keyed by both
+    left = blocks.select("band", "key", F.col("block").alias("i"), F.col("m").alias("x"),
+                         F.explode(F.sequence("block", F.col("n_blocks") - 1)).alias("j"))
+    right = blocks.select("band", "key", F.col("block").alias("j"), F.col("m").alias("y"),
+                          F.explode(F.sequence(F.lit(0).cast("bigint"), "block")).alias("i"))
+    sides = left.join(right, ["band", "key", "i", "j"]).select((F.col("i") == F.col("j")).alias("same"), "x", "y")
+    most = _most_differ(threshold, registers)
+
+    def run(batches):
+        for batch in batches:
+            sides = [_members(batch.column(c)) for c in (1, 2)]
+            a, b, cut = [], [], []
+            for r, same in enumerate(batch.column(0).to_pylist()):
+                u, v = ([f[ptr[r]:ptr[r + 1]] for f in fields] for ptr, fields in sides)
+                for p, q, more in _side_by_side(u, v, same, partners, threshold, most):
+                    a.append(np.minimum(p, q))
+                    b.append(np.maximum(p, q))
+                    cut.append(more)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b, cut)],
+                                                 names=["a", "b", "cut"])
+
+    return sides.mapInArrow(run, "a bigint, b bigint, cut boolean")
+
+
+def _members(column):
+    """(ptr, [id, class, n, total, top, marks]) of a column of blocks."""
+    ptr = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+    id_, class_, n, total, top, bits = column.flatten().flatten()
+    fields = [x.to_numpy(zero_copy_only=False) for x in (id_, class_, n, total, top)]
+    bits = bits.flatten().to_numpy(zero_copy_only=False).view(_U)
+    return ptr, [*fields, bits.reshape(len(fields[0]), -1) if len(fields[0]) else bits.reshape(0, 1)]
+
+
+def _side_by_side(u: list, v: list, same: bool, partners: int, threshold: float, most: int):
+    """(ids, ids, cut) of the pairs of two blocks that ``_may_reach`` lets pass
+    and whose classes differ, 64 members of the first block at a time."""
+    least = threshold - 1e-9
+    for at in range(0, len(u[0]), 64):
+        id_, class_, n, total, top, bits = (x[at:at + 64] for x in u)
+        shared = np.minimum(n[:, None], v[2][None, :])
+        ok = ((class_[:, None] != v[1][None, :]) & (shared * top[:, None] >= least * total[:, None])
+              & (shared * v[4][None, :] >= least * v[3][None, :]))
+        if same:  # each pair once
+            ok &= id_[:, None] < v[0][None, :]
+        row, col = np.nonzero(ok)
+        if not len(row):
+            continue
+        d = bits[row] ^ v[5][col]
+        d |= d >> _U(1)
+        d |= d >> _U(2)
+        differ = np.bitwise_count(d & _U(0x1111111111111111)).sum(axis=1)
+        on = differ <= most
+        row, col, differ = row[on], col[on], differ[on]
+        order = np.lexsort((v[0][col], differ, row))
+        row, col = row[order], col[order]
+        size = np.bincount(row, minlength=len(id_))
+        rank = np.arange(len(row)) - (np.cumsum(size) - size)[row]
+        on = rank < partners
+        row, col = row[on], col[on]
+        yield id_[row], v[0][col], size[row] > partners

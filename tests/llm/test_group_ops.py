@@ -117,6 +117,23 @@ def test_large_group_of_near_copies(spark):
     assert all(got[i] == (0 if i < 1000 else i) for i in got) and len(got) == 420
 
 
+def test_template_crowd(spark):
+    """Texts that share a template below 0.8, and pairs above it whose sizes
+    lie many members apart; with one register a band, bands hold crowds."""
+    rng = np.random.default_rng(3)
+    rows, want = [], {}
+    for i in range(240):
+        own = [f"o{i}x{j}" for j in range(50 + i % 40)]
+        rows.append((i, " ".join([f"t{j}" for j in range(240)] + own)))
+        want[i] = i  # 236 shingles shared with others, at least 50 and 50 not: 0.71 at most
+        if i % 10 == 0:  # the same text and at most 45 words more: 0.86 at least
+            rows.append((5000 + i, rows[-1][1] + " " + " ".join(f"p{i}x{j}" for j in range(int(rng.integers(25, 45))))))
+            want[5000 + i] = i
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(
+        spark.createDataFrame(rows, "doc_id bigint, text string"), bands=8, rows=1).collect()}
+    assert {i: (got[i], want[i]) for i in want if got[i] != want[i]} == {} and len(got) == 264
+
+
 # ---- decontamination
 
 def test_multi_index_finds_all():
