@@ -32,8 +32,9 @@ _HINT = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20
 
 # Candidate patterns beyond the base, tried in this order.
 EXTRA = {
-    "secret": r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key)\x20?[=:]\x20?[^\s,;\"']{4,200}",
-    "key": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])",
+    "secret": r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\x20?[=:]\x20?"
+              r"(?:\"[^\s\"]{4,}+\"?|'[^\s']{4,}+'?|[^\s,;\"']{4,}+)",
+    "key": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|sk-[A-Za-z0-9]{20,}+)(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "local_phone": r"(?<![0-9+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])",
@@ -41,12 +42,14 @@ EXTRA = {
     "name": r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Monsieur|Madame|Sr|Sra|Señor|Señora)\.?\x20"
             r"[A-Z][a-z]{1,20}(?:\x20[A-Z][a-z]{1,20})?",
 }
-_EXTRA_HINT = r"[0-9]{2}|[=:]\x20?\S{4}|\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Monsieur|Madame|Sr|Sra|Señora?)\b"
+# Every match of an extra pattern holds a match of this.
+_EXTRA_HINT = (r"[0-9]{2}|[=:]\x20?\S{4}|AKIA[A-Z0-9]|gh[pousr]_[A-Za-z0-9]|sk-[A-Za-z0-9]{2}|[0-9]\x20[A-Z][a-z]|"
+               r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Monsieur|Madame|Sr|Sra|Señora?)[.\x20]")
 
 # Labelers.  Strict pattern of each extra kind.
 STRICT = {
-    "secret": r"(?i:pass(?:word|wd)?|pwd|secret|token|key)\x20?[=:]\x20?(?=[^\s]*[0-9])[^\s]{6,200}",
-    "key": r"AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}",
+    "secret": r"(?i:pass(?:word|wd)?|pwd|secret|token|key)[\"']?\x20?[=:]\x20?(?=[^\s]*[0-9])[^\s]{6,}",
+    "key": r"AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9]{20,}",
     "ssn": r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}",
     "iban": r"[A-Z]{2}[0-9]{2}[A-Z0-9\x20]{11,34}",
     "local_phone": r"\([0-9]{3}\)\x20[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4}",

@@ -244,6 +244,24 @@ def test_personal_data_model_and_redaction(spark):
     assert empty.prior == 0.5
 
 
+def test_personal_data_quoted_long_and_digit_poor(spark):
+    long = "eyJ" + "aB3x" * 150
+    rows = [(i, f'x token = "{i:040x}" y') for i in range(100)]
+    rows += [(100, f"token={long} end"), (101, "5 Main Street is home"), (102, "use sk-" + "abcdefgh" * 12 + " now"),
+             (103, "AKIA" + "ABCDEFGH" * 2 + " it is"), (104, "ghp_" + "abcdef" * 6 + " is"), (105, "Madame Marie Curie"),
+             (106, '{"password": "ab1,cd2;ef"}'), (107, "x token = '" + "a1" * 20 + "'.")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    spans = pii.candidates(pii.base_spans(df)).select("doc_id", F.transform("extra", lambda s: s["value"]).alias("v"))
+    got = {r["doc_id"]: r["v"] for r in spans.collect()}
+    assert all(got[i] == [f'token = "{i:040x}"'] for i in range(100))
+    assert got[100] == [f"token={long}"] and got[101] == ["5 Main Street"] and got[105] == ["Madame Marie Curie"]
+    assert [got[i] for i in (102, 103, 104)] == [[dict(rows)[i].replace("use ", "").split()[0]] for i in (102, 103, 104)]
+    assert got[106] == ['password": "ab1,cd2;ef"'] and got[107] == ["token = '" + "a1" * 20 + "'"]
+    clean = {r["doc_id"]: r["r"] for r in pii.find_personal_data(df, pii.fit(df)).select(
+        "doc_id", pii.redacted("text", "found").alias("r")).collect()}
+    assert all(clean[i] == "x [SECRET] y" for i in range(100)) and clean[100] == "[SECRET] end"
+
+
 # ---- chat formatting
 
 def test_chat_layouts(spark):
