@@ -31,10 +31,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate class: the smallest id."""
-    classes = near_duplicates(docs)
-    keep = classes.filter(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """Keeps one row of each near-duplicate class: the smallest id, a null id
+    only if the class has no other.  Rows are told apart by a key of their own,
+    so rows without an id and different texts under one id are compared too."""
+    path = scratch_path(spark, "near-dedup-rows")
+    docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS).write.parquet(path)
+    rows = spark.read.parquet(path)
+    classes = near_duplicates(rows, "row").join(rows.select("row", "doc_id"), "row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    keep = classes.groupBy("class_id").agg(first.alias("first")).select("first.row")
+    return rows.join(keep, "row", "left_semi").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -425,3 +425,15 @@ def test_pipeline_stages(spark, odd, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, rows, SF001).count() > 0
         assert stage(spark, rows.limit(0), SF001).count() == 0
+
+
+def test_near_dedup_keeps_rows_without_id(spark, odd):
+    rows = odd.select("doc_id", "text").unionByName(spark.createDataFrame(
+        [(9, "another text under the id nine"), (None, "A plain text with seven words here.")],
+        "doc_id bigint, text string"))
+    for c in ("lang", "source"):
+        rows = rows.withColumn(c, F.lit("s"))
+    rows = rows.withColumn("n_chars", F.length("text").cast("long"))
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, rows, SF001).collect()]
+    want = [(r["doc_id"], r["text"]) for r in odd.filter("doc_id IS NULL OR doc_id != 6").collect()]
+    assert sorted(kept, key=str) == sorted([*want, (9, "another text under the id nine")], key=str)
