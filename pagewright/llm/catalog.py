@@ -178,6 +178,13 @@ SELECT * FROM (
 WHERE rank <= 10"""
 
 
+@_query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(read_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
