@@ -34,7 +34,7 @@ from pagewright.session import scratch_path, ship_package
 
 MIN_DOCS = 10
 TOP_TERMS = 10
-BLOCK_TERMS = 512
+BLOCK_TERMS = 256
 BLOCK_GROUPS = 64
 TILE = 2048
 HELD_ENTRIES = 300_000
@@ -111,9 +111,10 @@ def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
 
 
 def share(n: str, total: str, v: str):
-    """1 + floor(10^9 (n + 2) / (total + 2v)) of three long columns, exact."""
+    """1 + floor(10^9 (n + 2) / (total + 2v)) of three long columns, exact
+    (without kept terms nothing is priced; the divisor is 1 then)."""
     return F.expr(f"1L + cast(1000000000 as decimal(10,0)) * cast({n} + 2 as decimal(20,0))"
-                  f" div cast({total} + 2 * {v} as decimal(20,0))")
+                  f" div cast(greatest({total} + 2 * {v}, 1L) as decimal(20,0))")
 
 
 def price(p: str, q: str):
@@ -142,11 +143,17 @@ def _columns(rows: pd.DataFrame, floor: pd.DataFrame, codes: dict) -> tuple[list
     return sources, group[new], p.ravel()[order][new], one_hot
 
 
-def level_products(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+_SUMS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("item", pa.string()), ("value", pa.int64())])
+
+
+def level_products(key: tuple, table: pa.Table) -> pa.Table:
     """Sums of prices (lang, source, item, value) over one block of terms, for
     every group of block ``gi`` with every group of block ``gj``."""
-    lang, _, _, gi, gj = key
+    lang, _, _, gi, gj = (k.as_py() for k in key)
+    rows = table.to_pandas()
     floor = rows["term"].isna()
+    if not {gi, gj} <= set(rows.loc[floor, "g"]):  # the hash gave one of the blocks no group
+        return _SUMS.empty_table()
     codes = {t: i for i, t in enumerate(rows.loc[~floor, "term"].unique())}
     sides = [_columns(rows[~floor & (rows["g"] == g)], rows[floor & (rows["g"] == g)], codes)
              for g in ([gi] if gi == gj else [gi, gj])]
@@ -162,11 +169,12 @@ def level_products(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             f = (pa_[u] - pb[v]) ** 2 // (pa_[u] + pb[v])
             np.add.at(value, (ga[u], gb[v]), f * cells)
     x, y = (m.ravel() for m in np.meshgrid(np.arange(len(a)), np.arange(len(b)), indexing="ij"))
-    out = pd.DataFrame({"lang": lang, "source": np.array(a, object)[x], "item": np.array(b, object)[y],
-                        "value": value.ravel()})
+    left, right, sums = np.array(a, object)[x], np.array(b, object)[y], value.ravel()
     if gi == gj:
-        return out[x != y]
-    return pd.concat([out, out.rename(columns={"source": "item", "item": "source"})])[out.columns]
+        out = left[x != y], right[x != y], sums[x != y]
+    else:
+        out = np.concatenate([left, right]), np.concatenate([right, left]), np.concatenate([sums, sums])
+    return pa.Table.from_pydict({"lang": [lang] * len(out[0]), "source": out[0], "item": out[1], "value": out[2]}, _SUMS)
 
 
 def audit_sources(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
@@ -242,5 +250,5 @@ def _pair_sums(entries: DataFrame, groups: DataFrame, terms: DataFrame) -> DataF
               .select("lang", "band", "block", F.least("g", "other").alias("gi"), F.greatest("g", "other").alias("gj"),
                       "g", "source", "term", "n", "p"))
     return (placed.groupBy("lang", "band", "block", "gi", "gj")
-            .applyInPandas(level_products, "lang string, source string, item string, value bigint")
+            .applyInArrow(level_products, "lang string, source string, item string, value bigint")
             .groupBy("lang", "source", "item").agg(F.sum("value").alias("value")))
