@@ -185,6 +185,20 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(read_table(spark, sf_dir, "embeddings"))
 
 
+def quality_held_out(id_col: str = "doc_id"):
+    """Rows whose crc32(id as text) mod 4 is 2; a null id isn't held out."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
+
+
+@_query
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit, score
+
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    net = fit(docs, labels.filter(~quality_held_out()))
+    return score(docs, net).withColumn("held_out", quality_held_out())
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
