@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import url_domain
+from ..session import ship_package
 from ..sources.site_config import DEFAULT_DOMAIN_DELAY
+from . import pacing as P
 from .joins import broadcast_bounded
-from .scan import bucketed_lag, bucketed_prefix, epoch_micros, ordered_fold, range_chunks, \
-    time_bucket, trailing_count
+from .scan import bucketed_lag, bucketed_prefix, epoch_micros, ntz_from_micros, range_chunks, time_bucket, \
+    trailing_count
 
-# Pacing defaults of the rate limiter class.
-MIN_DOMAIN_DELAY, MAX_DOMAIN_DELAY = 1.0, 20.0
+# Pacing defaults of the rate limiter class (delays and blocks: ``pacing``).
 GLOBAL_RATE_LIMIT, GLOBAL_WINDOW_SECONDS = 10, 60
-FAILURE_BACKOFF, SUCCESS_RECOVERY = 2.0, 0.8
-MAX_FAILURES_BEFORE_THROTTLE, THROTTLE_MINUTES = 5, 5
-DOUBLE_FAILURE_STATUSES = (403, 429, 503)
 # Health-check alarm threshold (consecutive failed checks).
 HEALTH_ALARM_THRESHOLD = 3
 
@@ -67,7 +67,7 @@ def trailing_request_rate(fetches: DataFrame, limit: int = GLOBAL_RATE_LIMIT,
     return d.withColumn("over_limit", over).withColumn("wait_seconds", F.when(over, wait))
 
 
-def consecutive_failures(fetches: DataFrame, key: str = "domain", threshold: int = MAX_FAILURES_BEFORE_THROTTLE,
+def consecutive_failures(fetches: DataFrame, key: str = "domain", threshold: int = P.MAX_FAILURES_BEFORE_THROTTLE,
                          bucket_seconds: int | None = None) -> DataFrame:
     """Length of the failure run ending at each row (0 on a success) and an
     alarm flag once it reaches ``threshold``.
@@ -93,26 +93,85 @@ def consecutive_failures(fetches: DataFrame, key: str = "domain", threshold: int
 
 # ------------------------------------------------------------------ folds
 
-def _delay_after(delay, success, base):
-    up = F.when(delay <= 0, base).otherwise(F.least(F.lit(MAX_DOMAIN_DELAY), delay * FAILURE_BACKOFF))
-    down = F.when(delay > 0, F.greatest(F.lit(MIN_DOMAIN_DELAY), delay * SUCCESS_RECOVERY)).otherwise(delay)
-    return F.when(success, down).otherwise(up)
-
-
-def _delay_zero():
-    return F.struct(F.lit(0.0).alias("delay"))
-
-
-def _delay_step(acc, x):
-    d1 = _delay_after(acc["delay"], x["success"], x["domain_delay"])
-    d2 = F.when(x["double"], _delay_after(d1, F.lit(False), x["domain_delay"])).otherwise(d1)
-    return F.struct(d2.alias("delay"))
-
-
-def _fold_input(fetches: DataFrame, delays: DataFrame, n_chunks) -> DataFrame:
-    d = domain_delay_lookup(fetches, delays)
-    d = d.withColumn("double", F.coalesce(F.col("status_code").isin(*DOUBLE_FAILURE_STATUSES), F.lit(False)))
-    return range_chunks(d, ["domain"], ["ts", "event_id"], n_chunks, materialize=False)
+_STRETCH = "first_at bigint, first_id bigint, piece bigint, summary string"
+_REQUEST = ["t", "event_id", "success", "double", "domain_delay"]
+
+
+def _read_stretches(keys: list[str]):
+    """Rows sorted by (keys, time) -> one row for each run of rows of a key."""
+    def run(batches):
+        key, stretch, at, piece, kinds = None, None, None, 0, []
+
+        def done():
+            values = [*key, *at, piece, P.encode(stretch.summary())]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([v], kind) for v, kind in zip(values, [*kinds, pa.int64(), pa.int64(), pa.int64(), pa.string()])],
+                names=[*keys, "first_at", "first_id", "piece", "summary"])
+
+        for batch in batches:
+            kinds = [batch.schema.field(k).type for k in keys]
+            columns = [batch.column(c).to_pylist() for c in [*keys, *_REQUEST]]
+            for row in zip(*columns):
+                if stretch is None or row[:len(keys)] != key:
+                    if stretch is not None:
+                        yield done()
+                        piece += 1
+                    key, stretch, at = row[:len(keys)], P.Stretch(), row[len(keys):len(keys) + 2]
+                t, _, ok, double, base = row[len(keys):]
+                stretch.add(t, bool(ok), double, base)
+        if stretch is not None:
+            yield done()
+
+    return run
+
+
+def request_log(fetches: DataFrame, delays: DataFrame) -> DataFrame:
+    """Requests as the pacing rules read them: domain, time in microseconds,
+    id, result, whether it counts twice, the domain's configured delay.  Rows
+    without a time are no requests."""
+    d = domain_delay_lookup(fetches.filter(F.col("ts").isNotNull()), delays)
+    double = F.coalesce(F.col("status_code").isin(*P.DOUBLE_FAILURE_STATUSES), F.lit(False))
+    return d.select("domain", epoch_micros("ts").alias("t"), F.coalesce(F.col("event_id").cast("long"), F.lit(0)).alias("event_id"),
+                    "success", double.alias("double"), "domain_delay")
+
+
+def request_stretches(log: DataFrame, keys=("domain",), n_chunks: int | None = None) -> DataFrame:
+    """The log cut into stretches, each summarised as a map (``pacing``).
+
+    Range partitioning on (keys, time) spreads a hot domain over many tasks;
+    each task reads its sorted rows once, in memory of a fixed size, and gives
+    one row for every key it meets.
+    """
+    ship_package(log.sparkSession)
+    keys = list(keys)
+    by = [F.col(c) for c in [*keys, "t", "event_id"]]
+    spread = log.repartitionByRange(n_chunks, *by) if n_chunks else log.repartitionByRange(*by)
+    rows = spread.sortWithinPartitions(*by, "success", "double", "domain_delay").select(*keys, *_REQUEST)
+    types = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    return rows.mapInArrow(_read_stretches(keys), f"{types}, {_STRETCH}")
+
+
+def _replayed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One domain's stretches, applied in order to the state before any request."""
+    state, requests, successes = P.START, 0, 0
+    for text in pdf.sort_values(["first_at", "first_id", "piece"])["summary"]:
+        summary = P.decode(text)
+        state = P.apply(summary, state)
+        requests += summary["requests"]
+        successes += summary["successes"]
+    delay, failures, until = state
+    return pd.DataFrame({"domain": pdf["domain"].head(1).to_numpy(), "delay": [delay], "failures": [failures],
+                         "throttled": [until is not None], "until": pd.array([until], dtype="Int64"),
+                         "requests": [requests], "successes": [successes]})
+
+
+def domain_states(stretches: DataFrame) -> DataFrame:
+    """Delay, failure run, block and totals of each domain; the rows of a
+    domain are its stretches, one small row a task that met it."""
+    out = stretches.select("domain", "first_at", "first_id", "piece", "summary").groupBy("domain").applyInPandas(
+        _replayed, "domain string, delay double, failures int, throttled boolean, until bigint, requests bigint, "
+                   "successes bigint")
+    return out.withColumn("until", ntz_from_micros("until"))
 
 
 def domain_delay_fold(fetches: DataFrame, delays: DataFrame, n_chunks: int | None = None) -> DataFrame:
@@ -122,37 +181,8 @@ def domain_delay_fold(fetches: DataFrame, delays: DataFrame, n_chunks: int | Non
     failure: first the configured delay, then * 2 (not above the maximum);
     403/429/503 count as a second failure.
     """
-    ev = _fold_input(fetches, delays, n_chunks)
-    out = ordered_fold(ev, ["domain"], ["ts", "event_id"], ["success", "double", "domain_delay"],
-                       F.col("_chunk"), _delay_zero(), _delay_step)
-    return out.select("domain", F.col("state.delay").alias("current_delay"))
-
-
-def _throttle_zero():
-    return F.struct(F.lit(0.0).alias("delay"), F.lit(0).alias("failures"), F.lit(False).alias("throttled"),
-                    F.lit(None).cast("timestamp_ntz").alias("until"))
-
-
-def _throttle_step(acc, x):
-    """One request: expiry check, its result, and for 403/429/503 a second failure.
-
-    Written field by field over the accumulator (no nested state structs):
-    lambdas inside ``aggregate`` are evaluated without common-subexpression
-    elimination, so a nested form would repeat the same work many times.
-    """
-    expired = acc["throttled"] & acc["until"].isNotNull() & (x["ts"] >= acc["until"])
-    f0 = F.when(expired, F.lit(0)).otherwise(acc["failures"])
-    ok, dbl = x["success"], x["double"]
-    f1 = F.when(ok, F.lit(0)).otherwise(f0 + 1)
-    fails = F.when(dbl, f1 + 1).otherwise(f1)
-    trip = (~ok & (f0 + 1 >= MAX_FAILURES_BEFORE_THROTTLE)) | (dbl & (fails >= MAX_FAILURES_BEFORE_THROTTLE))
-    until = x["ts"] + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(THROTTLE_MINUTES), F.lit(0))
-    d1 = _delay_after(acc["delay"], ok, x["domain_delay"])
-    return F.struct(
-        F.when(dbl, _delay_after(d1, F.lit(False), x["domain_delay"])).otherwise(d1).alias("delay"),
-        fails.alias("failures"),
-        (trip | (acc["throttled"] & ~expired)).alias("throttled"),
-        F.when(trip, until).when(expired, F.lit(None).cast("timestamp_ntz")).otherwise(acc["until"]).alias("until"))
+    states = domain_states(request_stretches(request_log(fetches, delays), n_chunks=n_chunks))
+    return states.select("domain", F.col("delay").alias("current_delay"))
 
 
 def domain_throttle_fold(fetches: DataFrame, delays: DataFrame, n_chunks: int | None = None) -> DataFrame:
@@ -162,18 +192,23 @@ def domain_throttle_fold(fetches: DataFrame, delays: DataFrame, n_chunks: int |
     expiry is checked before each request and resets the failure count; a
     success alone does not lift the block; 403/429/503 count twice.
 
-    Only the order-dependent state (delay, failure run, block) is folded; the
-    request and success totals are plain sums, aggregated map-side, so the
-    fold's state re-synchronises quickly and the carry loop stays short.
+    Two shuffles whatever the domains do: the rows once, to stretches in time
+    order, and one small row for each stretch.
+    """
+    return domain_states(request_stretches(request_log(fetches, delays), n_chunks=n_chunks))
+
+
+def after_reset(fetches: DataFrame, resets: DataFrame) -> DataFrame:
+    """Requests that count after statistics have been cleared.
+
+    ``resets`` has ``domain`` (null: all domains) and ``reset_at``; requests up
+    to the newest reset that covers their domain are forgotten.
     """
-    ev = _fold_input(fetches, delays, n_chunks)
-    out = ordered_fold(ev, ["domain"], ["ts", "event_id"], ["success", "double", "domain_delay"],
-                       F.col("_chunk"), _throttle_zero(), _throttle_step)
-    totals = fetches.withColumn(
-        "double", F.coalesce(F.col("status_code").isin(*DOUBLE_FAILURE_STATUSES), F.lit(False))).groupBy(
-        "domain").agg((F.count(F.lit(1)) + F.count(F.when(F.col("double"), 1))).alias("requests"),
-                      F.count(F.when(F.col("success"), 1)).alias("successes"))
-    return out.select("domain", F.col("state.*")).join(totals, "domain")
+    whole = resets.filter(F.col("domain").isNull()).select(F.max("reset_at")).scalar()
+    each = resets.filter(F.col("domain").isNotNull()).groupBy("domain").agg(F.max("reset_at").alias("_own"))
+    covered = F.greatest(whole, F.col("_own"))
+    return (fetches.join(broadcast_bounded(each), "domain", "left")
+            .filter(covered.isNull() | (F.col("ts") > covered)).drop("_own"))
 
 
 def domain_stats(state: DataFrame, domain: str | None = None) -> DataFrame:

@@ -13,9 +13,6 @@ chunks from ``range_chunks`` (the default everywhere) or time buckets:
   plus the exclusive prefix over the per-bucket totals);
 * ``trailing_count``    – count / min over a trailing time range, from running
   sums over entering and leaving rows;
-* ``ordered_fold``      – a sequential state machine (``aggregate`` over the
-  sorted events of one bucket) whose start state per bucket is found by a
-  fixpoint loop over the bucket summaries.
 
 Only per-bucket summaries (one small row per key and bucket) are ever ordered
 per key in a single task.
@@ -23,7 +20,7 @@ per key in a single task.
 
 from __future__ import annotations
 
-from typing import Callable, Sequence
+from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,6 +37,14 @@ def epoch_micros(ts) -> Column:
                             c.cast("timestamp_ntz"))
 
 
+def ntz_from_micros(micros) -> Column:
+    """TIMESTAMP_NTZ of microseconds since 1970-01-01 (inverse of ``epoch_micros``)."""
+    c = F.col(micros) if isinstance(micros, str) else micros
+    seconds = (c.cast("decimal(20,0)") / F.lit(1000000).cast("decimal(10,0)")).cast("decimal(18,6)")
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(
+        F.lit(0), F.lit(0), F.lit(0), seconds)
+
+
 def time_bucket(ts, seconds: int) -> Column:
     return F.floor(epoch_micros(ts) / F.lit(seconds * 1000000)).cast("long")
 
@@ -135,49 +140,6 @@ def trailing_count(df: DataFrame, keys: Sequence[str], ts: str, width_micros: in
     return rows.join(found, [*keys, "_t"], "left").drop("_t")
 
 
-def ordered_fold(events: DataFrame, keys: Sequence[str], order: Sequence[str], payload: Sequence[str],
-                 bucket: Column, zero: Column, step: Callable[[Column, Column], Column]) -> DataFrame:
-    """Final state per key of ``state = step(state, event)`` over events in order.
-
-    Events of a key are cut into buckets; each bucket is folded with
-    ``aggregate(array_sort(collect_list(event)), start, step)`` (bounded by the
-    bucket width).  The start state of a bucket is the end state of the
-    previous bucket of the key.  That dependency is solved by a fixpoint loop:
-    fold every bucket from ``zero``, then refold only the buckets whose start
-    state changed, until none changes.  State usually re-synchronises within a
-    bucket, so two or three rounds suffice; the loop is exact either way and
-    ends after at most (number of buckets per key) rounds.  Every round is
-    checkpointed to the shared checkpoint folder.
-
-    ``zero`` must be a struct literal of the state type; ``step`` receives the
-    state and an event struct with fields ``order + payload``.
-    """
-    keys, order, payload = list(keys), list(order), list(payload)
-    ev = F.struct(*[F.col(c).alias(c) for c in order + payload])
-    buckets = (events.withColumn("_b", bucket).groupBy(*keys, "_b")
-               .agg(F.array_sort(F.collect_list(ev)).alias("_events")))
-    buckets = cut_lineage(buckets)
-
-    def fold(start: Column) -> Column:
-        return F.aggregate(F.col("_events"), start, step)
-
-    state = buckets.select(*keys, "_b", zero.alias("_in"), fold(zero).alias("_out"))
-    state = cut_lineage(state)
-    wb = Window.partitionBy(*keys).orderBy("_b")
-    while True:
-        # one row per (key, bucket): the window here orders bucket summaries only
-        expect = state.withColumn("_want", F.coalesce(F.lag("_out").over(wb), zero))
-        changed = expect.filter(~F.col("_want").eqNullSafe(F.col("_in"))).select(*keys, "_b", "_want")
-        if changed.isEmpty():
-            break
-        redo = (changed.join(buckets, [*keys, "_b"])
-                .select(*keys, "_b", F.col("_want").alias("_in"),
-                        F.aggregate(F.col("_events"), F.col("_want"), step).alias("_out")))
-        state = cut_lineage(state.join(changed.select(*keys, "_b"), [*keys, "_b"], "left_anti")
-                            .unionByName(redo))
-    return state.groupBy(*keys).agg(F.max_by("_out", "_b").alias("state"))
-
-
 CHUNK_ROWS = 1 << 17
 
 

@@ -54,7 +54,7 @@ def stream_failed_upsert(spark, sf):
     out, ck = _paths(spark, "failed-table")
     failures = FL.failure_record(fx.fetch_rows(S.table_stream(spark, sf, "events")))
     S.failed_upsert_stream(failures, out, ck)
-    return S.latest_version(spark, out)
+    return S.failed_table(spark, out).read()
 
 
 @query("stream_request_rate", """
@@ -81,17 +81,18 @@ def stream_counts_by_day(spark, sf):
     return S.summed_counts(spark, out, ["site"])
 
 
-@query("stream_domain_state", "SELECT * FROM fx_throttle_final")
+@query("stream_domain_state", "SELECT *, CAST(0 AS BIGINT) AS late FROM fx_throttle_final")
 def stream_domain_state(spark, sf):
     out, ck = _paths(spark, "domain-state")
     f = fx.fetch_rows(S.table_stream(spark, sf, "events"))
     S.domain_state_stream(f, C.delays(spark, sf), out, ck)
-    return S.latest_per_key(spark, out, ["domain"]).drop("late")
+    return S.domain_state(spark, out)
 
 
 @query("stream_failure_state", """
 SELECT url, state, site_name, error_category, error_message, status_code, retry_count, first_failed_at,
-  last_failed_at, next_retry_at FROM fx_tasks""")
+  last_failed_at, next_retry_at, state = 'pending' AND next_retry_at <= (SELECT max(ts) FROM fx_fetch) AS due,
+  CAST(0 AS BIGINT) AS late FROM fx_tasks""")
 def stream_failure_state(spark, sf):
     out, ck = _paths(spark, "failure-state")
     f = fx.fetch_rows(S.table_stream(spark, sf, "events"))

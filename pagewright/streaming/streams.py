@@ -2,33 +2,36 @@
 
 Sources are file (or Kafka) streams; sinks are idempotent per micro-batch:
 ``foreachBatch`` writes batch ``n`` to its own folder (re-running batch ``n``
-after a failure overwrites the same folder), and readers take the newest
-version of a key.  Keyed state lives in the state store
-(``applyInPandasWithState``); per-batch groups are sorted by event time so the
-state machines see events in order.
+after a failure overwrites the same folder).  Values seen before are keyed
+state in the state store; tables of one row for each key are changed bucket by
+bucket (``KeyedTable``); the state machines, whose results depend on the order
+of events, are kept as summaries by key and time bucket (``EventLog``).
 """
 
 from __future__ import annotations
 
-import pickle
-from typing import Callable, Iterator
+from typing import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
 
 from ..functions import errors as E
 from ..operators import failures as FL
 from ..operators import rates as RT
+from ..operators import retries as R
 from ..operators.articles import clean_articles
+from ..operators.scan import epoch_micros, ntz_from_micros
 from ..session import ship_package
+from ..sources.keyed_table import KeyedTable
+from .eventlog import DAY, EventLog
 
 
 def ntz_to_instant(col):
     """TIMESTAMP_NTZ -> TIMESTAMP read as UTC, whatever the session time zone
     (watermarks and event-time windows need TIMESTAMP)."""
-    from ..operators.scan import epoch_micros
     return F.timestamp_micros(epoch_micros(col))
 
 
@@ -79,14 +82,6 @@ def batch_folder_writer(path: str, fmt: str = "parquet") -> Callable[[DataFrame,
     return write
 
 
-def latest_per_key(spark: SparkSession, path: str, keys) -> DataFrame:
-    """Read a batch-folder table and keep the newest version of every key."""
-    t = spark.read.parquet(path)
-    cols = [c for c in t.columns if c not in list(keys) + ["batch"]]
-    g = t.groupBy(*keys).agg(F.max_by(F.struct(*cols), "batch").alias("_r"))
-    return g.select(*keys, *[F.col("_r")[c].alias(c) for c in cols])
-
-
 # ------------------------------------------------------------ stateless
 
 def parse_message_stream(messages: DataFrame, schema: str, value_col: str = "value") -> DataFrame:
@@ -96,74 +91,58 @@ def parse_message_stream(messages: DataFrame, schema: str, value_col: str = "val
             .filter(F.col("message").isNotNull()))
 
 
-def _written_before(spark: SparkSession, path: str, batch_id: int, column: str) -> DataFrame:
-    """A column of the rows that earlier micro-batches have written."""
-    return spark.read.parquet(path).filter(F.col("batch") < batch_id).select(column)
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def article_ingest(articles: DataFrame, out_path: str, checkpoint: str, site_col: str = "site") -> None:
-    """Parse -> clean -> drop URLs already written -> append.
+def first_of(rows: DataFrame, key: str) -> DataFrame:
+    """Each value of ``key`` once, however often and in whichever micro-batches
+    it comes.  The values seen are keyed state, kept on disk by RocksDB: a
+    micro-batch looks up its own values and reads no earlier output."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return rows.dropDuplicates([key])
 
-    A micro-batch is deduplicated in itself and against the URLs of earlier
-    batches, so a repeated URL is found whenever it comes.
-    """
-    def batch_fn(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.dropDuplicates(["url"])
-        if batch_id:
-            seen = _written_before(batch.sparkSession, out_path, batch_id, "url")
-            fresh = fresh.join(seen, "url", "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
 
-    run_available_now(clean_articles(articles, site_col), checkpoint, batch_fn)
+def article_ingest(articles: DataFrame, out_path: str, checkpoint: str, site_col: str = "site") -> None:
+    """Parse -> clean -> drop URLs seen before -> append."""
+    run_available_now(first_of(clean_articles(articles, site_col), "url"), checkpoint, batch_folder_writer(out_path))
 
 
 def new_links_stream(links: DataFrame, existing: DataFrame, out_path: str, checkpoint: str,
                      link_col: str = "link") -> None:
-    """Incoming links minus stored URLs and minus links that an earlier batch
-    has emitted: each new link comes out once."""
-    e = existing.select(F.col(existing.columns[0]).alias(link_col))
+    """Incoming links minus stored URLs, each new link once."""
+    stored = existing.select(F.col(existing.columns[0]).alias(link_col))
+    fresh = links.select(link_col).join(stored, link_col, "left_anti")
+    run_available_now(first_of(fresh, link_col), checkpoint, batch_folder_writer(out_path))
 
-    def batch_fn(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.select(link_col).distinct().join(e, link_col, "left_anti")
-        if batch_id:
-            seen = _written_before(batch.sparkSession, out_path, batch_id, link_col)
-            fresh = fresh.join(seen, link_col, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
 
-    run_available_now(links, checkpoint, batch_fn)
+FAILED_SCHEMA = ("url_key string, url string, reason string, status_code string, failed_time timestamp_ntz, "
+                 "retry_count int, created_at timestamp_ntz")
 
 
-def failed_upsert_stream(failures: DataFrame, table_path: str, checkpoint: str) -> None:
-    """Running failed-URL table.  Batch n reads version n-1, applies the upsert
-    and writes version n; readers use the newest complete version, so the swap
-    is atomic and a replayed batch rewrites the same version."""
-    spark = failures.sparkSession
+def failed_table(spark: SparkSession, path: str, n_buckets: int = 16) -> KeyedTable:
+    """The stored failed-URL table."""
+    return KeyedTable(spark, path, "url_key", FAILED_SCHEMA, n_buckets)
+
+
+def failed_upsert_stream(failures: DataFrame, table_path: str, checkpoint: str, n_buckets: int = 16) -> None:
+    """Running failed-URL table: a micro-batch reads the stored rows of its own
+    keys, and writes the rows that it changes."""
+    table = failed_table(failures.sparkSession, table_path, n_buckets)
 
     def batch_fn(batch: DataFrame, batch_id: int) -> None:
-        prev = None
-        if batch_id > 0:
-            prev = spark.read.parquet(f"{table_path}/version={batch_id - 1}")
-        FL.failed_upsert(prev, batch).write.mode("overwrite").parquet(f"{table_path}/version={batch_id}")
+        if not table.committed(batch_id):
+            stored = table.read_for(batch.select(FL.url_key().alias("url_key")))
+            table.commit(FL.failed_upsert(stored, batch), batch_id)
 
     run_available_now(failures, checkpoint, batch_fn)
 
 
-def latest_version(spark: SparkSession, table_path: str) -> DataFrame:
-    t = spark.read.parquet(table_path)
-    newest = t.select(F.max("version")).scalar()
-    return t.filter(F.col("version") == newest).drop("version")
-
-
-def windowed_counts(events: DataFrame, ts: str, keys, window: str, slide: str | None, watermark: str,
-                    out_path: str, checkpoint: str) -> None:
-    """Counts per (window, keys), emitted in update mode; state older than the
-    watermark is dropped.  Event time must be TIMESTAMP (not NTZ)."""
-    e = events.withColumn("_et", ntz_to_instant(F.col(ts))).withWatermark("_et", watermark)
-    w = F.window("_et", window, slide) if slide else F.window("_et", window)
-    agg = e.groupBy(w.alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"))
-    out = agg.select(instant_to_ntz(F.col("w.start")).alias("window_start"),
-                     instant_to_ntz(F.col("w.end")).alias("window_end"), *keys, "n")
-    run_available_now(out, checkpoint, batch_folder_writer(out_path), output_mode="update")
+def failed_delete(table: KeyedTable, processed: DataFrame) -> None:
+    """Delete processed URLs (exact URL match) from the stored table."""
+    urls = processed.select(F.col(processed.columns[0]).alias("url")).distinct()
+    keys = urls.select(FL.url_key().alias("url_key"))
+    found = table.read_for(keys).join(urls, "url", "left_semi")
+    table.commit(found.withColumn("_gone", F.lit(True)))
 
 
 def additive_counts(events: DataFrame, ts: str, keys, window: str, slide: str | None, out_path: str,
@@ -186,153 +165,179 @@ def summed_counts(spark: SparkSession, path: str, keys) -> DataFrame:
     return spark.read.parquet(path).groupBy("window_start", "window_end", *keys).agg(F.sum("n").alias("n"))
 
 
-# -------------------------------------------------------------- stateful
-# The per-key state machines below are small Python helpers.  A key's state is
-# its fold over all events before the watermark, and the events after it, which
-# may still be joined by earlier ones: each micro-batch emits the fold over
-# both, then moves what the watermark has passed into the fold.  So events may
-# come in any order within the watermark; later ones are counted in ``late``.
-
-STATE = "blob binary"
-WATERMARK = "60 days"
-
-
-def _split_rows(pdfs: Iterator[pd.DataFrame], columns: list[str], held: list, state: GroupState):
-    """(rows passed by the watermark, rows still open, number of late rows),
-    in event order."""
-    mark = pd.Timestamp(max(0, state.getCurrentWatermarkMs()), unit="ms")
-    late, rows = 0, list(held)
-    for pdf in pdfs:
-        for r in pdf[columns].itertuples(index=False, name=None):
-            if r[0] < mark:
-                late += 1
-            else:
-                rows.append(r)
-    rows.sort(key=lambda r: r[:2])
-    at = next((i for i, r in enumerate(rows) if r[0] >= mark), len(rows))
-    return rows[:at], rows[at:], late
-
-
-def _delay_after(delay: float, ok: bool, base: float) -> float:
-    if ok:
-        return max(RT.MIN_DOMAIN_DELAY, delay * RT.SUCCESS_RECOVERY) if delay > 0 else delay
-    return base if delay <= 0 else min(RT.MAX_DOMAIN_DELAY, delay * RT.FAILURE_BACKOFF)
-
-
-DOMAIN_OUT = ("domain string, delay double, failures int, throttled boolean, until timestamp_ntz, "
-              "requests long, successes long, late long")
-_DOMAIN_COLUMNS = ["ts", "event_id", "success", "status_code", "domain_delay"]
-
-
-def _domain_fold(acc: tuple, rows: list) -> tuple:
-    delay, fails, thr, until, req, succ = acc
-    throttle = pd.Timedelta(minutes=RT.THROTTLE_MINUTES)
-    for ts, _, ok, status, base in rows:
-        if thr and until is not None and ts >= until:
-            thr, until, fails = False, None, 0
-        for good in [bool(ok)] + ([False] if status in RT.DOUBLE_FAILURE_STATUSES else []):
-            req += 1
-            delay = _delay_after(delay, good, base)
-            if good:
-                succ, fails = succ + 1, 0
-            else:
-                fails += 1
-                if fails >= RT.MAX_FAILURES_BEFORE_THROTTLE:
-                    thr, until = True, ts + throttle
-    return delay, fails, thr, until, req, succ
-
-
-def _domain_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-    acc, held, late = pickle.loads(state.get[0]) if state.exists else ((0.0, 0, False, None, 0, 0), [], 0)
-    passed, held, more = _split_rows(pdfs, _DOMAIN_COLUMNS, held, state)
-    acc, late = _domain_fold(acc, passed), late + more
-    state.update((pickle.dumps((acc, held, late)),))
-    out = _domain_fold(acc, held)
-    yield pd.DataFrame([(key[0], *out, late)], columns=[c.split()[0] for c in DOMAIN_OUT.split(", ")])
+# ---------------------------------------------------- keyed state machines
+
+REQUEST_LOG = ("domain string, t bigint, event_id bigint, success boolean, double boolean, domain_delay double")
+
+
+def _seconds(interval: str) -> int:
+    """'60 days', '90 minutes' -> seconds."""
+    n, unit = interval.split()
+    return int(n) * {"second": 1, "minute": 60, "hour": 3600, "day": DAY}[unit.rstrip("s")]
+
+
+def domain_log(path: str, bucket: str = "1 day", retention: str = "60 days") -> EventLog:
+    return EventLog(path, "domain", T.StructType.fromDDL(REQUEST_LOG),
+                    lambda rows: RT.request_stretches(rows, ("domain", "bucket")), _seconds(bucket), _seconds(retention))
 
 
 def domain_state_stream(fetches: DataFrame, delays: DataFrame, out_path: str, checkpoint: str,
-                        watermark: str = WATERMARK) -> None:
-    """Adaptive delay and throttle per domain as keyed streaming state."""
-    d = RT.domain_delay_lookup(fetches, delays).withColumn("_et", ntz_to_instant(F.col("ts")))
-    d = d.withWatermark("_et", watermark).select("domain", *_DOMAIN_COLUMNS, "_et")
-    ship_package(fetches.sparkSession)
-    out = d.groupBy("domain").applyInPandasWithState(
-        _domain_fn, DOMAIN_OUT, STATE, "update", GroupStateTimeout.NoTimeout)
-    run_available_now(out, checkpoint, batch_folder_writer(out_path), output_mode="update")
-
-
-FAILURE_OUT = ("url string, state string, site_name string, error_category string, error_message string, "
-               "status_code int, retry_count int, first_failed_at timestamp_ntz, last_failed_at timestamp_ntz, "
-               "next_retry_at timestamp_ntz, due boolean, late long")
-_FAILURE_COLUMNS = ["ts", "event_id", "success", "site", "status_code", "error_category", "error_message",
-                    "max_retries", "min_delay", "max_delay"]
-
-
-def _retry_delay(rc: int, lo: float, hi: float) -> float:
-    return min((lo + hi) / 2.0 * E.BACKOFF_FACTOR ** rc, E.MAX_RETRY_DELAY)
-
-
-def _failure_fold(acc: tuple, rows: list) -> tuple:
-    """(pending, permanent) tasks; a task is (site, category, message, status,
-    retry count, first, last, next).  Its site is that of the failure that
-    opened it."""
-    pending, permanent = acc
-    for ts, _, ok, site, status, category, message, most, low, high in rows:
-        if ok:
-            pending = None
-            continue
-        rc = pending[4] + 1 if pending else 0
-        status = None if pd.isna(status) else int(status)
-        task = [pending[0] if pending else site, category, message, status, rc, pending[5] if pending else ts, ts]
-        if rc < most:
-            pending = (*task, ts + pd.Timedelta(seconds=_retry_delay(rc, low, high)))
-        else:
-            permanent, pending = (*task, pending[7] if pending else None), None
-    return pending, permanent
-
-
-def _failure_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-    acc, held, late = pickle.loads(state.get[0]) if state.exists else ((None, None), [], 0)
-    timed_out = state.hasTimedOut
-    passed, held, more = _split_rows(iter(()) if timed_out else pdfs, _FAILURE_COLUMNS, held, state)
-    acc, late = _failure_fold(acc, passed), late + more
-    pending, permanent = _failure_fold(acc, held)
-    if not held and acc == (None, None) and not late:
-        state.remove()  # nothing left to remember of this URL
-    else:
-        state.update((pickle.dumps((acc, held, late)),))
-    rows = [(key[0], name, *task, False, late) for name, task in (("pending", pending), ("permanent", permanent))
-            if task]
-    # a row without a task says that earlier rows of the URL no longer hold
-    rows = rows or [(key[0], None, *[None] * 8, False, late)]
-    if pending and pending[7] is not None:
-        due_ms = int(pd.Timestamp(pending[7]).tz_localize("UTC").timestamp() * 1000)
-        if due_ms > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(due_ms)
-        else:  # due by the watermark: emit it once more, flagged
-            rows.append((key[0], "pending", *pending, True, late))
-    yield pd.DataFrame(rows, columns=[c.split()[0] for c in FAILURE_OUT.split(", ")])
+                        bucket: str = "1 day", retention: str = "60 days") -> None:
+    """Adaptive delay and throttle per domain, kept as summaries of its requests
+    in time buckets (``domain_state`` reads them)."""
+    log = domain_log(out_path, bucket, retention)
+    run_available_now(RT.request_log(fetches, delays), checkpoint, log.append)
+
+
+def domain_state(spark: SparkSession, path: str) -> DataFrame:
+    """State of each domain after all events of the stream; ``late`` counts the
+    events that came too late to be applied."""
+    log = domain_log(path)
+    states = RT.domain_states(log.summaries(spark))
+    return (states.join(log.late(spark), "domain", "left")
+            .withColumn("late", F.coalesce("late", F.lit(0)).cast("long")))
+
+
+FETCH_LOG = ("url string, t bigint, event_id bigint, success boolean, site string, status_code int, "
+             "error_category string, error_message string, max_retries int, min_delay double, max_delay double")
+_TASK = ("count: int, site: string, first: bigint, category: string, message: string, status: int, last: bigint, "
+         "planned: bigint")
+TASK_SCHEMA = f"url string, pending struct<{_TASK}>, permanent struct<{_TASK}>"
+
+
+def _read_fetch_stretches(most: int):
+    """Rows sorted by (url, bucket, time) -> one row for each run of rows of a
+    URL and bucket."""
+    def run(batches):
+        key, stretch, at, piece = None, None, None, 0
+
+        def done():
+            return pa.RecordBatch.from_pydict(
+                {"url": pa.array([key[0]], pa.string()), "bucket": pa.array([key[1]], pa.int64()),
+                 "first_at": pa.array([at[0]], pa.int64()), "first_id": pa.array([at[1]], pa.int64()),
+                 "piece": pa.array([piece], pa.int64()), "summary": pa.array([R.encode(stretch.summary())], pa.string())})
+
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                if row[:2] != key:
+                    if stretch is not None:
+                        yield done()
+                        piece += 1
+                    key, at, stretch = row[:2], row[2:4], R.Stretch(most)
+                t, _, ok, site, status, category, message, limit, low, high = row[2:]
+                stretch.add(t, bool(ok), site, status, category, message, limit, low, high)
+        if stretch is not None:
+            yield done()
+
+    return run
+
+
+def fetch_stretches(log: DataFrame, most: int) -> DataFrame:
+    """The log cut into stretches, each summarised as a map (``retries``).  One
+    row for each run of a URL and bucket that a task reads."""
+    ship_package(log.sparkSession)
+    by = ["url", "bucket", "t", "event_id"]
+    rows = log.repartitionByRange(*by).sortWithinPartitions(*by, "success", "error_category", "error_message").select(
+        *by, "success", "site", "status_code", "error_category", "error_message", "max_retries", "min_delay", "max_delay")
+    return rows.mapInArrow(_read_fetch_stretches(most), "url string, bucket bigint, first_at bigint, first_id bigint, "
+                                                        "piece bigint, summary string")
+
+
+def _tasks_of(pdf: pd.DataFrame) -> pd.DataFrame:
+    state = R.START
+    for text in pdf.sort_values(["first_at", "first_id", "piece"])["summary"]:
+        state = R.apply(R.decode(text), state)
+    row = {name: None if task is None else dict(zip(("count", *R.FIELDS), task))
+           for name, task in zip(("pending", "permanent"), state)}
+    return pd.DataFrame([{"url": pdf["url"].iloc[0], **row}], dtype=object)
+
+
+def url_states(stretches: DataFrame) -> DataFrame:
+    """(url, pending, permanent); the rows of a URL are its stretches."""
+    return stretches.select("url", "first_at", "first_id", "piece", "summary").groupBy("url").applyInPandas(
+        _tasks_of, TASK_SCHEMA)
+
+
+def failure_log(path: str, policy: DataFrame | None = None, bucket: str = "1 day", retention: str = "60 days") -> EventLog:
+    most = E.FALLBACK_MAX_RETRIES if policy is None else max(
+        E.FALLBACK_MAX_RETRIES, policy.agg(F.max("max_retries")).first()[0] or 0)
+    return EventLog(path, "url", T.StructType.fromDDL(FETCH_LOG), lambda rows: fetch_stretches(rows, most),
+                    _seconds(bucket), _seconds(retention))
+
+
+def task_table(spark: SparkSession, path: str, n_buckets: int = 16) -> KeyedTable:
+    """(url, pending, permanent) of every URL that has a task."""
+    return KeyedTable(spark, f"{path}/tasks", "url", TASK_SCHEMA, n_buckets)
 
 
 def failure_state_stream(fetches: DataFrame, policy: DataFrame, out_path: str, checkpoint: str,
-                         watermark: str = WATERMARK) -> None:
-    """Retry lifecycle per URL as keyed state; a pending task's event-time
-    timeout is its next retry time, so it is emitted again when due."""
-    ev = FL.failure_events(fetches, policy).withColumn("_et", ntz_to_instant(F.col("ts")))
-    ev = ev.withWatermark("_et", watermark).select("url", *_FAILURE_COLUMNS, "_et")
-    ship_package(fetches.sparkSession)
-    out = ev.groupBy("url").applyInPandasWithState(
-        _failure_fn, FAILURE_OUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
-    run_available_now(out, checkpoint, batch_folder_writer(out_path), output_mode="update")
+                         bucket: str = "1 day", retention: str = "60 days", n_buckets: int = 16) -> None:
+    """Retry lifecycle per URL, with the retries that fall due.
+
+    The stream's clock is its newest event time.  A micro-batch brings the
+    tasks of the URLs that it touched up to date; where that plans a retry, the
+    plan is set as a timer under its day.  The batch whose clock reaches a timer
+    gives it out (``due_retries``) if the task is still planned for that time.
+    Timers of other days are not read.
+    """
+    spark = fetches.sparkSession
+    log, table = failure_log(out_path, policy, bucket, retention), task_table(spark, out_path, n_buckets)
+    events = FL.failure_events(fetches.filter(F.col("ts").isNotNull()), policy).withColumn("t", epoch_micros("ts")) \
+        .withColumn("event_id", F.coalesce(F.col("event_id").cast("long"), F.lit(0)))
+
+    def batch_fn(batch: DataFrame, batch_id: int) -> None:
+        touched = log.append(batch, batch_id)
+        before, after = log.clock(spark, batch_id)[0], log.clock(spark, batch_id + 1)[0]
+        if not table.committed(batch_id):
+            changed = f"{out_path}/changed"
+            url_states(log.summaries(spark, touched, batch_id)).write.mode("overwrite").parquet(changed)
+            now = spark.read.schema(TASK_SCHEMA).parquet(changed)
+            old = table.read_for(touched).select("url", F.col("pending.planned").alias("was"))
+            plans = (now.join(old, "url", "left").filter("pending is not null and not (pending.planned <=> was)")
+                     .select("url", F.col("pending.planned").alias("planned")))
+            plans.withColumn("day", F.expr(f"planned div {DAY * 1_000_000}")) \
+                .write.mode("overwrite").partitionBy("day").parquet(f"{out_path}/timers/batch={batch_id}")
+            gone = F.col("pending").isNull() & F.col("permanent").isNull()
+            table.commit(now.withColumn("_gone", gone), batch_id)
+        timers = spark.read.schema("url string, planned bigint, batch bigint, day bigint").parquet(f"{out_path}/timers")
+        timers = timers.filter((F.col("batch") <= batch_id) & (F.col("planned") <= F.lit(after)))
+        if before is not None:  # reached since, or set by this batch
+            passed = (F.col("day") >= before // (DAY * 1_000_000)) & (F.col("planned") > before)
+            timers = timers.filter(passed | (F.col("batch") == batch_id))
+        timers = timers.select("url", "planned").distinct()
+        tasks = table.read_for(timers).select("url", "pending.*")
+        tasks.join(timers, ["url", "planned"], "left_semi") \
+            .write.mode("overwrite").parquet(f"{out_path}/due/batch={batch_id}")
+
+    run_available_now(events, checkpoint, batch_fn)
+
+
+def _task_columns(name: str):
+    t = F.col(name)
+    return [F.lit(name).alias("state"), "url", t["site"].alias("site_name"), t["category"].alias("error_category"),
+            t["message"].alias("error_message"), t["status"].alias("status_code"), t["count"].alias("retry_count"),
+            ntz_from_micros(t["first"]).alias("first_failed_at"), ntz_from_micros(t["last"]).alias("last_failed_at"),
+            ntz_from_micros(t["planned"]).alias("next_retry_at")]
 
 
 def current_tasks(spark: SparkSession, path: str) -> DataFrame:
-    """Tasks of the newest micro-batch of each URL; a URL whose last row holds
-    no task has none."""
-    t = spark.read.parquet(path).filter(~F.col("due"))
-    last = t.groupBy("url").agg(F.max("batch").alias("batch"))
-    return t.join(last, ["url", "batch"]).filter(F.col("state").isNotNull()).drop("batch", "due", "late")
+    """Tasks after all events of the stream.  ``due``: the stream has given the
+    planned retry out; ``late`` counts the URL's events that came too late."""
+    tasks = task_table(spark, path).read()
+    rows = tasks.filter("pending is not null").select(*_task_columns("pending")).unionByName(
+        tasks.filter("permanent is not null").select(*_task_columns("permanent")))
+    given = due_retries(spark, path).select("url", "next_retry_at", F.lit("pending").alias("state"),
+                                            F.lit(True).alias("due")).distinct()
+    return (rows.join(given, ["url", "next_retry_at", "state"], "left").withColumn("due", F.coalesce("due", F.lit(False)))
+            .join(failure_log(path).late(spark), "url", "left")
+            .withColumn("late", F.coalesce("late", F.lit(0)).cast("long")))
+
+
+def due_retries(spark: SparkSession, path: str) -> DataFrame:
+    """Retries given out as they fell due: (url, retry_count, next_retry_at,
+    batch), one row for each time that a task has been planned for."""
+    t = spark.read.parquet(f"{path}/due")
+    return t.select("url", F.col("count").alias("retry_count"), ntz_from_micros("planned").alias("next_retry_at"), "batch")
 
 
 def content_change_stream(observations: DataFrame, key: str, seq: str, text: str, out_path: str,
@@ -379,18 +384,6 @@ def failed_csv_stream(failures: DataFrame, path: str, checkpoint: str) -> None:
     run_available_now(failures, checkpoint, batch_fn)
 
 
-def index_stream(articles: DataFrame, path: str, checkpoint: str, index: str = "article_store") -> None:
-    """Bulk-index lines (action + source) for every micro-batch of articles."""
-    from ..sources.sinks import index_actions
-
-    def batch_fn(batch: DataFrame, batch_id: int) -> None:
-        out = f"{path}/batch={batch_id}"
-        index_actions(batch, index).select(F.concat_ws("\n", "action", "source").alias("value")) \
-            .write.mode("overwrite").text(out)
-
-    run_available_now(articles, checkpoint, batch_fn)
-
-
 def log_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Fetcher log lines as a stream (new files in ``folder``), parsed like ``log_lines``."""
     from ..sources.readers import LOG_RE, LOG_TS_FORMAT

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from pagewright.operators import rates as RT
 from pagewright.operators import failures as FL
+from pagewright.operators import pacing as P
+from pagewright.operators import retries as RS
 from pagewright.functions import errors as E
 from pagewright.operators.scan import bucketed_lag, bucketed_prefix, time_bucket, trailing_count
 
@@ -183,17 +185,108 @@ def test_row_chunked_scans_match_plain_window(spark):
     assert pre.join(plain, "event_id").filter(F.col("run") != F.col("r")).count() == 0
 
 
-def test_fold_with_tiny_chunks(spark, monkeypatch):
-    import pagewright.operators.scan as scan
-    rows = make_events(500, 4)
+def replay_stretch(events, state):
+    delay, failures, until = state
+    for at, ok, double, base in events:
+        failures, until = P.run_after((failures, until), at, ok, double)
+        for good in (ok, False) if double else (ok,):
+            delay = P.delay_after(delay, good, base)
+    return delay, failures, until
+
+
+def test_stretch_maps_equal_the_replay_from_any_state():
+    rnd = random.Random(3)
+    for _ in range(3000):
+        share = rnd.choice([0.0, 0.1, 0.3, 0.55, 0.8, 1.0])
+        gaps = rnd.choice([[1], [1, 30, 60], [100, 299, 300, 301], [1, 5, 30, 90, 400], [0, 0, 100]])
+        base = rnd.choice([0.0, 0.3, 1.0, 3.0, 30.0])
+        at, events = 0, []
+        for _ in range(rnd.choice([1, 2, 5, 13, 40])):
+            at += rnd.choice(gaps) * 1_000_000
+            ok = rnd.random() < share
+            events.append((at, ok, rnd.random() < (0.05 if ok else 0.3), base))
+        stretch = P.Stretch()
+        for e in events:
+            stretch.add(*e)
+        summary = P.decode(P.encode(stretch.summary()))
+        for _ in range(8):
+            blocked = rnd.random() < 0.6
+            until = events[0][0] + rnd.choice([-1, 0, 1, rnd.randrange(0, 300) * 1_000_000, 300_000_000])
+            state = (rnd.choice([1.0, 20.0, rnd.uniform(1, 20)]), rnd.randrange(0, 9 if blocked else 5),
+                     until if blocked else None)
+            assert P.apply(summary, state) == replay_stretch(events, state)
+        assert P.apply(summary, P.START) == replay_stretch(events, P.START)
+
+
+@pytest.mark.parametrize("chunks", [1, 50])
+def test_a_domain_that_never_clamps(spark, chunks):
+    """The delay stays between its bounds through 50 chunks, so that no chunk
+    forgets the one before; jobs don't grow with the chunks."""
+    rnd, rows, d = random.Random(2), [], 4.0
+    rows.append((0, T0, "hot", False, 404))
+    for i in range(1, 5000):
+        ok = d > 9 or (d > 2 and rnd.random() < 0.75)
+        d = d * 0.8 if ok else d * 2
+        rows.append((i, T0 + dt.timedelta(seconds=i), "hot", ok, 200 if ok else 404))
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, domain string, success boolean, status_code int")
+    delays = spark.createDataFrame([("hot", 4.0)], "domain string, domain_delay double")
+    want = replay_throttle([(*r, 4.0) for r in rows])["hot"]
+    group = f"never-clamps-{chunks}"
+    spark.sparkContext.setJobGroup(group, group)
+    got = RT.domain_throttle_fold(df, delays, n_chunks=chunks).collect()[0]
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setJobGroup("other", "other")
+    assert 1.0 < got["delay"] < 20.0 and got["delay"] == want["delay"]
+    assert (got["failures"], got["throttled"], got["requests"]) == (want["failures"], want["throttled"], want["requests"])
+    assert jobs <= 8
+
+
+def test_after_reset(spark):
+    rows = make_events(300, 6)
     df = spark.createDataFrame(rows, SCHEMA).drop("domain_delay")
-    delays = spark.createDataFrame([("a.com", 1.0)], "domain string, domain_delay double")
-    ref = {r["domain"]: tuple(r) for r in RT.domain_throttle_fold(df, delays, n_chunks=2).collect()}
-    monkeypatch.setattr(scan, "CHUNK_ROWS", 8)
-    orig = scan.range_chunks
-    monkeypatch.setattr(RT, "range_chunks", lambda *a, **k: orig(*a, **{**k, "chunk_rows": 8}))
-    got = {r["domain"]: tuple(r) for r in RT.domain_throttle_fold(df, delays, n_chunks=5).collect()}
-    assert got == ref
+    delays = spark.createDataFrame([], "domain string, domain_delay double")
+    cut = rows[100][1]
+    one = spark.createDataFrame([("a.com", cut), ("a.com", T0)], "domain string, reset_at timestamp_ntz")
+    got = {r["domain"]: r["requests"] for r in RT.domain_throttle_fold(RT.after_reset(df, one), delays).collect()}
+    want = replay_throttle([(*r[:5], 3.0) for r in rows if r[2] != "a.com" or r[1] > cut])
+    assert got == {k: v["requests"] for k, v in want.items()}
+    whole = spark.createDataFrame([(None, cut)], "domain string, reset_at timestamp_ntz")
+    assert RT.after_reset(df, whole).count() == sum(r[1] > cut for r in rows)
+    assert RT.after_reset(df, whole.limit(0)).count() == len(rows)
+
+
+def test_retry_stretches_equal_the_replay():
+    rnd = random.Random(5)
+    policy = {"a": (5, 5.0, 15.0), "b": (1, 5.0, 10.0), "c": (8, 30.0, 60.0), "d": (0, 1.0, 2.0), "e": (3, 10.0, 20.0)}
+
+    def replay(events):
+        pending, permanent = None, None
+        for at, ok, site, status, category, message, limit, low, high in events:
+            if ok:
+                pending = None
+                continue
+            n = pending[0] + 1 if pending else 0
+            task = (n, *(pending[1:3] if pending else (site, at)), category, message, status, at)
+            if n < limit:
+                pending = (*task, RS.planned_at(at, n, low, high))
+            else:
+                permanent, pending = (*task, pending[7] if pending else None), None
+        return pending, permanent
+
+    for _ in range(2000):
+        at, events = 0, []
+        share, kinds = rnd.choice([0, 0.05, 0.3, 0.7]), rnd.sample(list(policy), rnd.randrange(1, 6))
+        for i in range(rnd.randrange(1, 50)):
+            at += rnd.randrange(1, 10 ** 9)
+            c = rnd.choice(kinds)
+            events.append((at, rnd.random() < share, f"s{i % 3}", rnd.choice([None, 404]), c, f"m{i}", *policy[c]))
+        state, i = RS.START, 0
+        while i < len(events):
+            k, stretch = rnd.randrange(1, 12), RS.Stretch(8)
+            for e in events[i:i + k]:
+                stretch.add(*e)
+            state, i = RS.apply(RS.decode(RS.encode(stretch.summary())), state), i + k
+        assert state == replay(events)
 
 
 def test_task_takes_the_site_of_its_opening_failure(spark):

@@ -45,22 +45,3 @@ def test_same_rows_over_files_and_batches(spark, folder, key, monkeypatch):
     monkeypatch.setattr(S, "table_stream", lambda s, d, n: plain(s, d, n, max_files_per_trigger=1))
     many = sorted(map(repr, run(spark, folder).collect()))
     assert one and many == one
-
-
-def test_late_rows_are_counted(spark, tmp_path):
-    """A row behind the watermark is not applied, and the output says so."""
-    from pagewright.sources import fixtures as fx
-    from pagewright.plans import common as C
-    ev = spark.read.parquet(f"{SF001}/events.parquet")
-    cut = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
-    flat = tmp_path / "in"
-    flat.mkdir()
-    for i, cond in enumerate((F.col("ts") >= cut, F.col("ts") < cut, F.col("ts") >= cut)):
-        ev.filter(cond).coalesce(1).write.parquet(str(tmp_path / f"p{i}"))
-        shutil.copy(glob.glob(f"{tmp_path}/p{i}/*.parquet")[0], flat / f"part-{i}.parquet")
-        os.utime(flat / f"part-{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
-    stream = S.file_stream(spark, str(flat), ev.schema, max_files_per_trigger=1)
-    S.domain_state_stream(fx.fetch_rows(stream), C.delays(spark, SF001), str(tmp_path / "out"), str(tmp_path / "ck"),
-                          watermark="1 minute")
-    last = S.latest_per_key(spark, str(tmp_path / "out"), ["domain"])
-    assert last.agg(F.sum("late")).first()[0] >= ev.filter(F.col("ts") < cut).count()
