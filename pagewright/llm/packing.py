@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from bisect import bisect_right, insort
 from zlib import crc32
 
@@ -35,11 +36,25 @@ TIERS = (512, 1024, 2048, 4096)
 STEP_TOKENS = 65_536
 END_ID = 2
 CACHE_WORDS = 1 << 19
-# An ASCII punctuation character right after a letter or digit.
-_PUNCTUATION = re.compile(r"[!-/:-@\[-`{-~](?<=[^\W_].)", re.S)
 # ASCII punctuation.
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
+# A capital that stays apart from the mark after it, where the small letter might not.
+_MARKED = re.compile("[A-Z][\u0300-\u036f]")
+
+
+def _stays(c: str) -> bool:
+    """Whether a letter or digit is letters or digits too after the
+    tokenizer's normalisation (NFC, then lower case)."""
+    return c.isalnum() and unicodedata.normalize("NFC", c).lower().isalnum()
+
+
+# Letters and digits of Latin, Greek and Cyrillic script that stay such; other
+# characters are left to the tokenizer together with what stands around them.
+_PLAIN = frozenset(c for c in map(chr, [*range(0x30, 0x250), *range(0x370, 0x530)]) if _stays(c))
+# An ASCII punctuation character right after one of them.
+_PUNCTUATION = re.compile(r"[!-/:-@\[-`{-~](?<=[" + "".join(sorted(_PLAIN)) + r"].)", re.S)
+
 
 class WordIds:
     """Token ids of whole texts under a tokenizer that lower-cases, splits at
@@ -77,15 +92,15 @@ class WordIds:
                 for w, end in zip(some, (4 * ends).tolist()):
                     self.known[w] = raw[at:end]
                     at = end
-            else:  # some letter does not stay one
+            else:
                 self.known.update(zip(some, self._encode(some)))
 
     def _learn(self, new: set[str]) -> None:
-        words = {p for p in new if p.isalpha()}
+        words = {p for p in new if p.isalpha() and _PLAIN.issuperset(p)}
         split, whole = [], set()
         for part in new - words:
             body = part.strip(_MARKS)
-            if body.isalpha() and "<|" not in part:
+            if body.isalpha() and _PLAIN.issuperset(body) and "<|" not in part:
                 at = part.index(body)
                 head, tail = part[:at], part[at + len(body):]
                 if not head.endswith("'"):  # with the letter after it that may be one token
@@ -104,8 +119,9 @@ class WordIds:
     @staticmethod
     def _parts(text: str) -> list[str]:
         if "<|" not in text:  # A-Z in lower case, a gap before punctuation after a letter or digit
-            text = _PUNCTUATION.sub(r" \g<0>", text.encode("utf-8", "surrogatepass").lower().decode(
-                "utf-8", "surrogatepass"))
+            if text.isascii() or not _MARKED.search(text):
+                text = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+            text = _PUNCTUATION.sub(r" \g<0>", text)
         return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
     def __call__(self, texts: list[str], end_id: int = END_ID) -> list[bytes]:
@@ -122,6 +138,16 @@ class WordIds:
         return [b"".join(map(known.__getitem__, p)) + end for p in parts]
 
 
+_ready: dict[str, WordIds] = {}
+
+
+def word_ids(tokenizer_file: str) -> WordIds:
+    """The tokenizer of this Python process, with the words that it has met."""
+    if tokenizer_file not in _ready:
+        _ready[tokenizer_file] = WordIds(tokenizer_file)
+    return _ready[tokenizer_file]
+
+
 class Piece:
     __slots__ = ("doc", "ids", "start", "length", "total")
 
@@ -140,12 +166,13 @@ class Packer:
     def __init__(self, tiers=TIERS):
         self.tiers = sorted(tiers)
         self.pool: list[tuple[int, int, Piece]] = []  # waiting, by length
-        self.serial = 0
+        self.serial = self.held = 0  # held: their tokens
 
     def _wait(self, piece: Piece) -> None:
         if piece.length:
             insort(self.pool, (piece.length, self.serial, piece))
             self.serial += 1
+            self.held += piece.length
 
     def _tier(self, n: int) -> int:
         return next(t for t in self.tiers if n <= t)
@@ -161,16 +188,20 @@ class Packer:
         while self.pool:
             length, _, piece = self.pool[-1]
             size = self._tier(length)
-            if sum(x[0] for x in self.pool[:size + 1]) < size:
+            if self.held < size:
                 break  # not enough waits to fill this window: the next documents will
             self.pool.pop()
+            self.held -= length
             window, gap = [piece], size - length
             while gap:
                 at = bisect_right(self.pool, gap, key=lambda x: x[0]) - 1
                 if at >= 0:
-                    filler = self.pool.pop(at)[2]
+                    n, _, filler = self.pool.pop(at)
+                    self.held -= n
                 else:
-                    filler, left = self.pool.pop(0)[2].cut(gap)
+                    n, _, first = self.pool.pop(0)
+                    self.held -= n
+                    filler, left = first.cut(gap)
                     self._wait(left)
                 window.append(filler)
                 gap -= filler.length
@@ -180,7 +211,7 @@ class Packer:
     def rest(self) -> list[list[Piece]]:
         """Sequences of falling powers of two that hold all that waits."""
         pieces = [x[2] for x in reversed(self.pool)]
-        self.pool, done = [], []
+        self.pool, self.held, done = [], 0, []
         left = sum(p.length for p in pieces)
         while left:
             gap = min(self.tiers[-1], 1 << (left.bit_length() - 1))
@@ -246,23 +277,24 @@ def pack(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col:
         from pyspark import TaskContext
 
         first_id = TaskContext.get().partitionId() << 40
-        words, packer, steps = WordIds(tokenizer_file), Packer(tiers), StepGroups(step_tokens)
+        words, packer, steps = word_ids(tokenizer_file), Packer(tiers), StepGroups(step_tokens)
         serial = 0
         id_type = None
 
         def rows(dealt):
             nonlocal serial
-            out = {n: [] for n in ["id"] + [n for n, _ in _FIELDS]}
+            ids, numbers = [], []
             for group, window in dealt:
-                offset, size = 0, sum(p.length for p in window)
+                offset, size = 0, sum([p.length for p in window])
                 for p in window:
-                    for n, v in zip(out, (p.doc, p.start, p.length, crc32(p.ids), p.total,
-                                          first_id + serial, offset, size, first_id + group)):
-                        out[n].append(v)
+                    ids.append(p.doc)
+                    numbers += (p.start, p.length, crc32(p.ids), p.total, first_id + serial, offset, size,
+                                first_id + group)
                     offset += p.length
                 serial += 1
-            return pa.RecordBatch.from_arrays(
-                [pa.array(v, id_type if n == "id" else pa.int64()) for n, v in out.items()], names=list(out))
+            table = np.array(numbers, dtype=np.int64).reshape(-1, len(_FIELDS)).T.copy()
+            return pa.RecordBatch.from_arrays([pa.array(ids, id_type), *map(pa.array, table)],
+                                              names=["id", *[n for n, _ in _FIELDS]])
 
         for batch, texts in text_chunks(batches):
             id_type = batch.column(0).type

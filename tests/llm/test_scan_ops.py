@@ -1,14 +1,16 @@
 """License scan, language ID, token counts, packing: brute force and edges."""
 
 import collections
+import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagewright.llm import catalog
+from pagewright.llm import catalog, packing
 from pagewright.llm.langid import ContextTrees, fit, identify
 from pagewright.llm.licenses import BASE_PHRASES, NOTICES, NoticeSearch, scan_licenses, seeds_of
 from pagewright.llm.packing import Packer, pack
@@ -151,6 +153,31 @@ def test_packing_round_trip(spark):
         assert at <= 4096 and at & (at - 1) == 0  # no padding at all
 
 
+def test_word_ids_equal_the_tokenizer():
+    """On every letter that normalises to more than letters, and on random
+    strings of letters, marks, punctuation and blanks of all scripts."""
+    words = packing.WordIds(catalog.tokenizer_path("word_bpe_49k.json"))
+
+    def plain(texts):
+        return [np.array([*e.ids, 2], dtype="<u4").tobytes()
+                for e in words.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    every = [c for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000 and c.isalnum()]
+    odd_letters = [c for c in every if not unicodedata.normalize("NFC", c).lower().isalnum()]
+    assert "\u0130" in odd_letters and len(odd_letters) > 50
+    texts = [t for c in odd_letters for t in (c, f"{c}.", f"{c}, x", f"a{c}!b", f"{c}'s", f"({c})")]
+    texts += ["T\u0308 x", "aT\u0308.", "H\u0331, W\u030a; Y\u030a J\u030c!"]
+    assert words(texts) == plain(texts)
+    rnd = random.Random(1)
+    latin = [chr(i) for i in [*range(32, 0x250), *range(0x300, 0x370), *range(0x370, 0x530)]]
+    letters = latin + odd_letters + list(" .,!'-_<|>\n\t\r") * 40
+    wide = [chr(i) for i in range(1, 0x11000) if not 0xD800 <= i < 0xE000]
+    for _ in range(100):
+        texts = ["".join(rnd.choice(letters if rnd.random() < 0.7 else wide) for _ in range(rnd.randrange(1, 14)))
+                 for _ in range(1000)]
+        assert words(texts) == plain(texts)
+
+
 def test_packer_tiers_and_steps():
     packer = Packer((4, 8, 16))
     done = packer.take([(i, b"\1\0\0\0" * n) for i, n in enumerate([40, 3, 9, 7, 1, 1, 12, 2, 5])])
