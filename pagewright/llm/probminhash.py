@@ -10,19 +10,27 @@ most end after one step.  Two registers agree with the probability Jaccard
 
 Registers are banded; texts that share a band are candidates and are verified
 by the exact J_P of their whole texts.  Equal word sequences fall together
-before banding.  Within a band, members are compared with the first one; where
-a band still holds several classes after that, members are compared with their
-neighbours by size, and then every pair of members of different classes is
-tested: blocks of members are laid side by side, sizes and registers rule pairs
-out, and what is left is verified, the pairs that agree most first, so that
-classes that join spare their other pairs.  No group is collected.
+before banding.  Within a band, members are compared with the first one.  In
+bands that then still hold several classes not all pairs are tested; the pairs
+that can reach the threshold t are found through their rarest shared shingle.
+With s_u, s_v the shares of either text's weight that is shared,
+
+    J_P <= 1 / (1/s_u + 1/s_v - 1),
+
+so 1/s_u + 1/s_v <= 1 + 1/t, and neither text can have more than 1 - t of its
+weight before the rarest shingle that both have.  Each text lists its rarest
+shingles up to that weight; texts meet where a listed shingle is the same and
+the weights before it leave the bound open.  Parities of hashed shingles
+bound from below how many shingles two texts don't share, which by the same
+bound rules out most pairs below t before any text is fetched.  All bounds are
+exact and no group is collected.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.session import scratch_path, ship_package
@@ -32,9 +40,9 @@ from .textkernel import mix, shingle_hashes, text_chunks, weighted, word_hashes
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 4  # a pair at 0.8 shares no band with probability 3e-6
-NEIGHBOURS = 12
-BLOCK = 512  # members of a band that one row holds
-PARTNERS = 8  # of a member in a pair of blocks in the first round; eight times as many in each next
+PARITY_BITS = 2048
+RARITY_BUCKETS = 1 << 18
+LIST_ROWS = 512  # of a shingle's list that one task compares with as many others at a time
 _U = np.uint64
 
 
@@ -108,12 +116,7 @@ def _fingerprint_rows(docs: DataFrame, id_col: str, text_col: str, k: int, bands
         for batch, texts in text_chunks(batches, budget=1 << 19):
             wptr, words = word_hashes(texts)
             n_words = np.diff(wptr)
-            place = mix(np.arange(len(words), dtype=_U) - np.repeat(wptr[:-1], n_words).astype(_U))
-            keys = []
-            for salt in (1, 2):
-                total = np.zeros(len(words) + 1, dtype=_U)
-                np.cumsum(mix((words ^ _U(salt)) * (place | _U(1))), out=total[1:])
-                keys.append((total[wptr[1:]] - total[wptr[:-1]]).view(np.int64))
+            keys = _word_keys(wptr, words)
             ptr, hashes, counts = weighted(*shingle_hashes(wptr, words, k))
             weights = 1.0 + np.log(counts)
             sig = signatures(ptr, hashes, weights, bands * rows)
@@ -216,7 +219,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, class_id) of every row: documents of a class are connected by links
     of J_P >= ``threshold``; the class id is the smallest id in it.
 
-    An id names one text.  A text without words (null, empty) forms a class of its own; a text of
+    Rows under one id are one document: what links any of its texts links it.
+    A text without words (null, empty) forms a class of its own; a text of
     fewer than ``words`` words has one shingle.  Repeated rows share a class.
     A row with a null id is compared with nothing and has a null class.  An
     empty table gives no rows.
@@ -230,35 +234,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = held.groupBy("band", "key").agg(F.min("doc").alias("lead"), F.max("doc.id").alias("z"))
     buckets = _saved(buckets.filter("lead.id < z").select("band", "key", "lead"), "buckets")
     member = _saved(held.join(buckets, ["band", "key"]), "member")
+    same_id = known.groupBy("id").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).filter("low < high")
+    same_id = same_id.select("id").join(known, "id").join(first.select("k1", "k2", F.col("id").alias("b")), ["k1", "k2"])
+    links = _saved(same_id.filter("id <> b").select(F.col("id").alias("a"), "b").distinct(), "links")
     pairs = member.filter((F.col("lead.id") < F.col("doc.id")) & _may_reach(
         F.col("lead"), F.col("doc"), threshold, bands * rows))
     pairs = _saved(pairs.select(F.col("lead.id").alias("a"), F.col("doc.id").alias("b")).distinct(), "pairs")
-    if member.isEmpty():
-        classes = None
-    else:
-        nodes = member.select("doc.id").distinct()
-        texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-        texts = _saved(texts.join(nodes, "id", "left_semi").dropDuplicates(["id"]), "texts")
-        links = _saved(_verified(pairs, texts, words, threshold).select("a", "b"), "links")
+    classes = None
+    if not member.isEmpty():
+        texts = _texts_of(docs, member.select("doc.id").distinct(), first, id_col, text_col)
+        links = links.unionByName(_saved(_verified(pairs, texts, words, threshold).select("a", "b"), "links"))
+        classes = components(links)
+        more = _rare_pairs(_mixed(member, classes), texts, words, threshold, bands * rows)
+        more = _saved(more.join(pairs, ["a", "b"], "left_anti"), "more")
+        links = links.unionByName(_saved(_verified(more, texts, words, threshold).select("a", "b"), "links"))
+        classes = components(links)
+    elif not links.isEmpty():
         classes = components(links)
-        partners = 0  # first by size, then all
-        while True:
-            if partners:
-                found = _saved(_block_pairs(member, classes, partners, threshold, bands * rows), "found")
-                whole = found.filter("cut").isEmpty()
-                more = found.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-            else:
-                whole, more = False, _cross_pairs(member, classes, pairs, threshold, bands * rows)
-            more = _saved(more, "more")
-            if not more.isEmpty():
-                new = _saved(_verified(more, texts, words, threshold).select("a", "b"), "links")
-                pairs = pairs.unionByName(more)
-                if not new.isEmpty():
-                    links = links.unionByName(new)
-                    classes = components(links)
-            if whole:
-                break
-            partners = partners * 8 or PARTNERS
     keys = first.select("k1", "k2", F.col("id").alias("node"))
     if classes is not None:
         keys = keys.join(classes, "node", "left").select("k1", "k2", F.coalesce("class", "node").alias("node"))
@@ -268,113 +260,155 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select(F.col("id").alias(id_col), own.alias("class_id"))
 
 
+def _word_keys(wptr: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of each text's word sequence."""
+    place = mix(np.arange(len(words), dtype=_U) - np.repeat(wptr[:-1], np.diff(wptr)).astype(_U))
+    keys = []
+    for salt in (1, 2):
+        total = np.zeros(len(words) + 1, dtype=_U)
+        np.cumsum(mix((words ^ _U(salt)) * (place | _U(1))), out=total[1:])
+        keys.append((total[wptr[1:]] - total[wptr[:-1]]).view(np.int64))
+    return keys
+
+
+def _texts_of(docs: DataFrame, ids: DataFrame, first: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text) of the word sequences that ``ids`` stand for in ``first``."""
+    def run(batches):
+        for batch, texts in text_chunks(batches, budget=1 << 19):
+            k1, k2 = _word_keys(*word_hashes(texts))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(texts, pa.string()), pa.array(k1), pa.array(k2)],
+                names=["id", "text", "k1", "k2"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
+    keyed = rows.mapInArrow(run, "id bigint, text string, k1 bigint, k2 bigint")
+    wanted = first.select("id", "k1", "k2")
+    return _saved(keyed.join(wanted, ["id", "k1", "k2"], "left_semi").dropDuplicates(["id", "k1", "k2"])
+                  .select("id", "text"), "texts")
+
+
 def _mixed(member: DataFrame, classes: DataFrame) -> DataFrame:
-    """(band, key, doc, class, members) of the bands that hold several classes."""
+    """(id, class) of the documents in bands that hold several classes."""
     label = classes.withColumnRenamed("node", "id")
     held = member.select("band", "key", "doc", F.col("doc.id").alias("id")).join(label, "id", "left")
     held = _saved(held.select("band", "key", "doc", F.coalesce("class", "id").alias("class")), "held")
-    mixed = held.groupBy("band", "key").agg(F.min("class").alias("low"), F.max("class").alias("high"),
-                                           F.count(F.lit(1)).alias("members"))
-    mixed = _saved(mixed.filter("low < high").select("band", "key", "members"), "mixed")
-    return held.join(mixed, ["band", "key"])
-
-
-def _cross_pairs(member: DataFrame, classes: DataFrame, tested: DataFrame, threshold: float,
-                 registers: int) -> DataFrame:
-    """Untested pairs of different classes that share a band: in bands that
-    hold several classes, each member is paired with those of the next members
-    by size that have another class and can reach the threshold.  This joins
-    most of what belongs together; ``_block_pairs`` finds the rest."""
-    # a large bucket is cut into runs of one hash range, so that no window holds a whole group
-    run = F.when(F.col("members") > 512, F.pmod(F.xxhash64("doc.id", "band"), F.ceil(F.col("members") / 256)))
-    inside = _mixed(member, classes).withColumn("run", F.coalesce(run, F.lit(0)))
-    w = Window.partitionBy("band", "key", "run").orderBy("doc.n", F.xxhash64("doc.id", "key"), "doc.id")
-    follow = inside.select(
-        "doc", "class", *[F.lead(F.struct("doc", "class"), j).over(w).alias(f"n{j}") for j in range(1, NEIGHBOURS + 1)])
-    near = F.filter(F.array(*[f"n{j}" for j in range(1, NEIGHBOURS + 1)]), lambda x: x.isNotNull()
-                    & (x["class"] != F.col("class")) & _may_reach(x["doc"], F.col("doc"), threshold, registers))
-    pairs = (follow.select("doc.id", F.explode(near).alias("n"))
-             .select(F.least("id", "n.doc.id").alias("a"), F.greatest("id", "n.doc.id").alias("b")).distinct())
-    return pairs.join(tested, ["a", "b"], "left_anti")
+    mixed = held.groupBy("band", "key").agg(F.min("class").alias("low"), F.max("class").alias("high"))
+    inside = held.join(mixed.filter("low < high").select("band", "key"), ["band", "key"])
+    return _saved(inside.groupBy("doc.id").agg(F.min("class").alias("class")), "mixed")
 
 
-def _most_differ(threshold: float, registers: int) -> int:
-    agree = threshold + (1 - threshold) / 16  # four bits may agree by chance
-    return int(registers * (1 - agree) + 5.2 * (registers * agree * (1 - agree)) ** 0.5)
+def parity_bits(ptr: np.ndarray, hashes: np.ndarray, bits: int = PARITY_BITS) -> np.ndarray:
+    """int64 [texts, bits / 64]: of each bit, whether an odd number of the
+    text's shingles fall on it.  Two texts differ in at least as many shingles
+    as bits."""
+    out = np.zeros((len(ptr) - 1, bits // 64), dtype=np.int64)
+    place = (mix(hashes ^ _U(0x5A5A5A5A5A5A5A5A)) % _U(bits)).astype(np.int64)
+    for a in range(0, len(out), 512):
+        b = min(a + 512, len(out))
+        doc = np.repeat(np.arange(b - a), np.diff(ptr[a:b + 1]))
+        count = np.bincount(doc * bits + place[ptr[a]:ptr[b]], minlength=(b - a) * bits)
+        out[a:b] = np.packbits((count & 1).astype(np.uint8).reshape(b - a, bits), axis=1).view(np.int64)
+    return out
 
 
-def _block_pairs(member: DataFrame, classes: DataFrame, partners: int, threshold: float, registers: int) -> DataFrame:
-    """(a, b, cut): pairs of different classes that share a band and can reach
-    the threshold, of each member in each pair of blocks the ``partners`` that
-    agree most; ``cut`` says that the member has more of them there.
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes % _U(RARITY_BUCKETS)).astype(np.int64)
 
-    The members of a band lie in blocks of a bounded size by a hash; each pair
-    of blocks is a row of its own, so a crowded band is spread over tasks.
-    """
-    inside = _mixed(member, classes)
-    n_blocks = F.ceil(F.col("members") / BLOCK)
-    blocks = inside.withColumn("n_blocks", n_blocks).groupBy(
-        "band", "key", "n_blocks", F.pmod(F.xxhash64("doc.id", "band"), "n_blocks").alias("block")).agg(
-        F.collect_list(F.struct("doc.id", "class", "doc.n", "doc.total", "doc.top", "doc.marks")).alias("m"))
-    blocks = _saved(blocks, "blocks")
-    # block i meets itself and every j > i: the pair's row is keyed by both
-    left = blocks.select("band", "key", F.col("block").alias("i"), F.col("m").alias("x"),
-                         F.explode(F.sequence("block", F.col("n_blocks") - 1)).alias("j"))
-    right = blocks.select("band", "key", F.col("block").alias("j"), F.col("m").alias("y"),
-                          F.explode(F.sequence(F.lit(0).cast("bigint"), "block")).alias("i"))
-    sides = left.join(right, ["band", "key", "i", "j"]).select((F.col("i") == F.col("j")).alias("same"), "x", "y")
-    most = _most_differ(threshold, registers)
+
+def _rarity(texts: DataFrame, k: int) -> np.ndarray:
+    """Shingles of all texts that fall on each of a fixed number of buckets.
+    They order shingles from rare to frequent; any order finds the same pairs."""
+    def run(batches):
+        count = np.zeros(RARITY_BUCKETS, dtype=np.int64)
+        for _, some in text_chunks(batches, "text", 1 << 19):
+            count += np.bincount(_bucket(weighted_shingles(some, k)[1]), minlength=RARITY_BUCKETS)
+        at = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at])], names=["bucket", "n"])
+
+    total = np.zeros(RARITY_BUCKETS, dtype=np.int64)
+    counted = texts.select("text").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    for part in counted.toArrow().to_batches():
+        total[part.column(0).to_numpy()] = part.column(1).to_numpy()
+    return total
+
+
+def rare_first(ptr: np.ndarray, hashes: np.ndarray, weights: np.ndarray, count: np.ndarray, threshold: float):
+    """(ptr, hashes, before): each text's rarest shingles, as long as the share
+    of its weight before them is at most 1 - threshold."""
+    doc = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
+    order = np.lexsort((hashes, count[_bucket(hashes)], doc))
+    hashes, weights = hashes[order], weights[order]
+    sums = np.concatenate([[0.0], np.cumsum(weights)])
+    total = (sums[ptr[1:]] - sums[ptr[:-1]])[doc]
+    before = (sums[:-1] - sums[ptr[:-1]][doc]) / total
+    on = before <= 1 - threshold + 1e-9
+    return np.searchsorted(doc[on], np.arange(len(ptr))), hashes[on], before[on]
+
+
+def _open(lost_x, lost_y, threshold: float):
+    """Whether two texts that lack these shares of each other can reach the threshold."""
+    left_x, left_y = 1 - lost_x, 1 - lost_y
+    return (left_x > 0) & (left_y > 0) & (left_x + left_y <= (1 + 1 / threshold + 1e-9) * left_x * left_y)
+
+
+def _rare_pairs(mixed: DataFrame, texts: DataFrame, k: int, threshold: float, registers: int) -> DataFrame:
+    """(a, b): pairs of different classes that can reach the threshold."""
+    some = _saved(texts.join(mixed.select("id"), "id", "left_semi"), "mixed-texts")
+    shared = some.sparkSession.sparkContext.broadcast(_rarity(some, k))  # a fixed number of counts
+
+    def lists_of(array):
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(array) + 1, dtype=np.int32) * array.shape[1]),
+                                        pa.array(array.ravel()))
 
     def run(batches):
-        for batch in batches:
-            sides = [_members(batch.column(c)) for c in (1, 2)]
-            a, b, cut = [], [], []
-            for r, same in enumerate(batch.column(0).to_pylist()):
-                u, v = ([f[ptr[r]:ptr[r + 1]] for f in fields] for ptr, fields in sides)
-                for p, q, more in _side_by_side(u, v, same, partners, threshold, most):
-                    a.append(np.minimum(p, q))
-                    b.append(np.maximum(p, q))
-                    cut.append(more)
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b, cut)],
-                                                 names=["a", "b", "cut"])
-
-    return sides.mapInArrow(run, "a bigint, b bigint, cut boolean")
-
-
-def _members(column):
-    """(ptr, [id, class, n, total, top, marks]) of a column of blocks."""
-    ptr = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-    id_, class_, n, total, top, bits = column.flatten().flatten()
-    fields = [x.to_numpy(zero_copy_only=False) for x in (id_, class_, n, total, top)]
-    bits = bits.flatten().to_numpy(zero_copy_only=False).view(_U)
-    return ptr, [*fields, bits.reshape(len(fields[0]), -1) if len(fields[0]) else bits.reshape(0, 1)]
-
-
-def _side_by_side(u: list, v: list, same: bool, partners: int, threshold: float, most: int):
-    """(ids, ids, cut) of the pairs of two blocks that ``_may_reach`` lets pass
-    and whose classes differ, 64 members of the first block at a time."""
-    least = threshold - 1e-9
-    for at in range(0, len(u[0]), 64):
-        id_, class_, n, total, top, bits = (x[at:at + 64] for x in u)
-        shared = np.minimum(n[:, None], v[2][None, :])
-        ok = ((class_[:, None] != v[1][None, :]) & (shared * top[:, None] >= least * total[:, None])
-              & (shared * v[4][None, :] >= least * v[3][None, :]))
-        if same:  # each pair once
-            ok &= id_[:, None] < v[0][None, :]
-        row, col = np.nonzero(ok)
-        if not len(row):
-            continue
-        d = bits[row] ^ v[5][col]
-        d |= d >> _U(1)
-        d |= d >> _U(2)
-        differ = np.bitwise_count(d & _U(0x1111111111111111)).sum(axis=1)
-        on = differ <= most
-        row, col, differ = row[on], col[on], differ[on]
-        order = np.lexsort((v[0][col], differ, row))
-        row, col = row[order], col[order]
-        size = np.bincount(row, minlength=len(id_))
-        rank = np.arange(len(row)) - (np.cumsum(size) - size)[row]
-        on = rank < partners
-        row, col = row[on], col[on]
-        yield id_[row], v[0][col], size[row] > partners
+        for batch, part in text_chunks(batches, "text", 1 << 19):
+            ptr, h, w = weighted_shingles(part, k)
+            at, rare, before = rare_first(ptr, h, w, shared.value, threshold)
+            listed = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays(
+                [pa.array(rare.view(np.int64)), pa.array(before)], names=["h", "before"]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), listed, pa.array(np.diff(ptr).astype(np.int64)),
+                 pa.array(np.add.reduceat(w, ptr[:-1])), pa.array(np.maximum.reduceat(w, ptr[:-1])),
+                 lists_of(marks(signatures(ptr, h, w, registers))), lists_of(parity_bits(ptr, h))],
+                names=["id", "listed", "n", "total", "top", "marks", "bits"])
+
+    kept = _saved(some.select("id", "text").mapInArrow(
+        run, "id bigint, listed array<struct<h: bigint, before: double>>, n bigint, total double, top double, "
+             "marks array<bigint>, bits array<bigint>"), "rare").withColumn("row", F.monotonically_increasing_id())
+    kept = _saved(kept, "rare-rows")
+    lists = (kept.select("row", "id", F.explode("listed").alias("l")).select("row", "id", "l.*")
+             .join(mixed.select("id", "class"), "id"))
+    # in a list, the pairs of its largest class with itself need no comparison
+    count = lists.groupBy("h", "class").agg(F.count(F.lit(1)).alias("m"))
+    meet = count.groupBy("h").agg(F.max(F.struct("m", "class")).alias("main"), F.sum("m").alias("m"),
+                                  F.count(F.lit(1)).alias("classes")).filter("classes > 1")
+    meet = meet.select("h", F.col("main.class").alias("main"), F.ceil(F.col("m") / LIST_ROWS).cast("int").alias("n_all"),
+                       F.ceil((F.col("m") - F.col("main.m")) / LIST_ROWS).cast("int").alias("n_rest"))
+    lists = _saved(lists.select("row", "class", "h", "before").join(meet, "h"), "lists")
+    full = lists.join(kept.drop("listed"), "row")
+    doc = F.struct("id", "class", (F.col("class") == F.col("main")).alias("in_main"), "before", "n", "total", "top",
+                   "marks", "bits")
+    # a long list lies in blocks, and every pair of blocks is compared on its own
+    x = full.filter("class <> main").select(
+        "h", F.pmod(F.xxhash64("row"), F.col("n_rest")).cast("int").alias("i"),
+        F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)).alias("j"), doc.alias("x"))
+    y = full.select("h", F.explode(F.sequence(F.lit(0), F.col("n_rest") - 1)).alias("i"),
+                    F.pmod(F.xxhash64("row"), F.col("n_all")).cast("int").alias("j"), doc.alias("y"))
+    fx, fy = F.col("x"), F.col("y")
+    apart = F.lit(0)
+    for i in range(PARITY_BITS // 64):
+        apart = apart + F.bit_count(fx["bits"][i].bitwiseXOR(fy["bits"][i]))
+    # at least so many shingles of either text are not in the other; each weighs 1 or more
+    lost_x = F.greatest(F.lit(0), apart + fx["n"] - fy["n"]) / 2 / fx["total"]
+    lost_y = F.greatest(F.lit(0), apart + fy["n"] - fx["n"]) / 2 / fy["total"]
+    can = ((fy["in_main"] | (fx["id"] < fy["id"])) & (fx["class"] != fy["class"])
+           & _open(fx["before"], fy["before"], threshold)
+           & _open(lost_x, lost_y, threshold) & _may_reach(fx, fy, threshold, registers))
+    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("h", "i", "j")]
+    met = x.alias("l").join(y.alias("r"), [*same, can])
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
+def _most_differ(threshold: float, registers: int) -> int:
+    agree = threshold + (1 - threshold) / 16  # four bits may agree by chance
+    return int(registers * (1 - agree) + 5.2 * (registers * agree * (1 - agree)) ** 0.5)
