@@ -17,6 +17,7 @@ from pagewright.llm.packing import pack
 from pagewright.llm.pii import find_personal_data, redacted
 from pagewright.llm.pii import fit as pii_fit
 from pagewright.llm.probminhash import near_duplicates
+from pagewright.llm.rows import numbered
 from pagewright.session import scratch_path
 from pagewright.sources.tables import read_table
 
@@ -34,9 +35,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each near-duplicate class: the smallest id, a null id
     only if the class has no other.  Rows are told apart by a key of their own,
     so rows without an id and different texts under one id are compared too."""
-    path = scratch_path(spark, "near-dedup-rows")
-    docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS).write.parquet(path)
-    rows = spark.read.parquet(path)
+    rows = numbered(docs, COLUMNS)
     classes = near_duplicates(rows, "row").join(rows.select("row", "doc_id"), "row")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     keep = classes.groupBy("class_id").agg(first.alias("first")).select("first.row")
@@ -44,13 +43,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
-    leaks = find_leaks(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(leaks, "doc_id", "left_anti")
+    """Drops documents that hold a benchmark item.  Rows are told apart by a
+    number of their own: a row without an id is judged by its text, and so is
+    each of the rows that share an id.  Null and empty texts hold no item;
+    repeated rows go or stay together; an empty table stays empty."""
+    rows = numbered(docs, COLUMNS)
+    leaks = find_leaks(rows, read_table(spark, sf_dir, "benchmark"), "row").select("row").distinct()
+    return rows.join(leaks, "row", "left_anti").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by its kind in brackets; every document stays."""
+    """Replaces personal data by its kind in brackets; every row stays, also one
+    without an id, and a null text stays null.  An empty table stays empty."""
     rows = docs.select(*COLUMNS)
     found = find_personal_data(rows, pii_fit(rows))
     clean = found.withColumn("text", redacted("text", "found"))
@@ -58,7 +62,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents that are left into training sequences."""
+    """Packs the rows that are left into training sequences, each for itself;
+    a null or empty text has its end token only.  An empty table gives none."""
     return pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 

@@ -32,9 +32,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import find_leaks, report
+    from .rows import numbered
 
-    docs = read_table(spark, sf_dir, "documents")
-    return report(docs, find_leaks(docs, read_table(spark, sf_dir, "benchmark")))
+    rows = numbered(read_table(spark, sf_dir, "documents"), ["doc_id", "text"])
+    return report(rows, find_leaks(rows, read_table(spark, sf_dir, "benchmark"), "row"))
 
 
 @_query

@@ -156,11 +156,11 @@ class ItemIndex:
                     found[self.ids[item]] = (like, int(f[w]) + shift)
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list:
-    """Row filters that cut the benchmark into blocks of bounded size."""
-    size = benchmark.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(text_col)).alias("c")).collect()[0]
+def _blocks(items: DataFrame) -> list:
+    """Row filters that cut the distinct items into blocks of bounded size."""
+    size = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("item")).alias("c")).collect()[0]
     n = max(1, -(-size["n"] // BLOCK_ITEMS), -(-(size["c"] or 0) // BLOCK_CHARS))
-    return [F.pmod(F.xxhash64(item_col, text_col), F.lit(n)) == b for b in range(n)]
+    return [F.pmod(F.xxhash64("item"), F.lit(n)) == b for b in range(n)]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -171,8 +171,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     Null texts and texts without words match nothing; an item of fewer than
     ``words`` words is one shingle of its length; a text shorter than the item
-    is one window.  Repeated rows and items are reported each.  An empty
-    benchmark gives no rows.
+    is one window.  Items of equal text are one item, reported under its
+    smallest id; an item without id or text is none.  Repeated rows are
+    reported each; hits carry the row's id, so where ids may be null or shared,
+    number the rows (``rows.numbered``) and pass the number as id.  An empty
+    benchmark gives no rows; extra columns are ignored.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -180,9 +183,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     kind = rows.schema["id"].dataType.simpleString()
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("item"))
     items = items.filter(F.col("item_id").isNotNull() & F.col("item").isNotNull())
+    items = items.groupBy("item").agg(F.min("item_id").alias("item_id"))
     schema = f"id {kind}, item_id bigint, similarity double, first_word bigint"
     found = None
-    for block in _blocks(items, "item_id", "item"):
+    for block in _blocks(items):
         texts = [(r["item_id"], r["item"]) for r in items.filter(block).orderBy("item_id", "item").collect()]
         shared = spark.sparkContext.broadcast(texts)  # at most about BLOCK_ITEMS texts
 
@@ -210,12 +214,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return found.withColumnRenamed("id", id_col)
 
 
-def report(docs: DataFrame, leaks: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row per row of ``docs``: number of items, their ids, the highest
-    similarity (0 without any)."""
-    per = leaks.groupBy(F.col(id_col).alias("leak")).agg(
+def report(rows: DataFrame, leaks: DataFrame, id_col: str = "doc_id", row_col: str = "row") -> DataFrame:
+    """One row per numbered row: its id, number of items, their ids, the highest
+    similarity (0 without any).  ``leaks`` carries row numbers."""
+    per = leaks.groupBy(F.col(row_col).alias("leak")).agg(
         F.array_sort(F.collect_set("item_id")).alias("items"), F.max("similarity").alias("top"))
-    return (docs.select(id_col).join(per, F.col(id_col) == F.col("leak"), "left")
+    return (rows.select(id_col, row_col).join(per, F.col(row_col) == F.col("leak"), "left")
             .select(id_col, F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
                     F.coalesce(F.array_join("items", ","), F.lit("")).alias("item_ids"),
                     F.coalesce("top", F.lit(0.0)).alias("similarity")))

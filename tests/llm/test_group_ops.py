@@ -134,6 +134,76 @@ def test_template_crowd(spark):
     assert {i: (got[i], want[i]) for i in want if got[i] != want[i]} == {} and len(got) == 264
 
 
+def crowd(rng, n, size=120):
+    """Copies of one text with between none and half of its words replaced."""
+    base = [f"b{j}" for j in range(size)]
+    rows = []
+    for i in range(n):
+        own = list(base)
+        for j in rng.choice(size, int(rng.integers(0, size // 6)), replace=False):
+            own[j] = f"e{rng.integers(0, 400)}"
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+def test_crowd_of_edits_against_all_pairs(spark, monkeypatch):
+    """Every pair at 0.8 or more is linked, with few of the others verified;
+    lists of more than a block's rows too."""
+    from pagewright.llm import probminhash
+    monkeypatch.setattr(probminhash, "LIST_ROWS", 16)
+    verified = []
+    plain = probminhash._verified
+    monkeypatch.setattr(probminhash, "_verified", lambda p, *a: (verified.append(p.count()), plain(p, *a))[1])
+    rows = crowd(np.random.default_rng(7), 260)
+    ptr, h, w = weighted_shingles([t for _, t in rows])
+    part = [(h[ptr[i]:ptr[i + 1]], w[ptr[i]:ptr[i + 1]]) for i in range(len(rows))]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in combinations(range(len(rows)), 2):
+        if probability_jaccard(*part[a], *part[b]) >= 0.8:
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(
+        spark.createDataFrame(rows, "doc_id bigint, text string"), bands=12, rows=1).collect()}
+    assert got == {i: root(i) for i in range(len(rows))}
+    assert 1 < len(set(got.values())) and verified[1] < 260 * 259 // 2 // 8
+
+
+def test_shared_shares_bound_the_likeness():
+    """J_P <= 1 / (1/s_u + 1/s_v - 1), and texts lack at least as many
+    shingles of each other as parities differ."""
+    from pagewright.llm.probminhash import parity_bits, rare_first
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        pool = rng.integers(1, 1 << 62, 60).astype(np.uint64)
+        sets = [np.sort(rng.choice(pool, int(rng.integers(20, 55)), replace=False)) for _ in range(2)]
+        weights = [rng.uniform(1, 4, len(x)) for x in sets]
+        both = np.intersect1d(*sets)
+        s = [w[np.isin(x, both)].sum() / w.sum() for x, w in zip(sets, weights)]
+        like = probability_jaccard(sets[0], weights[0], sets[1], weights[1])
+        assert like <= 1 / (1 / s[0] + 1 / s[1] - 1) + 1e-9
+        ptr = np.array([0, len(sets[0]), len(sets[0]) + len(sets[1])])
+        bits = parity_bits(ptr, np.concatenate(sets))
+        apart = int(np.bitwise_count((bits[0] ^ bits[1]).view(np.uint64)).sum())
+        assert apart <= len(sets[0]) + len(sets[1]) - 2 * len(both)
+        count = rng.integers(0, 50, 1 << 18)
+        at, listed, before = rare_first(ptr, np.concatenate(sets), np.concatenate(weights), count, 0.5)
+        if like >= 0.5:  # their rarest shared shingle is listed by both
+            assert len(np.intersect1d(listed[:at[1]], listed[at[1]:]))
+        assert before[0] == 0 and before.max() <= 0.5 + 1e-9
+
+
+def test_texts_under_one_id_are_one_document(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, a), (5, b), (6, a + " more"), (7, b + " else"), (8, "alone in all of this"), (2, a)]
+    got = sorted(map(tuple, near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()))
+    assert got == [(2, 2), (5, 2), (5, 2), (6, 2), (7, 2), (8, 8)]
+
+
 # ---- decontamination
 
 def test_multi_index_finds_all():
@@ -165,7 +235,8 @@ def test_leaks_against_all_windows(spark):
     docs_df = spark.read.parquet(f"{SF001}/documents.parquet")
     leaks = find_leaks(docs_df, spark.read.parquet(f"{SF001}/benchmark.parquet"))
     assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in leaks.collect()} == pytest.approx(want) and want
-    rows = report(docs_df, leaks).collect()
+    numbered = docs_df.withColumn("row", F.col("doc_id"))
+    rows = report(numbered, leaks.withColumnRenamed("doc_id", "row")).collect()
     assert len(rows) == len(docs) and sum(r["n_items"] for r in rows) == len(want)
 
 
@@ -396,7 +467,27 @@ def test_leaks_odd_rows(spark, odd, nothing):
     bench = spark.createDataFrame([(1, "A plain text with seven words here.")], "item_id bigint, text string")
     assert find_leaks(nothing, bench).collect() == [] and find_leaks(odd, bench.limit(0)).collect() == []
     assert sorted(r["doc_id"] for r in find_leaks(odd, bench).collect()) == [1, 6, 6]
-    assert report(odd.select("doc_id"), find_leaks(odd, bench)).count() >= 11
+    twice = bench.unionByName(bench.withColumn("item_id", F.lit(9))).unionByName(bench.withColumn("text", F.lit(None)))
+    assert sorted(tuple(r)[:2] for r in find_leaks(odd, twice).collect()) == [(1, 1), (6, 1), (6, 1)]
+
+
+def test_rows_without_id_and_under_a_shared_id_are_judged_by_their_text(spark, tmp_path):
+    """The query's rows and the stage's, on a table of its own."""
+    leak, clean = "A plain text with seven words here.", "something else that no benchmark has at all"
+    rows = [(None, leak), (None, clean), (5, leak), (5, clean), (6, clean), (6, clean), (7, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for c in ("lang", "source", "row", "item_id", "id"):
+        docs = docs.withColumn(c, F.lit("x"))
+    docs = docs.withColumn("n_chars", F.length("text").cast("long"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, leak)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((str(r.doc_id), r.n_items, r.item_ids, r.similarity)
+                 for r in catalog.op2_decontamination(spark, str(tmp_path)).collect())
+    assert got == sorted((str(i), int(t == leak), "1" if t == leak else "", float(t == leak)) for i, t in rows)
+    kept = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    assert kept.columns == corpus_pipeline.COLUMNS
+    assert sorted(map(str, [(r.doc_id, r.text) for r in kept.collect()])) == sorted(
+        map(str, [(i, t) for i, t in rows if t != leak]))
 
 
 def test_pipeline_stages(spark, odd, tmp_path):
