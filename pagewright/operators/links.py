@@ -75,62 +75,80 @@ def strip_queries(links: DataFrame, col: str = "link", out: str = "stripped") ->
 
 def frontier_walk(edges: DataFrame, seeds: DataFrame, max_depth: int,
                   max_pages: int | None = None, src: str = "src", dst: str = "dst") -> DataFrame:
-    """Level-by-level walk from the seeds; (node, depth) with the first depth reached.
-
-    Each level: frontier join edges -> distinct -> minus seen.  With
-    ``max_pages``, at most that many nodes are taken over the whole run, level
-    by level, in node order inside a level.  One Spark job per level; the seen
-    set is checkpointed to the shared folder at every level, so lineage stays
-    short and a lost executor only recomputes one level.
+    """Level-by-level walk from the seeds; (node, depth) with the first depth
+    reached.  With ``max_pages``, at most that many nodes are taken, level by
+    level, in node order inside a level."""
+    start = seeds.select(F.lit("").alias("site"), F.col(seeds.columns[0]).alias("node"))
+    return site_walks(edges, start, max_depth, max_pages, src, dst).select("node", "depth")
+
+
+def site_walks(edges: DataFrame, seeds: DataFrame, max_depth: int, max_pages: int | None = None,
+               src: str = "src", dst: str = "dst") -> DataFrame:
+    """One walk for each site, all in one pass; (site, node, depth).
+
+    ``seeds`` has ``site``, ``node`` and, where sites have budgets of their own,
+    ``max_pages`` (null: the argument; null too: no limit).  A walk takes its
+    seeds, then level by level the pages linked from those of the level before
+    that it hasn't taken yet, in node order, until its budget is spent, no page
+    is left, or ``max_depth`` levels below the seeds are taken.
+
+    Edges and taken pages are tables in buckets by node, in the shared folder,
+    so a level joins edges and taken pages without shuffling either: only the
+    links that it finds are dealt out.  A level is one write (two jobs where
+    budgets hold); a lost executor repeats tasks of one level.
     """
     spark = edges.sparkSession
-    root = scratch_path(spark, "frontier")
-    # the edge list is written once as a table bucketed on the join key: every
-    # level joins against it without shuffling (or recomputing) the edges
+    root = scratch_path(spark, "walk")
     n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = "pw_edges_" + root.rsplit("-", 1)[-1]
+    name = root.rsplit("-", 1)[-1]
+    edge_table, taken_table = f"pw_edges_{name}", f"pw_taken_{name}"
     # dealt by the same key first, so that a bucket is one file and not one per task
     (edges.select(F.col(src).alias("node"), F.col(dst).alias("next")).repartition(n_buckets, "node")
-     .sortWithinPartitions("node").write.mode("overwrite")
-     .bucketBy(n_buckets, "node").option("path", f"{root}/edges").saveAsTable(table))
-    e = spark.table(table)
-
-    def materialise(df, depth):
-        # one job per level: the level is written to the shared folder and read
-        # back, so lineage never grows and a lost executor redoes one level only
-        path = f"{root}/depth={depth}"
-        df.withColumn("depth", F.lit(depth)).write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
-
-    frontier = seeds.select(F.col(seeds.columns[0]).alias("node")).distinct()
-    if max_pages is not None:
-        frontier = frontier.orderBy("node").limit(max_pages)
-    levels = [materialise(frontier, 0)]
-    frontier = levels[0]
-    taken = None if max_pages is None else frontier.count()
-    for depth in range(1, max_depth + 1):
-        if max_pages is not None and taken >= max_pages:
-            break
-        seen = levels[0].select("node")
-        for lv in levels[1:]:
-            seen = seen.union(lv.select("node"))
-        nxt = (frontier.join(e, "node").select(F.col("next").alias("node")).distinct()
-               .join(seen, "node", "left_anti"))
-        if max_pages is not None:
-            nxt = nxt.orderBy("node").limit(max_pages - taken)
-        nxt = materialise(nxt, depth)
-        if max_pages is not None:
-            n = nxt.count()
-            if n == 0:
+     .sortWithinPartitions("node").write.bucketBy(n_buckets, "node").option("path", f"{root}/edges")
+     .saveAsTable(edge_table))
+    own = F.col("max_pages") if "max_pages" in seeds.columns else F.lit(None)
+    budget = seeds.groupBy("site").agg(F.max(F.coalesce(own, F.lit(max_pages))).cast("long").alias("budget"))
+    budget.write.parquet(f"{root}/budget")
+    budget = spark.read.parquet(f"{root}/budget")
+    most = budget.agg(F.max("budget")).first()[0]
+
+    def take(found: DataFrame, depth: int) -> bool:
+        """Write the pages of a level; whether there are any."""
+        if most is not None:
+            left = budget
+            if depth:
+                spent = spark.table(taken_table).groupBy("site").agg(F.count(F.lit(1)).alias("n"))
+                left = budget.join(spent, "site", "left").select(
+                    "site", (F.col("budget") - F.coalesce("n", F.lit(0))).alias("budget"))
+            found = found.join(broadcast_bounded(left), "site")
+            # the longest budget limits what leaves a task, each site's own the rest
+            order = Window.partitionBy("site").orderBy("node")
+            limited = (found.filter(F.col("budget").isNotNull()).withColumn("place", F.row_number().over(order))
+                       .filter(F.col("place") <= most).filter(F.col("place") <= F.col("budget")))
+            found = limited.select("site", "node").unionByName(
+                found.filter(F.col("budget").isNull()).select("site", "node"))
+        (found.withColumn("depth", F.lit(depth)).repartition(n_buckets, "node").write.mode("append")
+         .partitionBy("depth").bucketBy(n_buckets, "node").option("path", f"{root}/taken").saveAsTable(taken_table))
+        return not spark.table(taken_table).filter(F.col("depth") == depth).isEmpty()
+
+    # a walk is part of the key, the buckets go by the node alone
+    setting = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(setting, "true")
+    spark.conf.set(setting, "false")
+    try:
+        on = take(seeds.select("site", "node").distinct(), 0)
+        for depth in range(1, max_depth + 1):
+            if not on:
                 break
-            taken += n
-        elif nxt.isEmpty():
-            break
-        levels.append(nxt)
-        frontier = nxt
-    seen = levels[0]
-    for lv in levels[1:]:
-        seen = seen.unionByName(lv)
-    # the result reads the written levels only; the edge table is no longer needed
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
-    return seen
+            taken = spark.table(taken_table)
+            found = (taken.filter(F.col("depth") == depth - 1).select("site", "node").join(spark.table(edge_table), "node")
+                     .select("site", F.col("next").alias("node")).repartition(n_buckets, "node").distinct()
+                     .join(taken.select("site", "node"), ["site", "node"], "left_anti"))
+            on = take(found, depth)
+        schema = spark.table(taken_table).schema
+    finally:
+        spark.conf.set(setting, before)
+        # the result reads the written pages; the tables are names only
+        spark.sql(f"DROP TABLE IF EXISTS {edge_table}")
+        spark.sql(f"DROP TABLE IF EXISTS {taken_table}")
+    return spark.read.schema(schema).parquet(f"{root}/taken").select("site", "node", "depth")

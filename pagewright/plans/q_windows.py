@@ -109,14 +109,35 @@ def dedup_latest(spark, sf):
 
 WALK_DEPTH = 6
 
-
-@query("frontier_walk", f"""
-WITH RECURSIVE w(node, depth) AS (SELECT 'p1', 0 UNION SELECT e.dst, w.depth + 1 FROM w JOIN fx_edge e ON e.src = w.node
-  WHERE w.depth < {WALK_DEPTH})
-SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY node""")
+# per site: three start pages and a page budget of its own (none for every fourth)
+O.FX["fx_walk_seed"] = """SELECT site, concat('p', ord * 3 + k) AS node,
+  CASE WHEN ord % 4 = 3 THEN NULL ELSE 10 + 45 * (ord % 4) END AS max_pages FROM fx_site, range(1, 4) r(k)"""
+
+
+def _walk_sql() -> str:
+    """The walks level by level, a CTE each."""
+    levels = ["l0 AS (SELECT DISTINCT site, node FROM fx_walk_seed)"]
+    for d in range(1, WALK_DEPTH + 1):
+        before = " UNION ALL ".join(f"SELECT * FROM l{i}" for i in range(d))
+        levels.append(f"""t{d} AS ({before}),
+n{d} AS (SELECT DISTINCT w.site, e.dst AS node FROM l{d - 1} w JOIN fx_edge e ON e.src = w.node
+  WHERE NOT EXISTS (SELECT 1 FROM t{d} t WHERE t.site = w.site AND t.node = e.dst)),
+r{d} AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY node) AS place FROM n{d}),
+l{d} AS (SELECT r.site, r.node FROM r{d} r
+  JOIN (SELECT site, max(max_pages) AS budget FROM fx_walk_seed GROUP BY site) b USING (site)
+  JOIN (SELECT site, count(*) AS n FROM t{d} GROUP BY site) s USING (site)
+  WHERE b.budget IS NULL OR r.place <= b.budget - s.n)""")
+    return "WITH " + ",\n".join(levels) + "\n" + " UNION ALL ".join(
+        f"SELECT site, node, {d} AS depth FROM l{d}" for d in range(WALK_DEPTH + 1))
+
+
+@query("frontier_walk", _walk_sql())
 def frontier_walk(spark, sf):
-    seeds = spark.createDataFrame([("p1",)], "node string")
-    return LK.frontier_walk(fx.fx_edge(spark, sf), seeds, WALK_DEPTH)
+    s = fx.fx_site(spark, sf)
+    seeds = s.select("site", F.explode(F.sequence(F.col("ord") * 3 + 1, F.col("ord") * 3 + 3)).alias("k"),
+                     F.when(F.col("ord") % 4 != 3, 10 + 45 * (F.col("ord") % 4)).alias("max_pages"))
+    seeds = seeds.select("site", F.concat(F.lit("p"), "k").alias("node"), "max_pages")
+    return LK.site_walks(fx.fx_edge(spark, sf).select("src", "dst"), seeds, WALK_DEPTH)
 
 
 # micro-steps: every request is an expiry check ('c'), its result ('u'), and

@@ -70,3 +70,41 @@ def test_linear_retry_has_group_limit(spark):
     plan = queries()["linear_retry_delay"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan
     assert failed_for_site
+
+
+def test_substring_join_by_rare_grams(spark):
+    """Names of ten lengths against a loop; few more candidates than matches;
+    with more names than the literal index takes, the same rows."""
+    import random
+    from pagewright.operators import joins
+    rnd = random.Random(8)
+    letters = "abcde"
+    names = sorted({"".join(rnd.choice(letters) for _ in range(n)) for n in range(1, 11) for _ in range(6)})
+    names += ["A_C", "b%d", "%", "_", "ab\\_", "absent-name"]
+    urls = [f"HTTPS://x/{''.join(rnd.choice(letters) for _ in range(rnd.randrange(0, 40)))}" for _ in range(120)] + [None, ""]
+    left = spark.createDataFrame(list(enumerate(urls)), "id int, url string")
+    right = spark.createDataFrame([(n,) for n in names], "site string")
+    like = left.crossJoin(right).filter("lower(url) LIKE '%' || lower(site) || '%'")
+    want = sorted((r.id, r.site) for r in like.collect())
+    for most in (2000, 3):
+        got = sorted((r.id, r.site) for r in joins.contains_like_join(left, "url", right, "site", 4, most).collect())
+        assert got == want
+    assert joins.contains_like_join(left, "url", right.limit(0), "site").count() == 0
+
+
+def test_few_more_candidates_than_matches(spark):
+    """Names of ten lengths: texts meet little more names than they contain."""
+    import random
+    from pagewright.operators import joins
+    rnd = random.Random(5)
+    names = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4 + i % 10)) for i in range(60)]
+    urls = [f"https://www.{rnd.choice(names)}.example.com/{rnd.randrange(10 ** 6)}/page" for _ in range(1000)]
+    left = spark.createDataFrame([(u,) for u in urls], "url string")
+    right = spark.createDataFrame([(n,) for n in names], "site string")
+    matches = joins.contains_like_join(left, "url", right, "site").count()
+    grams = right.select(F.col("site").alias("_piece"),
+                         F.explode(joins._grams("site", F.least(F.length("site"), F.lit(6)))).alias("_gram"))
+    lengths, wanted, chosen = joins._rarest_grams(left.select(F.col("url").alias("_text")), grams, 6, 2000)
+    cut = left.withColumn("_gram", F.explode(joins._grams_in(F.col("url"), lengths, wanted)))
+    candidates = cut.join(chosen, "_gram").count()
+    assert matches == 1000 and matches <= candidates <= 2 * matches

@@ -33,6 +33,36 @@ def test_frontier_walk_uncapped_and_capped(spark):
         assert got == py_walk(EDGES, "p1", depth, cap)
 
 
+def test_site_walks_are_each_sites_own_walk(spark):
+    """Walks with budgets and seeds of their own, over shared nodes."""
+    import random
+    rnd = random.Random(4)
+    edges = sorted({(f"n{rnd.randrange(60)}", f"n{rnd.randrange(60)}") for _ in range(150)})
+    e = spark.createDataFrame([*edges, *edges[:20]], "src string, dst string")
+    seeds = [("a", "n1", None), ("b", "n1", 7), ("b", "n2", 7), ("c", "n5", 1), ("d", "nowhere", 5), ("e", "n9", 30),
+             ("e", "n9", 30), ("f", "n3", 0)]
+    df = spark.createDataFrame(seeds, "site string, node string, max_pages int")
+
+    def walk(site, depth):
+        start = sorted({n for s, n, _ in seeds if s == site})
+        limit = next(m for s, _, m in seeds if s == site)
+        limit = 10 ** 9 if limit is None else limit
+        taken = {n: 0 for n in start[:limit]}
+        level = list(taken)
+        for d in range(1, depth + 1):
+            found = sorted({b for a, b in edges if a in level} - taken.keys())[:limit - len(taken)]
+            taken.update({n: d for n in found})
+            level = found
+        return {(site, n, d) for n, d in taken.items()}
+
+    for depth in (0, 1, 4):
+        got = [tuple(r) for r in LK.site_walks(e, df, depth).collect()]
+        want = set().union(*[walk(s, depth) for s in "abcdef"])
+        assert len(got) == len(want) and set(got) == want
+    assert LK.site_walks(e, df.limit(0), 3).count() == 0
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition", "true") == "true"
+
+
 def test_page_links_internal_only(spark):
     html = '<a href="/x">x</a><a href="https://other.com/y">y</a><a href="z?q=1">z</a>'
     p = spark.createDataFrame([(1, "https://site.com/dir/page", html)], "page_id long, url string, html string")
