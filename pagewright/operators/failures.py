@@ -237,6 +237,15 @@ def failure_lifecycle(fetches: DataFrame, policy: DataFrame, n_chunks: int | Non
                        planned.alias("next_retry_at"))
 
 
+def all_tasks(snapshot: DataFrame, derived: DataFrame) -> DataFrame:
+    """Tasks of a loaded snapshot and of the log since, one for each state and
+    URL: the one with the later last failure stands, of equal ones the derived."""
+    cols = [c for c in derived.columns if c not in ("state", "url")]
+    both = snapshot.select("state", "url", *cols, F.lit(0).alias("_from")).unionByName(
+        derived.select("state", "url", *cols, F.lit(1).alias("_from")))
+    return dedup_latest(both, ["state", "url"], ["last_failed_at", "_from"]).drop("_from")
+
+
 def ready_tasks(tasks: DataFrame, now, limit: int = 10) -> DataFrame:
     """Pending tasks due at ``now``, earliest first."""
     return (tasks.filter((F.col("state") == "pending") & (F.col("next_retry_at") <= now))

@@ -9,10 +9,12 @@ from ..operators import stats as ST
 from ..sources import fixtures as fx
 from ..sources import readers as RD
 from ..sources import sinks as SK
+from ..sources import topics as TP
 from ..sources.schemas import FETCH_REPORT, FAILED_FETCH
 from ..sources.site_config import list_sites
 from ..sources.tables import read_table
 from ..session import scratch_path
+from ..streaming.streams import batch_folder_writer
 from . import common as C
 from . import oracle as O
 from .q_aggs import REPORT_SQL
@@ -125,8 +127,14 @@ def sink_tasks_stream(spark, sf):
 @query("src_messages", """
 SELECT event_id, CASE WHEN trim(value, ' ') <> '' THEN CAST(json_extract(value, '$.k') AS INTEGER) END AS k FROM fx_message""")
 def src_messages(spark, sf):
-    m = RD.parse_messages(fx.fx_message(spark, sf), "k int")
-    return m.select("event_id", F.col("message.k").alias("k"))
+    """The messages are published as a topic and consumed poll by poll."""
+    path = scratch_path(spark, "topic")
+    m = fx.fx_message(spark, sf).withColumn("key", F.col("event_id").cast("string"))
+    TP.publish_topic(m.select("key", "value", "ts", "event_id"), path, "events", ["ts", "event_id"])
+    TP.consume(TP.topic_stream(spark, path, "events", group="readers"), f"{path}/checkpoint",
+               batch_folder_writer(f"{path}/polled"))
+    got = RD.parse_messages(spark.read.parquet(f"{path}/polled"), "k int")
+    return got.select(F.col("key").cast("long").alias("event_id"), F.col("message.k").alias("k"))
 
 
 @query("sink_run_report", f"""

@@ -82,8 +82,11 @@ def failed_upsert(spark, sf):
 @query("failed_remove", """
 SELECT url_key, url FROM fx_failed f WHERE NOT EXISTS (SELECT 1 FROM fx_fetch x WHERE x.success AND x.url = f.url)""")
 def failed_remove(spark, sf):
-    ok = fx.fx_fetch(spark, sf).filter("success").select("url")
-    return FL.failed_remove(C.failed(spark, sf), ok).select("url_key", "url")
+    """The stored table loses the URLs that have been fetched since."""
+    table = failed_table(spark, scratch_path(spark, "failed-table"))
+    table.commit(C.failed(spark, sf))
+    failed_delete(table, fx.fx_fetch(spark, sf).filter("success").select("url"))
+    return table.read().select("url_key", "url")
 
 
 @query("failed_for_site", """

@@ -7,7 +7,10 @@ from ..functions import errors as E
 from ..operators import failures as FL
 from ..operators import links as LK
 from ..operators import rates as RT
+from ..session import scratch_path
 from ..sources import fixtures as fx
+from ..sources import readers as RD
+from ..sources import sinks as SK
 from . import common as C
 from . import oracle as O
 from .q_exprs import CLASSIFY_SQL, POLICY_SQL
@@ -194,6 +197,29 @@ def domain_stats(spark, sf):
     return RT.domain_stats(RT.domain_throttle_fold(fx.fx_fetch(spark, sf), C.delays(spark, sf)))
 
 
+# statistics cleared: for each domain at its last event in so many, for all at the first
+RESET_EVERY = 4000
+O.FX["fx_reset"] = f"""SELECT domain, ts AS reset_at FROM fx_fetch WHERE event_id % {RESET_EVERY} = 0
+UNION ALL SELECT NULL, min(ts) FROM fx_fetch"""
+O.FX["fx_fetch_kept"] = """SELECT f.* FROM fx_fetch f LEFT JOIN (SELECT domain, max(reset_at) AS own FROM fx_reset WHERE domain IS NOT NULL GROUP BY domain) r
+  USING (domain) WHERE f.ts > greatest((SELECT max(reset_at) FROM fx_reset WHERE domain IS NULL), own)"""
+O.FX["fx_fetch_steps_kept"] = FETCH_STEPS_SQL.replace("fx_fetch f", "fx_fetch_kept f")
+O.FX["fx_throttle_kept"] = (O.FX["fx_throttle"].replace("FROM fx_fetch)", "FROM fx_fetch_kept)")
+                            .replace("fx_throttle r", "fx_throttle_kept r").replace("fx_fetch_steps", "fx_fetch_steps_kept"))
+O.RECURSIVE_FX.add("fx_throttle_kept")
+
+
+@query("domain_state_reset", """
+SELECT t.domain, t.delay, t.failures, t.throttled, t.until, t.requests, t.successes FROM fx_throttle_kept t
+JOIN (SELECT domain, max(rn) AS rn FROM fx_fetch_steps_kept GROUP BY domain) m ON m.domain = t.domain AND m.rn = t.rn""")
+def domain_state_reset(spark, sf):
+    """Delay and block of each domain after its statistics have been cleared."""
+    f = fx.fx_fetch(spark, sf).select("event_id", "ts", "domain", "success", "status_code")
+    resets = f.filter(F.col("event_id") % RESET_EVERY == 0).select("domain", F.col("ts").alias("reset_at")).unionByName(
+        f.select(F.min("ts").alias("reset_at")).withColumn("domain", F.lit(None).cast("string")))
+    return RT.domain_throttle_fold(RT.after_reset(f, resets), C.delays(spark, sf))
+
+
 # ------------------------------------------------------- failure lifecycle
 
 O.FX["fx_lc_ev"] = f"""SELECT f.url, f.site, f.ts, f.success, f.status_code, f.error_category,
@@ -274,12 +300,31 @@ def ready_tasks(spark, sf):
     return FL.ready_tasks(C.tasks(spark, sf), now).select("state", "url", "next_retry_at")
 
 
-@query("all_tasks_union", "SELECT state, url, retry_count, error_category FROM fx_tasks")
+SNAPSHOT_CUT = "2024-01-20 00:00:00"
+for _part, _when in (("early", "<"), ("recent", ">=")):
+    # the lifecycle of the log before and from the snapshot on
+    _log = f"FROM (SELECT * FROM fx_fetch WHERE ts {_when} TIMESTAMP '{SNAPSHOT_CUT}')"
+    O.FX[f"fx_lc_ev_{_part}"] = O.FX["fx_lc_ev"].replace("FROM fx_fetch", _log)
+    O.FX[f"fx_lc_{_part}"] = O.FX["fx_lc"].replace("fx_lc_ev", f"fx_lc_ev_{_part}").replace("FROM fx_lc r", f"FROM fx_lc_{_part} r")
+    O.RECURSIVE_FX.add(f"fx_lc_{_part}")
+    O.FX[f"fx_tasks_{_part}"] = O.FX["fx_tasks"].replace("fx_lc_ev", f"fx_lc_ev_{_part}").replace("FROM fx_lc l", f"FROM fx_lc_{_part} l")
+
+
+@query("all_tasks_union", """
+SELECT state, url, retry_count, error_category, last_failed_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY state, url ORDER BY last_failed_at DESC, part DESC) AS rn FROM (
+    SELECT state, url, retry_count, error_category, date_trunc('second', last_failed_at) AS last_failed_at, 0 AS part FROM fx_tasks_early
+    UNION ALL SELECT state, url, retry_count, error_category, last_failed_at, 1 FROM fx_tasks_recent) u) t WHERE rn = 1""")
 def all_tasks_union(spark, sf):
-    t = C.tasks(spark, sf)
-    pending = t.filter(F.col("state") == "pending")
-    permanent = t.filter(F.col("state") == "permanent")
-    return pending.unionByName(permanent).select("state", "url", "retry_count", "error_category")
+    """A snapshot of the tasks is saved and loaded, and united with the tasks
+    of the log since."""
+    f = fx.fx_fetch(spark, sf)
+    cut, path = F.lit(SNAPSHOT_CUT).cast("timestamp_ntz"), scratch_path(spark, "task-snapshot")
+    policy = E.policy_table(spark)
+    SK.save_failure_snapshot(FL.failure_lifecycle(f.filter(F.col("ts") < cut), policy), path)
+    recent = FL.failure_lifecycle(f.filter(F.col("ts") >= cut), policy)
+    return FL.all_tasks(RD.read_failure_snapshot(spark, path), recent).select(
+        "state", "url", "retry_count", "error_category", "last_failed_at")
 
 
 @query("failed_task_format", """

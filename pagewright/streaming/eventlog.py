@@ -27,16 +27,17 @@ _CLOCK = "newest bigint, closed bigint"
 
 
 class EventLog:
-    """Log at ``path`` of events with a column ``t`` (microseconds).
+    """Log at ``path`` of events ordered by a column ``t`` (microseconds, or any
+    number), in buckets of ``width``; without ``retention`` none is closed.
 
-    ``summarise`` takes events with ``key`` and ``bucket`` and returns rows
-    (key, bucket, first_at, first_id, piece, summary).
+    ``summarise`` takes events with ``key`` and ``bucket`` and returns rows with
+    these two and whatever sums their events up.
     """
 
     def __init__(self, path: str, key: str, schema: T.StructType, summarise: Callable[[DataFrame], DataFrame],
-                 bucket_seconds: int = DAY, retention_seconds: int = 60 * DAY):
+                 width: int = DAY * 1_000_000, retention: int | None = 60 * DAY * 1_000_000):
         self.path, self.key, self.schema, self.summarise = path.rstrip("/"), key, schema, summarise
-        self.width, self.retention = bucket_seconds * 1_000_000, retention_seconds * 1_000_000
+        self.width, self.retention = width, retention
 
     def clock(self, spark: SparkSession, before: int) -> tuple[int | None, int | None]:
         """(newest event time, first open bucket) after the batches before ``before``."""
@@ -76,7 +77,7 @@ class EventLog:
 
         last = mine.agg(F.max("t")).first()[0]
         newest = max((x for x in (newest, last) if x is not None), default=None)
-        ends = None if newest is None else (newest - self.retention) // self.width
+        ends = None if newest is None or self.retention is None else (newest - self.retention) // self.width
         spark.createDataFrame([(newest, ends if closed is None or ends is None else max(ends, closed))], _CLOCK) \
             .coalesce(1).write.mode("overwrite").parquet(f"{self.path}/clock/batch={batch_id}")
         if closed is not None:  # closed before this batch: not even its replay reads them

@@ -14,7 +14,7 @@ from typing import Callable
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -170,15 +170,15 @@ def summed_counts(spark: SparkSession, path: str, keys) -> DataFrame:
 REQUEST_LOG = ("domain string, t bigint, event_id bigint, success boolean, double boolean, domain_delay double")
 
 
-def _seconds(interval: str) -> int:
-    """'60 days', '90 minutes' -> seconds."""
+def _micros(interval: str) -> int:
+    """'60 days', '90 minutes' -> microseconds."""
     n, unit = interval.split()
-    return int(n) * {"second": 1, "minute": 60, "hour": 3600, "day": DAY}[unit.rstrip("s")]
+    return int(n) * {"second": 1, "minute": 60, "hour": 3600, "day": DAY}[unit.rstrip("s")] * 1_000_000
 
 
 def domain_log(path: str, bucket: str = "1 day", retention: str = "60 days") -> EventLog:
     return EventLog(path, "domain", T.StructType.fromDDL(REQUEST_LOG),
-                    lambda rows: RT.request_stretches(rows, ("domain", "bucket")), _seconds(bucket), _seconds(retention))
+                    lambda rows: RT.request_stretches(rows, ("domain", "bucket")), _micros(bucket), _micros(retention))
 
 
 def domain_state_stream(fetches: DataFrame, delays: DataFrame, out_path: str, checkpoint: str,
@@ -262,7 +262,7 @@ def failure_log(path: str, policy: DataFrame | None = None, bucket: str = "1 day
     most = E.FALLBACK_MAX_RETRIES if policy is None else max(
         E.FALLBACK_MAX_RETRIES, policy.agg(F.max("max_retries")).first()[0] or 0)
     return EventLog(path, "url", T.StructType.fromDDL(FETCH_LOG), lambda rows: fetch_stretches(rows, most),
-                    _seconds(bucket), _seconds(retention))
+                    _micros(bucket), _micros(retention))
 
 
 def task_table(spark: SparkSession, path: str, n_buckets: int = 16) -> KeyedTable:
@@ -340,23 +340,49 @@ def due_retries(spark: SparkSession, path: str) -> DataFrame:
     return t.select("url", F.col("count").alias("retry_count"), ntz_from_micros("planned").alias("next_retry_at"), "batch")
 
 
+SEQUENCE_BUCKET = 1024
+
+
+def _bucket_changes(rows: DataFrame) -> DataFrame:
+    """Of each page's observations in a bucket: the first, the last, and those
+    that differ from the one before."""
+    w = Window.partitionBy("page_key", "bucket").orderBy("t", "content_hash")
+    d = rows.withColumn("prev", F.lag("content_hash").over(w)).withColumn("place", F.row_number().over(w))
+    d = d.withColumn("is_last", F.lead("t").over(w).isNull()).withColumn("is_first", F.col("place") == 1)
+    d = d.withColumn("changed", ~F.col("is_first") & ~F.col("prev").eqNullSafe(F.col("content_hash")))
+    return d.filter("is_first or is_last or changed").select(
+        "page_key", "bucket", "t", "content_hash", "is_first", "is_last", "changed")
+
+
+def content_log(path: str, key_type: str = "bigint", bucket: int = SEQUENCE_BUCKET) -> EventLog:
+    schema = T.StructType.fromDDL(f"page_key {key_type}, t bigint, content_hash string")
+    return EventLog(path, "page_key", schema, _bucket_changes, bucket, None)
+
+
 def content_change_stream(observations: DataFrame, key: str, seq: str, text: str, out_path: str,
-                          checkpoint: str) -> None:
-    """Store the md5 of each observation, micro-batch by micro-batch; whether
-    it is a change depends on its neighbours in ``seq``, which may come later,
-    and is answered by ``content_changes``."""
-    o = observations.select(F.col(key).alias("page_key"), F.col(seq).alias("seq"),
-                            F.md5(F.col(text)).alias("content_hash"))
-    run_available_now(o, checkpoint, batch_folder_writer(out_path))
+                          checkpoint: str, bucket: int = SEQUENCE_BUCKET) -> None:
+    """Observations of pages, in any order; a micro-batch derives anew only the
+    runs of ``bucket`` sequence numbers that it adds to.  Observations without a
+    sequence number have no place in the order and are left out."""
+    o = observations.filter(F.col(seq).isNotNull()).select(
+        F.col(key).alias("page_key"), F.col(seq).cast("long").alias("t"), F.md5(F.col(text)).alias("content_hash"))
+    log = content_log(out_path, o.schema["page_key"].dataType.simpleString(), bucket)
+    run_available_now(o, checkpoint, log.append)
 
 
 def content_changes(spark: SparkSession, path: str) -> DataFrame:
-    """Stored observations that differ from the one before (the first included)."""
-    from ..operators.scan import bucketed_lag, range_chunks
-    d = range_chunks(spark.read.parquet(path).drop("batch"), ["page_key"], ["seq"])
-    d = bucketed_lag(d, ["page_key"], ["seq"], F.col("_chunk"), ["content_hash"])
-    changed = ~F.col("has_prev") | (F.col("content_hash") != F.col("prev_content_hash"))
-    return d.filter(changed).select("page_key", "seq", "content_hash")
+    """Observations that differ from the one before (the first included): those
+    found inside the buckets, and the first of a bucket where the last of the
+    bucket before differs.  Only a bucket's first and last are put in order."""
+    rows = content_log(path).summaries(spark)
+    ends = rows.groupBy("page_key", "bucket").agg(
+        F.max(F.when(F.col("is_first"), F.struct("t", "content_hash"))).alias("first"),
+        F.max(F.when(F.col("is_last"), F.struct("content_hash"))).alias("last"))
+    w = Window.partitionBy("page_key").orderBy("bucket")
+    ends = ends.withColumn("before", F.lag("last").over(w))
+    opening = ends.filter(F.col("before").isNull() | ~F.col("before.content_hash").eqNullSafe(F.col("first.content_hash")))
+    inside = rows.filter("changed").select("page_key", "t", "content_hash")
+    return inside.unionByName(opening.select("page_key", "first.*")).withColumnRenamed("t", "seq")
 
 
 def publish_stream(rows: DataFrame, checkpoint: str, servers: str | None = None, path: str | None = None,

@@ -166,3 +166,28 @@ def test_failed_upsert_stream_over_several_batches(spark, tmp_path):
     exp = sorted(map(tuple, FL.failed_upsert(None, FL.failure_record(fx.fx_fetch(spark, SF001))).select(cols)
                      .collect()))
     assert got == exp
+
+
+def test_content_changes_are_stitched_at_bucket_ends(spark, tmp_path):
+    """Small buckets, files that bring sequence numbers in any order, repeats."""
+    import random
+    rnd = random.Random(3)
+    seen = {(k, n): rnd.choice("ab") for k in (1, 2, None) for n in rnd.sample(range(60), 40)}
+    rows = [(k, n, t) for (k, n), t in seen.items()] + [(1, None, "lost"), (3, 7, None)]
+    rnd.shuffle(rows)
+    os.makedirs(tmp_path / "in")
+    schema = "page long, seq int, text string"
+    for i in range(3):
+        part = tempfile.mkdtemp()
+        spark.createDataFrame(rows[i::3], schema).coalesce(1).write.mode("overwrite").parquet(part)
+        shutil.copy(glob.glob(f"{part}/*.parquet")[0], tmp_path / "in" / f"part-{i}.parquet")
+    stream = S.file_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, max_files_per_trigger=1)
+    out = str(tmp_path / "out")
+    S.content_change_stream(stream, "page", "seq", "text", out, str(tmp_path / "ck"), bucket=8)
+    want, last = set(), {}
+    for k, n in sorted(seen, key=lambda x: (str(x[0]), x[1])):
+        if last.get(k, "") != seen[k, n]:
+            want.add((k, n))
+        last[k] = seen[k, n]
+    got = {(r.page_key, r.seq): r.content_hash for r in S.content_changes(spark, out).collect()}
+    assert got.keys() == want | {(3, 7)} and got[3, 7] is None
