@@ -8,9 +8,11 @@ from ..operators import failures as FL
 from ..operators import links as LK
 from ..operators import rates as RT
 from ..operators.joins import broadcast_bounded
+from ..session import scratch_path
 from ..sources import fixtures as fx
 from ..sources.fixtures import UPSERT_CUTOFF
 from ..sources.tables import read_table
+from ..streaming.streams import failed_delete, failed_table
 from . import common as C
 from .q_exprs import CLASSIFY_SQL, POLICY_SQL
 from .q_filters import VALID_SQL
