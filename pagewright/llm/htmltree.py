@@ -2,18 +2,23 @@
 
 The pages of one host are merged into a tree: a node is an element's path of
 tags with class and id; it counts in how many pages it occurs, with which
-sequences of child elements (presentation) and with which texts (content).  A
-presentation node is important when pages lay out its children in many ways, a
-content node when its words change from page to page; both are measured by
-entropy, relative to the largest possible one.  A branch that looks and reads
-the same on many pages (menu, footer, notice) is noise and is removed from each
-page.  Elements that by HTML's own meaning or by a telling class or id hold no
-article text are noise at once, and if a page marks its article, only the
-article's branches are kept.
-
-Statistics are (host, path, value) counts made by Spark; only paths that occur
-on at least ``MIN_PAGES`` pages of a host with too little entropy come back to
-the pages, as one set for each host.
+sequences of child elements (presentation) and with which texts (content).
+Pages of equal content count once, so an article that a host shows under many
+addresses is no template.  A node's importance is the larger of two entropies
+over the pages, that of its layouts and that of its texts (those of the
+elements below it included), each relative to the largest possible one: 1 where
+every page differs, 0 where all are alike.
+
+What HTML's own meaning, a telling class or id or a role says about an element
+is the prior: menus, footers, adverts, forms and the like are noise, and of a
+page that marks its article (or else a main part) the text inside it stands.
+The tree decides about the rest.  A branch on at least ``MIN_PAGES`` pages of
+too little importance, measured against the host's article, is removed, inside
+the article too (a repeated notice).  A heading or paragraph outside the article
+stays where it is as important as the article itself (a title or lead).
+
+Statistics are (host, path, value) counts made by Spark; only the paths that
+the tree decides about come back to the pages, as one row for each host.
 """
 
 from __future__ import annotations
@@ -30,7 +35,8 @@ from pagewright.session import scratch_path, ship_package
 from .textkernel import text_chunks
 
 MIN_PAGES = 8
-MIN_IMPORTANCE = 0.2
+MIN_IMPORTANCE = 0.2  # of a branch, relative to the article's
+LEAD_IMPORTANCE = 0.9  # of a heading or paragraph outside the article
 MAX_DEPTH = 200  # deeper elements count as children of the last level
 
 # HTML's own meaning of elements.
@@ -59,7 +65,10 @@ NOISE_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search",
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|"
                     r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|$)", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
-_ARTICLE = r"^(/html|/body)*$|/(article|main)[^/]*(/[a-z0-9]+)*$"
+_MARKED = r"/(article|main)(\.[^/]*)?$"
+_FRAME = r"^(/(html|body|main|article)(\.[^/]*)?)*$"
+_INSIDE = r"/article(\.[^/]*)?(/|$)"
+_LEAD = r"/(h[1-3]|p)(\.[^/]*)?$"
 _SPACE = re.compile(r"\s+")
 
 
@@ -166,35 +175,45 @@ def _prefixes(path: str):
     yield path
 
 
+def _page_nodes(page: str) -> tuple[int, list[tuple[str, str, int]]]:
+    """(hash of the page's content, [(path, "p" or "c", hash of its layout or text)])."""
+    blocks, children = parse(page)
+    nodes = []
+    for path, kids in children.items():
+        runs = [k for i, k in enumerate(kids) if not i or kids[i - 1] != k]
+        nodes.append((path, "p", hash_text("|".join(runs))))
+    content: dict[str, list[str]] = {}
+    for b in blocks:
+        for p in _prefixes(b.path):
+            content.setdefault(p, []).append(b.text)
+    nodes += [(path, "c", hash_text("\n".join(parts))) for path, parts in content.items()]
+    kept = [b for b in blocks if not b.noise]
+    level = max((b.article for b in kept), default=0)
+    return hash_text("\n".join(b.text for b in kept if b.article == level)), sorted(nodes)
+
+
 def style_tree(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     """(host, path, pages, layouts, texts): how many pages of a host have the
-    node, and the importance of its presentation and of its content, each the
-    entropy over the pages relative to log(pages)."""
+    node, pages of equal content counting once, and the entropy of its layouts
+    and of its texts relative to log(pages)."""
     def run(batches):
         for batch, texts in text_chunks(batches, "html"):
-            counts: dict[tuple, int] = {}
-            for host, page in zip(batch.column("host").to_pylist(), texts):
-                blocks, children = parse(page)
-                for path, kids in children.items():
-                    runs = [k for i, k in enumerate(kids) if not i or kids[i - 1] != k]
-                    key = (host, path, "p", hash_text("|".join(runs)))
-                    counts[key] = counts.get(key, 0) + 1
-                content: dict[str, list[str]] = {}
-                for b in blocks:
-                    for p in _prefixes(b.path):
-                        content.setdefault(p, []).append(b.text)
-                for path, parts in content.items():
-                    key = (host, path, "c", hash_text("\n".join(parts)))
-                    counts[key] = counts.get(key, 0) + 1
-            hosts, paths, kinds, values = zip(*counts) if counts else ((), (), (), ())
+            found = [_page_nodes(t) for t in texts]
+            ptr = [0]
+            for _, nodes in found:
+                ptr.append(ptr[-1] + len(nodes))
+            paths, kinds, values = zip(*[n for _, nodes in found for n in nodes]) if ptr[-1] else ((), (), ())
+            nodes = pa.StructArray.from_arrays([pa.array(paths, pa.string()), pa.array(kinds, pa.string()),
+                                                pa.array(values, pa.int64())], names=["path", "kind", "value"])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(kinds, pa.string()),
-                 pa.array(values, pa.int64()), pa.array(list(counts.values()), pa.int64())],
-                names=["host", "path", "kind", "value", "n"])
+                [batch.column("host"), pa.array([p for p, _ in found], pa.int64()),
+                 pa.ListArray.from_arrays(pa.array(ptr, pa.int32()), nodes)], names=["host", "page", "nodes"])
 
     rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    seen = rows.mapInArrow(run, "host string, path string, kind string, value bigint, n bigint")
-    each = seen.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"))
+    seen = rows.mapInArrow(run, "host string, page bigint, nodes array<struct<path: string, kind: string, value: bigint>>")
+    once = seen.groupBy("host", "page").agg(F.min("nodes").alias("nodes"))
+    nodes = once.select("host", F.explode("nodes").alias("node")).select("host", "node.*")
+    each = nodes.groupBy("host", "path", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
     # entropy of n / N is log N - sum(n log n) / N
     sums = each.groupBy("host", "path", "kind").agg(F.sum("n").alias("N"), F.sum(F.col("n") * F.log("n")).alias("L"))
     share = F.when(F.col("N") > 1, (F.log("N") - F.col("L") / F.col("N")) / F.log("N")).otherwise(1.0)
@@ -209,24 +228,35 @@ def hash_text(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def noise_paths(tree: DataFrame, min_pages: int = MIN_PAGES, min_importance: float = MIN_IMPORTANCE) -> DataFrame:
-    """(host, path) of unimportant branches: on enough pages, little changing
-    in content, and in presentation where they have children.  A host may show
-    one article on many pages, so an element that is marked as the article, and
-    nameless elements inside it, are never taken for a template."""
-    low = F.coalesce("texts", F.lit(1.0)) < min_importance
-    plain = F.coalesce("layouts", F.lit(0.0)) < min_importance
-    return tree.filter((F.col("pages") >= min_pages) & low & plain & ~F.col("path").rlike(_ARTICLE)).select("host", "path")
-
+def decisions(tree: DataFrame, min_pages: int = MIN_PAGES, min_importance: float = MIN_IMPORTANCE,
+              lead_importance: float = LEAD_IMPORTANCE) -> DataFrame:
+    """(host, noise, lead): the paths that the tree decides about.
 
-def main_text(blocks: list[Block], noise: set[str]) -> str:
+    ``noise``: branches on enough pages whose importance is below
+    ``min_importance`` of that of the host's marked article (or main part; of 1
+    where none is marked).  ``lead``: headings and paragraphs outside the article
+    with at least ``lead_importance`` of it.
+    """
+    often = tree.filter(F.col("pages") >= min_pages).withColumn(
+        "importance", F.greatest(F.coalesce("layouts", F.lit(0.0)), F.coalesce("texts", F.lit(0.0))))
+    marked = often.filter(F.col("path").rlike(_MARKED)).groupBy("host").agg(F.max("importance").alias("article"))
+    often = often.join(marked, "host", "left")
+    low = (F.col("importance") < min_importance * F.coalesce("article", F.lit(1.0))) & ~F.col("path").rlike(_FRAME)
+    lead = ((F.col("importance") >= lead_importance * F.col("article")) & F.col("path").rlike(_LEAD)
+            & ~F.col("path").rlike(_INSIDE))
+    kind = F.when(low, "noise").when(lead, "lead")
+    paths = often.select("host", "path", kind.alias("kind")).filter("kind is not null")
+    return paths.groupBy("host").agg(*[
+        F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("path")))).alias(k) for k in ("noise", "lead")])
+
+
+def main_text(blocks: list[Block], noise: set[str], lead: set[str] = frozenset()) -> str:
     """Blocks that stand under no noisy branch; of pages that mark an article
-    or else a main part, those inside it."""
+    or else a main part, those inside it and leads outside."""
     kept = [b for b in blocks if not b.noise]
     level = max((b.article for b in kept), default=0)
-    kept = [b for b in kept if b.article == level]
-    good = [b for b in kept if not noise or not any(p in noise for p in _prefixes(b.path))]
-    return "\n".join(b.text for b in (good or kept))
+    kept = [b for b in kept if b.article == level or b.path in lead]
+    return "\n".join(b.text for b in kept if not noise or not any(p in noise for p in _prefixes(b.path)))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
@@ -234,22 +264,23 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """(id, url, text, n_chars) of every page.
 
     A null or empty page and one without main text have an empty text.  A null
-    url stands for a host of its own.  Repeated rows give repeated results.
+    url stands for a host of its own.  Repeated rows give repeated results, and
+    count once in the tree, like all pages of equal content.
     """
     ship_package(pages.sparkSession)
     spark = pages.sparkSession
-    noisy = noise_paths(style_tree(pages, url_col, html_col), min_pages, min_importance)
     path = scratch_path(spark, "style-tree")
-    noisy.groupBy("host").agg(F.collect_set("path").alias("noise")).write.parquet(path)
-    # a host's noise is the paths of its templates; read from a table of known
-    # size, it is broadcast if that is small and else joined by host
+    decisions(style_tree(pages, url_col, html_col), min_pages, min_importance).write.parquet(path)
+    # the paths of a host's templates; read from a table of known size, they are
+    # broadcast if that is small and else joined by host
     per_host = spark.read.parquet(path)
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     rows = rows.withColumn("host", host_of(F.col("url"))).join(per_host, "host", "left").drop("host")
 
     def run(batches):
         for batch, texts in text_chunks(batches, "html"):
-            out = [main_text(parse(t)[0], set(n or ())) for t, n in zip(texts, batch.column("noise").to_pylist())]
+            out = [main_text(parse(t)[0], set(n or ()), set(l or ())) for t, n, l in
+                   zip(texts, batch.column("noise").to_pylist(), batch.column("lead").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("url"), pa.array(out, pa.string()),
                  pa.array([len(t) for t in out], pa.int64())], names=["id", "url", "text", "n_chars"])

@@ -443,6 +443,66 @@ def test_site_tree_removes_repeated_branches(spark):
     assert extract(df.limit(0)).collect() == []
 
 
+def story(i, body):
+    return (i, f"https://www.c.org/{i}", f"<html><body>{body}</body></html>")
+
+
+def test_tree_decides_inside_and_outside_the_article(spark):
+    """A nameless repeated branch inside the article goes, a title and a lead
+    outside stay, a menu without a name doesn't, and an article shown under many
+    addresses is no template."""
+    def page(i):
+        return (f"<div>Menu {i % 3} of <a>here</a></div><main><h1>Title {i}</h1><p>Lead {i * 7}</p><article><p>Body {i} is {i * i}.</p>"
+                "<section><p>Share this story</p></section></article><div><p>Read more</p></div></main>")
+
+    rows = [story(i, page(i)) for i in range(40)] + [story(100 + i, page(5)) for i in range(60)]
+    rows += [(200, "https://few.org/", rows[0][2])]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in extract(df).collect()}
+    for i in range(40):
+        assert got[i] == f"Title {i}\nLead {i * 7}\nBody {i} is {i * i}."
+    assert {got[100 + i] for i in range(60)} == {got[5]}
+    # one page says nothing about its host: the mark of the article stands
+    assert got[200] == "Body 0 is 0.\nShare this story"
+
+
+def test_importance_against_plain_counts(spark):
+    """Entropies of layouts and texts over distinct contents, path by path."""
+    import math
+    from pagewright.llm.htmltree import _prefixes, style_tree
+    rng = np.random.default_rng(6)
+    pages = []
+    for i in range(60):
+        extra = "".join(f"<p>{rng.integers(0, 4)}</p><b>x</b>" for _ in range(rng.integers(0, 4)))
+        pages.append((i, f"https://h{i % 2}.org/", f"<body><article><h2>{rng.integers(0, 3)}</h2><p>{rng.integers(0, 30)}</p>{extra}"
+                                                   f"</article><div class=k>{rng.integers(0, 2)}</div></body>"))
+    pages += pages[:7]
+    values, done = collections.defaultdict(list), {}
+    for _, url, page in pages:
+        blocks, children = parse(page)
+        level = max(b.article for b in blocks if not b.noise)
+        content = (url, "\n".join(b.text for b in blocks if not b.noise and b.article == level))
+        nodes = {(path, "p"): "|".join(k for j, k in enumerate(kids) if not j or kids[j - 1] != k)
+                 for path, kids in children.items()}
+        for b in blocks:
+            for path in _prefixes(b.path):
+                nodes[path, "c"] = nodes.get((path, "c"), "") + "\n" + b.text
+        done.setdefault(content, []).append(nodes)
+    ties = [k for k, v in done.items() if any(x != v[0] for x in v)]
+    for (url, text), found in done.items():
+        for (path, kind), value in found[0].items():
+            values[url[8:-1], path, kind].append(value)
+    tree = {(r["host"], r["path"]): r for r in style_tree(
+        spark.createDataFrame(pages, "page_id bigint, url string, html string"), "url", "html").collect()}
+    for (host, path, kind), seen in values.items():
+        if ties and "/div.k" in path or path in ("", "/body"):
+            continue  # pages of equal content that differ outside it: either may stand for them
+        n, row = len(seen), tree[host, path]
+        want = -sum(c / n * math.log(c / n) for c in collections.Counter(seen).values()) / math.log(n) if n > 1 else 1.0
+        assert row["texts" if kind == "c" else "layouts"] == pytest.approx(want, abs=1e-9)
+        assert row["pages"] >= n
+
+
 def test_main_text_query(spark):
     pages = {p["page_id"]: p["html"] or "" for p in table(spark, "pages")}
     rows = catalog.op6_main_text(spark, SF001).collect()
