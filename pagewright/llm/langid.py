@@ -8,9 +8,9 @@ with eight bits.  The statistics are frozen: a text's code length under each
 tree is exact and depends on that text only, and the shortest wins.
 
 The trees are fitted on a bounded sample: for each of the ``max_langs`` most
-frequent labels about ``docs_per_lang`` labelled texts of at most
-``max_train_chars`` characters, taken by a hash of the id.  Prediction covers
-every whole text.
+frequent labels about ``docs_per_lang`` distinct labelled texts, taken by a hash
+of id and text, of each the first ``max_train_chars`` characters.  Prediction
+covers every whole text.
 """
 
 from __future__ import annotations
@@ -146,19 +146,19 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     row the model has no language and predicts ``und`` everywhere.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    usable = rows.filter(F.col("lang").isNotNull() & F.col("id").isNotNull()
-                         & (F.length("text") <= max_train_chars) & F.col("text").rlike(r"\p{L}"))
+    usable = rows.withColumn("text", F.substring("text", 1, max_train_chars)).filter(
+        F.col("lang").isNotNull() & F.col("id").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = (usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
               .orderBy(F.desc("n"), "lang").limit(max_langs).collect())
     wanted = F.lit(False)
-    share = F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1 << 20))
+    share = F.pmod(F.xxhash64("id", "text", F.lit("fit")), F.lit(1 << 20))
     for r in counts:
         limit = min(1 << 20, -(-(docs_per_lang << 20) // r["n"]))
         wanted = wanted | ((F.col("lang") == r["lang"]) & (share < limit))
     sample: dict[str, list[str]] = {r["lang"]: [] for r in counts}
     if counts:
         # about docs_per_lang texts of each language, whatever the input size
-        for r in usable.filter(wanted).orderBy("lang", "id", F.xxhash64("text")).collect():
+        for r in usable.filter(wanted).distinct().orderBy("lang", "id", F.xxhash64("text")).collect():
             sample[r["lang"]].append(r["text"])
     return ContextTrees({k: v for k, v in sample.items() if v}, order)
 

@@ -68,6 +68,33 @@ def seeds_of(notice: str, edits: int) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
+def _within(notice: str, edits: int):
+    """A test whether text[lo:hi] holds the notice with at most ``edits`` edits:
+    one column of the edit distances at a time, kept as the bits of two integers
+    (where a step goes up, where it goes down).  It spares near misses the
+    search for a match."""
+    size = len(notice)
+    every, top = (1 << size) - 1, 1 << (size - 1)
+    where: dict[str, int] = {}
+    for j, c in enumerate(notice):
+        where[c] = where.get(c, 0) | 1 << j
+
+    def near(text: str, lo: int, hi: int) -> bool:
+        up, down, distance = every, 0, size
+        for c in text[lo:hi]:
+            same = where.get(c, 0)
+            keep = (((same & up) + up) ^ up) | same | down
+            rise, fall = down | (every & ~(keep | up)), keep & up
+            distance += bool(rise & top) - bool(fall & top)
+            if distance <= edits:
+                return True
+            rise, fall = rise << 1 & every, fall << 1 & every
+            up, down = fall | (every & ~(keep | rise)), rise & keep
+        return False
+
+    return near
+
+
 def _fewest_edits(spans: list) -> list:
     """Spans without overlaps: fewest edits first, then the longest."""
     kept: list = []
@@ -82,13 +109,14 @@ class NoticeSearch:
 
     def __init__(self, notices=NOTICES, phrases=BASE_PHRASES):
         self.notices = notices
-        self.base = [(re.compile(rb"(?<![^ ])" + re.escape(p.encode()) + rb"(?![^ ])"), label)
+        self.base = [(p.encode(), re.compile(rb"(?<![^ ])" + re.escape(p.encode()) + rb"(?![^ ])"), label)
                      for p, label in phrases]
         pieces: dict[str, list[tuple[int, int]]] = {}
-        self.patterns = []
+        self.patterns, self.near = [], []
         for i, (notice, _) in enumerate(notices):
             k = _edits(notice)
             self.patterns.append((k, regex.compile(f"(?b)(?:{regex.escape(notice)}){{e<={k}}}")))
+            self.near.append(_within(notice, k))
             for offset, piece in seeds_of(notice, k):
                 pieces.setdefault(piece, []).append((i, offset))
         self.automaton = ahocorasick.Automaton()
@@ -100,26 +128,24 @@ class NoticeSearch:
         """(start, end, notice, edits) byte spans in the folded text; of spans
         that overlap the one with the fewest edits."""
         text = folded.decode("latin-1")  # one character for each byte
-        windows: dict[int, list[list[int]]] = {}
+        # where a notice would start if it held this seed unedited
+        starts: dict[int, set[int]] = {}
         for last, (size, places) in self.automaton.iter(text):
             for i, offset in places:
-                k = self.patterns[i][0]
-                at = last - size + 1 - offset
-                lo, hi = max(0, at - k), at + len(self.notices[i][0]) + k
-                mine = windows.setdefault(i, [])
-                # seeds come by rising end, so windows of one notice nearly rise too
-                if mine and lo <= mine[-1][1] and hi >= mine[-1][0]:
-                    mine[-1][0], mine[-1][1] = min(lo, mine[-1][0]), max(hi, mine[-1][1])
-                else:
-                    mine.append([lo, hi])
-        out = []
-        for i, mine in windows.items():
+                starts.setdefault(i, set()).add(last - size + 1 - offset)
+        out = set()
+        for i, mine in starts.items():
             k, pattern = self.patterns[i]
-            for lo, hi in mine:
-                pos = lo
-                while pos < hi and (m := pattern.search(text, pos, min(hi, len(text)))):
-                    out.append((m.start(), m.end(), i, sum(m.fuzzy_counts)))
-                    pos = max(m.end(), pos + 1)
+            size = len(self.notices[i][0])
+            group: list[int] = []
+            for at in [*sorted(mine), None]:
+                # seeds of one place shift each other's start by the edits between them
+                if group and (at is None or at - group[-1] > k or at - group[0] > 2 * k):
+                    lo, hi = max(0, group[0] - k), min(len(text), group[-1] + size + k)
+                    if self.near[i](text, lo, hi) and (m := pattern.search(text, lo, hi)):
+                        out.add((m.start(), m.end(), i, sum(m.fuzzy_counts)))
+                    group = []
+                group.append(at)
         best: list[tuple[int, int, int, int]] = []
         group: list[tuple[int, int, int, int]] = []  # spans that hang together
         reach = 0
@@ -136,8 +162,9 @@ class NoticeSearch:
         folded = fold(text)
         n_words = folded.count(b" ") + 1 if folded else 0
         places = []
-        for pattern, label in self.base if b"license" in folded else ():
-            places += [(m.start(), label) for m in pattern.finditer(folded)]
+        for phrase, pattern, label in self.base:
+            if phrase in folded:
+                places += [(m.start(), label) for m in pattern.finditer(folded)]
         spans = self.spans(folded)
         starts = None
         if places or spans:

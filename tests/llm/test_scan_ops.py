@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pagewright.llm import catalog, packing
 from pagewright.llm.langid import ContextTrees, fit, identify
-from pagewright.llm.licenses import BASE_PHRASES, NOTICES, NoticeSearch, scan_licenses, seeds_of
+from pagewright.llm.licenses import BASE_PHRASES, NOTICES, NoticeSearch, fold, scan_licenses, seeds_of
 from pagewright.llm.packing import Packer, pack
 from pagewright.llm.tokencount import LongestMatch, count_tokens, load_vocabulary
 from odd_rows import nothing, odd  # noqa: F401
@@ -153,6 +153,54 @@ def test_packing_round_trip(spark):
         assert at <= 4096 and at & (at - 1) == 0  # no padding at all
 
 
+def plain_distances(notice, text):
+    """Least edit distance of the notice to any part of the text that ends at
+    each place."""
+    column = list(range(len(notice) + 1))
+    out = []
+    for c in text:
+        before, column = column, [0]
+        for j, x in enumerate(notice):
+            column.append(min(before[j] + (c != x), before[j + 1] + 1, column[j] + 1))
+        out.append(column[-1])
+    return out
+
+
+def test_notices_against_all_places():
+    """Every text that holds a notice within its edits gives a span of it, with
+    the fewest edits there; others give none."""
+    rng = random.Random(4)
+    notices = (("all rights reserved", "rights"), ("this file is in the public domain", "public"))
+    search = NoticeSearch(notices, (("odd phrase", "odd"),))
+    for _ in range(300):
+        notice, label = rng.choice(notices)
+        own = list(notice)
+        for _ in range(rng.randrange(0, 6)):
+            at = rng.randrange(len(own))
+            rng.choice([lambda: own.pop(at), lambda: own.insert(at, rng.choice("abx ")),
+                        lambda: own.__setitem__(at, rng.choice("abx"))])()
+        text = fold("".join(rng.choice("ab dr") for _ in range(rng.randrange(0, 30))) + " " + "".join(own) + " zz zz")
+        best = min(plain_distances(notice, text.decode("latin-1")))
+        allowed = len(notice) // 10
+        got = [x for x in search.spans(text) if notices[x[2]][1] == label]
+        assert bool(got) == (best <= allowed), (text, best)
+        if got:
+            assert min(x[3] for x in got) == best
+            assert all(x[3] == min(plain_distances(notice, text[x[0]:x[1]].decode("latin-1"))) for x in got)
+    both = search.scan("all rights reservxd all rights reserved, an odd phrase")
+    assert [(x["first"], x["edits"]) for x in both["spans"]] == [(0, 1), (3, 0)]
+    assert both["base_labels"] == "odd" and both["n_base"] == 1
+
+
+def test_near_misses_of_notices_are_cheap():
+    import time
+    search = NoticeSearch()
+    for text in ("permission is hereby granted free " * 500, "gnu general public licens " * 4000):
+        began = time.process_time()
+        search.scan(text)
+        assert time.process_time() - began < 8
+
+
 def test_word_ids_equal_the_tokenizer():
     """On every letter that normalises to more than letters, and on random
     strings of letters, marks, punctuation and blanks of all scripts."""
