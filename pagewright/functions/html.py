@@ -63,16 +63,24 @@ def html_title(html) -> Column:
     return unescape(F.regexp_extract(_c(html), r"(?is)<title[^>]*>(.*?)</title>", 1))
 
 
-def meta_content(html, name: str) -> Column:
-    """``content`` of the first ``<meta name="...">`` ('' when absent)."""
-    tags = F.regexp_extract_all(_c(html), F.lit(r"(?is)<meta(?=[\s/])" + _IN_TAG), F.lit(0))
+def meta_tags(html) -> Column:
+    """The start tags of all ``<meta>`` elements."""
+    return F.regexp_extract_all(_c(html), F.lit(r"(?is)<meta(?=[\s/])" + _IN_TAG), F.lit(0))
+
+
+def meta_content(tags, name: str) -> Column:
+    """``content`` of the first ``<meta name="...">`` among the tags ('' when absent)."""
+    tags = _c(tags)
     mine = F.filter(tags, lambda t: F.lower(F.trim(F.coalesce(_attribute(t, "name"), F.lit("")))) == name.lower())
     return F.coalesce(_attribute(F.try_element_at(mine, F.lit(1)), "content"), F.lit(""))
 
 
-def page_metadata(html) -> dict:
-    return {"title": html_title(html), "description": meta_content(html, "description"),
-            "keywords": meta_content(html, "keywords")}
+def page_metadata(html, tags=None) -> dict:
+    """Title, description and keywords; ``tags`` is a column of ``meta_tags``, so
+    that a page is searched for them once."""
+    tags = meta_tags(html) if tags is None else tags
+    return {"title": html_title(html), "description": meta_content(tags, "description"),
+            "keywords": meta_content(tags, "keywords")}
 
 
 def hrefs(html) -> Column:

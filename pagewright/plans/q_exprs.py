@@ -167,8 +167,8 @@ def _d_meta(name):
 SELECT page_id, {D_TITLE} AS title, {_d_meta('description')} AS description, {_d_meta('keywords')} AS keywords
 FROM pages""")
 def page_metadata(spark, sf):
-    p = read_table(spark, sf, "pages")
-    m = H.page_metadata("html")
+    p = read_table(spark, sf, "pages").select("page_id", "html", H.meta_tags("html").alias("tags"))
+    m = H.page_metadata("html", "tags")
     return p.select("page_id", m["title"].alias("title"), m["description"].alias("description"),
                     m["keywords"].alias("keywords"))
 
