@@ -21,14 +21,17 @@ from pagewright.llm.rows import numbered
 from pagewright.session import scratch_path
 from pagewright.sources.tables import read_table
 
+MIN_SCORE = 0.5  # of the likeliest language
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that have a language: those predicted ``und`` (a null
-    text, no letter) go.  The context trees are fitted on this stage's input."""
+    text, no letter) go, and those of which no language is likelier than all
+    others together.  The context trees are fitted on this stage's input; rows
+    without an id are judged like others, repeated rows alike."""
     found = identify(docs, fit(docs), carry=("text", "lang", "source", "n_chars"))
-    return found.filter(F.col("lang_pred") != UNKNOWN).select(*COLUMNS)
+    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
