@@ -65,11 +65,48 @@ CONTEXT = (r"(?i)(?:e-?mail|mail|contact|phone|tel|call|fax|mobile|card|visa|acc
            r"user|address|live[sd]? (?:at|in)|name|ip|host|server)\W{0,4}(?:is|at|to|no|number)?\W{0,4}$")
 AGAINST = r"(?i)(?:section|page|version|isbn|figure|table|chapter|vol|article)\W{0,4}$"
 
+_FAR = (1 << 31) - 1
 _RANK = {k: i for i, k in enumerate([*BASE, *EXTRA])}
 _VOTES = ("strict", "gazetteer", "context")
 _FEATURES = ("kind", "length", "digits", "edge")
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)``, the value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _most(x: Column, y: Column) -> Column:
+    return F.greatest(x, y)
+
+
+def _least(x: Column, y: Column) -> Column:
+    return F.least(x, y)
+
+
+_RUN_BITS = 6
+
+
+def running(values: Column, merge, zero) -> Column:
+    """For each element of an array of numbers what the elements before it
+    merge to.  Runs of 64 are merged first, so the work grows little faster
+    than the array (a growing array is copied once for each run)."""
+    def run(i):  # where the run of element i begins
+        return F.shiftleft(F.shiftright(i, _RUN_BITS), _RUN_BITS) + 1
+
+    def inside(vs):
+        last = F.shiftright(F.greatest(F.size(vs) - 1, F.lit(0)), _RUN_BITS)
+        runs = F.transform(F.sequence(F.lit(0), last), lambda r: F.aggregate(
+            F.slice(vs, F.shiftleft(r, _RUN_BITS) + 1, 1 << _RUN_BITS), F.lit(zero), merge))
+        start = F.struct(F.lit(zero).alias("at"), F.array().cast("array<int>").alias("s"))
+        heads = F.aggregate(runs, start, lambda acc, r: F.struct(
+            merge(acc["at"], r).alias("at"), F.concat(acc["s"], F.array(acc["at"])).alias("s")), lambda acc: acc["s"])
+        return _let(heads, lambda hs: F.transform(vs, lambda v, i: F.aggregate(
+            F.slice(vs, run(i), i.bitwiseAND(F.lit((1 << _RUN_BITS) - 1))), hs[F.shiftright(i, _RUN_BITS)], merge)))
+
+    return _let(values, inside)
+
+
 def find(text: Column, pattern: str, hint: str) -> Column:
     """Spans (start, end, value) of the pattern's matches in code points.
 
@@ -78,19 +115,48 @@ def find(text: Column, pattern: str, hint: str) -> Column:
     """
     gaps = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.zip_with(gaps, hits, lambda g, v: F.struct(g.alias("g"), v.alias("v")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("s"))
+    # after the last match the match side is null
+    parts = F.filter(F.zip_with(gaps, hits, lambda g, v: F.struct(F.length(g).alias("gap"), v.alias("v"))),
+                     lambda p: p["v"].isNotNull())
 
-    def step(acc, p):
-        begin = acc["at"] + F.length(p["g"])
-        end = begin + F.length(p["v"])
-        return F.struct(end.alias("at"), F.concat(acc["s"], F.array(F.struct(
-            begin.alias("start"), end.alias("end"), p["v"].alias("value")))).alias("s"))
+    def spans(ps):
+        before = running(F.transform(ps, lambda p: p["gap"] + F.length(p["v"])), lambda x, y: x + y, 0)
+        return F.zip_with(ps, before, lambda p, at: F.struct(
+            (at + p["gap"]).alias("start"), (at + p["gap"] + F.length(p["v"])).alias("end"), p["v"].alias("value")))
 
-    # after the last match the match side is null
-    spans = F.aggregate(F.filter(parts, lambda p: p["v"].isNotNull()), start, step, lambda acc: acc["s"])
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    return F.when(text.rlike(hint), spans).otherwise(none)
+    return F.when(text.rlike(hint), _let(parts, spans)).otherwise(none)
+
+
+def _wide(text: Column) -> Column:
+    """The text with four bytes for each code point: any part is found at once."""
+    return F.encode(text, "UTF-32")
+
+
+def _part(wide: Column, start: Column, n: Column) -> Column:
+    return F.decode(F.substr(wide, start * 4 + 1, n * 4), "UTF-32")
+
+
+def _apart(spans: Column, base: Column) -> Column:
+    """The spans that overlap no base span; (start, end, value) each, by start.
+
+    All are laid out by their start: a base span that began before reaches in
+    if the latest end so far lies beyond the start, one that begins later if
+    the next base start lies before the end."""
+    def marked(xs, is_base):
+        return F.transform(xs, lambda x: F.struct(x["start"], F.lit(0 if is_base else 1).alias("own"), x["end"], x["value"]))
+
+    def inside(xs):
+        ends = running(F.transform(xs, lambda x: F.when(x["own"] == 0, x["end"]).otherwise(0)), _most, 0)
+        starts = F.reverse(running(F.reverse(F.transform(xs, lambda x: F.when(x["own"] == 0, x["start"]).otherwise(_FAR))),
+                                   _least, _FAR))
+        put = F.zip_with(F.zip_with(xs, ends, lambda x, e: F.struct(x.alias("x"), e.alias("e"))), starts,
+                         lambda y, n: F.struct(y["x"].alias("x"), y["e"].alias("e"), n.alias("n")))
+        free = F.filter(put, lambda y: (y["x"]["own"] == 1) & (y["e"] <= y["x"]["start"]) & (y["n"] >= y["x"]["end"]))
+        return F.transform(free, lambda y: F.struct(y["x"]["start"], y["x"]["end"], y["x"]["value"]))
+
+    both = F.array_sort(F.concat(marked(base, True), marked(spans, False)))
+    return F.when((F.size(base) == 0) | (F.size(spans) == 0), spans).otherwise(_let(both, inside))
 
 
 def _digits(value: Column) -> Column:
@@ -140,20 +206,17 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     and features."""
     # one pass for all extra kinds; the first kind whose pattern fits the match names it
     joined = "|".join(f"(?:{p})" for p in EXTRA.values())
-    raw = F.filter(find(F.col(text), joined, _EXTRA_HINT), lambda s: ~F.exists(
-        "base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    raw = _let(find(F.col(text), joined, _EXTRA_HINT), lambda spans: _apart(spans, F.col("base")))
 
-    def named(s):
+    def named(s, before):
         kind = None
         for k, p in EXTRA.items():
             fits = s["value"].rlike(rf"^(?:{p})$")
             kind = F.when(fits, k) if kind is None else kind.when(fits, k)
         kind = kind.otherwise("name")
-        return F.struct(s["start"], kind.alias("kind"), s["end"], s["value"],
-                        F.substr(F.col(text), F.greatest(s["start"] - 31, F.lit(1)),
-                                 F.least(s["start"], F.lit(32))).alias("before"))
+        return F.struct(s["start"], kind.alias("kind"), s["end"], s["value"], before.alias("before"))
 
-    out = docs.withColumn("named", F.transform(raw, named))
+    out = docs.withColumn("named", _let(raw, lambda spans: F.zip_with(spans, _contexts(F.col(text), spans), named)))
     return out.withColumn("extra", F.transform("named", lambda s: F.struct(
         s["start"], _rank(s["kind"]).alias("rank"), s["kind"], s["end"], s["value"],
         *_votes(s["kind"], s["value"], s["before"], False), *_features(s["value"], s["before"])))).drop("named")
@@ -188,17 +251,20 @@ def _features(value: Column, before: Column) -> list[Column]:
 def vote_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """Rows (votes, features, n) over all spans of all documents."""
     spans = candidates(base_spans(docs.select(F.coalesce(text, F.lit("")).alias("text"))))
-    known = F.transform("base", lambda b: F.struct(
-        b["kind"], *_votes(b["kind"], b["value"], _before(F.col("text"), b["start"]), True),
-        *_features(b["value"], _before(F.col("text"), b["start"]))))
+    known = F.zip_with("base", _contexts(F.col("text"), F.col("base")), lambda b, before: F.struct(
+        b["kind"], *_votes(b["kind"], b["value"], before, True), *_features(b["value"], before)))
     new = F.transform("extra", lambda s: F.struct(*[s[n] for n in ("kind", *_VOTES, "length", "digits", "edge")]))
     keys = [*_VOTES, *_FEATURES]
     both = spans.select(F.explode(F.concat(known, new)).alias("s"))
     return both.select(*[F.col(f"s.{k}") for k in keys]).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _before(text: Column, start: Column) -> Column:
-    return F.substr(text, F.greatest(start - 31, F.lit(1)), F.least(start, F.lit(32)))
+def _contexts(text: Column, spans: Column) -> Column:
+    """The (up to) 32 characters before each span."""
+    def of(wide):
+        return F.transform(spans, lambda s: _part(wide, F.greatest(s["start"] - 32, F.lit(0)), F.least(s["start"], F.lit(32))))
+
+    return F.when(F.size(spans) == 0, F.array().cast("array<string>")).otherwise(_let(_wide(text), of))
 
 
 # Prior opinion of a labeler: how often its votes are right, worth this many spans.
@@ -272,7 +338,11 @@ def find_personal_data(docs: DataFrame, model: SpanModel, text_col: str = "text"
     """Adds n_email, n_ip, n_card, n_phone, ``base`` and ``found``: all spans
     (start, rank, kind, end) in order.
 
-    A null or empty text has none; repeated rows are searched each.
+    A null or empty text has none; repeated rows are searched each, very long
+    texts whole; of equal starts the kinds' order decides; an empty table stays
+    empty.  Columns of ``docs`` that bear one of the added names, or one that is
+    used here on the way (pii_text, extra, named, s_<kind>), are replaced by it
+    or dropped.
     """
     held = docs.withColumn("pii_text", F.coalesce(text_col, F.lit("")))
     out = candidates(base_spans(held, "pii_text"), "pii_text")
@@ -291,15 +361,15 @@ def listing(spans: str) -> Column:
 def redacted(text: str, spans: str) -> Column:
     """The text with each span replaced by its kind in brackets; where spans
     overlap the first one's mark stands for all."""
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        fresh = s["start"] >= acc["at"]
-        mark = F.concat(F.substr(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))),
-                        F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"),
-                        F.when(fresh, F.concat(acc["out"], mark)).otherwise(acc["out"]).alias("out"))
-
-    cut = F.aggregate(spans, state, step, lambda acc: F.concat(
-        acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) == 0, F.col(text)).otherwise(cut)
+    def cut(wide):
+        def parts(reach):
+            # of the spans that begin behind all before them: what lies between, and the mark
+            return F.zip_with(spans, reach, lambda s, at: F.when(s["start"] >= at, F.concat(
+                _part(wide, at, s["start"] - at), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(""))
+
+        reach = running(F.transform(spans, lambda s: s["end"]), _most, 0)
+        end = F.array_max(F.transform(spans, lambda s: s["end"]))
+        return F.concat(F.array_join(_let(reach, parts), ""),
+                        _part(wide, end, F.greatest(F.length(text) - end, F.lit(0))))
+
+    return F.when(F.size(spans) == 0, F.col(text)).otherwise(_let(_wide(F.col(text)), cut))
