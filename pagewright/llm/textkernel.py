@@ -12,6 +12,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK_CHARS = 1 << 20
 
@@ -48,7 +49,7 @@ def _power(base: int, n: int) -> np.ndarray:
         steps = np.full(size, base, dtype=_U)
         steps[0] = 1
         have = np.multiply.accumulate(steps)
-        if size <= 1 << 23:  # longer ones serve one huge text only
+        if size <= 1 << 21:  # longer ones serve one huge text only
             _powers[base] = have
     return have[:n]
 
@@ -56,17 +57,18 @@ def _power(base: int, n: int) -> np.ndarray:
 def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "text",
                 budget: int = CHUNK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches with their texts (null: empty), about ``budget``
-    characters each; one longer text is a slice of its own."""
+    bytes each; one longer text is a slice of its own.  Only a slice's texts
+    are Python objects at a time."""
     for batch in batches:
-        texts = [t or "" for t in batch.column(column).to_pylist()]
-        start, chars = 0, 0
-        for i, t in enumerate(texts):
-            if i > start and chars + len(t) > budget:
-                yield batch.slice(start, i - start), texts[start:i]
-                start, chars = i, 0
-            chars += len(t)
-        if texts[start:]:
-            yield batch.slice(start), texts[start:]
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, before + budget, side="right")))
+            part = batch.slice(start, end - start)
+            yield part, [t or "" for t in part.column(column).to_pylist()]
+            start = end
 
 
 def utf8(text: str) -> bytes:
