@@ -395,9 +395,8 @@ def _rare_pairs(mixed: DataFrame, texts: DataFrame, k: int, threshold: float, re
     y = full.select("h", F.explode(F.sequence(F.lit(0), F.col("n_rest") - 1)).alias("i"),
                     F.pmod(F.xxhash64("row"), F.col("n_all")).cast("int").alias("j"), doc.alias("y"))
     fx, fy = F.col("x"), F.col("y")
-    apart = F.lit(0)
-    for i in range(PARITY_BITS // 64):
-        apart = apart + F.bit_count(fx["bits"][i].bitwiseXOR(fy["bits"][i]))
+    apart = F.aggregate(F.zip_with(fx["bits"], fy["bits"], lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0),
+                        lambda n, more: n + more)
     # at least so many shingles of either text are not in the other; each weighs 1 or more
     lost_x = F.greatest(F.lit(0), apart + fx["n"] - fy["n"]) / 2 / fx["total"]
     lost_y = F.greatest(F.lit(0), apart + fy["n"] - fx["n"]) / 2 / fy["total"]
