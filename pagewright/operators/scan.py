@@ -153,8 +153,9 @@ def range_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], n_chu
     (partition id in the high bits, row index below), so ``id // chunk_rows``
     numbers the chunks in (keys, order) order and no chunk crosses a partition.
     A chunk therefore never holds more than ``chunk_rows`` rows, whatever the
-    data size or key skew.  ``n_chunks`` is the number of range partitions
-    (default: the shuffle partition count).
+    data size or key skew.  ``n_chunks`` is the number of range partitions; by
+    default it follows the size of the rows (at most the shuffle partition
+    count, small partitions are merged at runtime).
 
     Range bounds come from sampling, so two evaluations of the same plan may
     cut differently; with ``materialize`` (the default) the chunked rows are
@@ -164,8 +165,8 @@ def range_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], n_chu
     """
     if chunk_rows & (chunk_rows - 1):
         raise ValueError("chunk_rows must be a power of two")
-    n = n_chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cols = [F.col(c) for c in list(keys) + list(order)]
-    out = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+    spread = df.repartitionByRange(n_chunks, *cols) if n_chunks else df.repartitionByRange(*cols)
+    out = (spread.sortWithinPartitions(*cols)
            .withColumn(name, F.floor(F.monotonically_increasing_id() / F.lit(chunk_rows)).cast("long")))
     return cut_lineage(out) if materialize else out

@@ -13,12 +13,12 @@ from pagewright.plans import catalog  # noqa: E402
 NAMES = {"AR": "operators.articles", "LK": "operators.links", "FL": "operators.failures", "RT": "operators.rates",
          "ST": "operators.stats", "SK": "sources.sinks", "RD": "sources.readers", "E": "functions.errors",
          "X": "functions.text", "U": "functions.urls", "H": "functions.html", "R": "operators.rules",
-         "S": "streaming.streams"}
+         "S": "streaming.streams", "TP": "sources.topics"}
 
 
 def lib(fn):
     src = inspect.getsource(fn)
-    calls = sorted(set(re.findall(r"\b(AR|LK|FL|RT|ST|SK|RD|E|X|U|H|R|S)\.([a-z_]+)\(", src)))
+    calls = sorted(set(re.findall(r"\b(AR|LK|FL|RT|ST|SK|RD|E|X|U|H|R|S|TP)\.([a-z_]+)\(", src)))
     return ", ".join(f"`{NAMES[a]}.{b}`" for a, b in calls)
 
 
@@ -57,7 +57,7 @@ def main():
                "not registered: the only database here would be one that only its own process sees (README) |")
     extra = [k for k in queries if k not in seen]
     out += ["", "Registered but not a section-2 key: " + ", ".join(f"`{k}`" for k in extra)
-            + " (the flagship pipeline behind `entry`, the global request rate).", "",
+            + " (the flagship pipeline behind `entry`, the global request rate, the pacing state after a reset).", "",
             "`site_stats_all` is the statistics bundle that section 2.4 lists under its earlier name; topics, tables and "
             "constants were renamed with it (`Results`, `Tasks`, `article_store`, `FAILED_FETCH`, `FETCH_*`).", "",
             f"Totals: {len(queries)} registered queries, {len(oracle)} with oracle SQL."]
