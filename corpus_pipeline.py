@@ -19,6 +19,7 @@ from pagewright.llm.pii import fit as pii_fit
 from pagewright.llm.probminhash import near_duplicates
 from pagewright.llm.rows import numbered
 from pagewright.session import scratch_path
+from pagewright.sources import folders
 from pagewright.sources.tables import read_table
 
 MIN_SCORE = 0.5  # of the likeliest language
@@ -76,10 +77,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``, each written and read again."""
-    docs = read_table(spark, sf_dir, "documents")
+    """Applies the stages to ``documents``, each written and read again; what a
+    stage has left is deleted when the next one is written."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            folders.delete(spark, before)
+        before = path
     return docs

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.session import scratch_path, ship_package
+from pagewright.sources import folders
 
 from .textkernel import mix, shingle_hashes, text_chunks, weighted, word_hashes
 
@@ -173,13 +174,25 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> D
     return both.mapInArrow(run, "a bigint, b bigint, likeness double").filter(F.col("likeness") >= threshold)
 
 
+_written: list[str] = []
+
+
 def _saved(df: DataFrame, name: str) -> DataFrame:
     """Written to the shared scratch folder and read again: cuts the lineage."""
     path = scratch_path(df.sparkSession, f"probminhash-{name}")
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def _forget(spark, since: int) -> None:
+    """Delete what has been written since, but for what the result still reads."""
+    for path in _written[since:]:
+        if not path.rsplit("/", 1)[-1].startswith(("probminhash-prints", "probminhash-keys")):
+            folders.delete(spark, path)
+    del _written[since:]
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, class) of every node of ``links`` (a, b); the class is the
     smallest node of its component.
@@ -226,6 +239,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty table gives no rows.
     """
     ship_package(docs.sparkSession)
+    since = len(_written)
     prints = _saved(_fingerprint_rows(docs, id_col, text_col, words, bands, rows), "prints")
     known = prints.filter(F.col("k1").isNotNull() & F.col("id").isNotNull())
     first = _saved(known.groupBy("k1", "k2").agg(F.min_by(F.struct("id", "n", "total", "top", "marks", "bands"), "id").alias("f"))
@@ -255,6 +269,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if classes is not None:
         keys = keys.join(classes, "node", "left").select("k1", "k2", F.coalesce("class", "node").alias("node"))
     keys = _saved(keys, "keys")
+    _forget(docs.sparkSession, since)
     found = prints.select("id", "k1", "k2").join(keys, ["k1", "k2"], "left")
     own = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("node", "id"))
     return found.select(F.col("id").alias(id_col), own.alias("class_id"))
