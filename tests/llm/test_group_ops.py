@@ -333,6 +333,34 @@ def test_personal_data_quoted_long_and_digit_poor(spark):
     assert all(clean[i] == "x [SECRET] y" for i in range(100)) and clean[100] == "[SECRET] end"
 
 
+def test_reliabilities_are_recovered():
+    """Votes drawn with known reliabilities: the model estimates them, the
+    share of true spans and each pattern's posterior as plain EM over single
+    spans does, and the classifier follows the truth."""
+    rng = np.random.default_rng(12)
+    right, n = {"strict": 0.93, "gazetteer": 0.82, "context": 0.74}, 30_000
+    true = rng.random(n) < 0.4
+    votes = {v: np.where(rng.random(n) < p, 1, -1) * np.where(true, 1, -1) * (rng.random(n) < 0.9)
+             for v, p in right.items()}
+    digits = np.where(rng.random(n) < np.where(true, 0.8, 0.3), "3", "0")
+    count = collections.Counter(zip(*(votes[v].tolist() for v in right), digits.tolist()))
+    rows = [{**dict(zip(right, k[:3])), "kind": "secret", "length": "1", "digits": k[3], "edge": "space", "n": c}
+            for k, c in count.items()]
+    model = pii.SpanModel(rows)
+    prior, guess = 0.5, dict.fromkeys(right, 0.75)
+    for _ in range(60):  # one span at a time, no prior opinion
+        odds = np.log(prior / (1 - prior)) + sum(votes[v] * np.log(guess[v] / (1 - guess[v])) for v in right)
+        post = 1 / (1 + np.exp(-odds))
+        prior = post.mean()
+        guess = {v: np.where(votes[v] > 0, post, 1 - post)[votes[v] != 0].mean() for v in right}
+    assert model.prior == pytest.approx(prior, abs=0.02) and prior == pytest.approx(0.4, abs=0.05)
+    for v in right:
+        assert model.right[v] == pytest.approx(guess[v], abs=0.02)
+        assert model.right[v] == pytest.approx(right[v], abs=0.05)
+    assert model.weights["digits"]["3"] > 0.5 and model.weights["digits"]["0"] < -0.5
+    assert abs(model.weights["edge"]["space"]) < 0.05
+
+
 def test_running_values(spark):
     rng = np.random.default_rng(2)
     rows = [[int(x) for x in rng.integers(0, 100, n)] for n in (0, 1, 63, 64, 65, 200, 4097)]
@@ -433,6 +461,13 @@ def test_differences_against_sets():
     assert (likeness(da, db)[::3] == 1).all()
 
 
+def plain_likeness(a, b):
+    """Shared over all paragraphs, as bags: lines, cut after sentence ends."""
+    bags = [collections.Counter(filter(None, re.split(r"\n|(?<=[.!?]) ", t))) for t in (a, b)]
+    both, every = sum((bags[0] & bags[1]).values()), sum((bags[0] | bags[1]).values())
+    return both / every if every else 1.0
+
+
 def test_versions_query(spark):
     docs = sorted(table(spark), key=lambda d: -d["doc_id"])
     got = {r["doc_id"]: r for r in catalog.op9_fingerprints(spark, SF001).collect()}
@@ -443,7 +478,8 @@ def test_versions_query(spark):
         changed = t[:len(t) - half] + (after["text"] or "")[:half]
         assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest()
         assert (r["fingerprint"] == r["edited_fingerprint"]) == (t == changed) or t != changed
-        assert 0 <= r["near_next"] <= 1 and 0 <= r["near_edited"] <= 1
+        assert r["near_edited"] == pytest.approx(plain_likeness(t, changed))
+        assert r["near_next"] == pytest.approx(plain_likeness(t, after["text"] or ""))
     same = collections.defaultdict(set)
     for d in docs:
         same[d["text"]].add(got[d["doc_id"]]["fingerprint"])
