@@ -52,7 +52,7 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return find_personal_data(docs, fit(docs)).select(
         "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(listing("base"), 256).alias("base_sha256"),
-        listing("found").alias("spans"))
+        listing("found").alias("spans"), F.size("found").cast("long").alias("n_spans"))
 
 
 @_query
