@@ -10,8 +10,10 @@ most end after one step.  Two registers agree with the probability Jaccard
 
 Registers are banded; texts that share a band are candidates and are verified
 by the exact J_P of their whole texts.  Equal word sequences fall together
-before banding.  Within a band, members are compared with the first one.  In
-bands that then still hold several classes not all pairs are tested; the pairs
+before banding.  Within a band, members are compared with a lead, the one that
+shares bands with the most others, and with a second lead outside the largest
+class then formed.  In bands that still hold several classes not all pairs are
+tested; the pairs
 that can reach the threshold t are found through their rarest shared shingle.
 With s_u, s_v the shares of either text's weight that is shared,
 
@@ -245,21 +247,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = _saved(known.groupBy("k1", "k2").agg(F.min_by(F.struct("id", "n", "total", "top", "marks", "bands"), "id").alias("f"))
                    .select("k1", "k2", "f.*"), "first")
     held = first.select(F.struct("id", "n", "total", "top", "marks").alias("doc"), F.posexplode("bands").alias("band", "key"))
-    buckets = held.groupBy("band", "key").agg(F.min("doc").alias("lead"), F.max("doc.id").alias("z"))
-    buckets = _saved(buckets.filter("lead.id < z").select("band", "key", "lead"), "buckets")
+    buckets = held.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     member = _saved(held.join(buckets, ["band", "key"]), "member")
+    # a bucket's lead is its member that shares buckets with the most others
+    degree = member.groupBy("doc.id").agg(F.sum("m").alias("degree"))
+    member = member.withColumn("id", F.col("doc.id")).join(degree, "id").drop("id", "m")
+    member = _saved(member, "member")
+    leads = member.groupBy("band", "key").agg(F.max_by("doc", F.struct("degree", -F.col("doc.id"))).alias("lead"))
     same_id = known.groupBy("id").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).filter("low < high")
     same_id = same_id.select("id").join(known, "id").join(first.select("k1", "k2", F.col("id").alias("b")), ["k1", "k2"])
     links = _saved(same_id.filter("id <> b").select(F.col("id").alias("a"), "b").distinct(), "links")
-    pairs = member.filter((F.col("lead.id") < F.col("doc.id")) & _may_reach(
-        F.col("lead"), F.col("doc"), threshold, bands * rows))
-    pairs = _saved(pairs.select(F.col("lead.id").alias("a"), F.col("doc.id").alias("b")).distinct(), "pairs")
+    pairs = _saved(_lead_pairs(member.join(leads, ["band", "key"]), threshold, bands * rows), "pairs")
     classes = None
     if not member.isEmpty():
         texts = _texts_of(docs, member.select("doc.id").distinct(), first, id_col, text_col)
         links = links.unionByName(_saved(_verified(pairs, texts, words, threshold).select("a", "b"), "links"))
         classes = components(links)
-        more = _rare_pairs(_mixed(member, classes), texts, words, threshold, bands * rows)
+        # once more in what is left, led by the first of the members outside the largest class
+        more = _saved(_lead_pairs(_second_leads(_held(member, classes)), threshold, bands * rows)
+                      .join(pairs, ["a", "b"], "left_anti"), "pairs")
+        links = links.unionByName(_saved(_verified(more, texts, words, threshold).select("a", "b"), "links"))
+        pairs, classes = pairs.unionByName(more), components(links)
+        more = _rare_pairs(_mixed(_held(member, classes)), texts, words, threshold, bands * rows)
         more = _saved(more.join(pairs, ["a", "b"], "left_anti"), "more")
         links = links.unionByName(_saved(_verified(more, texts, words, threshold).select("a", "b"), "links"))
         classes = components(links)
@@ -302,14 +311,38 @@ def _texts_of(docs: DataFrame, ids: DataFrame, first: DataFrame, id_col: str, te
                   .select("id", "text"), "texts")
 
 
-def _mixed(member: DataFrame, classes: DataFrame) -> DataFrame:
-    """(id, class) of the documents in bands that hold several classes."""
+def _lead_pairs(led: DataFrame, threshold: float, registers: int) -> DataFrame:
+    """(a, b): each lead with the members that it can reach the threshold with."""
+    lead, doc = F.col("lead"), F.col("doc")
+    near = led.filter((lead["id"] != doc["id"]) & _may_reach(lead, doc, threshold, registers))
+    return near.select(F.least("lead.id", "doc.id").alias("a"), F.greatest("lead.id", "doc.id").alias("b")).distinct()
+
+
+def _held(member: DataFrame, classes: DataFrame) -> DataFrame:
+    """The members with their classes."""
     label = classes.withColumnRenamed("node", "id")
-    held = member.select("band", "key", "doc", F.col("doc.id").alias("id")).join(label, "id", "left")
-    held = _saved(held.select("band", "key", "doc", F.coalesce("class", "id").alias("class")), "held")
+    held = member.withColumn("id", F.col("doc.id")).join(label, "id", "left")
+    return _saved(held.withColumn("class", F.coalesce("class", "id")), "held")
+
+
+def _second_leads(held: DataFrame) -> DataFrame:
+    """The members of buckets that hold several classes, with a lead of another
+    class: that of the members outside the bucket's largest class."""
+    count = held.groupBy("band", "key", "class").agg(F.count(F.lit(1)).alias("m"))
+    main = count.groupBy("band", "key").agg(F.max(F.struct("m", "class")).alias("main"),
+                                            F.count(F.lit(1)).alias("classes")).filter("classes > 1")
+    inside = held.join(main.select("band", "key", F.col("main.class").alias("main")), ["band", "key"])
+    leads = inside.filter("class <> main").groupBy("band", "key").agg(
+        F.max_by(F.struct("doc", "class"), F.struct("degree", -F.col("id"))).alias("l"))
+    led = inside.join(leads.select("band", "key", F.col("l.doc").alias("lead"), F.col("l.class").alias("own")), ["band", "key"])
+    return led.filter("class <> own")
+
+
+def _mixed(held: DataFrame) -> DataFrame:
+    """(id, class) of the documents in bands that hold several classes."""
     mixed = held.groupBy("band", "key").agg(F.min("class").alias("low"), F.max("class").alias("high"))
     inside = held.join(mixed.filter("low < high").select("band", "key"), ["band", "key"])
-    return _saved(inside.groupBy("doc.id").agg(F.min("class").alias("class")), "mixed")
+    return _saved(inside.groupBy("id").agg(F.min("class").alias("class")), "mixed")
 
 
 def parity_bits(ptr: np.ndarray, hashes: np.ndarray, bits: int = PARITY_BITS) -> np.ndarray:
