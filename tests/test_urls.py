@@ -23,6 +23,7 @@ def test_strip_query(spark):
 
 def test_url_valid_three_modes(spark):
     import re
+    # Site URLs and patterns.
     cases = [("https://news.tvbs.com.tw/life/123", r"^https://news\.tvbs\.com\.tw/[\w-]+/\d+$", True),
              ("https://news.tvbs.com.tw/life/123/x", r"^https://news\.tvbs\.com\.tw/[\w-]+/\d+$", True),
              ("https://udn.com/news/story/1", "news/story/", False),
