@@ -127,12 +127,12 @@ def sink_tasks_stream(spark, sf):
 @query("src_messages", """
 SELECT event_id, CASE WHEN trim(value, ' ') <> '' THEN CAST(json_extract(value, '$.k') AS INTEGER) END AS k FROM fx_message""")
 def src_messages(spark, sf):
-    """The messages are published as a topic and consumed poll by poll."""
+    """The messages are published as a topic and consumed poll by poll, many polls in a micro-batch."""
     path = scratch_path(spark, "topic")
     m = fx.fx_message(spark, sf).withColumn("key", F.col("event_id").cast("string"))
     TP.publish_topic(m.select("key", "value", "ts", "event_id"), path, "events", ["ts", "event_id"])
-    TP.consume(TP.topic_stream(spark, path, "events", group="readers"), f"{path}/checkpoint",
-               batch_folder_writer(f"{path}/polled"))
+    TP.consume(TP.topic_stream(spark, path, "events", group="readers", polls_per_batch=TP.BACKLOG_POLLS),
+               f"{path}/checkpoint", batch_folder_writer(f"{path}/polled"))
     got = RD.parse_messages(spark.read.parquet(f"{path}/polled"), "k int")
     return got.select(F.col("key").cast("long").alias("event_id"), F.col("message.k").alias("k"))
 
